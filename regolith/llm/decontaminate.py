@@ -9,6 +9,8 @@ meet items on a sketch hash; the candidates are then verified on the shingles th
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ CONTAINMENT = 0.8
 
 def bound(value: Column, body) -> Column:
     """body(value) with the value worked out once for a row, not at each use inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def word_array(text: str) -> Column:
@@ -29,18 +31,24 @@ def word_array(text: str) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
-def shingle_array(words: Column, width: int) -> Column:
+def _runs(words: Column, width, made) -> Column:
+    """made(run) of all runs of width consecutive words."""
+    last = F.size(words) - F.lit(width) + 1
+    return F.transform(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: made(F.slice(words, i, F.lit(width))))
+
+
+def shingle_array(words: Column, width) -> Column:
     """Distinct shingles of the width, as strings; none for fewer words."""
-    last = F.size(words) - (width - 1)
-    made = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws(" ", *[F.element_at(words, i + k) for k in range(width)]))
-    return F.when(last >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(_runs(words, width, lambda run: F.array_join(run, " ")))
+
 
+def _hash_array(words: Column, width) -> Column:
+    return _runs(words, width, F.xxhash64)
 
-def _hash_array(words: Column, width: int) -> Column:
-    """Hashes of all shingles of the width, as _shingle_hash makes them."""
-    last = F.size(words) - (width - 1)
-    made = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(width)]))
-    return F.when(last >= 1, made).otherwise(F.array().cast("array<bigint>"))
+
+def _offered(words: Column, width: int, top: int) -> Column:
+    """The document's hashes that any item's sketch could hold."""
+    return F.filter(_hash_array(words, width), lambda h: h <= F.lit(top))
 
 
 def item_sketches(benchmark: DataFrame, containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
@@ -49,12 +57,12 @@ def item_sketches(benchmark: DataFrame, containment: float = CONTAINMENT, words:
     width is words, or the item's number of words if it has fewer: it is one shingle then.
     """
     base = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_array("text").alias("words")).where(F.size("words") > 0)
-    base = base.withColumn("width", F.least(F.size("words"), F.lit(words)))
-    by_width, strings = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<string>")
-    for w in range(1, words + 1):
-        by_width = F.when(F.col("width") == w, F.array_sort(F.array_distinct(bound(F.col("words"), lambda x, w=w: _hash_array(x, w))))).otherwise(by_width)
-        strings = F.when(F.col("width") == w, bound(F.col("words"), lambda x, w=w: shingle_array(x, w))).otherwise(strings)
-    base = base.select("item_id", "width", by_width.alias("hashes"), strings.alias("shingles")).withColumn("n", F.size("shingles"))
+    base = written(base.withColumn("width", F.least(F.size("words"), F.lit(words))), "itemwords")
+    base = base.select(
+        "item_id", "width", F.array_sort(F.array_distinct(_hash_array(F.col("words"), F.col("width")))).alias("hashes"),
+        shingle_array(F.col("words"), F.col("width")).alias("shingles")
+    )
+    base = written(base, "shingles").withColumn("n", F.size("shingles"))
     # hashes of different shingles may be equal; then the sketch takes all of them
     keep = F.col("n") - F.ceil(F.lit(containment) * F.col("n") - 1e-9).cast("int") + 1
     return base.select(
@@ -84,7 +92,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, containment: float
     offered = None
     for b in bounds:
         width, top = b["width"], b["top"]
-        hashes = bound(word_array("text"), lambda x, width=width, top=top: F.filter(_hash_array(x, width), lambda h: h <= F.lit(top)))
+        hashes = bound(word_array("text"), partial(_offered, width=width, top=top))
         part = docs.select("doc_id", "row_key", most.alias("m"), F.lit(width).alias("width"), F.explode(hashes).alias("hash"))
         offered = part if offered is None else offered.unionAll(part)
     # sizes: a document needs ceil(t n) shingles itself, so the partitions of larger items are passed over
@@ -100,9 +108,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, containment: float
         sized(candidates, n_candidates), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("row_key"))
     )
     pairs = pairs.join(sized(facts, n_items, 20_000), F.col("_item").eqNullSafe(F.col("item_id")) & (F.col("_width") == F.col("width")))
-    mine = F.lit(None).cast("array<string>")
-    for b in bounds:
-        mine = F.when(F.col("width") == b["width"], bound(word_array("text"), lambda x, w=b["width"]: shingle_array(x, w))).otherwise(mine)
+    mine = bound(word_array("text"), lambda x: shingle_array(x, F.col("width")))
     shared = pairs.select("doc_id", "row_key", "item_id", "n_item", F.size(F.array_intersect(mine, F.col("shingles"))).alias("n_shared"))
     return (
         shared.select("doc_id", "row_key", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))

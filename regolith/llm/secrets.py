@@ -97,7 +97,7 @@ def secrets(documents: DataFrame, owner: str = "source") -> DataFrame:
     told = written(classify(scanned), "classified")
     told = told.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), F.size("live").cast("long").alias("n_live"), "n_example")
     base = F.filter("found", lambda s: s["rank"] < 3)
-    counts = [F.size(F.filter("found", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{KINDS[r]}") for r in range(3)]
+    counts = [F.size(F.filter(F.col("found")["rank"], lambda rank: rank == F.lit(r))).cast("long").alias(f"n_{KINDS[r]}") for r in range(3)]  # noqa: B023
     rows = scanned.select("doc_id", "row_key", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
     match = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row_key") == F.col("_key"))
     out = rows.join(told, match, "left")
@@ -119,14 +119,14 @@ def redact(documents: DataFrame, owner: str = "source", mark: str = "[secret]")
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (row_key() == F.col("_key"))
     joined = documents.join(told, match, "left")
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def step(state, s):
-        fresh = s["end"] > state["at"]
-        gap = F.when(s["start"] >= state["at"], F.concat(text.substr(state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["text"], gap)).otherwise(state["text"]).alias("text"))
+    def piece(span, i):
+        """The text before a span, after all earlier ones, and the mark; nothing where an earlier one overlaps."""
+        before = F.coalesce(F.array_max(F.slice(F.col("_live")["end"], F.lit(1), i)), F.lit(0))
+        return F.when(span["start"] >= before, F.concat(text.substr(before + 1, span["start"] - before), F.lit(mark))).otherwise(F.lit(""))
 
-    clean = F.aggregate("_live", start, step, lambda s: F.concat(s["text"], text.substr(s["at"] + 1, F.length(text) - s["at"])))
+    end = F.array_max(F.col("_live")["end"])
+    clean = F.concat(F.array_join(F.transform("_live", piece), ""), text.substr(end + 1, F.length(text) - end))
     fixed = F.when(F.col("_live").isNotNull(), clean).otherwise(text)
     cols = []
     for c in documents.columns:
