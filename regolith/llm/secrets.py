@@ -128,12 +128,10 @@ def redact(documents: DataFrame, owner: str = "source", mark: str = "[secret]")
     end = F.array_max(F.col("_live")["end"])
     clean = F.concat(F.array_join(F.transform("_live", piece), ""), text.substr(end + 1, F.length(text) - end))
     fixed = F.when(F.col("_live").isNotNull(), clean).otherwise(text)
-    cols = []
-    for c in documents.columns:
-        if c == "text":
-            cols.append(fixed.alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("_live").isNotNull(), F.length(fixed).cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            cols.append(F.col(c))
-    return joined.select(*cols)
+    # a generator works the text out once, for itself and its length
+    once = joined.select("*", F.inline(F.array(F.struct(fixed.alias("_text")))))
+    out = {"text": F.col("_text")}
+    if "n_chars" in documents.columns:
+        n = F.length("_text").cast(documents.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("_live").isNotNull(), n).otherwise(F.col("n_chars"))
+    return once.select(*(out.get(c, F.col(c)).alias(c) for c in documents.columns))
