@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.llm import decontaminate, hamming, html_text, mixing, quality, secrets, substrings, topk, toxicity, warc
+from regolith.llm import decontaminate, hamming, html_text, mixing, oracles, quality, secrets, substrings, topk, toxicity, warc
 from regolith.llm.common import table
 
 
@@ -57,4 +57,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_html_text, op4_top_k, op5_simhash, op6_decontaminate, op7_secrets, op8_substrings, op9_quality, op10_mixing)}
-SQL: dict[str, str] = {}
+SQL = oracles.SQL
