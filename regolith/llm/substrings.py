@@ -64,6 +64,11 @@ def superkmers(words: Words, window: int, m: int, frequent: np.ndarray) -> tuple
     return at[first], np.diff(np.concatenate((first, [len(at)]))), low[first]
 
 
+def _key():
+    """32 bits that tell apart rows with one doc_id and other texts."""
+    return row_key().bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+
 def _ids(rows: list[tuple]) -> np.ndarray:
     return np.array([_LAST if r[0] is None else r[0] for r in rows], dtype=np.int64)
 
@@ -90,17 +95,23 @@ def _frequent(docs: DataFrame, window: int, m: int) -> np.ndarray:
 
 
 def _pack(low: np.ndarray, head: np.ndarray, texts: list[bytes]) -> bytes:
-    """Records of one bucket as one compressed string: minimisers, (id, key, first word, windows, bytes), packed words."""
-    return np.int64(len(low)).tobytes() + zstandard.ZstdCompressor(level=3).compress(low.tobytes() + np.ascontiguousarray(head).tobytes() + b"".join(texts))
+    """Records of one bucket as one compressed string: minimisers, keys, ids, (first word, windows, bytes), packed words.
+
+    Minimisers and row keys do not compress, so 32 bits of each travel.
+    """
+    ids, keys, at, count = head
+    sizes = np.array([at, count, [len(t) for t in texts]], dtype=np.int32)
+    raw = (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + keys.astype(np.uint32).tobytes() + ids.tobytes() + sizes.tobytes() + b"".join(texts)
+    return np.int64(len(low)).tobytes() + zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(data: bytes):
     n = int(np.frombuffer(data[:8], np.int64)[0])
     raw = zstandard.ZstdDecompressor().decompress(data[8:])
-    low = np.frombuffer(raw, np.uint64, n)
-    head = np.frombuffer(raw, np.int64, 5 * n, 8 * n).reshape(5, n)
-    ends = np.cumsum(head[4]) + 48 * n
-    return low, head, raw, ends - head[4], ends
+    low, keys, ids = np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint32, n, 4 * n), np.frombuffer(raw, np.int64, n, 8 * n)
+    sizes = np.frombuffer(raw, np.int32, 3 * n, 16 * n).reshape(3, n).astype(np.int64)
+    ends = np.cumsum(sizes[2]) + 28 * n
+    return low, np.vstack((ids, keys.astype(np.int64), sizes)), raw, ends - sizes[2], ends
 
 
 def _spans_batch(spans: list[tuple[int, int, int, int]], bucket: int = -1) -> pa.RecordBatch:
@@ -146,7 +157,7 @@ def _send(batches, window: int, m: int, frequent: np.ndarray, buckets: int) -> I
         travel = travel[np.argsort(bucket, kind="stable")]
         bucket = np.sort(bucket)
         texts = [data[start[i] : stop[i]] for i in travel.tolist()]
-        head = np.array([ids[travel], keys[travel], at[travel], count[travel], [len(t) for t in texts]], dtype=np.int64)
+        head = np.array([ids[travel], keys[travel], at[travel], count[travel]], dtype=np.int64)
         names, begins = np.unique(bucket, return_index=True)
         ends = np.append(begins[1:], len(bucket))
         for k in range(0, len(names), 64):
@@ -210,7 +221,7 @@ def _receive(batches, window: int) -> Iterator[pa.RecordBatch]:
         part = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
         start, end = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
         order = np.argsort(low, kind="stable")
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(low[order].view(np.int64))) + 1, [len(order)]))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(low[order])) + 1, [len(order)]))
         spans = []
         for g0, g1 in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist(), strict=True):
             of = order[g0:g1]
@@ -241,10 +252,10 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, m: int = MINIMISE
     id is doc_id, or the largest long for a null one: such rows repeat others, and none repeats them.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("row_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     frequent = _frequent(docs, window, m)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * 4
+    buckets = parts * 2
 
     def send(batches):
         return _send(batches, window, m, frequent, buckets)
@@ -267,7 +278,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, m: int = MINIMISE
     spans = spans.select(F.col("id").alias("_id"), F.col("row_key").alias("_key"), "spans")
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("_id"),
-        row_key().alias("_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
+        _key().alias("_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
     )
 
     def squeeze(batches):
