@@ -11,13 +11,15 @@ Five small transducers work over the tokens of a clause (text between . ! ? ; an
 Composed, they give each matched clause one weight; isolated words have none of their own. A logistic
 model over the clause weights of a text, fitted on labelled rows, turns them into the score.
 
-The insult lexicon is induced from labelled texts: whole tokens and token stems of 4 and 5 letters
-that (nearly) only toxic texts hold, in many different contexts, joined with a small seed list.
+The insult lexicon is induced from labelled texts: whole tokens and token stems of 4 to 8 letters that
+(nearly) only toxic texts hold, more often than chance gives any of so many candidates, and in many
+different contexts; it is joined with a small seed list.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.llm.common import held_out, training_rows
+from regolith.llm.common import held_out, training_rows, written
 from regolith.llm.wordstream import chunks
 
 #: Seed words of the grammar.
@@ -37,7 +39,9 @@ NEGATIONS = "not no never isn't aren't wasn't don't nicht kein pas jamais nunca"
 REPORTS = "said says quoted wrote called reported claimed allegedly sagte dit dijo".split()
 
 MAX_TRAINING_ROWS = 40_000
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7, 8)
+#: Largest share of non-toxic texts among those that hold a token or stem of the lexicon.
+IMPURE = 0.1
 NEGATION_SPAN, NEGATION_SCALE = 3, 0.35
 REPORT_SCALE = 0.5
 AIM_SPAN, AIM_SCALE = 4, 1.5
@@ -59,18 +63,18 @@ class Grammar:
         **dict.fromkeys(NEGATIONS, "NEGATE"), **dict.fromkeys(REPORTS, "REPORT"),
     })
 
+    def __post_init__(self):
+        object.__setattr__(self, "lengths", sorted({len(k) for k in self.stems}))
+        object.__setattr__(self, "starts", {*self.insults, *(w for w, role in self.roles.items() if role == "THREAT")})
+
     def symbol(self, token: str) -> tuple[str, float]:
         """The lexicon transducer."""
-        if (w := self.insults.get(token)) is not None:
-            return "INSULT", w
-        for n in STEMS:
-            if len(token) >= n and (w := self.stems.get(token[:n])) is not None:
-                return "INSULT", w
-        return self.roles.get(token, "OTHER"), 1.0
+        weight = max([self.insults.get(token, 0.0), *(self.stems.get(token[:n], 0.0) for n in self.lengths)])
+        return ("INSULT", weight) if weight else (self.roles.get(token, "OTHER"), 1.0)
 
     def touches(self, words) -> bool:
         """Whether any word can start a match, so that most texts need no clause work."""
-        return any(w in self.insults or w[:4] in self.stems or w[:5] in self.stems or self.roles.get(w) == "THREAT" for w in words)
+        return not words.isdisjoint(self.starts) or any(w[:n] in self.stems for n in self.lengths for w in words)
 
 
 def clause_weight(symbols: list[tuple[str, float]]) -> float:
@@ -160,31 +164,15 @@ def _evidence(batches):
 
 
 def hash_pair(a: str, b: str) -> int:
-    import zlib
-
     return zlib.crc32(f"{a}\x00{b}".encode())
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, pen = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
-    pen[-1, -1] = 1e-3
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pen, x.T @ (y - p) - pen @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Grammar:
     """Induce the insult lexicon and fit the score, from at most max_rows labelled, not held-out rows.
 
     Without labelled rows of both kinds the seed lexicon and default weights are returned.
     """
-    sample = training_rows(documents, labels, "toxic", max_rows)
+    sample = written(training_rows(documents, labels, "toxic", max_rows), "toxicsample")
     units = (
         sample.select("label", F.col("text").cast("binary").alias("data"))
         .mapInArrow(_evidence, "unit string, stem int, context long, pos long, neg long")
@@ -192,11 +180,15 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
         .groupBy("unit", "stem")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") > 0).alias("contexts"))
     )
-    # tokens need 97 % and stems 99 % purity, in contexts that copies of one text cannot give
+    units = written(units.where(F.col("pos") + F.col("neg") >= 3), "units")
+    n_units = units.count()
+    pos, neg = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    if not pos or not neg or not n_units:
+        return Grammar({w: SEED_WEIGHT for w in SEED_INSULTS}, {})
+    # by chance a unit is in k toxic texts and no other with probability share ** k
+    least = max(3, int(np.ceil(np.log(20 * n_units) / np.log((pos + neg) / pos))))
     pure = units.where(
-        (F.col("pos") >= 3)
-        & (F.col("neg") <= F.when(F.col("stem") > 0, F.lit(0.01)).otherwise(F.lit(0.03)) * F.col("pos"))
-        & (F.col("contexts") >= 3) & (F.col("contexts") >= 0.3 * F.col("pos"))
+        (F.col("pos") >= least) & (F.col("neg") <= IMPURE * F.col("pos")) & (F.col("contexts") >= 3) & (F.col("contexts") >= 0.3 * F.col("pos"))
     )
     insults, stems = {w: SEED_WEIGHT for w in SEED_INSULTS}, {}
     for r in pure.collect():  # bounded by the sample
@@ -223,14 +215,13 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
 
 
 def _fit_counted(x: np.ndarray, y: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Balanced logistic fit over counted points, slopes kept at 0 or above."""
-    share = np.where(y == 1, count / count[y == 1].sum(), count / count[y == 0].sum()) * 200
+    """Logistic fit over counted points by damped Newton steps, slopes kept at 0 or above."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w, pen = np.zeros(4), np.diag([0.05, 0.05, 0.05, 1e-4])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        hess = (x1 * (share * p * (1 - p))[:, None]).T @ x1 + pen + 1e-9 * np.eye(4)
-        w = w + np.linalg.solve(hess, x1.T @ (share * (y - p)) - pen @ w) * 0.7
+        hess = (x1 * (count * p * (1 - p))[:, None]).T @ x1 + pen + 1e-9 * np.eye(4)
+        w = w + np.linalg.solve(hess, x1.T @ (count * (y - p)) - pen @ w) * 0.7
     w[:3] = np.maximum(w[:3], 0)
     return w
 
