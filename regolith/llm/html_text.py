@@ -169,7 +169,8 @@ def measure(root: Node) -> list[Node]:
 def article(root: Node) -> Node | None:
     """The node of the largest density sum among those at or above the body path's threshold; deeper ones win ties."""
     nodes = measure(root)
-    inside = [n for n in nodes if n.chars and n.name not in INLINE and n.name not in ("#root", "html")] or [n for n in nodes if n.chars]
+    outer = ("#root", "html") if any(n.name == "body" for n in nodes) else ()
+    inside = [n for n in nodes if n.chars and n.name not in INLINE and n.name not in outer] or [n for n in nodes if n.chars]
     if not inside:
         return None
     rank = lambda n: (max(n.total, n.density if not n.total else 0.0), n.depth)
