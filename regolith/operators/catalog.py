@@ -59,12 +59,14 @@ def overlap(footprints: DataFrame, tiles: DataFrame, cell: float = 6.0) -> DataF
 def containing_tile(strips: DataFrame, tiles: DataFrame, check_north: bool = True, cell: float = 6.0) -> DataFrame:
     """The first tile that contains each strip; without check_north the northern edge is not looked at."""
     t = tiles.select("tile_id", *(F.col(c).alias(f"t_{c}") for c in ("west", "east", "south", "north")))
-    t = t.withColumn("kx", F.explode(F.sequence(F.floor(F.col("t_west") / cell), F.floor(F.col("t_east") / cell)))).withColumn("ky", F.explode(F.sequence(F.floor(F.col("t_south") / cell), F.floor(F.col("t_north") / cell))))
-    at = strips.withColumn("kx", F.floor(F.col("west") / cell)).withColumn("ky", F.floor(F.col("south") / cell))
+    t = t.withColumn("kx", F.explode(F.sequence(F.floor(F.col("t_west") / cell), F.floor(F.col("t_east") / cell))))
+    at, keys = strips.withColumn("kx", F.floor(F.col("west") / cell)), ["kx"]
     inside = (F.col("t_west") <= F.col("west")) & (F.col("t_east") >= F.col("east")) & (F.col("t_south") <= F.col("south"))
     if check_north:
+        t = t.withColumn("ky", F.explode(F.sequence(F.floor(F.col("t_south") / cell), F.floor(F.col("t_north") / cell))))
+        at, keys = at.withColumn("ky", F.floor(F.col("south") / cell)), ["kx", "ky"]
         inside = inside & (F.col("t_north") >= F.col("north"))
-    return at.join(t, ["kx", "ky"]).where(inside).groupBy("product_id").agg(F.min("tile_id").alias("tile_id"))
+    return at.join(t, keys).where(inside).groupBy("product_id").agg(F.min("tile_id").alias("tile_id"))
 
 
 def rank_products(footprints: DataFrame, tiles: DataFrame, at_lat: float | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from regolith.config import DEFAULT
 from regolith.fixtures import MATCHES, SIZE, matches
 from regolith.operators import fitting as ft
 from regolith.operators import match_metrics as mm
+from regolith.sources import sinks
 
 QUERIES, SQL = {}, {}
 
@@ -220,3 +221,9 @@ def run_regression(spark, sf_dir):
     other = g.select((F.col("pair_id") + 1).alias("pair_id"), F.col("n_inliers").alias("new_inliers"))
     both = g.withColumnRenamed("n_inliers", "base_inliers").join(other, "pair_id", "left")
     return both.withColumn("verdict", F.when(F.col("new_inliers").isNull(), "no result").when(F.col("new_inliers") < 0.5 * F.col("base_inliers"), "halved").otherwise("kept"))
+
+
+@query(f"WITH {MATCHES}, {RES} SELECT pair_id, printf('%.4f', xa) AS source_x, printf('%.4f', ya) AS source_y, printf('%.4f', xb) AS reference_x, printf('%.4f', yb) AS reference_y, printf('%.4f', conf) AS confidence, printf('%.4f', r) AS residual_px, CAST(r <= 1.5 AS INT) AS inlier FROM res")
+def match_point_rows(spark, sf_dir):
+    ms = matches(spark, sf_dir)
+    return sinks.match_points(mm.residuals(ms, truth(ms)).withColumn("inlier", F.col("residual") <= DEFAULT.ransac_px))
