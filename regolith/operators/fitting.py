@@ -129,8 +129,8 @@ def fit_homography(matches: DataFrame, cfg: Config = DEFAULT, sample: int = 2048
             if h is not None and (inl := close(h)).sum() > best.sum():
                 best = inl
         if best.sum() < 4 or (h := homography_of(a[best], b[best])) is None:
-            return pd.DataFrame({"pair_id": [], "m": []})
-        return pd.DataFrame({"pair_id": [pdf["pair_id"].iloc[0]], "m": [h.ravel().tolist()]})
+            return pdf[["pair_id"]].head(0).assign(m=pd.Series(dtype=object))
+        return pdf[["pair_id"]].head(1).assign(m=[h.ravel().tolist()])
 
     return some.groupBy("pair_id").applyInPandas(robust, f"pair_id {matches.schema['pair_id'].dataType.simpleString()}, m array<double>")
 

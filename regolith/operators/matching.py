@@ -132,7 +132,7 @@ def match_tiles(source: DataFrame, reference: DataFrame, matcher: Matcher = corr
         m = matcher(frame, grids[1])
         m = m[(m[:, 0] >= dx) & (m[:, 1] >= dy) & (m[:, 0] < dx + fw) & (m[:, 1] < dy + fh)]
         return pd.DataFrame({
-            "pair_id": [t.image_id] * len(m), "match_id": np.arange(len(m)) + int(t.tile_id) * 1_000_000, "tile_id": [int(t.tile_id)] * len(m),
+            "pair_id": np.array([t.image_id] * len(m), dtype=object), "match_id": np.arange(len(m)) + int(t.tile_id) * 1_000_000, "tile_id": np.full(len(m), int(t.tile_id)),
             "xa": m[:, 0] + int(t.rx0), "ya": m[:, 1] + int(t.ry0), "xb": m[:, 2] + int(t.rx0), "yb": m[:, 3] + int(t.ry0), "conf": m[:, 4],
         })
 
@@ -159,7 +159,7 @@ def refine(matches: DataFrame, source: DataFrame, reference: DataFrame, cfg: Con
     patches = strips(source, "ia", "ja", 0).unionByName(strips(reference, "ib", "jb", 1))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"pair_id": [], "match_id": [], "sx": [], "sy": []})
+        out = pdf[["pair_id", "match_id"]].head(0).assign(sx=0.0, sy=0.0)
         pdf = pdf.sort_values(["side", "dr"])
         if len(pdf) != 4 * half:
             return out
@@ -171,7 +171,7 @@ def refine(matches: DataFrame, source: DataFrame, reference: DataFrame, cfg: Con
         dx, dy, _ = phase_shift(a, b)
         if np.hypot(dx, dy) > cfg.refine_max_shift:
             return out
-        return pd.DataFrame({"pair_id": [pdf["pair_id"].iloc[0]], "match_id": [pdf["match_id"].iloc[0]], "sx": [dx], "sy": [dy]})
+        return pdf[["pair_id", "match_id"]].head(1).assign(sx=dx, sy=dy)
 
     shifts = patches.groupBy("pair_id", "match_id").applyInPandas(one, "pair_id string, match_id long, sx double, sy double")
     return matches.join(shifts, ["pair_id", "match_id"]).withColumn("xb", F.rint("xb") + F.col("xa") - F.rint("xa") + F.col("sx")).withColumn("yb", F.rint("yb") + F.col("ya") - F.rint("ya") + F.col("sy"))

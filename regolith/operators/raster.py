@@ -16,7 +16,8 @@ def extent(pixels: DataFrame) -> DataFrame:
 
 def _stretched(value: Column, lo: Column, hi: Column) -> Column:
     x = (value - lo) / F.greatest(hi - lo, F.lit(1e-6))
-    return F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 255), F.lit(0)).cast("int")
+    # greatest and least pass over NULL, so no data is told apart first
+    return F.when(x.isNull(), 0).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 255)).cast("int")
 
 
 def stretch8(pixels: DataFrame, mask: Column | None = None, value: str = "v") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.config import DEFAULT, DOF, Config
+from regolith.functions.tables import written
 from regolith.operators import fitting, matching, match_metrics, raster
 
 #: Two rasters to matches: whatever normalisation a method needs is inside.
@@ -39,7 +40,7 @@ def default_match(matcher: matching.Matcher = matching.correlation_matcher, cfg:
 
 def match_aligned(source: DataFrame, reference: DataFrame, match: MatchFunction, cfg: Config = DEFAULT) -> DataFrame:
     """Coarse offset from a first match, the reference rolled by it, a second match, and the shift undone on the points."""
-    off = match_metrics.coarse_offset(match(source, reference), cfg).select(F.col("pair_id").alias("image_id"), "dx", "dy")
+    off = written(match_metrics.coarse_offset(match(source, reference), cfg).select(F.col("pair_id").alias("image_id"), "dx", "dy"), "offsets")
     size = raster.extent(reference)
     rolled = reference.join(off, "image_id", "left").join(size, "image_id").select(
         "image_id", F.pmod(F.col("r") - F.coalesce("dy", F.lit(0)), "height").alias("r"), F.pmod(F.col("c") - F.coalesce("dx", F.lit(0)), "width").alias("c"), "v"
@@ -60,14 +61,15 @@ def register(
     """
     match = match or default_match(cfg=cfg)
     source, reference, ratio = raster.to_common_gsd(source, reference, source_gsd, reference_gsd)
-    found = match_aligned(source, reference, match, cfg) if coarse else match(source, reference)
-    choice = fitting.select_model(found, kinds, cfg).select("pair_id", "best")
+    found = written(match_aligned(source, reference, match, cfg) if coarse else match(source, reference), "matches")
+    choice = written(fitting.select_model(found, kinds, cfg).select("pair_id", "best"), "choice")
     chosen = found.select("pair_id").distinct().join(choice, "pair_id", "left").select("pair_id", F.coalesce("best", F.lit("similarity")).alias("kind"))
     models = None
     for kind in kinds:
         own = found.join(chosen.where(F.col("kind") == kind), "pair_id", "left_semi")
         m = fitting.ransac(own, kind, cfg).withColumn("kind", F.lit(kind))
         models = m if models is None else models.unionByName(m)
+    models = written(models, "models")
     fitted = match_metrics.residuals(found, models).withColumn("inlier", F.col("residual") <= cfg.ransac_px)
     common = max(source_gsd, reference_gsd) if source_gsd and reference_gsd else None
     metrics = match_metrics.summarise(fitted, size, DOF["affine"] if "affine" in kinds else DOF["similarity"], common, native_gsd or source_gsd)
@@ -89,7 +91,7 @@ def control_gate(source: DataFrame, reference: DataFrame, match: MatchFunction,
     for k, df in variants.items():
         src = tag(df, k) if src is None else src.unionByName(tag(df, k))
         ref = tag(reference, k) if ref is None else ref.unionByName(tag(reference, k))
-    found = match(src, ref)
+    found = written(match(src, ref), "controls")
     off = match_metrics.offset_mad(found, cfg).withColumn("pair", F.substring_index("pair_id", "|", 1)).withColumn("control", F.substring_index("pair_id", "|", -1))
     pairs = source.select(F.col("image_id").alias("pair")).distinct()
     of = lambda k, *cols: off.where(F.col("control") == k).select("pair", *(F.col(c).alias(f"{k}_{c}") for c in cols))

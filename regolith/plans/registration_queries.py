@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regolith.config import Config
 from regolith.fixtures import pixels
+from regolith.functions.tables import written
 from regolith.operators import matching, raster
 from regolith.plans import registration
 from regolith.plans.match_queries import rounded
@@ -54,7 +55,7 @@ def match_windows(spark, sf_dir):
 @query
 def refine_matches(spark, sf_dir):
     a, b = (raster.local_contrast(windows(spark, sf_dir, s), 15).select("image_id", "r", "c", "u") for s in (0, 3))
-    found = matching.match_tiles(a, b, cfg=CONFIG)
+    found = written(matching.match_tiles(a, b, cfg=CONFIG), "matches")
     return rounded(matching.refine(found, a, b, CONFIG).select("pair_id", "match_id", "xa", "ya", "xb", "yb"), 3)
 
 
