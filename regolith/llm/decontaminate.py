@@ -93,7 +93,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, containment: float
     for b in bounds:
         width, top = b["width"], b["top"]
         hashes = bound(word_array("text"), partial(_offered, width=width, top=top))
-        part = docs.select("doc_id", "row_key", most.alias("m"), F.lit(width).alias("width"), F.explode(hashes).alias("hash"))
+        # the text must not be carried along with each hash, so the array is made a step before it is spread
+        made = docs.select("doc_id", "row_key", most.alias("m"), hashes.alias("hashes"))
+        part = made.select("doc_id", "row_key", "m", F.lit(width).alias("width"), F.explode_outer("hashes").alias("hash"))  # outer: no filter that makes the array again
         offered = part if offered is None else offered.unionAll(part)
     # sizes: a document needs ceil(t n) shingles itself, so the partitions of larger items are passed over
     met = offered.join(sized(entries, n_entries), ["width", "hash"]).where(F.col("m") >= F.ceil(F.lit(containment) * F.col("n") - 1e-9))
