@@ -161,7 +161,7 @@ def measure(root: Node) -> list[Node]:
     for n in nodes:
         n.density = composite_density(n.chars, n.tags, n.link_chars, n.link_tags, shared)
     for n in reversed(nodes):
-        if n.parent is not None:
+        if n.parent is not None and n.name not in INLINE:  # markup inside a block does not make it a container
             n.parent.total += n.density
     return nodes
 
@@ -171,9 +171,10 @@ def article(root: Node) -> Node | None:
     nodes = measure(root)
     outer = ("#root", "html") if any(n.name == "body" for n in nodes) else ()
     inside = [n for n in nodes if n.chars and n.name not in INLINE and n.name not in outer] or [n for n in nodes if n.chars]
+    inside = [n for n in inside if n.total] or inside  # containers, or single blocks where there are none
     if not inside:
         return None
-    rank = lambda n: (max(n.total, n.density if not n.total else 0.0), n.depth)
+    rank = lambda n: (n.total or n.density, n.depth)
     best = max(inside, key=rank)
     least, up = best.density, best
     while up is not None and up.name not in ("html", "#root"):
