@@ -295,9 +295,9 @@ def test_sources_and_sinks(spark, tmp_path):
     assert (grid_of(w) == x[2:6, 3:8]).all()
     (tmp_path / "geo.csv").write_text("Longitude,Latitude,Pixel,Scan\n9.5,12.25,1,2\n")
     assert tuple(rasters.read_geolocation(spark, str(tmp_path / "geo.csv")).first()) == (9.5, 12.25, 1.0, 2.0)
-    (tmp_path / "cases.json").write_text('{"note": "n", "kaguya": {"gsd_m": "7.4"}, "ohrc": {"gsd_m": "0.26"}}')
+    (tmp_path / "cases.json").write_text('{"note": "n", "site_a": {"gsd_m": "7.4"}, "site_b": {"gsd_m": "0.26"}}')
     cases = {r["case"]: r["attributes"] for r in rasters.sample_cases(spark, str(tmp_path / "cases.json")).collect()}
-    assert cases == {"kaguya": {"gsd_m": "7.4"}, "ohrc": {"gsd_m": "0.26"}}
+    assert cases == {"site_a": {"gsd_m": "7.4"}, "site_b": {"gsd_m": "0.26"}}
     ms = match_set(spark, [(1, 2)] * 300, [(3, 4)] * 300)
     assert 100 <= sinks.even_sample(ms).count() <= 120
     row = sinks.match_points(ms.withColumn("residual", F.lit(0.5)).withColumn("inlier", F.lit(True))).first()
