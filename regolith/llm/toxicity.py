@@ -38,7 +38,7 @@ TARGETS = "you your you're u he she they them him her these those du ihr tu toi
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein pas jamais nunca".split()
 REPORTS = "said says quoted wrote called reported claimed allegedly sagte dit dijo".split()
 
-MAX_TRAINING_ROWS = 40_000
+MAX_TRAINING_ROWS = 12_000
 STEMS = (4, 5, 6, 7, 8)
 #: Largest share of non-toxic texts among those that hold a token or stem of the lexicon.
 IMPURE = 0.1
