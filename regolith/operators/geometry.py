@@ -7,7 +7,6 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from regolith.config import DEFAULT
 from regolith.operators.match_metrics import apply_model
@@ -183,16 +182,17 @@ def perspective_homography(size: int, tilt_deg: float, azimuth_rad: float, rotat
 def warp(pixels: DataFrame, models: DataFrame, height: int, width: int, method: str = "cubic") -> DataFrame:
     """The raster under each model(pair_id, m): nearest, bilinear or cubic (a = -0.75) sampling, 0 outside.
 
-    Output cells come from the model rows, so the raster itself is joined once on cell keys.
+    Output rows are dealt over the tasks, and their cells meet the raster by one join on cell keys.
     """
-    cells = models.select("pair_id", "m", F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("k"))
+    rows = models.select("pair_id", "m", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("r")).repartition("pair_id", "r")
+    cells = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     a = lambda i: F.element_at("m", i)
     # adjugate: the inverse up to a factor, which the perspective division takes out
     inv = F.array(
         a(5) * a(9) - a(6) * a(8), a(3) * a(8) - a(2) * a(9), a(2) * a(6) - a(3) * a(5), a(6) * a(7) - a(4) * a(9), a(1) * a(9) - a(3) * a(7), a(3) * a(4) - a(1) * a(6),
         a(4) * a(8) - a(5) * a(7), a(2) * a(7) - a(1) * a(8), a(1) * a(5) - a(2) * a(4),
     )
-    cells = cells.select("pair_id", F.floor(F.col("k") / width).cast("int").alias("r"), (F.col("k") % width).cast("int").alias("c"), inv.alias("i"))
+    cells = cells.select("pair_id", "r", "c", inv.alias("i"))
     sx, sy = apply_model(F.col("c").cast("double"), F.col("r").cast("double"), F.col("i"))
     cells = cells.select("pair_id", "r", "c", F.round(sx, 9).alias("sx"), F.round(sy, 9).alias("sy"))
     if method == "nearest":
@@ -219,7 +219,3 @@ def chunks(rows: DataFrame, n: int, size: int) -> DataFrame:
     k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk")
     row0 = F.floor(F.greatest(F.lit(0), F.col("height") - size) * F.col("chunk") / F.lit(max(n - 1, 1)))
     return rows.select("image_id", "height", k).select("image_id", "chunk", row0.cast("int").alias("row0"))
-
-
-def rank_window(df: DataFrame, by: str, *order) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -167,13 +167,14 @@ def catalogue_search(spark, sf_dir):
     return ct.search(s, "PLIER").select("s_suppkey", ct.repaired_name(F.col("s_name"), "1").alias("name"))
 
 
-@query("SELECT n_nationkey, round(CASE WHEN n_regionkey = 0 THEN NULL WHEN n_regionkey % 2 = 1 THEN radians(0.000244135::DOUBLE * (1 + n_nationkey)) * 1737400 ELSE 5.05::DOUBLE * (1 + n_nationkey) END, 6) AS gsd_m, ['N','NE','E','SE','S','SW','W','NW'][CAST(floor(((n_nationkey * 31.0) % 360 + 22.5) / 45) AS INT) % 8 + 1] AS sector FROM nation")
+@query("SELECT c_custkey, round(CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 1 THEN radians(0.000244135::DOUBLE * (1 + c_nationkey)) * 1737400 ELSE 5.05::DOUBLE * (1 + c_nationkey) END, 6) AS gsd_m, ['N','NE','E','SE','S','SW','W','NW'][CAST(floor(((c_nationkey * 31.0) % 360 + 22.5) / 45) AS INT) % 8 + 1] AS sector FROM customer")
 def pixel_sizes(spark, sf_dir):
-    n = read(spark, sf_dir, "nation")
-    geographic = F.col("n_regionkey") % 2 == 1
-    a = F.when(geographic, -0.000244135 * (1 + F.col("n_nationkey"))).otherwise(5.05 * (1 + F.col("n_nationkey")))
-    crs = F.when(F.col("n_regionkey") != 0, "moon")
-    return rounded(n.select("n_nationkey", pixel_size_m(a, F.lit(False), crs, geographic).alias("gsd_m"), compass(F.col("n_nationkey") * 31.0).alias("sector")))
+    c = read(spark, sf_dir, "customer")
+    geographic = F.col("c_custkey") % 2 == 1
+    a = F.when(geographic, -0.000244135 * (1 + F.col("c_nationkey"))).otherwise(5.05 * (1 + F.col("c_nationkey")))
+    crs = F.when(F.col("c_custkey") % 5 != 0, "moon")
+    return rounded(c.select("c_custkey", pixel_size_m(a, F.lit(False), crs, geographic).alias("gsd_m"), compass(F.col("c_nationkey") * 31.0).alias("sector")))
+
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS scenes, round(sum(value), 6) AS total FROM events GROUP BY ALL")

@@ -264,19 +264,24 @@ WARP_M = [1.0, 0.05, -3.0, -0.04, 1.0, 5.0, 0.0, 0.0, 1.0]
 _DET = 1.0 * 1.0 - 0.05 * -0.04
 
 
-@query(f"""WITH {PIXELS}, g AS (SELECT CAST(i // 48 AS INT) AS r, CAST(i % 48 AS INT) AS c FROM range({96 * 48}) t(i)),
+@query(f"""WITH {PIXELS}, g AS (SELECT r, c FROM px),
 s AS (SELECT r, c, round((1.0::DOUBLE * (c + 3.0) - 0.05::DOUBLE * (r - 5.0)) / {_DET!r}::DOUBLE, 9) AS sx, round((0.04::DOUBLE * (c + 3.0) + 1.0 * (r - 5.0)) / {_DET!r}::DOUBLE, 9) AS sy FROM g),
 t AS (SELECT r, c, CAST(floor(sy) AS INT) + i AS pr, CAST(floor(sx) AS INT) + j AS pc, greatest(0.0::DOUBLE, 1 - abs(sx - (floor(sx) + j))) * greatest(0.0::DOUBLE, 1 - abs(sy - (floor(sy) + i))) AS w FROM s, range(2) a(i), range(2) b(j))
 SELECT t.r, t.c, round(coalesce(sum(w * v), 0), 6) + 0.0 AS v FROM t LEFT JOIN px ON pr = px.r AND pc = px.c WHERE w <> 0 GROUP BY t.r, t.c""")
 def warp_bilinear(spark, sf_dir):
+    return _warped(spark, sf_dir, "bilinear")
+
+
+def _warped(spark, sf_dir, method):
+    p = pixels(spark, sf_dir)
+    height, width = p.agg(F.max("r") + 1, F.max("c") + 1).first()
     models = spark.range(1).select(F.col("id").alias("pair_id"), F.array(*map(F.lit, WARP_M)).alias("m"))
-    return rc(ge.warp(pixels(spark, sf_dir), models, 96, 48, "bilinear"), "v")
+    return rc(ge.warp(p, models, height, width, method), "v")
 
 
 @query()
 def warp_cubic(spark, sf_dir):
-    models = spark.range(1).select(F.col("id").alias("pair_id"), F.array(*map(F.lit, WARP_M)).alias("m"))
-    return rc(ge.warp(pixels(spark, sf_dir), models, 96, 48, "cubic"), "v")
+    return _warped(spark, sf_dir, "cubic")
 
 
 #: A model for each part: a small tilt that follows its size, so that the lattice work grows with the table.
