@@ -102,7 +102,7 @@ def _pack(low: np.ndarray, head: np.ndarray, texts: list[bytes]) -> bytes:
     ids, keys, at, count = head
     sizes = np.array([at, count, [len(t) for t in texts]], dtype=np.int32)
     raw = (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + keys.astype(np.uint32).tobytes() + ids.tobytes() + sizes.tobytes() + b"".join(texts)
-    return np.int64(len(low)).tobytes() + zstandard.ZstdCompressor(level=3).compress(raw)
+    return np.int64(len(low)).tobytes() + zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def _unpack(data: bytes):
@@ -283,7 +283,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, m: int = MINIMISE
 
     def squeeze(batches):
         for batch in batches:
-            data = [zstandard.ZstdCompressor(level=1).compress(b" ".join(t.split())) for t in batch.column(3).to_pylist()]
+            data = [zstandard.ZstdCompressor(level=6).compress(b" ".join(t.split())) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=batch.schema.names)
 
     small = docs.mapInArrow(squeeze, docs.schema)
