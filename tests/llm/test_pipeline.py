@@ -1,6 +1,7 @@
 """Each stage of the corpus pipeline on its own input, and the whole run, against brute force."""
 
 import os
+from itertools import combinations
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -48,6 +49,45 @@ def test_stages(spark):
     assert {r["doc_id"] for r in mixed.select("doc_id").distinct().collect()} == set(texts)
 
 
+def brute_near_copies(rows):
+    """Smallest doc_id of each component of five-word Jaccard similarity 0.8 or more, over all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(least.values())
+
+
+def test_near_copies_by_jaccard(spark):
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    docs = table(spark, SF, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == brute_near_copies(rows)
+
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    at = lambda *changed: " ".join("x" if i in changed else w for i, w in enumerate(words))
+    rows = [
+        (1, at()), (2, at(10, 50)), (3, at(10, 50, 90)), (4, at(10, 30, 50, 70)), (5, at().upper()), (6, None), (7, " \n"), (8, "one two"), (9, "ONE  two"), (10, "one"),
+        (11, " ".join(words[:84])), (12, " ".join(words[:83])), *((100 + i, f"{' '.join('boiler plate of many texts goes here again'.split() * 2)} own {i} {i * 7} {i * i}") for i in range(30)),
+    ]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r["doc_id"] for r in got) == brute_near_copies(rows)
+    assert {r["doc_id"] for r in got} >= {1, 6, 8, 10} and not {r["doc_id"] for r in got} & {2, 5, 7, 9}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     n = out.agg(F.count_distinct("doc_id")).first()[0]
