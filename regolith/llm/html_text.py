@@ -3,8 +3,9 @@
 Every DOM node's characters and tags are counted over its subtree, those under links apart. Its density
 is characters per tag, weighed by a logarithm that shrinks with the share of linked characters and
 tags; a node's density sum adds those of its children. The threshold is the smallest density on the
-path from the body to the node of the largest sum; of the nodes at or above it, the one of the largest
-sum is the article, taken whole. Navigation, forms and the like never count.
+path from the body to the node of the largest sum; every node at or above it marks the node of the largest
+sum in its subtree. The lowest node around all marked ones is the article, taken whole, so an article in
+several containers is not cut to one of them. Navigation, forms and the like never count.
 """
 
 from __future__ import annotations
@@ -167,20 +168,28 @@ def measure(root: Node) -> list[Node]:
 
 
 def article(root: Node) -> Node | None:
-    """The node of the largest density sum among those at or above the body path's threshold; deeper ones win ties."""
+    """The lowest node around the largest-sum nodes of all subtrees at or above the body path's threshold."""
     nodes = measure(root)
     outer = ("#root", "html") if any(n.name == "body" for n in nodes) else ()
     inside = [n for n in nodes if n.chars and n.name not in INLINE and n.name not in outer] or [n for n in nodes if n.chars]
-    inside = [n for n in inside if n.total] or inside  # containers, or single blocks where there are none
     if not inside:
         return None
-    rank = lambda n: (n.total or n.density, n.depth)
+    rank = lambda n: (n.total > 0, n.total or n.density, n.depth)  # noqa: E731  # containers before blocks, deeper ones win ties
     best = max(inside, key=rank)
     least, up = best.density, best
     while up is not None and up.name not in ("html", "#root"):
         least = min(least, up.density)
         up = up.parent
-    return max((n for n in inside if n.density >= least), key=rank)
+    top = {n: n for n in inside}  # of a node's subtree, the node of the largest sum
+    for n in reversed(nodes):
+        if n in top and n.parent is not None:
+            top[n.parent] = max(top.get(n.parent, top[n]), top[n], key=rank)
+    marked = {top[n] for n in inside if n.density >= least} | {best}
+    held = dict.fromkeys(marked, 1)
+    for n in reversed(nodes):
+        if n in held and n.parent is not None:
+            held[n.parent] = held.get(n.parent, 0) + held[n]
+    return max((n for n in nodes if held.get(n) == len(marked)), key=lambda n: n.depth)
 
 
 def blocks(node: Node) -> Iterator[str]:

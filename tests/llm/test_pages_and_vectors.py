@@ -72,6 +72,20 @@ def test_articles_without_boilerplate():
     assert html_text.main_text(page(divs)) == " ".join(f"Paragraph {i} of the text." for i in range(5))
 
 
+def test_articles_in_several_containers():
+    words = lambda n, k: "".join("<p>" + f"word{i} " * (n // 6) + "</p>" for i in range(k))
+    items = "<ul>" + "".join(f"<li>{'item ' * 16}{i}</li>" for i in range(30)) + "</ul>"
+    cells = "<table>" + "<tr><td>some text of a cell</td><td>and of its neighbour</td></tr>" * 10 + "</table>"
+    nav = "<nav><ul>" + "<li><a href='/'>menu</a></li>" * 9 + "</ul></nav>"
+    for inner in (
+        "".join(f"<section><h2>Head {i}</h2>{words(300, 6)}</section>" for i in range(3)), f"<section>{words(200, 8)}</section>" * 2,
+        words(250, 3) + items, words(250, 3) + cells, words(250, 3) + f"<blockquote>{words(200, 5)}</blockquote>" + words(100, 2),
+    ):
+        art = f"<article><h1>A title</h1>{inner}</article>"
+        want = " ".join(html_text.blocks(html_text.parse(art)))
+        assert html_text.main_text(page(nav + art + "<div><p>Short note</p></div><footer>legal</footer>")) == want
+
+
 def test_html_edges(spark):
     assert html_text.main_text("") == "" and html_text.main_text("<html><body></body></html>") == ""
     assert html_text.main_text("plain words, a < b") == "plain words, a < b"
