@@ -151,6 +151,7 @@ def cos_incidence(spark, sf_dir):
     return rc(ph.cos_incidence(dem(spark, sf_dir), SPACING, *SUN), "mu0")
 
 
+#: Of the SQL only; the queries march the operator's 128 steps.
 STEPS = 16
 
 
@@ -163,7 +164,7 @@ sh AS (SELECT DISTINCT mr.r, mr.c FROM mr JOIN px b ON b.r = br AND b.c = bc WHE
 
 @query(f"WITH {DEM}, {_shadow(*SUN)} SELECT r, c FROM sh")
 def cast_shadows(spark, sf_dir):
-    return ph.cast_shadows(dem(spark, sf_dir), SPACING, *SUN, max_steps=STEPS).select("r", "c")
+    return ph.cast_shadows(dem(spark, sf_dir), SPACING, *SUN).select("r", "c")
 
 
 LS = f"(({_mu0(*SUN)}) / (({_mu0(*SUN)}) + 1) / 0.5::DOUBLE)"
@@ -171,7 +172,7 @@ LS = f"(({_mu0(*SUN)}) / (({_mu0(*SUN)}) + 1) / 0.5::DOUBLE)"
 
 @query(f"WITH {DEM}, {NORM}, {_shadow(*SUN)} SELECT nm.r, nm.c, round(CASE WHEN sh.r IS NOT NULL THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {LS})) END, 6) + 0.0 AS v FROM nm LEFT JOIN sh ON nm.r = sh.r AND nm.c = sh.c")
 def render_lommel_seeliger(spark, sf_dir):
-    return rc(ph.render(dem(spark, sf_dir), 7.403, 12.0, *SUN, max_steps=STEPS), "v")
+    return rc(ph.render(dem(spark, sf_dir), 7.403, 12.0, *SUN), "v")
 
 
 @query(f"WITH {DEM}, {NORM}, s AS (SELECT r, c, greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_mu0(*SUN)})) AS s FROM nm) SELECT s.r, s.c, round(CASE WHEN s >= 0.08::DOUBLE THEN px.v / s ELSE 0 END, 6) + 0.0 AS v FROM s JOIN px ON s.r = px.r AND s.c = px.c")
