@@ -239,7 +239,7 @@ SELECT id, sid, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d,
 def nearest_sample(spark, sf_dir):
     g = geoloc(spark, sf_dir)
     key = (F.col("r").cast("long") * 64 + F.col("c"))
-    points = g.where(F.col("r") % 10 == 0).select(key.alias("id"), (F.col("lon") + 0.0009).alias("x"), (F.col("lat") + 0.0007).alias("y"))
+    points = g.select(key.alias("id"), (F.col("lon") + 0.0009).alias("x"), (F.col("lat") + 0.0007).alias("y"))
     return ge.nearest_sample(points, g.select(key.alias("sid"), F.col("lon").alias("sx"), F.col("lat").alias("sy")), 0.003)
 
 
