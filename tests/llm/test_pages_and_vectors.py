@@ -106,7 +106,8 @@ def test_top_k(spark, monkeypatch):
     vectors += [(2000, None, 0), (2050, [1.0, None], 0), (2100, [float("nan")] * 12, 0), (2150, [float("inf")] * 12, 0), (2200, [0.5], 0), (None, vectors[1][1], 0), (50, vectors[9][1], 0), (2250, [], 0)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").selectExpr("*", "'x' AS v", "'y' AS score")
     monkeypatch.setattr(topk, "BLOCK", 200)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(topk, "SAMPLE", 60)
     got = {}
     for r in topk.top_k(df).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -120,17 +121,24 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id = 7")).count() == 0 and topk.top_k(df.where("vec_id = 100")).count() == 0
 
 
+def searched(q, q_ids, x, ids, p, k=5, block=500):
+    state = topk.Search(q_ids, q, topk.distances(q, p), k)
+    for at in range(0, len(x), block):
+        state.block(ids[at : at + block], x[at : at + block], topk.distances(x[at : at + block], p))
+    found = {}
+    for i, v, s in state.found():
+        found.setdefault(i, []).append((-s, v))
+    return found, state.seen
+
+
 def test_pivots_eliminate():
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 200, (20, 16))
-    x = np.floor(centres[rng.integers(0, 20, 3000)] + rng.normal(0, 8, (3000, 16)))
-    p = x[:32]
-    q = x[:20]
-    found, evaluated = topk.search_block(q, topk.distances(q, p), np.arange(20), x, topk.distances(x, p), np.arange(3000), 5)
-    exact = [sorted((-int(a @ b), j) for j, b in enumerate(x) if j != i)[:5] for i, a in enumerate(q)]
-    assert [[(-s, v) for i, v, s in found if i == n] for n in range(20)] == exact
-    assert evaluated < 20 * 3000 / 2
-    big = np.floor(rng.normal(0, 2**40, (50, 4)))
-    found, _ = topk.search_block(big[:1], topk.distances(big[:1], big[:3]), np.arange(1), big, topk.distances(big, big[:3]), np.arange(50), 5)
-    want = sorted((-sum(int(a) * int(b) for a, b in zip(big[0], v)), j) for j, v in enumerate(big) if j)[:5]
-    assert [(-s, v) for _, v, s in found] == want
+    x = np.floor(centres[np.sort(rng.integers(0, 20, 3000))] + rng.normal(0, 8, (3000, 16))).astype(np.int64)
+    found, evaluated = searched(x[::150], np.arange(3000)[::150], x, np.arange(3000), topk.spread(x, 32))
+    for i in range(0, 3000, 150):
+        assert found[i] == sorted((-int(x[i] @ b), j) for j, b in enumerate(x) if j != i)[:5]
+    assert evaluated < 20 * 3000 / 4
+    big = np.floor(rng.normal(0, 2**40, (50, 4))).astype(np.int64)
+    found, _ = searched(big[:1], np.arange(1), big, np.arange(50), topk.spread(big, 3))
+    assert found[0] == sorted((-sum(int(a) * int(b) for a, b in zip(big[0], v)), j) for j, v in enumerate(big) if j)[:5]
