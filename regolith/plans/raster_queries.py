@@ -151,8 +151,8 @@ def cos_incidence(spark, sf_dir):
     return rc(ph.cos_incidence(dem(spark, sf_dir), SPACING, *SUN), "mu0")
 
 
-#: Of the SQL only; the queries march the operator's 128 steps.
-STEPS = 16
+#: Steps of the march towards the sun, the operator's default.
+STEPS = 128
 
 
 def _shadow(az: float, el: float) -> str:
@@ -233,8 +233,10 @@ def project_nearest(spark, sf_dir):
     return ge.project(pixels(spark, sf_dir), model, g.select("r", "c", "lon", "lat")).select("r", "c", "v", "valid")
 
 
-@query(f"""WITH {PIXELS}, {GEOLOC}, q AS (SELECT CAST(r * 64 + c AS BIGINT) AS id, lon + 0.0009::DOUBLE AS x, lat + 0.0007::DOUBLE AS y FROM gl WHERE r % 10 = 0),
-d AS (SELECT id, CAST(g.r * 64 + g.c AS BIGINT) AS sid, round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9) AS d FROM q JOIN gl g ON abs(x - lon) <= 0.003 AND abs(y - lat) <= 0.003)
+@query(f"""WITH {PIXELS}, {GEOLOC}, q AS (SELECT CAST(r * 64 + c AS BIGINT) AS id, lon + 0.0009::DOUBLE AS x, lat + 0.0007::DOUBLE AS y FROM gl),
+k AS (SELECT id, x, y, CAST(floor(x / 0.003) AS BIGINT) + i AS kx, CAST(floor(y / 0.003) AS BIGINT) + j AS ky FROM q, range(-1, 2) a(i), range(-1, 2) b(j)),
+g AS (SELECT r, c, lon, lat, CAST(floor(lon / 0.003) AS BIGINT) AS kx, CAST(floor(lat / 0.003) AS BIGINT) AS ky FROM gl),
+d AS (SELECT id, CAST(g.r * 64 + g.c AS BIGINT) AS sid, round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9) AS d FROM k JOIN g USING (kx, ky))
 SELECT id, sid, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, sid) AS k FROM d WHERE d <= 0.003) WHERE k = 1""")
 def nearest_sample(spark, sf_dir):
     g = geoloc(spark, sf_dir)
