@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith.functions.tables import shared_dir, written
+
+__all__ = ["BROADCAST_ROWS", "first_rows", "free_names", "fresh_path", "held_out", "row_key", "shared_dir", "sized", "table", "training_rows", "written"]
+
 #: A side of at most this many narrow rows may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -16,30 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach, from spark.checkpoint.dir.
-
-    Only where that setting is absent (local tests) a temporary folder is chosen.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="regolith-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if the counted rows are within the limit; else the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
@@ -75,3 +58,23 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
     return picked.groupBy(F.xxhash64("text").alias("key"), F.length("text").alias("size")).agg(
         F.min(F.struct("doc_id", "label", "text")).alias("row")
     ).select("row.doc_id", "row.text", F.col("row.label").cast("int").alias("label"))
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each lengthened until no column of the input has it (Spark takes no account of case)."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def first_rows(documents: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The documents that firsts(id, row_key) names, one row of each; a null doc_id has the largest long as id."""
+    i, k = free_names(documents.columns, "id", "row_key")
+    keyed = documents.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(k, row_key())
+    kept = keyed.join(firsts.select(F.col("id").alias(i), F.col("row_key").alias(k)), [i, k], "left_semi")
+    return kept.dropDuplicates([i, k]).select(*documents.columns)

@@ -1,14 +1,15 @@
 """Each stage of the corpus pipeline on its own input, and the whole run, against brute force."""
 
 import os
+import random
 from itertools import combinations
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from regolith.llm import registry, toxicity
+from regolith.llm import near_copies, registry, toxicity
 from regolith.llm.common import table
-from tests.llm.test_text_operators import brute_components, brute_leaks, brute_spans
+from tests.llm.test_text_operators import brute_leaks, brute_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +31,7 @@ def test_stages(spark):
     assert sorted(d for d, *_ in after) == sorted(d for d, t, _ in before if toxicity.score(grammar, t) < 0.5)
 
     one = rows_of(stages["simhash near-dedup"](spark, kept, SF))
-    assert sorted(d for d, *_ in one) == sorted({c for _, _, c in brute_components(after)})
+    assert sorted(d for d, *_ in one) == brute_near_copies([r[:2] for r in after])  # the stage's own contract: five words, 0.8
 
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
     clean = stages["benchmark decontamination"](spark, kept, SF)
@@ -88,6 +89,52 @@ def test_near_copies_by_jaccard(spark):
     assert {r["doc_id"] for r in got} >= {1, 6, 8, 10} and not {r["doc_id"] for r in got} & {2, 5, 7, 9}
 
 
+def crowd(n=120, seed=5):
+    """Copies of one text with up to 25 changed words, a chain of ever further copies, and texts around one common passage."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    rows, chain = [], list(base)
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(145)
+            words[at : at + rng.randint(1, 5)] = [f"x{rng.randrange(10**6)}" for _ in range(rng.randint(1, 5))]
+        rows.append((i * 37 % 1009, " ".join(words)))
+    for i in range(20):
+        chain[rng.randrange(150)] = f"c{i}"
+        rows.append((2000 + i, " ".join(chain)))
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows += [(3000 + i, f"own{i} {passage} tail{i % 7} and{i % 3} more{i % 2}") for i in range(60)]
+    return rows
+
+
+def test_large_groups_without_all_pairs(spark, monkeypatch):
+    rows = crowd()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS id", "'y' AS row_key", "0 AS cls")
+    monkeypatch.setattr(near_copies, "FREQUENT", 2)
+    for short in (4, 24):
+        monkeypatch.setattr(near_copies, "SHORT", short)
+        got = near_copies.keep_one(docs)
+        assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == brute_near_copies(rows)
+    classes = near_copies.prefixes(docs)
+    pairs, long_lists = near_copies.meetings(classes, short=4)
+    n = long_lists.groupBy("hash").count().agg(F.sum("count"), F.sum(F.expr("count * (count - 1)")) / 2).first()
+    assert pairs.count() < (near_copies.LEADERS + 4) * classes.count() and n[1] > 10 * n[0]
+
+
+def test_lists_over_several_chunks():
+    postings = sorted([(7, i, 100 + i, i) for i in range(50)] + [(8, 0, 100, 1), (8, 1, 100, 2), (9, 0, 50, 3)] + [(12, i, 100, 60 + i) for i in range(9)])
+
+    def run(rows, size):
+        batches = [near_copies.pa.RecordBatch.from_pydict({k: [p[i] for p in postings[at : at + size]] for i, k in enumerate("hijc")}) for at in range(0, len(postings), size)]
+        out = [r for b in near_copies._meet(batches, (4, 5), 4, 3, rows) for r in b.to_pylist()]
+        return sorted({(r["a"], r["b"]) for r in out if r["hash"] is None}), sorted((r["hash"], r["a"], r["n"], r["at"]) for r in out if r["hash"] is not None)
+
+    whole = run(10**6, 10**6)
+    assert (1, 2) in whole[0] and len(whole[1]) == 59
+    assert run(5, 3) == whole and run(6, 1) == whole and run(20, 7) == whole
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     n = out.agg(F.count_distinct("doc_id")).first()[0]
