@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.llm.common import sized, written
+from regolith.llm.common import first_rows, sized, written
 from regolith.llm.components import connected_components
 
 SHINGLE_WORDS = 4
 RADIUS = 4
-#: Most nodes of one shard tree; larger shards become several trees, and every query visits each.
-TREE_NODES = 4096
+#: Most nodes of one shard tree.
+TREE_NODES = 2048
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -57,90 +55,149 @@ def fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     ).mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
-def build_tree(points: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
-    """BK-tree over distinct uint64 points: per node its point's index and (distance, child node) edges."""
-    nodes: list = []
-    stack = [(np.arange(len(points)), None, 0)]
-    while stack:
-        rest, parent, edge = stack.pop()
-        node = len(nodes)
-        nodes.append((int(rest[0]), []))
-        if parent is not None:
-            nodes[parent][1].append((edge, node))
-        if len(rest) > 1:
-            d = np.bitwise_count(points[rest[1:]] ^ points[rest[0]])
-            order = np.argsort(d, kind="stable")
-            cuts = np.flatnonzero(np.diff(d[order])) + 1
-            for part in np.split(order, cuts):
-                stack.append((rest[1:][part], node, int(d[part[0]])))
-    return nodes
-
-
-def search_tree(nodes, points: np.ndarray, queries: np.ndarray, radius: int):
-    """Yields (point index, indices of the queries within the radius), following only edges that can match."""
-    stack = [(0, np.arange(len(queries)))] if nodes else []
-    while stack:
-        node, alive = stack.pop()
-        at, edges = nodes[node]
-        d = np.bitwise_count(queries[alive] ^ points[at]).astype(np.int64)
-        hits = alive[d <= radius]
-        if len(hits):
-            yield at, hits
-        for edge, child in edges:
-            on = alive[np.abs(d - edge) <= radius]
-            if len(on):
-                stack.append((child, on))
-
-
-def forest(points: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links within the points, or between queries and points: member, root."""
-    tree = build_tree(points)
-    if queries is None:
-        everything, offset, q = points, 0, points
-    else:
-        everything, offset, q = np.concatenate((points, queries)), len(points), queries
-    label = np.arange(len(everything))
-    for at, hits in search_tree(tree, points, q, radius):
-        got = np.unique(np.append(label[hits + offset], label[at]))
-        if len(got) > 1:
-            label[np.isin(label, got)] = got[0]
+class Forest:
+    """BK-trees over the distinct uint64 points of consecutive groups, built and searched level by level.
+
+    The first point of a group is its root; the others hang below the child of their distance to it, and so
+    on: at every level the first point of each (parent, distance) becomes the node. Edges lie sorted by
+    parent and distance, so the children that a query follows are a range of them.
+    """
+
+    def __init__(self, points: np.ndarray, group: np.ndarray):
+        n = len(points)
+        self.points, self.visits = points, 0
+        parent, edge = np.full(n, -1), np.zeros(n, np.int64)
+        rest = np.arange(n)
+        key = group.astype(np.int64)
+        self.roots = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if n else rest
+        while len(rest):
+            start = np.concatenate(([True], key[1:] != key[:-1]))
+            node = rest[np.flatnonzero(start)][np.cumsum(start) - 1]
+            below = ~start
+            rest, node = rest[below], node[below]
+            parent[rest], edge[rest] = node, np.bitwise_count(points[rest] ^ points[node])
+            order = np.argsort(parent[rest] * 128 + edge[rest], kind="stable")
+            rest = rest[order]
+            key = parent[rest] * 128 + edge[rest]
+        child = np.flatnonzero(parent >= 0)
+        key = parent[child] * 128 + edge[child]
+        order = np.argsort(key, kind="stable")
+        self.child, self.key = child[order], key[order]
+
+    def search(self, queries: np.ndarray, node: np.ndarray, radius: int):
+        """Yields (query index, point index) arrays of pairs within the radius; queries start at the given nodes."""
+        at = np.arange(len(queries))
+        while len(at):
+            self.visits += len(at)
+            d = np.bitwise_count(queries[at] ^ self.points[node]).astype(np.int64)
+            hit = d <= radius
+            if hit.any():
+                yield at[hit], node[hit]
+            low = np.searchsorted(self.key, node * 128 + np.maximum(d - radius, 0))
+            count = np.searchsorted(self.key, node * 128 + np.minimum(d + radius, 64), "right") - low
+            first = np.cumsum(count) - count
+            node = self.child[np.arange(count.sum()) - np.repeat(first - low, count)]
+            at = np.repeat(at, count)
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (smallest member) of the components once each a is joined to its b."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, again := label[label]):
+            label = again
+    return label
+
+
+def shard_links(group: np.ndarray, mine: np.ndarray, asks: np.ndarray, points: np.ndarray, radius: int, most: int = 1 << 22):
+    """Member and root of a spanning forest of the links in each of consecutive groups.
+
+    Points marked mine make up the group's tree, those marked asks search it; most bounds the pairs of query
+    and node that are held at once.
+    """
+    order = np.concatenate((np.flatnonzero(mine), np.flatnonzero(~mine)))
+    nodes = int(mine.sum())
+    tree = Forest(points[order[:nodes]], group[order[:nodes]])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    label = np.arange(len(order))
+    roots, of_group = tree.roots, group[order[:nodes]][tree.roots]
+    queries = np.flatnonzero(asks)
+    seat = np.searchsorted(of_group, group[queries])
+    found = (seat < len(of_group)) & (of_group[np.minimum(seat, len(of_group) - 1)] == group[queries]) if len(of_group) else np.zeros(len(queries), bool)
+    queries, seat = queries[found], seat[found]
+    size = np.diff(np.append(roots, nodes))[seat]
+    step = np.cumsum(size) // most
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(step)) + 1, [len(queries)]))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for at, node in tree.search(points[queries[i:j]], roots[seat[i:j]], radius):
+            label = unite(label, place[queries[i:j][at]], node)
     moved = np.flatnonzero(label != np.arange(len(label)))
-    return everything[moved], everything[label[moved]]
+    return points[order[moved]], points[order[label[moved]]]
 
 
-def shard_keys(radius: int):
-    """Two fingerprints within the radius agree on two of radius + 2 blocks: one key for each pair of blocks."""
-    blocks, widths = [], []
-    n, at = radius + 2, 0
-    for i in range(n):
-        width = (64 - at) // (n - i)
-        blocks.append(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-        widths.append(width)
-        at += width
-    return [
-        F.lit(k).cast("long") * F.lit(1 << 40) + blocks[i] * F.lit(1 << widths[j]) + blocks[j]
-        for k, (i, j) in enumerate(combinations(range(n), 2))
-    ]
+def _blocks(value, width: int, count: int):
+    """The lowest width bits of value in count blocks: (value, position, width) of each."""
+    at, out = 0, []
+    for i in range(count):
+        w = (width - at) // (count - i)
+        out.append((F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << w) - 1).cast("long")), at, w))
+        at += w
+    return out
+
+
+def shard_keys(radius: int, inner: bool = False):
+    """Two fingerprints within the radius agree on one of radius + 1 blocks of bits: a key (shard, sub) for each.
+
+    The inner keys cut the other bits into radius + 1 blocks again, as two fingerprints of a shard agree on
+    one of those as well.
+    """
+    keys = []
+    for i, (block, at, w) in enumerate(_blocks(F.col("fp"), 64, radius + 1)):
+        shard = F.lit(i).cast("long") * F.lit(1 << 48) + block
+        if not inner:
+            keys.append(F.struct(shard.alias("shard"), F.lit(-1).cast("long").alias("sub")))
+            continue
+        low = F.col("fp").bitwiseAND(F.lit((1 << at) - 1).cast("long"))
+        rest = low.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", at + w), at)) if at + w < 64 else low
+        keys += [F.struct(shard.alias("shard"), (F.lit(j).cast("long") * F.lit(1 << 48) + b).alias("sub")) for j, (b, _, _) in enumerate(_blocks(rest, 64 - w, radius + 1))]
+    return F.array(*keys)
 
 
 def hamming_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints within the radius: a forest for each shard.
+    """Edges (a, b) that connect all distinct fingerprints within the radius: a spanning forest for each shard.
 
-    Shards are the values of pairs of bit blocks. A shard of more than tree_nodes fingerprints is dealt
-    over several trees, and its fingerprints visit each of them, so a hot shard is never one group.
+    A shard holds the fingerprints that agree on one of radius + 1 blocks of bits; its BK-tree decides which
+    of them are within the radius. A shard of more than tree_nodes is cut by a second block, and what is still
+    larger is dealt over several trees that its fingerprints visit one after the other, so a hot shard is
+    never one group. Trees reach their queries by the shuffle: together they hold the fingerprints of all
+    documents, for which there is no bounded broadcast.
     """
-    keys = written(distinct.select("fp", F.explode(F.array(*shard_keys(radius))).alias("key")), "shards")
-    hot = written(
-        keys.groupBy("key").count().where(F.col("count") > tree_nodes).select("key", F.ceil(F.col("count") / tree_nodes).cast("int").alias("parts")), "hotshards"
-    )
-    n_hot = hot.count()
-    if n_hot:
-        keys = keys.join(sized(hot, n_hot), "key", "left")
-    else:
-        keys = keys.withColumn("parts", F.lit(None).cast("int"))
-    own = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")).cast("int"))
-    dealt = keys.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select(
-        "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp"
+    def crowded(keys):
+        return written(keys.groupBy("shard", "sub").count().where(F.col("count") > tree_nodes), "crowded")
+
+    def spread(keys):
+        return keys.select("fp", F.explode("keys").alias("k")).select("fp", "k.shard", "k.sub")
+
+    keys = written(spread(distinct.select("fp", shard_keys(radius).alias("keys"))), "shards")
+    large = crowded(keys)
+    n_large = large.count()
+    if n_large:
+        names = sized(large.select("shard"), n_large)
+        finer = spread(distinct.select("fp", shard_keys(radius, inner=True).alias("keys"))).join(names, "shard", "left_semi")
+        keys = written(keys.join(names, "shard", "left_anti").unionByName(finer), "shards")
+        large = crowded(keys)
+        n_large = large.count()
+    parts = F.lit(None).cast("int")
+    if n_large:
+        keys = keys.join(sized(large.select("shard", "sub", F.ceil(F.col("count") / tree_nodes).cast("int").alias("parts")), n_large), ["shard", "sub"], "left")
+        parts = F.col("parts")
+    own = F.when(parts.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp", F.lit(5)), parts).cast("int"))
+    dealt = keys.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).select(
+        "shard", "sub", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp"
     )
 
     def run(batches):
@@ -148,39 +205,29 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = T
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
+            if len(held[0]) < 1 << 17:
+                continue
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in held[:4]], axis=0)) + 1
             if len(change):
-                last = change[-1]
-                yield from links_of([c[:last] for c in held], change[:-1])
-                held = [c[last:] for c in held]
+                yield from links_of([c[: change[-1]] for c in held])
+                held = [c[change[-1] :] for c in held]
         if held is not None and len(held[0]):
-            yield from links_of(held, np.zeros(0, np.int64))
-
-    def links_of(cols, cuts):
-        _, a, b, own, fp = cols
-        points = fp.view(np.uint64)
-        starts = np.concatenate(([0], cuts)).astype(np.int64)
-        sizes = np.diff(np.concatenate((starts, [len(fp)])))
-        one = starts[(sizes == 2) & (a[starts] == b[starts])]  # a root and one query
-        near = np.bitwise_count(points[one] ^ points[one + 1]) <= radius
-        left, right = [points[one[near] + 1]], [points[one[near]]]
-        for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            if n < 2 or (n == 2 and a[s] == b[s]):
-                continue
-            group = points[s : s + n]
-            if a[s] == b[s]:
-                x, y = forest(group, None, radius)
-            else:
-                mine = own[s : s + n] == a[s]
-                x, y = forest(group[mine], group[~mine], radius)
-            left.append(x)
-            right.append(y)
-        x, y = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+            yield from links_of(held)
+
+    def links_of(cols):
+        shard, sub, a, b, own, fp = cols
+        start = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in (shard, sub, a, b)], axis=0)))
+        group = np.cumsum(start) - 1
+        some = np.bincount(group)[group] > 1
+        group, a, b, own, points = (x[some] for x in (group, a, b, own, fp.view(np.uint64)))
+        if not len(group):
+            return
+        x, y = shard_links(group, own == a, own == b, points, radius)
         for at in range(0, len(x), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]), pa.array(y[at : at + 100_000])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000].view(np.int64)) for v in (x, y)], names=["a", "b"])
 
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    shards = dealt.repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b", "fp")
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    shards = dealt.repartition(n, "shard", "sub", "a", "b").sortWithinPartitions("shard", "sub", "a", "b", "fp")
     return shards.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -209,7 +256,4 @@ def keep_one(documents: DataFrame, words: int = SHINGLE_WORDS, radius: int = RAD
     """
     near = written(near_duplicates(documents, words, radius), "near")
     best = near.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row_key")).alias("first"))
-    firsts = written(best.select(F.col("first.id").alias("__near_id"), F.col("first.row_key").alias("__near_key")).distinct(), "firsts")
-    keyed = documents.withColumn("__near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__near_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(firsts, ["__near_id", "__near_key"], "left_semi")
-    return kept.dropDuplicates(["__near_id", "__near_key"]).drop("__near_id", "__near_key")
+    return first_rows(documents, written(best.select("first.id", "first.row_key").distinct(), "firsts"))

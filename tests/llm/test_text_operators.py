@@ -87,7 +87,7 @@ def test_links_of_dense_and_chained_fingerprints(spark):
             points.add(x)
     points = sorted(points)
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in points], "fp long")
-    for nodes in (4096, 4):
+    for nodes in (4096, 20, 4):
         got = {(r["node"], r["root"]) for r in connected_components(hamming.hamming_links(df, 4, nodes)).collect()}
         root = {a: b for a, b in got}
         signed = [int(np.uint64(p).view(np.int64)) for p in points]
@@ -107,13 +107,46 @@ def test_links_of_dense_and_chained_fingerprints(spark):
         assert {p: min(g) for g in groups.values() for p in g} == {p: root.get(p, p) for p in signed}
 
 
-def test_bk_tree_follows_all_links():
+def test_bk_trees_follow_all_links_and_prune():
     rng = np.random.default_rng(0)
     points = np.unique(rng.integers(0, 2**12, 300, dtype=np.uint64))
-    tree = hamming.build_tree(points)
-    got = {(a, int(q)) for a, hits in hamming.search_tree(tree, points, points, 2) for q in hits}
-    want = {(i, j) for i in range(len(points)) for j in range(len(points)) if int(points[i] ^ points[j]).bit_count() <= 2}
-    assert got == want
+    group = np.arange(len(points)) // 100
+    tree = hamming.Forest(points, group)
+    got = {(int(q), int(p)) for at, hits in tree.search(points, tree.roots[group], 2) for q, p in zip(at, hits)}
+    assert got == {(i, j) for i in range(len(points)) for j in range(len(points)) if group[i] == group[j] and int(points[i] ^ points[j]).bit_count() <= 2}
+
+    points = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    tree = hamming.Forest(points, np.zeros(len(points)))
+    near = points ^ (np.uint64(1) << rng.integers(0, 64, len(points)).astype(np.uint64))
+    hits = {(int(q), int(p)) for at, found in tree.search(near, np.zeros(len(points), np.int64), 2) for q, p in zip(at, found)}
+    assert {(i, i) for i in range(len(points))} <= hits
+    assert tree.visits < 0.35 * len(points) ** 2
+
+
+def test_links_of_a_shard_in_any_chunks():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    points = np.unique(np.concatenate([base, base ^ np.uint64(6), base ^ np.uint64(48), base ^ np.uint64(0xFF00)]))
+    group, own = np.arange(len(points)) // 50, rng.integers(0, 2, len(points))
+
+    def components(most, mine, asks):
+        parent = {int(p): int(p) for p in points}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        x, y = hamming.shard_links(group, mine, asks, points, 4, most)
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            parent[find(a)] = find(b)
+        return {frozenset(q for q in parent if find(q) == find(p)) for p in parent}
+
+    everyone = np.ones(len(points), bool)
+    whole = components(1 << 22, everyone, everyone)
+    assert whole == components(10, everyone, everyone) and 1 < len(whole) < len(points)
+    got = components(64, own == 0, own == 1)
+    assert len(got) > len(whole) and all(any(g <= w for w in whole) for g in got)
 
 
 def test_keep_one(spark):
