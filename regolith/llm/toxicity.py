@@ -1,26 +1,31 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-Five small transducers work over the tokens of a clause (text between . ! ? ; and line ends):
-
-* lexicon:   token -> INSULT, THREAT, TARGET, NEGATE, REPORT or OTHER, with a weight
-* negation:  a NEGATE opens a scope of NEGATION_SPAN tokens in which weights are scaled down
-* report:    a REPORT or an opening quotation mark opens a scope to the clause's end (or the closing mark)
-* aim:       a TARGET within AIM_SPAN tokens of an INSULT or THREAT scales its weight up
-* threat:    a THREAT counts only with a TARGET in the same clause
-
-Composed, they give each matched clause one weight; isolated words have none of their own. A logistic
-model over the clause weights of a text, fitted on labelled rows, turns them into the score.
+The tokens of a clause (text between . ! ? ; and line ends) become symbols by a lexicon: I insult, H threat,
+T target, N negation, R reported speech, Q quotation mark, O other. Five weighted transducers rewrite the
+symbols, each reading what the one before has written:
+
+* negation: N opens a scope of NEGATION_SPAN tokens in which insults and threats are scaled down
+* report:   R opens a scope to the clause's end, Q one to the closing mark, in which they are scaled down
+* target:   tells insults and threats by the T of their clause: near (within AIM_SPAN tokens), far or none;
+            for a T that is still to come it guesses, and a guess that no T fulfils leads to no final state
+* insult:   makes hits of insults, of aimed ones with more weight
+* threat:   makes hits of threats that have a target; a threat without one is dropped
+
+compose() joins them to one machine; the weight of a clause is that of its best path: the sum of the lexicon
+weights of its hits, each times the product of the scales on its arc. A logistic model over the matched
+clauses of a text, fitted on labelled rows, turns their weights into the score. An insult without a target
+is a clause of its own, lighter kind and not dropped: labels mark texts as toxic that have no other.
 
 The insult lexicon is induced from labelled texts: whole tokens and token stems of 4 to 8 letters that
 (nearly) only toxic texts hold, more often than chance gives any of so many candidates, and in many
-different contexts; it is joined with a small seed list.
+different contexts (that of a token's first occurrence in each text); it is joined with a small seed list.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +41,7 @@ SEED_INSULTS = "idiot moron stupid loser pathetic worthless scum trash clown dis
 THREATS = "kill hurt destroy beat punch stab shoot murder töten tuer matar".split()
 TARGETS = "you your you're u he she they them him her these those du ihr tu toi vous tú usted ustedes".split()
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein pas jamais nunca".split()
-REPORTS = "said says quoted wrote called reported claimed allegedly sagte dit dijo".split()
+REPORTS = "said says quoted wrote called reported claimed allegedly sagte dit dijo word term wort palabra".split()
 
 MAX_TRAINING_ROWS = 12_000
 STEMS = (4, 5, 6, 7, 8)
@@ -52,6 +57,113 @@ _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _END, _QUOTE = frozenset(".!?;\n"), frozenset("\"“”«»")
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Weighted arcs (state, symbol read) -> [(symbol written, scale, next state)], a start and final states."""
+
+    start: object
+    arcs: dict
+    final: frozenset
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that reads with first and lets second read what first writes; scales are multiplied."""
+    start = (first.start, second.start)
+    arcs, seen, todo = defaultdict(list), {start}, [start]
+    out_of = defaultdict(list)
+    for (state, read), ways in first.arcs.items():
+        out_of[state].append((read, ways))
+    while todo:
+        p, q = here = todo.pop()
+        for read, ways in out_of[p]:
+            for middle, x, to in ways:
+                for written_, y, on in second.arcs.get((q, middle), ()):
+                    arcs[here, read].append((written_, x * y, (to, on)))
+                    if (to, on) not in seen:
+                        seen.add((to, on))
+                        todo.append((to, on))
+    return Transducer(start, dict(arcs), frozenset(s for s in seen if s[0] in first.final and s[1] in second.final))
+
+
+def best_path(machine: Transducer, symbols: list[tuple[str, float]]) -> float:
+    """Weight of the best path over (symbol, lexicon weight): weight times scale, summed over the hits ("!")."""
+    front = {machine.start: 0.0}
+    for symbol, weight in symbols:
+        new: dict = {}
+        for state, total in front.items():
+            for written_, scale, to in machine.arcs.get((state, symbol), ()):
+                value = total + weight * scale if written_ == "!" else total
+                if value > new.get(to, -1.0):
+                    new[to] = value
+        front = new
+    return max((v for s, v in front.items() if s in machine.final), default=0.0)
+
+
+def negation_machine(span: int = NEGATION_SPAN, scale: float = NEGATION_SCALE) -> Transducer:
+    """States: tokens left in the scope of a negation."""
+    arcs = {}
+    for left in range(span + 1):
+        on = max(left - 1, 0)
+        arcs |= {(left, x): [(x, scale if left and x in "IH" else 1.0, on)] for x in "IHTRQO"}
+        arcs[left, "N"] = [("O", 1.0, span)]
+    return Transducer(0, arcs, frozenset(range(span + 1)))
+
+
+def report_machine(scale: float = REPORT_SCALE) -> Transducer:
+    """States: plain, reported (to the clause's end), quoted (to the closing mark)."""
+    arcs = {}
+    for state in ("plain", "reported", "quoted"):
+        arcs |= {(state, x): [(x, scale if state != "plain" and x in "IH" else 1.0, state)] for x in "IHTO"}
+        arcs[state, "R"] = [("O", 1.0, "reported")]
+        arcs[state, "Q"] = [("O", 1.0, {"plain": "quoted", "quoted": "plain"}.get(state, state))]
+    return Transducer("plain", arcs, frozenset(("plain", "reported", "quoted")))
+
+
+def target_machine(span: int = AIM_SPAN) -> Transducer:
+    """Writes insults as A (near a target) or B, threats as C (near), D (far) or O.
+
+    States: (tokens since the last target up to span, span + 1 if longer ago, 0 if none; what is owed: 0
+    nothing, 1..span a target within so many tokens, span + 1 one before the clause ends).
+    """
+    arcs = {}
+    states = [(ago, owed) for ago in range(span + 2) for owed in range(span + 2)]
+    for ago, owed in states:
+        later = min(ago + 1, span + 1) if ago else 0
+        # a token passes: a debt with a term comes nearer, and one that ends here has no way on
+        rest = owed - 1 if 0 < owed <= span else owed
+        lapsed = owed == 1
+        near = 0 < ago <= span
+        arcs[(ago, owed), "T"] = [("O", 1.0, (1, 0))]
+        if lapsed:
+            continue
+        here = (later, rest)
+        nearer = (later, rest if 0 < rest <= span else span)
+        arcs[(ago, owed), "O"] = [("O", 1.0, here)]
+        arcs[(ago, owed), "I"] = [("A", 1.0, here)] if near else [("B", 1.0, here), ("A", 1.0, nearer)]
+        if near:
+            arcs[(ago, owed), "H"] = [("C", 1.0, here)]
+        else:
+            far = ("D", 1.0, here if ago or rest else (later, span + 1))
+            arcs[(ago, owed), "H"] = [("C", 1.0, nearer), far] + ([] if ago else [("O", 1.0, here)])
+    return Transducer((0, 0), arcs, frozenset(s for s in states if not s[1]))
+
+
+def hit_machine(scales: dict[str, float], others: str) -> Transducer:
+    """One state: the symbols with a scale become hits, the others stay."""
+    arcs = {(0, k): [("!", v, 0)] for k, v in scales.items()} | {(0, x): [(x, 1.0, 0)] for x in others}
+    return Transducer(0, arcs, frozenset((0,)))
+
+
+def grammar_machine() -> Transducer:
+    machine = negation_machine()
+    for step in (report_machine(), target_machine(), hit_machine({"A": AIM_SCALE, "B": 1.0}, "CDO"), hit_machine({"C": AIM_SCALE, "D": 1.0}, "!O")):
+        machine = compose(machine, step)
+    return machine
+
+
+MACHINE = grammar_machine()
+
+
 @dataclass(frozen=True)
 class Grammar:
     insults: dict[str, float]
@@ -59,67 +171,44 @@ class Grammar:
     bias: float = -3.0
     slopes: tuple[float, float, float] = (2.0, 1.0, 1.0)
     roles: dict[str, str] = field(default_factory=lambda: {
-        **dict.fromkeys(THREATS, "THREAT"), **dict.fromkeys(TARGETS, "TARGET"),
-        **dict.fromkeys(NEGATIONS, "NEGATE"), **dict.fromkeys(REPORTS, "REPORT"),
+        **dict.fromkeys(THREATS, "H"), **dict.fromkeys(TARGETS, "T"), **dict.fromkeys(NEGATIONS, "N"), **dict.fromkeys(REPORTS, "R"),
     })
 
     def __post_init__(self):
         object.__setattr__(self, "lengths", sorted({len(k) for k in self.stems}))
-        object.__setattr__(self, "starts", {*self.insults, *(w for w, role in self.roles.items() if role == "THREAT")})
+        object.__setattr__(self, "starts", {*self.insults, *(w for w, role in self.roles.items() if role == "H")})
 
     def symbol(self, token: str) -> tuple[str, float]:
-        """The lexicon transducer."""
+        """Symbol and weight of a token."""
         weight = max([self.insults.get(token, 0.0), *(self.stems.get(token[:n], 0.0) for n in self.lengths)])
-        return ("INSULT", weight) if weight else (self.roles.get(token, "OTHER"), 1.0)
+        return ("I", weight) if weight else (self.roles.get(token, "O"), 1.0)
 
     def touches(self, words) -> bool:
         """Whether any word can start a match, so that most texts need no clause work."""
         return not words.isdisjoint(self.starts) or any(w[:n] in self.stems for n in self.lengths for w in words)
 
 
-def clause_weight(symbols: list[tuple[str, float]]) -> float:
-    """Runs the composed negation, report, aim and threat transducers over one clause's symbols."""
-    negated, reported, quoted, total = 0, False, False, 0.0
-    aims = [i for i, (s, _) in enumerate(symbols) if s == "TARGET"]
-    for i, (symbol, weight) in enumerate(symbols):
-        if symbol == "NEGATE":
-            negated = NEGATION_SPAN + 1
-        elif symbol == "REPORT":
-            reported = True
-        elif symbol == "QUOTE":
-            quoted = not quoted
-        elif symbol in ("INSULT", "THREAT"):
-            aimed = any(abs(a - i) <= AIM_SPAN for a in aims)
-            if symbol == "INSULT" or aims:
-                weight *= AIM_SCALE if aimed else 1.0
-                weight *= NEGATION_SCALE if negated else 1.0
-                weight *= REPORT_SCALE if reported or quoted else 1.0
-                total += weight
-        negated = max(0, negated - 1)
-    return total
-
-
 def clauses(grammar: Grammar, text: str) -> list[float]:
     """Weights of the matched clauses of a whole text."""
     found, symbols, hot = [], [], False
     for token in _TOKEN.findall(text.lower()):
         if token in _END:
-            if hot and (w := clause_weight(symbols)) > 0:
+            if hot and (w := best_path(MACHINE, symbols)) > 0:
                 found.append(w)
             symbols, hot = [], False
         elif token in _QUOTE:
-            symbols.append(("QUOTE", 0.0))
+            symbols.append(("Q", 0.0))
         else:
             s = grammar.symbol(token)
             symbols.append(s)
-            hot = hot or s[0] in ("INSULT", "THREAT")
-    if hot and (w := clause_weight(symbols)) > 0:
+            hot = hot or s[0] in "IH"
+    if hot and (w := best_path(MACHINE, symbols)) > 0:
         found.append(w)
     return found
 
 
 def features(grammar: Grammar, text: str) -> tuple[float, float, float]:
-    """Log of the summed clause weights, the largest one, and the log of the number of matched clauses."""
+    """Log of the summed clause weights, the largest one (it saturates at 4), and the log of the number of matched clauses."""
     words = set(_WORD.findall(text.lower()))
     if not grammar.touches(words):
         return 0.0, 0.0, 0.0
@@ -249,7 +338,7 @@ def score_toxicity(documents: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, grammar: Grammar) -> DataFrame:
-    """The documents whose score is below 0.5, with the columns they came with, decided per row."""
+    """The documents whose score is below 0.5, with the columns they came with, decided per row; null texts count as empty and stay."""
     names = documents.columns
 
     def run(batches):

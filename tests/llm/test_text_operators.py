@@ -330,12 +330,45 @@ def test_toxicity_held_out(spark):
     assert clean.columns == docs.columns and clean.count() == sum(not r["predicted"] for r in got)
 
 
+def brute_clause(symbols, span=4, negation=3):
+    """What the grammar says of a clause, by rules over positions instead of machines."""
+    at = {k: [i for i, (s, _) in enumerate(symbols) if s == k] for k in "TNRQ"}
+    total = 0.0
+    for i, (s, w) in enumerate(symbols):
+        if s not in "IH":
+            continue
+        reported = any(r < i for r in at["R"])
+        quoted = sum(q < i for q in at["Q"]) % 2 == 1
+        w *= 0.35 if any(0 < i - n <= negation for n in at["N"]) else 1
+        w *= 0.5 if reported or quoted else 1
+        near = any(abs(t - i) <= span for t in at["T"])
+        total += w * (1.5 if near else 1 if s == "I" or at["T"] else 0)
+    return total
+
+
+def test_composed_machine_is_the_grammar():
+    rng = random.Random(8)
+    for _ in range(3000):
+        symbols = [(rng.choice("IHTNRQOOOOO"), rng.choice([0.5, 1.0, 2.0])) for _ in range(rng.randint(0, 14))]
+        assert abs(toxicity.best_path(toxicity.MACHINE, symbols) - brute_clause(symbols)) < 1e-9, symbols
+
+
+def test_compose_multiplies_and_needs_both():
+    a = toxicity.Transducer(0, {(0, "x"): [("y", 2.0, 1), ("z", 5.0, 2)]}, frozenset((1, 2)))
+    b = toxicity.Transducer("s", {("s", "y"): [("!", 3.0, "t")], ("s", "z"): [("!", 9.0, "dead")]}, frozenset("t"))
+    both = toxicity.compose(a, b)
+    assert toxicity.best_path(both, [("x", 1.0)]) == 6.0 and toxicity.best_path(both, []) == 0.0 and both.final == {(1, "t")}
+
+
 def test_toxicity_grammar_clauses():
     g = toxicity.Grammar({"idiot": 1.0}, {"zork": 1.0})
     plain, aimed = toxicity.clauses(g, "an idiot here"), toxicity.clauses(g, "you idiot")
     assert aimed[0] > plain[0] > toxicity.clauses(g, "not an idiot")[0]
+    assert aimed == toxicity.clauses(g, "idiot that you are") and plain == toxicity.clauses(g, "idiot one two three four you")
     assert toxicity.clauses(g, "he said idiot long after that was")[0] < aimed[0]
+    assert toxicity.clauses(g, "the word idiot comes from greek")[0] < plain[0]
     assert toxicity.clauses(g, "kill the process") == [] and toxicity.clauses(g, "I kill you")
+    assert toxicity.clauses(g, "kill it all in the end and then you") == [1.0]
     assert len(toxicity.clauses(g, "idiot. zorkmid! fine")) == 2
 
 
