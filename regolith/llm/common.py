@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.functions.tables import shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "first_rows", "free_names", "fresh_path", "held_out", "row_key", "shared_dir", "sized", "table", "training_rows", "written"]
+__all__ = ["BROADCAST_ROWS", "bound", "first_rows", "free_names", "fresh_path", "held_out", "row_key", "shared_dir", "sized", "table", "training_rows", "written"]
 
 #: A side of at most this many narrow rows may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -28,6 +28,11 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once for a row, not at each use inside a lambda."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def row_key(text: str = "text"):
     """Tells rows apart that repeat a doc_id with another text."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

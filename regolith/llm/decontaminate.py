@@ -3,28 +3,22 @@
 Items fall into partitions by their number of distinct five-word shingles (powers of two). Of an item
 with n shingles and a containment threshold t, any document that contains the item misses at most
 n - ceil(t n) shingles, so it holds one of the item's n - ceil(t n) + 1 smallest shingle hashes: its
-MinHash sketch. Each partition's largest sketch hash bounds the hashes that documents offer. Documents
-meet items on a sketch hash; the candidates are then verified on the shingles themselves.
+MinHash sketch. Each partition's largest sketch hash bounds the hashes that a document offers to it, and
+its smallest size tells how many words a document must have to be asked at all. Documents meet the
+items of a partition on a sketch hash; the candidates are then verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regolith.llm.common import row_key, sized, written
+from regolith.llm.common import bound, free_names, row_key, sized, written
 
 WORDS = 5
 CONTAINMENT = 0.8
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with the value worked out once for a row, not at each use inside a lambda."""
-    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
-
-
 def word_array(text: str) -> Column:
     """Lower-cased runs of letters and digits; an empty array for null."""
     spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -46,9 +40,22 @@ def _hash_array(words: Column, width) -> Column:
     return _runs(words, width, F.xxhash64)
 
 
-def _offered(words: Column, width: int, top: int) -> Column:
-    """The document's hashes that any item's sketch could hold."""
-    return F.filter(_hash_array(words, width), lambda h: h <= F.lit(top))
+def _offers_of_width(words: Column, width: int, bounds: list) -> Column:
+    parts = F.array(*(F.struct(F.lit(b["part"]).alias("part"), F.lit(b["top"]).alias("top"), F.lit(b["least"]).alias("least")) for b in bounds))
+    top, shingles = max(b["top"] for b in bounds), F.size(words) - width + 1
+
+    def to_partitions(h):
+        asked = F.filter(parts, lambda p: (h <= p["top"]) & (p["least"] <= shingles))
+        return F.transform(asked, lambda p: F.struct(F.lit(width).alias("width"), p["part"].alias("part"), h.alias("hash")))
+
+    low = F.array_distinct(F.filter(_hash_array(words, width), lambda h: h <= F.lit(top)))
+    return F.flatten(F.transform(low, to_partitions))
+
+
+def _offers(words: Column, bounds: list) -> Column:
+    """(width, part, hash) of what the document offers to each partition: hashes that a sketch in it could hold."""
+    widths = sorted({b["width"] for b in bounds})
+    return F.concat(*(_offers_of_width(words, w, [b for b in bounds if b["width"] == w]) for w in widths))
 
 
 def item_sketches(benchmark: DataFrame, containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
@@ -80,28 +87,22 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, containment: float
     """
     items = written(item_sketches(benchmark, containment, words), "items")
     n_items = items.count()
-    entries = written(items.select("width", "part", "n", F.explode("sketch").alias("hash"), F.size("sketch").alias("k")).distinct(), "sketches")
-    bounds = entries.groupBy("width").agg(F.max("hash").alias("top"), F.count("*").alias("rows")).orderBy("width").collect()  # at most five rows
+    entries = written(items.select("width", "part", "n", F.explode("sketch").alias("hash")), "sketches")
+    # a document holds as many shingles as ceil(t n) itself; a handful of partitions for each of five widths
+    bounds = entries.groupBy("width", "part").agg(F.max("hash").alias("top"), F.min(F.ceil(F.lit(containment) * F.col("n") - 1e-9)).alias("least"), F.count("*").alias("rows"))
+    bounds = bounds.orderBy("width", "part").collect()
     schema = "doc_id long, row_key long, item_id long, n_shared int, n_item int, containment double"
     if not bounds:
         return documents.sparkSession.createDataFrame([], schema)
     n_entries = sum(b["rows"] for b in bounds)
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text"))
-    most = (F.length(F.coalesce("text", F.lit(""))) / 2).cast("int") + 1  # words, and so shingles, of a text at most
-    offered = None
-    for b in bounds:
-        width, top = b["width"], b["top"]
-        hashes = bound(word_array("text"), partial(_offered, width=width, top=top))
-        # the text must not be carried along with each hash, so the array is made a step before it is spread
-        made = docs.select("doc_id", "row_key", most.alias("m"), hashes.alias("hashes"))
-        part = made.select("doc_id", "row_key", "m", F.lit(width).alias("width"), F.explode_outer("hashes").alias("hash"))  # outer: no filter that makes the array again
-        offered = part if offered is None else offered.unionAll(part)
-    # sizes: a document needs ceil(t n) shingles itself, so the partitions of larger items are passed over
-    met = offered.join(sized(entries, n_entries), ["width", "hash"]).where(F.col("m") >= F.ceil(F.lit(containment) * F.col("n") - 1e-9))
-    met = met.select("doc_id", "row_key", "width", "hash", "part", "n").distinct()
-    by_hash = items.select("item_id", "width", "part", "n", F.explode("sketch").alias("hash"))
-    candidates = met.join(sized(by_hash, n_entries), ["width", "hash", "part", "n"]).select("doc_id", "row_key", "item_id", "width").distinct()
+    # the text must not be carried along with each hash, so the array is made a step before it is spread
+    made = docs.select("doc_id", "row_key", bound(word_array("text"), lambda words: _offers(words, bounds)).alias("offers"))
+    offered = made.select("doc_id", "row_key", F.explode_outer("offers").alias("o"))  # outer: no filter that makes the array again
+    offered = offered.select("doc_id", "row_key", "o.width", "o.part", "o.hash")
+    by_hash = items.select("item_id", "width", "part", F.explode("sketch").alias("hash"))
+    candidates = offered.join(sized(by_hash, n_entries), ["width", "part", "hash"]).select("doc_id", "row_key", "item_id", "width").distinct()
     candidates = written(candidates, "candidates")
     n_candidates = candidates.count()
 
@@ -120,7 +121,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, containment: float
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
-    """The documents that contain no benchmark item, with the columns they came with."""
-    hits = written(contaminated(documents, benchmark, containment, words).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).distinct(), "leaks")
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (row_key() == F.col("_key"))
+    """The documents that contain no benchmark item, with the columns they came with; null and empty texts stay."""
+    doc, key = free_names(documents.columns, "doc", "key")
+    hits = written(contaminated(documents, benchmark, containment, words).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key)).distinct(), "leaks")
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (row_key() == F.col(key))
     return documents.join(sized(hits, hits.count()), match, "left_anti")
