@@ -67,7 +67,8 @@ SECRETS = (
 s AS (
   SELECT rid, rank, kind || ':' || start || ':' || (start + length(h)) AS span, start, value
   FROM (SELECT * FROM assign_s UNION ALL SELECT * FROM access_s UNION ALL SELECT * FROM hex_s UNION ALL SELECT * FROM vendor_s)),
-o AS (SELECT value, count(DISTINCT owner) >= 3 AS example FROM s JOIN d USING (rid) GROUP BY value),
+p AS (SELECT value, owner, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS n FROM s JOIN d USING (rid) GROUP BY value, owner),
+o AS (SELECT value, count(*) >= 3 AND max(n) / sum(n) <= 0.9 AS example FROM p GROUP BY value),
 g AS (
   SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base, string_agg(span, ',' ORDER BY start, rank) AS spans,

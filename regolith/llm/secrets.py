@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency (DataFrame functions only).
 
-Every candidate value is hashed; a value held by many owners is a widely copied example, one that few
-owners hold and whose characters look random is a live credential. A repository is a document, its
-owner the document's source; other columns can be named.
+Every candidate value is hashed and counted over the corpus by distinct repositories and owners. A value
+of several owners of whom none holds nearly all of its repositories is a widely copied example; any other
+value is specific to one owner, and a live credential where its characters look random. A repository is a
+document, its owner the document's source; other columns can be named.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regolith.llm.common import row_key, written
+from regolith.llm.common import bound, free_names, row_key, written
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -18,11 +19,14 @@ HEX = r"[0-9a-f]{32,}"
 #: Credentials known by a prefix; the method's own spans.
 VENDOR = r"(?:gh[pousr]_[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
 KINDS = ("assign", "access", "hex", "vendor")
-#: A value of at least this many owners is an example; live-looking ones have fewer.
-EXAMPLE_OWNERS = 3
+#: An example has at least this many owners, and the largest of them at most this share of its repositories.
+EXAMPLE_OWNERS, EXAMPLE_SHARE = 3, 0.9
 #: Distinct characters that a live-looking value has at least.
 LIVE_CHARACTERS = 8
 
+#: Matches that are laid out one after the other; longer lists are cut in blocks of as many.
+BLOCK = 128
+
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
@@ -31,7 +35,10 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+    none = F.array().cast(_SPAN)
+
+    def length(x):
+        return F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
 
     def step(state, x):
         at = state["at"] + F.length(x["gap"])
@@ -40,8 +47,19 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
         more = F.concat(state["found"], F.array(span).cast(_SPAN))
         return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & (F.length(x["value"]) >= least), more).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(pieces, start, step, lambda s: s["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+    # growing an array copies it, so it grows within blocks only; the blocks' starts come first
+    def blocks(pieces):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(cut):
+        sizes = F.transform(cut, lambda block: F.aggregate(block, F.lit(0), lambda s, x: s + length(x)))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+
+    def laid(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), step, lambda s: s["found"])
+
+    found = bound(bound(pieces, blocks), lambda cut: F.flatten(F.zip_with(cut, F.slice(starts(cut), F.lit(1), F.size(cut)), laid)))
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -61,25 +79,25 @@ def scan(documents: DataFrame, owner: str = "source") -> DataFrame:
     )
 
 
-def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per candidate value hash: n_repositories, n_owners and whether it is a widely copied example.
+def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_share: float = EXAMPLE_SHARE) -> DataFrame:
+    """Per candidate value hash: n_repositories, n_owners, top_share (of its repositories, its largest owner's) and whether it is an example.
 
     Values are first combined to distinct (value, repository, owner), so a hot value costs one row per task.
     """
-    # sums of 0/1 firsts instead of sets: distinct owners and repositories are counted after two plain group-bys
+    # sums of firsts instead of sets: distinct owners and repositories are counted after two plain group-bys
     values = scanned.select("doc_id", "owner", F.explode("found").alias("s")).select("doc_id", "owner", F.sha2("s.value", 256).alias("digest"))
     per_owner = values.distinct().groupBy("digest", "owner").agg(F.count("*").alias("repositories"))
-    return per_owner.groupBy("digest").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners")).withColumn(
-        "example", F.col("n_owners") >= example_owners
-    )
+    per_value = per_owner.groupBy("digest").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"), F.max("repositories").alias("most"))
+    per_value = per_value.withColumn("top_share", F.col("most") / F.col("n_repositories")).drop("most")
+    return per_value.withColumn("example", (F.col("n_owners") >= example_owners) & (F.col("top_share") <= example_share))
 
 
-def classify(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, live_characters: int = LIVE_CHARACTERS) -> DataFrame:
+def classify(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_share: float = EXAMPLE_SHARE, live_characters: int = LIVE_CHARACTERS) -> DataFrame:
     """Per distinct (doc_id, row_key) with spans: live and example spans, told apart by ownership over the corpus."""
     flat = scanned.where(F.size("found") > 0).select("doc_id", "row_key", F.explode("found").alias("s")).distinct()
     flat = flat.withColumn("digest", F.sha2("s.value", 256))
     varied = F.size(F.array_distinct(F.split("s.value", ""))) >= live_characters
-    of_value = written(ownership(scanned, example_owners).select("digest", "example"), "ownership")
+    of_value = written(ownership(scanned, example_owners, example_share).select("digest", "example"), "ownership")
     told = flat.join(of_value, "digest").select("doc_id", "row_key", "s", "example", (~F.col("example") & varied).alias("live"))
     return written(told, "told").groupBy("doc_id", "row_key").agg(
         F.array_sort(F.collect_list(F.when(F.col("live"), F.struct("s.start", "s.end")))).alias("live"),
@@ -112,26 +130,27 @@ def redact(documents: DataFrame, owner: str = "source", mark: str = "[secret]")
 
     Widely copied examples stay. Every row and column stays; n_chars, where present, follows the text.
     """
+    doc, key, live, fresh = free_names(documents.columns, "doc", "key", "live", "fresh")
     scanned = written(scan(documents, owner), "scanned")
     told = written(
-        classify(scanned).where(F.size("live") > 0).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), F.col("live").alias("_live")), "live"
+        classify(scanned).where(F.size("live") > 0).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("live").alias(live)), "live"
     )
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (row_key() == F.col("_key"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (row_key() == F.col(key))
     joined = documents.join(told, match, "left")
-    text = F.col("text")
+    text, spans = F.col("text"), F.col(live)
 
     def piece(span, i):
         """The text before a span, after all earlier ones, and the mark; nothing where an earlier one overlaps."""
-        before = F.coalesce(F.array_max(F.slice(F.col("_live")["end"], F.lit(1), i)), F.lit(0))
+        before = F.coalesce(F.array_max(F.slice(spans["end"], F.lit(1), i)), F.lit(0))
         return F.when(span["start"] >= before, F.concat(text.substr(before + 1, span["start"] - before), F.lit(mark))).otherwise(F.lit(""))
 
-    end = F.array_max(F.col("_live")["end"])
-    clean = F.concat(F.array_join(F.transform("_live", piece), ""), text.substr(end + 1, F.length(text) - end))
-    fixed = F.when(F.col("_live").isNotNull(), clean).otherwise(text)
+    end = F.array_max(spans["end"])
+    clean = F.concat(F.array_join(F.transform(spans, piece), ""), text.substr(end + 1, F.length(text) - end))
+    fixed = F.when(spans.isNotNull(), clean).otherwise(text)
     # a generator works the text out once, for itself and its length
-    once = joined.select("*", F.inline(F.array(F.struct(fixed.alias("_text")))))
-    out = {"text": F.col("_text")}
+    once = joined.select("*", F.inline(F.array(F.struct(fixed.alias(fresh)))))
+    out = {"text": F.col(fresh)}
     if "n_chars" in documents.columns:
-        n = F.length("_text").cast(documents.schema["n_chars"].dataType)
-        out["n_chars"] = F.when(F.col("_live").isNotNull(), n).otherwise(F.col("n_chars"))
+        n = F.length(fresh).cast(documents.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(spans.isNotNull(), n).otherwise(F.col("n_chars"))
     return once.select(*(out.get(c, F.col(c)).alias(c) for c in documents.columns))

@@ -282,11 +282,29 @@ def test_secrets(spark):
     assert Counter(tuple(r)[:6] for r in got) == want
     by = {r["doc_id"]: r for r in got}
     assert by[0]["n_live"] == 0 and by[0]["n_example"] >= 3 and by[15]["n_live"] == 2
-    fixed = {r["doc_id"]: r for r in secrets.redact(docs_of(spark, rows)).collect()}
+    clashing = docs_of(spark, rows, extra=True).selectExpr("*", "1 AS _doc", "2 AS _key", "3 AS doc", "4 AS LIVE", "5 AS fresh", "6 AS _text")
+    assert secrets.redact(clashing).columns == clashing.columns
+    fixed = {r["doc_id"]: r for r in secrets.redact(clashing).collect()}
     assert fixed[0]["text"] == SECRET_TEXT and "Zq83" not in fixed[15]["text"] and fixed[11]["text"] is None
     assert fixed[15]["text"] == "[secret] password[secret]" and fixed[15]["n_chars"] == len(fixed[15]["text"])
 
 
+def test_secrets_of_one_owner_in_many_repositories(spark):
+    live, shared = "token=Zq83ncD02mmXaQ", "token=Pv71kcT95wwLbR"
+    rows = [(i, live, "a") for i in range(40)] + [(100, live, "b"), (101, live, "c")] + [(200 + i, shared, "abc"[i % 3]) for i in range(9)] + [(300, shared, "a")] * 3
+    found = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secrets.secrets(docs_of(spark, rows)).collect()}
+    assert found[0] == found[100] == (1, 0) and found[200] == found[300] == (0, 1)
+    counts = sorted((r["n_repositories"], r["n_owners"]) for r in secrets.ownership(secrets.scan(docs_of(spark, rows))).collect())
+    assert counts == [(10, 3), (42, 3)]
+
+
+def test_secrets_of_a_text_with_many(spark):
+    text = " x ".join(f"token={i:06d}aB3xK9" for i in range(4000)) + " AKIA" + "A" * 300_000 + " é " + "0f" * 200_000
+    got = secrets.secrets(docs_of(spark, [(1, text, "s")])).first()
+    spans = brute_spans(text)
+    assert got["spans"] == ",".join(spans) and got["n_assign"] == 4000 and got["n_access"] == got["n_hex"] == 1
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(1, 40), "big" if i % 3 else f"s{i % 5}") for i in range(900)] + [(2000, None, None), (2001, "a b", None), (2002, "", "big")]
