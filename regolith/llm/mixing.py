@@ -2,8 +2,8 @@
 
 Source token shares p are raised to an exponent and normalised: q ~ p ** exponent. The exponent is
 bisected in [0, 1] for a target entropy or a repetition limit. The budget gives each source q times the
-budget in tokens, realised as whole epochs over the source plus a part of one, in blocks of documents
-whose order is a keyed permutation for every epoch.
+budget in tokens, realised as whole epochs over the source plus a part of one. Documents lie in blocks; in
+every epoch the blocks of all sources are permuted, and the documents within each block.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from regolith.llm.common import sized, written
+from regolith.llm.common import free_names, sized, written
 
 MAX_REPEATS = 2.0
 SEED = 7
@@ -83,57 +83,66 @@ def mixture(totals: DataFrame, exponent: float, budget: float | None = None) ->
 
 
 def mix(documents: DataFrame, entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """Every realised occurrence of a document: its columns, weight, epoch (from 0), block and slot.
-
-    Occurrences ordered by (epoch, slot, block) are the mixed stream: block numbers name the source's
-    blocks, slot is the block's place in the epoch's permutation over all sources (0 to 1). A source gets
-    its budget up to less than one document. A null source is a source of its own; a document without
-    words has 0 tokens and comes once for each epoch its block is in; repeated rows are rows of their own.
-    Sources without tokens come once. Columns named like the added ones are replaced.
+    """Every realised occurrence of a document: its columns, weight, epoch (from 0), block, slot and place.
+
+    Occurrences ordered by (epoch, slot, place) are the mixed stream: block numbers name the source's blocks,
+    slot is the block's rank (from 1) in the epoch's permutation of all blocks of all sources, place a keyed
+    order of the block's documents that differs from epoch to epoch. A source gets its budget up to less than
+    one document. A null source is a source of its own; a document without words has 0 tokens and comes once
+    for each epoch its block is in; repeated rows are rows of their own. Sources without tokens come once.
+    Columns named like the added ones are replaced; all others stay, whatever their names.
     """
-    added = ["weight", "epoch", "block", "slot"]
-    docs = documents.drop(*added)
-    lean = docs.select("source", tokens().alias("n_tokens"))
+    docs = documents.drop("weight", "epoch", "block", "slot", "place")
+
+    def key():
+        return F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(seed))
+
+    # one pass over the texts; all that is summed and cut below is in these narrow rows
+    lean = written(docs.select("source", tokens().alias("n_tokens"), key().alias("h")), "lean")
     totals = written(source_totals(lean), "totals")
     real = totals.where(F.col("tokens") > 0)
     if real.isEmpty():
-        return docs.select("*", F.lit(None).cast("double").alias("weight"), F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("slot"))
-    exponent = bisect_exponent(real, entropy, max_repeats if entropy is None else None)
-    plan = mixture(real, exponent, budget)
-    plan = totals.join(plan.select(F.col("source").alias("_s"), "weight", "epochs", "rest"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        plan = totals.select("source", "docs", F.lit(None).cast("double").alias("weight"), F.lit(None).cast("long").alias("epochs"), F.lit(None).cast("long").alias("rest"))
+    else:
+        exponent = bisect_exponent(real, entropy, max_repeats if entropy is None else None)
+        shares = mixture(real, exponent, budget).select(F.col("source").alias("s"), "weight", "epochs", "rest")
+        plan = totals.join(shares, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     # about as many blocks as documents in a block, so that neither grows with the whole source
     plan = written(plan.withColumn("blocks", F.ceil(F.sqrt("docs")).cast("long")), "plan")
     n_sources = plan.count()
-
-    keyed = docs.withColumn("__n", tokens()).withColumn("__h", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(seed)))
-    facts = plan.select(F.col("source").alias("__s"), "weight", F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("blocks").alias("__blocks"))
-    keyed = keyed.join(sized(facts, n_sources), F.col("source").eqNullSafe(F.col("__s"))).withColumn("block", F.pmod("__h", "__blocks"))
+    facts = plan.select(F.col("source").alias("s"), "weight", "epochs", "rest", "blocks")
+    placed = lean.join(sized(facts, n_sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod("h", "blocks"))
 
     # running tokens: over a source's blocks, then within the one block where the part epoch ends
-    part = keyed.groupBy("source", "block").agg(F.sum("__n").alias("n"))
+    part = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
     order = F.xxhash64("block", F.lit(seed), F.lit(-1))
     upto = Window.partitionBy("source").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = part.withColumn("upto", F.sum("n").over(upto))
-    ends = plan.select(F.col("source").alias("_s"), "rest")
-    part = part.join(sized(ends, n_sources), F.col("source").eqNullSafe(F.col("_s")))
-    # of the part epoch: a block is in as a whole, or the document hashes up to a cut are, or nothing is
-    part = written(part.select("source", "block", (F.col("upto") <= F.col("rest")).alias("whole"), (F.col("rest") - (F.col("upto") - F.col("n"))).alias("room"), "n"), "blocks")
-    edge = part.where(~F.col("whole") & (F.col("room") > 0)).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "room")
-    n_edge = n_sources  # one block of a source at most
-    inside = keyed.select("source", "block", "__h", "__n").join(sized(edge, n_edge), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    within = Window.partitionBy("source", "block").orderBy("__h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = inside.withColumn("run", F.sum("__n").over(within)).where(F.col("run") <= F.col("room")).groupBy("source").agg(F.max("__h").alias("cut"))
-    edge = edge.join(cut.select(F.col("source").alias("_c"), "cut"), F.col("_s").eqNullSafe(F.col("_c")), "left").select(F.col("_s").alias("__es"), F.col("_b").alias("__eb"), F.col("cut").alias("__cut"))
-    edge = written(edge, "edge")
-    last = part.where(F.col("whole")).select(F.col("source").alias("_s"), "block")
-    top = written(last.groupBy("_s").agg(F.max(F.struct(F.xxhash64("block", F.lit(seed), F.lit(-1)).alias("o"), F.col("block").alias("b"))).alias("t")).select(
-        F.col("_s").alias("__ts"), F.col("t").alias("__top")), "top")
-
-    keyed = keyed.join(sized(edge, n_sources), F.col("source").eqNullSafe(F.col("__es")), "left")
-    keyed = keyed.join(sized(top, n_sources), F.col("source").eqNullSafe(F.col("__ts")), "left")
-    mine = F.struct(order.alias("o"), F.col("block").alias("b"))
-    extra = F.coalesce(mine <= F.col("__top"), F.lit(False)) | F.coalesce((F.col("block") == F.col("__eb")) & (F.col("__h") <= F.col("__cut")), F.lit(False))
-    copies = F.coalesce(F.col("__epochs") + extra.cast("long"), F.lit(1)).cast("int")
-    out = keyed.withColumn("__copies", copies).where(F.col("__copies") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    slot = (F.xxhash64("source", "block", "epoch", F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5).alias("slot")
-    return out.select(*docs.columns, "weight", "epoch", "block", slot)
+    part = part.withColumn("upto", F.sum("n").over(upto)).withColumn("room", F.col("rest") - (F.col("upto") - F.col("n")))
+    # of the part epoch: a block is in as a whole, or the documents with hashes up to a cut are, or nothing is
+    part = written(part.select("source", "block", "epochs", F.coalesce(F.col("upto") <= F.col("rest"), F.lit(False)).alias("whole"), "room"), "blocks")
+    edge = part.where(~F.col("whole") & (F.col("room") > 0)).select(F.col("source").alias("es"), F.col("block").alias("eb"), F.col("room").alias("left"))
+    inside = placed.select("source", "block", "h", "n_tokens").join(sized(edge, n_sources), F.col("source").eqNullSafe(F.col("es")) & (F.col("block") == F.col("eb")))
+    within = Window.partitionBy("source", "block").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = inside.withColumn("run", F.sum("n_tokens").over(within)).where(F.col("run") <= F.col("left")).groupBy("source", "block").agg(F.max("h").alias("cut"))
+    cut = cut.select(F.col("source").alias("cs"), F.col("block").alias("cb"), "cut")
+
+    # the permutation of each epoch, over blocks: about the root of the number of documents
+    turns = part.join(sized(cut, n_sources), F.col("source").eqNullSafe(F.col("cs")) & (F.col("block") == F.col("cb")), "left").drop("cs", "cb")
+    more = (F.col("whole") | F.col("cut").isNotNull()).cast("long")
+    turns = turns.withColumn("turns", F.coalesce(F.col("epochs") + more, F.lit(1)).cast("int")).where(F.col("turns") > 0)
+    spread = turns.select("source", "block", "whole", "cut", "turns", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("epoch"))
+    ranked = spread.withColumn("slot", F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64("source", "block", "epoch", F.lit(seed)), "source", "block")).cast("long"))
+    slots = ranked.groupBy("source", "block", "whole", "cut", "turns").agg(F.array_sort(F.collect_list(F.struct("epoch", "slot"))).alias("slots"))
+    slots = written(slots.select("source", "block", "cut", F.col("slots.slot").alias("slots")), "slots")
+    n_blocks = slots.count()
+
+    s, b, w, h, c, at, o = free_names(docs.columns, "s", "b", "w", "h", "c", "at", "o")
+    out = docs.withColumn(h, key()).join(sized(plan.select(F.col("source").alias(s), F.col("weight").alias(w), F.col("blocks").alias(b)), n_sources), F.col("source").eqNullSafe(F.col(s)))
+    out = out.withColumn(b, F.pmod(F.col(h), F.col(b))).drop(s)
+    mine = slots.select(F.col("source").alias(s), F.col("block").alias(o), F.col("cut").alias(c), F.col("slots").alias(at))
+    out = out.join(sized(mine, n_blocks), F.col("source").eqNullSafe(F.col(s)) & (F.col(b) == F.col(o))).drop(s, o)
+    beyond = F.coalesce(F.col(h) > F.col(c), F.lit(False)).cast("int")  # not in the last, part epoch of its block
+    out = out.withColumn(at, F.slice(at, F.lit(1), F.size(at) - beyond))
+    out = out.select(*docs.columns, F.col(w).alias("weight"), F.col(b).alias("block"), F.col(h), F.posexplode(at).alias("epoch", "slot"))
+    place = F.xxhash64(h, "epoch", F.lit(seed))
+    return out.select(*docs.columns, "weight", "epoch", "block", "slot", place.alias("place"))

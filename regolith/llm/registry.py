@@ -53,7 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.round("weight", 9).alias("weight"), "epoch", "block", "slot")
+    return mixed.select("doc_id", "source", F.round("weight", 9).alias("weight"), "epoch", "block", "slot", "place")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_html_text, op4_top_k, op5_simhash, op6_decontaminate, op7_secrets, op8_substrings, op9_quality, op10_mixing)}

@@ -308,7 +308,15 @@ def test_secrets_of_a_text_with_many(spark):
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(1, 40), "big" if i % 3 else f"s{i % 5}") for i in range(900)] + [(2000, None, None), (2001, "a b", None), (2002, "", "big")]
-    mixed = mixing.mix(docs_of(spark, rows, extra=True).drop("weight", "block"), max_repeats=2.0).collect()
+    clashing = docs_of(spark, rows, extra=True).selectExpr("*", *(f"'x' AS {c}" for c in ("s", "B", "w", "h", "c", "at", "o", "__n", "cut", "slots", "Place")))
+    out = mixing.mix(clashing, max_repeats=2.0)
+    assert set(clashing.columns) - {"weight", "block", "Place"} | {"weight", "epoch", "block", "slot", "place"} == set(out.columns)
+    mixed = out.collect()
+    for e in {r["epoch"] for r in mixed}:  # a permutation: ranks from 1 without gaps or ties, one for each block of a source
+        blocks = {(r["source"], r["block"], r["slot"]) for r in mixed if r["epoch"] == e}
+        assert sorted(slot for *_, slot in blocks) == list(range(1, len(blocks) + 1)) and len({x[:2] for x in blocks}) == len(blocks)
+    orders = [[d for _, d in sorted((r["place"], r["doc_id"]) for r in mixed if r["epoch"] == e and r["source"] == "s0")] for e in (0, 1)]
+    assert set(orders[0]) >= set(orders[1]) and [d for d in orders[0] if d in orders[1]] != orders[1]
     tokens = {d: len((t or "").split()) for d, t, _ in rows}
     source = {d: s for d, _, s in rows}
     copies = Counter(r["doc_id"] for r in mixed)
