@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.llm.common import held_out, training_rows
+from regolith.llm.common import held_out, training_rows, written
 from regolith.llm.wordstream import Words, chunks
 
 PASSAGE_WORDS = 64
 MAX_TRAINING_ROWS = 6_000
-#: Most passages of one training text: longer ones give an even selection. Scoring takes all passages.
-TRAINING_PASSAGES = 24
+#: Most passages of all training texts together: texts are left out of the sample as a whole beyond it, the last by a hash first.
+MAX_TRAINING_PASSAGES = 200_000
+#: Words of a long text that are encoded at a time, a multiple of the passage size.
+PIECE_WORDS = 1 << 18
 HIDDEN = 12
 THRESHOLD = 0.3
 
@@ -42,6 +44,14 @@ FEATURES = 20
 def passages(texts: list[bytes], size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the texts, and how many each text has (one, of zeros, without words)."""
     w = Words(texts)
+    if len(w.starts) > PIECE_WORDS:  # bounds the work space: a long text comes in pieces of whole passages
+        if len(texts) > 1:
+            parts = [passages([t], size) for t in texts]
+            return np.vstack([x for x, _ in parts]), np.concatenate([per for _, per in parts])
+        step = max(PIECE_WORDS // size, 1) * size
+        cuts = [w.data[w.starts[i] : w.ends[min(i + step, len(w.starts)) - 1]] for i in range(0, len(w.starts), step)]
+        x = np.vstack([passages([c], size)[0] for c in cuts])
+        return x, np.array([len(x)])
     per = np.maximum(-(-w.counts // size), 1)
     bag = np.repeat(np.arange(len(texts)), per)
     x = np.zeros((len(bag), FEATURES))
@@ -143,24 +153,35 @@ def fit(x: np.ndarray, per: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, ste
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Fits the model on at most about max_rows labelled, not held-out rows.
+    """Fits the model on at most about max_rows labelled, not held-out rows, and at most MAX_TRAINING_PASSAGES of their passages.
 
-    Passages of the sample are encoded by the tasks; the driver gets numbers only. With one class alone,
-    or no labels, every text scores alike: near that class, or 0.5.
+    Passages of the sample are encoded by the tasks, all of a text; the driver gets numbers only. With one
+    class alone, or no labels, every text scores alike: near that class, or 0.5.
     """
 
     def encode(batches):
         for rows in chunks(batches):
             x, per = passages([r[-1] for r in rows])
             begin = np.concatenate(([0], np.cumsum(per)[:-1]))
-            kept = [x[b : b + n] if n <= TRAINING_PASSAGES else x[b + np.linspace(0, n - 1, TRAINING_PASSAGES).astype(int)] for b, n in zip(begin, per, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([k.ravel().tolist() for k in kept], pa.list_(pa.float64()))],
-                names=["doc_id", "label", "x"],
+                [
+                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(per, pa.int64()),
+                    pa.array([x[b : b + n].ravel() for b, n in zip(begin, per, strict=True)], pa.list_(pa.float64())),
+                ],
+                names=["doc_id", "label", "n", "x"],
             )
 
     sample = training_rows(documents, labels, "quality", max_rows)
-    rows = sample.select("doc_id", "label", F.col("text").cast("binary").alias("data")).mapInArrow(encode, "doc_id long, label int, x array<double>").collect()
+    encoded = written(sample.select("doc_id", "label", F.col("text").cast("binary").alias("data")).mapInArrow(encode, "doc_id long, label int, n long, x array<double>"), "encoded")
+    encoded = encoded.withColumn("key", F.xxhash64("doc_id", F.lit(29)))
+    sizes = encoded.select("key", "n").orderBy("key").collect()  # max_rows numbers
+    total, cut = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > MAX_TRAINING_PASSAGES:
+            break
+        cut = r["key"]
+    rows = encoded.where(F.col("key") <= F.lit(cut)).select("doc_id", "label", "x").collect() if cut is not None else []
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["label"] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:

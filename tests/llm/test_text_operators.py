@@ -437,6 +437,18 @@ def test_quality_held_out(spark):
     assert all(r["score"] > 0.5 for r in quality.score_quality(docs, one).collect())
 
 
+def test_passages_of_long_texts(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Abc", "de", "f9!", "gh", "|x|", "iou"]) + str(rng.randrange(50)) for _ in range(n)).encode() for n in (0, 3, 64, 700, 65)]
+    whole, per = quality.passages(texts)
+    assert per.tolist() == [1, 1, 1, 11, 2] and len(whole) == 16
+    monkeypatch.setattr(quality, "PIECE_WORDS", 130)
+    pieces, again = quality.passages(texts)
+    assert again.tolist() == per.tolist()
+    assert np.allclose(np.delete(pieces, 11, 1), np.delete(whole, 11, 1))  # 11: repeats of the word before, unknown at a cut
+    assert np.abs(pieces[:, 11] - whole[:, 11]).max() <= 1 / 64
+
+
 def test_quality_gradient():
     rng = np.random.default_rng(1)
     x, per = rng.normal(size=(30, 4)), np.array([3, 1, 6, 20])
