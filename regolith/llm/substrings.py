@@ -6,8 +6,10 @@ the windows of a bucket counts them exactly and finds the smallest document of e
 
 Hot passages do not make hot buckets. Before a string travels, equal ones of a chunk of text are
 combined to the one of the smallest document; in the others all of its windows are repeats already.
-And m-word runs that take more than one in FREQUENT of all windows are passed over as minimisers
-while a window has any other, so what surrounds a common line chooses its bucket.
+And m-word runs that take more than one in FREQUENT of all strings are passed over as minimisers
+while a window has any other, so what surrounds a common line chooses its bucket; a window of frequent
+runs alone goes by its own hash, which splits what they would gather. Buckets are as many as the bytes of
+all texts ask for, so a task holds one of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from regolith.llm.wordstream import Words, chunks, mix, span_hashes
 WINDOW = 13
 MINIMISER_WORDS = 3
 FREQUENT = 5_000
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 8 << 20
 CHUNK_BYTES = 6 << 20
 _LAST = np.int64(2**63 - 1)
 _DEMOTED = np.uint64(1 << 63)
@@ -51,7 +55,11 @@ def minimisers(words: Words, window: int, m: int, frequent: np.ndarray) -> tuple
         have += step
     owner = words.owner()
     at = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
-    return at, least[at]
+    low = least[at]
+    lost = np.flatnonzero(low >= _DEMOTED)
+    if len(lost):
+        low[lost] = span_hashes(h, at[lost], at[lost] + window) >> np.uint64(1)
+    return at, low
 
 
 def superkmers(words: Words, window: int, m: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,8 +81,8 @@ def _ids(rows: list[tuple]) -> np.ndarray:
     return np.array([_LAST if r[0] is None else r[0] for r in rows], dtype=np.int64)
 
 
-def _frequent(docs: DataFrame, window: int, m: int) -> np.ndarray:
-    """The minimisers of over one in FREQUENT of all packed strings: at most FREQUENT values, counted over all rows."""
+def _survey(docs: DataFrame, window: int, m: int) -> tuple[np.ndarray, int]:
+    """The minimisers of over one in FREQUENT of all packed strings (at most FREQUENT values), and the bytes of all texts."""
 
     def run(batches):
         for rows in chunks(batches, CHUNK_BYTES):
@@ -83,15 +91,20 @@ def _frequent(docs: DataFrame, window: int, m: int) -> np.ndarray:
             # what is rare in every chunk is rare in all: half the threshold of the chunk is kept
             keep = count * 2 * FREQUENT >= len(low)
             keep &= count >= 4
+            none = np.zeros(keep.sum(), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(value[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(count[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), len(low)))],
-                names=["low", "n", "total"],
+                [
+                    pa.array(np.append(value[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(count[keep], 0)),
+                    pa.array(np.append(none, len(low))), pa.array(np.append(none, sum(len(r[-1]) for r in rows))),
+                ],
+                names=["low", "n", "total", "bytes"],
             )
 
-    counts = written(docs.select("data").mapInArrow(run, "low long, n long, total long").groupBy("low").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "frequent")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    got = counts.where((F.col("n") > 0) & (F.col("n") * FREQUENT > total) & (F.col("n") >= 16)).select("low").collect()
-    return np.array(sorted(r["low"] for r in got), dtype=np.int64).view(np.uint64)
+    counts = docs.select("data").mapInArrow(run, "low long, n long, total long, bytes long").groupBy("low").agg(*(F.sum(c).alias(c) for c in ("n", "total", "bytes")))
+    counts = written(counts, "frequent")
+    total, size = counts.agg(F.sum("total"), F.sum("bytes")).first()
+    got = counts.where((F.col("n") > 0) & (F.col("n") * FREQUENT > (total or 0)) & (F.col("n") >= 16)).select("low").collect()
+    return np.array(sorted(r["low"] for r in got), dtype=np.int64).view(np.uint64), int(size or 0)
 
 
 def _pack(low: np.ndarray, head: np.ndarray, texts: list[bytes]) -> bytes:
@@ -253,9 +266,9 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, m: int = MINIMISE
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("row_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    frequent = _frequent(docs, window, m)
+    frequent, size = _survey(docs, window, m)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * 2
+    buckets = max(parts, -(-size // BUCKET_BYTES))
 
     def send(batches):
         return _send(batches, window, m, frequent, buckets)
