@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.llm.common import row_key, written
@@ -127,20 +127,30 @@ def _unpack(data: bytes):
     return low, np.vstack((ids, keys.astype(np.int64), sizes)), raw, ends - sizes[2], ends
 
 
-def _spans_batch(spans: list[tuple[int, int, int, int]], bucket: int = -1) -> pa.RecordBatch:
+def labels(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of parts shuffle partitions a value that a repartition by hash sends there, so that buckets are dealt evenly."""
+    values = spark.range(20 * parts + 200).select(F.col("id").cast("int").alias("v"))
+    rows = values.groupBy(F.pmod(F.hash("v"), F.lit(parts)).alias("p")).agg(F.min("v").alias("v")).collect()
+    out = np.arange(parts)
+    for r in rows:
+        out[r["p"]] = r["v"]
+    return out
+
+
+def _spans_batch(spans: list[tuple[int, int, int, int]], bucket: int = -1, dealt: int = 0) -> pa.RecordBatch:
     """Repeats of a document, as rows of the same schema as packed strings."""
     i, k, s, e = zip(*spans, strict=True) if spans else ((), (), (), ())
     n = len(spans)
     return pa.RecordBatch.from_arrays(
-        [pa.array([bucket] * n, pa.int32()), pa.array(i, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array([None] * n, pa.binary())],
-        names=["bucket", "id", "row_key", "first", "last", "packed"],
+        [pa.array([bucket] * n, pa.int32()), pa.array(i, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array([None] * n, pa.binary()), pa.array([dealt] * n, pa.int32())],
+        names=["bucket", "id", "row_key", "first", "last", "packed", "dealt"],
     )
 
 
-_SCHEMA = "bucket int, id long, row_key long, first long, last long, packed binary"
+_SCHEMA = "bucket int, id long, row_key long, first long, last long, packed binary, dealt int"
 
 
-def _send(batches, window: int, m: int, frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _send(batches, window: int, m: int, frequent: np.ndarray, buckets: int, deal: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed strings for the buckets, and the repeats that a chunk shows by itself."""
     for rows in chunks(batches, CHUNK_BYTES):
         words = Words([b" ".join(r[-1].split()) for r in rows])
@@ -164,7 +174,7 @@ def _send(batches, window: int, m: int, frequent: np.ndarray, buckets: int) -> I
         spans = order[~fresh][repeat]
         travel = np.concatenate((order[fresh], order[~fresh][~repeat]))
         if len(spans):
-            yield from _local(zip(ids[spans].tolist(), keys[spans].tolist(), at[spans].tolist(), (at + count + window - 1)[spans].tolist(), strict=True), buckets)
+            yield from _local(zip(ids[spans].tolist(), keys[spans].tolist(), at[spans].tolist(), (at + count + window - 1)[spans].tolist(), strict=True), buckets, deal)
 
         bucket = (low[travel] % np.uint64(buckets)).astype(np.int64)
         travel = travel[np.argsort(bucket, kind="stable")]
@@ -177,8 +187,8 @@ def _send(batches, window: int, m: int, frequent: np.ndarray, buckets: int) -> I
             packed = [_pack(low[travel[x:y]], head[:, x:y], texts[x:y]) for x, y in zip(begins[k : k + 64].tolist(), ends[k : k + 64].tolist(), strict=True)]
             none = pa.array([None] * len(packed), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[k : k + 64], pa.int32()), none, none, none, none, pa.array(packed, pa.binary())],
-                names=["bucket", "id", "row_key", "first", "last", "packed"],
+                [pa.array(names[k : k + 64], pa.int32()), none, none, none, none, pa.array(packed, pa.binary()), pa.array(deal[names[k : k + 64] % len(deal)], pa.int32())],
+                names=["bucket", "id", "row_key", "first", "last", "packed", "dealt"],
             )
 
 
@@ -193,13 +203,13 @@ def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return [tuple(x) for x in out]
 
 
-def _local(spans, buckets: int) -> Iterator[pa.RecordBatch]:
+def _local(spans, buckets: int, deal: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A chunk's own repeats, dealt over the buckets."""
     by: dict[int, list] = {}
     for s in merged(spans):
         by.setdefault((s[0] ^ s[1]) % buckets, []).append(s)
     for b, part in by.items():
-        yield _spans_batch(part, b)
+        yield _spans_batch(part, b, int(deal[b % len(deal)]))
 
 
 def _repeats(low, ids, keys, at, count, texts, window: int) -> list[tuple[int, int, int, int]]:
@@ -268,15 +278,16 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, m: int = MINIMISE
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("row_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     frequent, size = _survey(docs, window, m)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-size // BUCKET_BYTES))
+    buckets = -(-max(parts, -(-size // BUCKET_BYTES)) // parts) * parts  # as many for each partition
+    deal = labels(spark, parts)
 
     def send(batches):
-        return _send(batches, window, m, frequent, buckets)
+        return _send(batches, window, m, frequent, buckets, deal)
 
     def receive(batches):
         return _receive(batches, window)
 
-    dealt = docs.mapInArrow(send, _SCHEMA).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = docs.mapInArrow(send, _SCHEMA).repartition(parts, "dealt").sortWithinPartitions("bucket")
     return dealt.mapInArrow(receive, _SCHEMA).select("id", "row_key", "first", "last")
 
 
