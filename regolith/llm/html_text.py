@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 #: Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("img a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PRUNED = frozenset("nav header footer aside form script style noscript iframe template button select option textarea input svg canvas object dialog menu title head math audio video".split())
 PRUNED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 PRUNED_NAMES = frozenset(
@@ -42,25 +43,32 @@ _NAMES = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "pruned", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth")
+    __slots__ = ("name", "parent", "kids", "pruned", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth")
 
     def __init__(self, name: str, parent: Node | None, pruned: bool):
         self.name, self.parent, self.pruned = name, parent, pruned
         self.kids: list = []  # nodes and pieces of text in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.inside = name in ("article", "main") or (parent is not None and parent.inside)
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+#: Blocks of running text: a name that merely begins like boilerplate says nothing of them.
+PROSE = frozenset("p li dt dd td th blockquote pre h1 h2 h3 h4 h5 h6 figure figcaption".split())
+
+
+def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
+    """By the element's kind, role or names; inside an article only a whole name counts, not how it begins."""
     if name in PRUNED:
         return True
+    whole_only = inside or name in PROSE or name in INLINE
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in PRUNED_ROLES):
             return True
         if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            if any(part in PRUNED_NAMES for one in value.split() for part in [one, *_NAMES.findall(one)][:2]):
+            if any(part in PRUNED_NAMES for one in value.split() for part in [one, *_NAMES.findall(one)][: 1 if whole_only else 2]):
                 return True
     return False
 
@@ -69,6 +77,16 @@ def parse(page: str) -> Node:
     """DOM of a page; stray end tags are passed over, missing ones implied, unclosed markup ends with the page."""
     root = Node("#root", None, False)
     open_: list[Node] = [root]
+    places: dict[str, list[int]] = {}  # where in open_ the elements of a name are
+    walls = [0]  # where those are that are not inline
+
+    def close(down_to: int):
+        while len(open_) > down_to:
+            node = open_.pop()
+            places[node.name].pop()
+            if node.name not in INLINE:
+                walls.pop()
+
     at, size, raw = 0, len(page), ""
     while at < size:
         if raw:  # text up to the element's own end tag
@@ -76,7 +94,7 @@ def parse(page: str) -> Node:
             if open_[-1].name == raw:
                 if not open_[-1].pruned:
                     open_[-1].kids.append(page[at : m.start() if m else size])
-                open_.pop()
+                close(len(open_) - 1)
             at, raw = (m.end() if m else size), ""
             continue
         m = _TAG.search(page, at)
@@ -90,34 +108,26 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name == name:
-                    del open_[i:]
-                    break
-                if open_[i].name not in INLINE and name in INLINE:
-                    break  # a block is not closed by the end of what surrounds it inline
+            at_name = places.get(name)
+            # a block is not closed by the end of what surrounds it inline
+            if at_name and not (name in INLINE and walls[-1] > at_name[-1]):
+                close(at_name[-1])
             continue
-        if name in CLOSES_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name == "p":
-                    del open_[i:]
-                    break
-                if open_[i].name not in INLINE:
-                    break
+        if name in CLOSES_P and open_[walls[-1]].name == "p":
+            close(walls[-1])
         if name in ENDS:
             ends, until = ENDS[name]
-            cut = 0
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name in until:
-                    break
-                if open_[i].name in ends:
-                    cut = i
+            top = max((places[u][-1] for u in until if places.get(u)), default=0)
+            cut = min((p[i] for e in ends if (p := places.get(e)) and (i := bisect_right(p, top)) < len(p)), default=0)
             if cut:
-                del open_[cut:]
+                close(cut)
         parent = open_[-1]
-        node = Node(name, parent, parent.pruned or _boilerplate(name, m[3]))
+        node = Node(name, parent, parent.pruned or _boilerplate(name, m[3], parent.inside))
         parent.kids.append(node)
         if name not in VOID and not m[3].endswith("/"):
+            places.setdefault(name, []).append(len(open_))
+            if name not in INLINE:
+                walls.append(len(open_))
             open_.append(node)
             raw = name if name in RAW else ""
     return root

@@ -86,6 +86,49 @@ def test_articles_in_several_containers():
         assert html_text.main_text(page(nav + art + "<div><p>Short note</p></div><footer>legal</footer>")) == want
 
 
+def test_names_that_only_begin_like_boilerplate():
+    words = "".join(f"<p class='{c}'>{'Some words of the story. ' * 9}{c}.</p>" for c in ("related-works", "share-story", "side-by-side", "footer-note", "comment-text", "x"))
+    nav = "<div class='menu-top'>" + "<a href='/'>menu</a> " * 9 + "</div>"
+    art = f"<article><h1>A title</h1>{words}<div class='side-by-side'><p>{'And more of it. ' * 9}</p></div></article>"
+    want = " ".join(html_text.blocks(html_text.parse(art)))
+    assert want.count("words of the story") == 54 and "And more of it." in want
+    assert html_text.main_text(page(nav + art + "<div class='comment-list'><p>" + "I disagree with it. " * 40 + "</p></div>")) == want
+
+
+def test_planted_articles_in_any_page():
+    """Random pages: the article's text is known before its markup is made."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    for _ in range(60):
+        parts, inner = [line(rng.randint(3, 8))], ""
+        inner += f"<h1>{parts[0]}</h1>"
+        for _ in range(rng.randint(2, 8)):
+            text = line(rng.randint(30, 90))
+            parts.append(text)
+            w = text.split()
+            w[3] = rng.choice([f"<b>{w[3]}</b>", f"<a href='/{w[3]}'>{w[3]}</a>", f"<img src=x>{w[3]}", w[3]])
+            inner += rng.choice(["<p>{}</p>", "<p>{}", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</ul>", "<div>{}</div>"]).format(rng.choice([" ", "\n  "]).join(w))
+        nav = "<nav><ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a>" for _ in range(rng.randint(1, 9))) + "</ul></nav>"
+        aside = rng.choice(["<aside>{}</aside>", "<div id=sidebar>{}</div>", "<div class='ad'>{}</div>", "<section class=comments><p>{}</p></section>"]).format(line(rng.randint(5, 60)))
+        shell = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>"]).format(inner)
+        got = html_text.main_text(page(nav + (aside + shell if rng.random() < 0.5 else shell + aside) + f"<footer>{line(9)}</footer>"))
+        assert got == " ".join(parts)
+
+
+def test_parsing_takes_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        for text in ("<i>" * n + "</b>" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<p>" + "<i>" * n + "<div>" * n, "<ul>" + "<li><i>" * n):
+            html_text.parse(text)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 60 * max(took(1000), 0.005)
+
+
 def test_html_edges(spark):
     assert html_text.main_text("") == "" and html_text.main_text("<html><body></body></html>") == ""
     assert html_text.main_text("plain words, a < b") == "plain words, a < b"
