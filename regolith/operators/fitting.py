@@ -1,12 +1,15 @@
 """Robust fits of similarity, affine and homography models, and the choice between them.
 
-Hypotheses come from a bounded number of point sets per pair, in the order of a fixed linear
-congruential key; they are scored by a join with the pair's matches, so a pair of any size is spread
-over tasks. Models are refitted by least squares on the inliers of the best hypothesis, from sums.
+Hypotheses come from point sets drawn with reuse from the first POOL matches of a pair in the order of a
+fixed linear congruential key, which is a random order. All matches of the pair score them, by a join, so
+a pair of any size is spread over tasks. After a first round each pair gets as many more sets as its share
+of inliers asks for. Models are refitted by least squares on all inliers of the best hypothesis, from sums.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from regolith.config import DEFAULT, DOF, Config
+from regolith.functions.tables import written
 from regolith.operators.match_metrics import apply_model, residuals
 
-POINTS = {"similarity": 2, "affine": 3}
+POINTS = {"similarity": 2, "affine": 3, "homography": 4}
+#: Matches of a pair from which sets are drawn.
+POOL = 1024
 
 
 def lcg(key: str = "match_id") -> Column:
@@ -28,14 +34,28 @@ def _matrix(a, b, tx, c, d, ty) -> Column:
     return F.array(a, b, tx, c, d, ty, F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
-def hypotheses(matches: DataFrame, kind: str, count: int) -> DataFrame:
-    """pair_id, h, m: models through the h-th set of points; degenerate sets are left out."""
+def point_sets(matches: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+    """pair_id, h and the coordinates xa0, ya0, xb0, yb0, ... of the sets that wanted(pair_id, first, last) names, last exclusive.
+
+    Point j of set h is a fixed pseudo-random member of the pool; sets that repeat one are degenerate.
+    """
     k = POINTS[kind]
     rank = F.row_number().over(Window.partitionBy("pair_id").orderBy(lcg(), "match_id"))
-    first = matches.select("pair_id", "xa", "ya", "xb", "yb", rank.alias("rank")).where(F.col("rank") <= k * count)
-    slot = (F.col("rank") - 1) % k
-    cols = [F.max(F.when(slot == i, F.col(c))).alias(f"{c}{i}") for i in range(k) for c in ("xa", "ya", "xb", "yb")]
-    sets = first.groupBy("pair_id", F.floor((F.col("rank") - 1) / k).cast("int").alias("h")).agg(F.count("*").alias("n"), *cols).where(F.col("n") == k)
+    pool = matches.select("pair_id", "xa", "ya", "xb", "yb", rank.alias("rank")).where(F.col("rank") <= POOL)
+    size = pool.groupBy("pair_id").agg(F.count("*").alias("size"))
+    sets = wanted.where(F.col("last") > F.col("first")).select("pair_id", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("h")).join(size, "pair_id")
+    step = F.pmod((F.col("h").cast("long") * 4 + F.col("j") + 1) * 1103515245 + 12345, F.lit(2147483647))
+    draw = F.pmod(step * step, F.lit(2147483647))  # squared: the steps alone would keep the points of a set equally far apart
+    drawn = sets.select("pair_id", "h", "size", F.explode(F.array(*map(F.lit, range(k)))).alias("j")).withColumn("rank", (F.pmod(draw, F.col("size")) + 1).cast("int"))
+    cols = [F.max(F.when(F.col("j") == i, F.col(c))).alias(f"{c}{i}") for i in range(k) for c in ("xa", "ya", "xb", "yb")]
+    return drawn.join(pool, ["pair_id", "rank"]).groupBy("pair_id", "h").agg(*cols)
+
+
+def hypotheses(matches: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+    """pair_id, h, m: models through the wanted sets; degenerate sets are left out."""
+    sets = point_sets(matches, kind, wanted)
+    if kind == "homography":
+        return sets.mapInPandas(_homographies, f"pair_id {matches.schema['pair_id'].dataType.simpleString()}, h int, m array<double>")
     if kind == "similarity":
         x, y, u, v = (F.col(f"{c}1") - F.col(f"{c}0") for c in ("xa", "ya", "xb", "yb"))
         det = x * x + y * y
@@ -51,7 +71,12 @@ def hypotheses(matches: DataFrame, kind: str, count: int) -> DataFrame:
 
 
 def least_squares(matches: DataFrame, kind: str) -> DataFrame:
-    """pair_id, m: the least-squares model of each pair from one pass of centred sums; degenerate pairs are left out."""
+    """pair_id, m: the least-squares model of each pair from one pass of centred sums; degenerate pairs are left out.
+
+    A homography is the algebraic least squares of normalised points.
+    """
+    if kind == "homography":
+        return _least_squares_homography(matches)
     means = matches.groupBy("pair_id").agg(*(F.avg(c).alias(f"m_{c}") for c in ("xa", "ya", "xb", "yb")), F.count("*").alias("n"))
     x, y, u, v = (F.col(c) - F.col(f"m_{c}") for c in ("xa", "ya", "xb", "yb"))
     sums = {"xx": x * x, "xy": x * y, "yy": y * y, "xu": x * u, "yu": y * u, "xv": x * v, "yv": y * v}
@@ -70,21 +95,45 @@ def least_squares(matches: DataFrame, kind: str) -> DataFrame:
     return s.where(F.abs(det) > 1e-9).select("pair_id", _matrix(a, b, tx, c, d, ty).alias("m"))
 
 
-def ransac(matches: DataFrame, kind: str, cfg: Config = DEFAULT) -> DataFrame:
-    """pair_id, m: best hypothesis by inliers, then RMSE, then order, refitted on its inliers (at least the model's points)."""
-    if kind == "homography":
-        return fit_homography(matches, cfg)
-    h = hypotheses(matches, kind, cfg.hypotheses)
+def _scores(matches: DataFrame, h: DataFrame, cfg: Config) -> DataFrame:
+    """pair_id, h, inliers and their rmse over all matches of the pair."""
     px, py = apply_model(F.col("xa"), F.col("ya"), F.col("m"))
     joined = matches.join(h, "pair_id").withColumn("res", F.hypot(px - F.col("xb"), py - F.col("yb")))
     good = F.col("res") <= cfg.ransac_px
-    scored = joined.groupBy("pair_id", "h").agg(F.count_if(good).alias("inliers"), F.round(F.sqrt(F.avg(F.when(good, F.col("res") * F.col("res")))), 9).alias("rmse"))
+    return joined.groupBy("pair_id", "h").agg(F.count_if(good).alias("inliers"), F.round(F.sqrt(F.avg(F.when(good, F.col("res") * F.col("res")))), 9).alias("rmse"))
+
+
+def sets_needed(share: Column, kind: str, cfg: Config = DEFAULT) -> Column:
+    """Sets of which one is free of outliers with probability cfg.certainty, where share of the matches are inliers."""
+    missed = F.ln(F.greatest(F.lit(1e-12), 1 - F.pow(share, F.lit(POINTS[kind]))))
+    wanted = F.ceil(F.round(F.lit(round(math.log(1 - cfg.certainty), 9)) / F.least(missed, F.lit(-1e-12)), 6))
+    return F.greatest(F.lit(cfg.hypotheses), F.least(F.lit(cfg.most_hypotheses), wanted)).cast("int")
+
+
+def ransac(matches: DataFrame, kind: str, cfg: Config = DEFAULT) -> DataFrame:
+    """pair_id, m: best hypothesis by inliers, then RMSE, then order, refitted on all its inliers.
+
+    cfg.hypotheses sets are tried for every pair, then up to cfg.most_hypotheses for those whose share of
+    inliers so far asks for more. Pairs without a sound set, or with fewer matches than its points, are left out.
+    """
+    size = matches.groupBy("pair_id").agg(F.count("*").alias("size"))
+    h = written(hypotheses(matches, kind, size.select("pair_id", F.lit(0).alias("first"), F.lit(cfg.hypotheses).alias("last"))), "hypotheses")
+    scored = written(_scores(matches, h, cfg), "scores")
+    share = scored.groupBy("pair_id").agg(F.max("inliers").alias("inliers")).join(size, "pair_id", "right")
+    share = share.select("pair_id", (F.coalesce("inliers", F.lit(0)) / F.col("size")).alias("share"))
+    more = share.select("pair_id", F.lit(cfg.hypotheses).alias("first"), sets_needed(F.col("share"), kind, cfg).alias("last")).where("last > first")
+    second = written(hypotheses(matches, kind, more), "hypotheses")
+    if not second.isEmpty():
+        scored = scored.unionByName(_scores(matches.join(more.select("pair_id"), "pair_id", "left_semi"), second, cfg))
+        h = h.unionByName(second)
     best = scored.groupBy("pair_id").agg(F.max_by("h", F.struct("inliers", -F.coalesce("rmse", F.lit(1e9)), -F.col("h"))).alias("h"))
-    chosen = h.join(best, ["pair_id", "h"]).select("pair_id", F.col("m").alias("m0"))
-    px, py = apply_model(F.col("xa"), F.col("ya"), F.col("m0"))
-    inside = matches.join(chosen, "pair_id").where(F.hypot(px - F.col("xb"), py - F.col("yb")) <= cfg.ransac_px).drop("m0")
-    refit = least_squares(inside, kind).withColumnRenamed("m", "m1")
-    return chosen.join(refit, "pair_id", "left").select("pair_id", F.coalesce("m1", "m0").alias("m"))
+    chosen = written(h.join(best, ["pair_id", "h"]).select("pair_id", F.col("m").alias("m0")), "chosen")
+    for _ in range(3 if kind == "homography" else 1):  # one through four noisy points is far off its inliers' own
+        px, py = apply_model(F.col("xa"), F.col("ya"), F.col("m0"))
+        inside = matches.join(chosen, "pair_id").where(F.hypot(px - F.col("xb"), py - F.col("yb")) <= cfg.ransac_px).drop("m0")
+        refit = least_squares(inside, kind).withColumnRenamed("m", "m1")
+        chosen = written(chosen.join(refit, "pair_id", "left").select("pair_id", F.coalesce("m1", "m0").alias("m0")), "chosen")
+    return chosen.withColumnRenamed("m0", "m")
 
 
 def fit(matches: DataFrame, kind: str = "similarity", cfg: Config = DEFAULT) -> DataFrame:
@@ -108,31 +157,52 @@ def homography_of(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 
-def fit_homography(matches: DataFrame, cfg: Config = DEFAULT, sample: int = 2048, trials: int = 200) -> DataFrame:
-    """pair_id, m by RANSAC on at most sample matches of a pair, first by the fixed key; residuals later cover all."""
-    rank = F.row_number().over(Window.partitionBy("pair_id").orderBy(lcg(), "match_id"))
-    some = matches.select("pair_id", "match_id", "xa", "ya", "xb", "yb", rank.alias("rank")).where(F.col("rank") <= sample)
-
-    def robust(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        a, b = pdf[["xa", "ya"]].to_numpy(), pdf[["xb", "yb"]].to_numpy()
-        rng, best = np.random.default_rng(0), np.zeros(len(a), bool)
-
-        def close(h):
-            p = np.c_[a, np.ones(len(a))] @ h.T
-            with np.errstate(all="ignore"):
-                return np.nan_to_num(np.hypot(*(p[:, :2] / p[:, 2:] - b).T), nan=np.inf) <= cfg.ransac_px
-
-        for _ in range(trials if len(a) >= 4 else 0):
-            i = rng.choice(len(a), 4, replace=False)
-            h = homography_of(a[i], b[i])
-            if h is not None and (inl := close(h)).sum() > best.sum():
-                best = inl
-        if best.sum() < 4 or (h := homography_of(a[best], b[best])) is None:
-            return pdf[["pair_id"]].head(0).assign(m=pd.Series(dtype=object))
-        return pdf[["pair_id"]].head(1).assign(m=[h.ravel().tolist()])
-
-    return some.groupBy("pair_id").applyInPandas(robust, f"pair_id {matches.schema['pair_id'].dataType.simpleString()}, m array<double>")
+def _homographies(batches):
+    """Models through four points each, all of a batch at once."""
+    for pdf in batches:
+        p = pdf[[f"{c}{i}" for i in range(4) for c in ("xa", "ya", "xb", "yb")]].to_numpy(float).reshape(-1, 4, 4)
+        scale = np.maximum(np.abs(p).max((1, 2)), 1e-9)
+        x, y, u, v = np.moveaxis(p / scale[:, None, None], 2, 0)
+        one, zero = np.ones_like(x), np.zeros_like(x)
+        rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], 2), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], 2)], 1)
+        fine = np.abs(np.linalg.det(rows)) > 1e-12
+        h = np.linalg.solve(rows[fine], np.concatenate([u, v], 1)[fine][:, :, None])[:, :, 0]
+        m = np.c_[h, np.ones(len(h))]
+        s = scale[fine]
+        m[:, [2, 5]] *= s[:, None]
+        m[:, [6, 7]] /= s[:, None]
+        yield pd.DataFrame({"pair_id": pdf["pair_id"][fine].to_numpy(), "h": pdf["h"][fine].to_numpy(), "m": m.tolist()})
+
+
+def _least_squares_homography(matches: DataFrame) -> DataFrame:
+    means = matches.groupBy("pair_id").agg(*(F.avg(c).alias(f"m_{c}") for c in ("xa", "ya", "xb", "yb")))
+    off = matches.join(means, "pair_id").select("pair_id", *(f"m_{c}" for c in ("xa", "ya", "xb", "yb")), *((F.col(c) - F.col(f"m_{c}")).alias(c) for c in ("xa", "ya", "xb", "yb")))
+    sizes = off.groupBy("pair_id").agg(*(F.greatest(F.avg(F.hypot(f"x{k}", f"y{k}")) / math.sqrt(2), F.lit(1e-12)).alias(f"d_{k}") for k in "ab"), F.count("*").alias("n"))
+    p = off.join(sizes, "pair_id")
+    x, y, u, v = F.col("xa") / F.col("d_a"), F.col("ya") / F.col("d_a"), F.col("xb") / F.col("d_b"), F.col("yb") / F.col("d_b")
+    products = [x * x, x * y, x, y * y, y, F.lit(1.0)]
+    weights = [F.lit(1.0), u, v, u * u + v * v]
+    facts = ["m_xa", "m_ya", "m_xb", "m_yb", "d_a", "d_b", "n"]
+    sums = p.groupBy("pair_id").agg(*(F.first(c).alias(c) for c in facts), F.array(*(F.sum(w * e) for w in weights for e in products)).alias("s"))
+
+    def solve(batches):
+        at = np.array([[0, 1, 2], [1, 3, 4], [2, 4, 5]])
+        for pdf in batches:
+            pdf = pdf[pdf["n"] >= 4]
+            keys, models = [], []
+            for r in pdf.itertuples(index=False):
+                s0, su, sv, sw = (block[at] for block in np.array(r.s).reshape(4, 6))
+                zero = np.zeros((3, 3))
+                h = np.linalg.eigh(np.block([[s0, zero, -su], [zero, s0, -sv], [-su, -sv, sw]]))[1][:, 0].reshape(3, 3)
+                to_a = np.array([[1 / r.d_a, 0, -r.m_xa / r.d_a], [0, 1 / r.d_a, -r.m_ya / r.d_a], [0, 0, 1]])
+                from_b = np.array([[r.d_b, 0, r.m_xb], [0, r.d_b, r.m_yb], [0, 0, 1]])
+                h = from_b @ h @ to_a
+                if abs(h[2, 2]) > 1e-12:
+                    keys.append(r.pair_id)
+                    models.append((h / h[2, 2]).ravel().tolist())
+            yield pd.DataFrame({"pair_id": pd.Series(keys, dtype=pdf["pair_id"].dtype), "m": pd.Series(models, dtype=object)})
+
+    return sums.mapInPandas(solve, f"pair_id {matches.schema['pair_id'].dataType.simpleString()}, m array<double>")
 
 
 def select_model(matches: DataFrame, kinds: tuple[str, ...] = ("similarity", "affine", "homography"), cfg: Config = DEFAULT) -> DataFrame:

@@ -48,9 +48,12 @@ def fit_inverse(geoloc: DataFrame, degree: int = 1) -> dict:
     """Least-squares polynomials (lon, lat) -> (pixel, scan) on centred, scaled coordinates.
 
     One pass sums the Gram matrix; only that small matrix is solved by the driver. Returns the model
-    with its RMS residual in pixels.
+    with its RMS residual in pixels. An empty table, and one whose samples do not determine the polynomials
+    (fewer than its terms, or all on a line), raise ValueError.
     """
     s = geoloc.agg(F.avg("lon").alias("mx"), F.avg("lat").alias("my"), F.stddev_pop("lon").alias("sx"), F.stddev_pop("lat").alias("sy")).first()
+    if s["mx"] is None:
+        raise ValueError("no sample with coordinates")
     model = {"degree": degree, "mx": s["mx"], "my": s["my"], "sx": s["sx"] or 1.0, "sy": s["sy"] or 1.0}
     t = terms(degree)
     base = geoloc.select(*(e.alias(f"t{i}") for i, e in enumerate(_design(model))), "pixel", "scan")
@@ -62,6 +65,8 @@ def fit_inverse(geoloc: DataFrame, degree: int = 1) -> dict:
     gram = np.zeros((len(t), len(t)))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
+    if np.linalg.matrix_rank(gram, hermitian=True) < len(t):
+        raise ValueError(f"the samples do not determine polynomials of degree {degree}")
     for k in ("pixel", "scan"):
         model[k] = np.linalg.solve(gram, np.array([row[f"{k}{i}"] for i in range(len(t))])).tolist()
     px, py = apply_inverse(model)
@@ -88,17 +93,23 @@ def target_grid(spark: SparkSession, west: float, south: float, east: float, nor
     return cells.select("r", "c", (west + (F.col("c") + 0.5) * step).alias("lon"), (north - (F.col("r") + 0.5) * step).alias("lat"))
 
 
-def project(pixels: DataFrame, model: dict, grid: DataFrame, smooth: int = 1) -> DataFrame:
-    """The strip sampled on the grid at the nearest (pixel, scan), 0 outside; smooth > 1 averages an odd box before."""
+def project(pixels: DataFrame, models: dict[str, dict], grid: DataFrame, smooth: int = 1) -> DataFrame:
+    """Each image (a strip) sampled on the grid by its own inverse at the nearest (pixel, scan), 0 outside.
+
+    models has an inverse for each image_id. smooth > 1 averages an odd box before.
+    """
     from regolith.operators.raster import box_mean
 
     if smooth > 1:
         k = smooth if smooth % 2 else smooth + 1
         pixels = box_mean(pixels, k).select("image_id", "r", "c", F.col("mean_v").alias("v"))
-    px, py = apply_inverse(model)
-    at = grid.select(F.col("r").alias("gr"), F.col("c").alias("gc"), F.rint(py).cast("int").alias("r"), F.rint(px).cast("int").alias("c"))
-    met = at.join(pixels.select("r", "c", "v"), ["r", "c"], "left")
-    return met.select(F.col("gr").alias("r"), F.col("gc").alias("c"), F.coalesce("v", F.lit(0.0)).alias("v"), F.col("v").isNotNull().alias("valid"))
+    at = None
+    for image_id, model in models.items():
+        px, py = apply_inverse(model)
+        own = grid.select(F.lit(image_id).alias("image_id"), F.col("r").alias("gr"), F.col("c").alias("gc"), F.rint(py).cast("int").alias("r"), F.rint(px).cast("int").alias("c"))
+        at = own if at is None else at.unionAll(own)
+    met = at.join(pixels.select("image_id", "r", "c", "v"), ["image_id", "r", "c"], "left")
+    return met.select("image_id", F.col("gr").alias("r"), F.col("gc").alias("c"), F.coalesce("v", F.lit(0.0)).alias("v"), F.col("v").isNotNull().alias("valid"))
 
 
 def nearest_sample(points: DataFrame, samples: DataFrame, radius: float) -> DataFrame:
@@ -180,11 +191,11 @@ def perspective_homography(size: int, tilt_deg: float, azimuth_rad: float, rotat
 
 
 def warp(pixels: DataFrame, models: DataFrame, height: int, width: int, method: str = "cubic") -> DataFrame:
-    """The raster under each model(pair_id, m): nearest, bilinear or cubic (a = -0.75) sampling, 0 outside.
+    """Each image under its model(image_id, m): nearest, bilinear or cubic (a = -0.75) sampling, 0 outside.
 
     Output rows are dealt over the tasks, and their cells meet the raster by one join on cell keys.
     """
-    rows = models.select("pair_id", "m", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("r")).repartition("pair_id", "r")
+    rows = models.select("image_id", "m", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("r")).repartition("image_id", "r")
     cells = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     a = lambda i: F.element_at("m", i)
     # adjugate: the inverse up to a factor, which the perspective division takes out
@@ -192,11 +203,11 @@ def warp(pixels: DataFrame, models: DataFrame, height: int, width: int, method:
         a(5) * a(9) - a(6) * a(8), a(3) * a(8) - a(2) * a(9), a(2) * a(6) - a(3) * a(5), a(6) * a(7) - a(4) * a(9), a(1) * a(9) - a(3) * a(7), a(3) * a(4) - a(1) * a(6),
         a(4) * a(8) - a(5) * a(7), a(2) * a(7) - a(1) * a(8), a(1) * a(5) - a(2) * a(4),
     )
-    cells = cells.select("pair_id", "r", "c", inv.alias("i"))
+    cells = cells.select("image_id", "r", "c", inv.alias("i"))
     sx, sy = apply_model(F.col("c").cast("double"), F.col("r").cast("double"), F.col("i"))
-    cells = cells.select("pair_id", "r", "c", F.round(sx, 9).alias("sx"), F.round(sy, 9).alias("sy"))
+    cells = cells.select("image_id", "r", "c", F.round(sx, 9).alias("sx"), F.round(sy, 9).alias("sy"))
     if method == "nearest":
-        taps = cells.select("pair_id", "r", "c", F.rint("sy").cast("int").alias("pr"), F.rint("sx").cast("int").alias("pc"), F.lit(1.0).alias("w"))
+        taps = cells.select("image_id", "r", "c", F.rint("sy").cast("int").alias("pr"), F.rint("sx").cast("int").alias("pc"), F.lit(1.0).alias("w"))
     else:
         span = (0, 1) if method == "bilinear" else (-1, 0, 1, 2)
         offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span))
@@ -209,9 +220,9 @@ def warp(pixels: DataFrame, models: DataFrame, height: int, width: int, method:
             return F.when(x <= 1, near).when(x < 2, -0.75 * (x * x * x - 5 * x * x + 8 * x - 4)).otherwise(0.0)
 
         taps = cells.withColumn("o", F.explode(offsets)).withColumn("pr", (F.floor("sy") + F.col("o.i")).cast("int")).withColumn("pc", (F.floor("sx") + F.col("o.j")).cast("int"))
-        taps = taps.select("pair_id", "r", "c", "pr", "pc", (weight(F.col("sx") - F.col("pc")) * weight(F.col("sy") - F.col("pr"))).alias("w")).where(F.col("w") != 0)
-    met = taps.join(pixels.select(F.col("r").alias("pr"), F.col("c").alias("pc"), "v"), ["pr", "pc"], "left")
-    return met.groupBy("pair_id", "r", "c").agg(F.coalesce(F.sum(F.col("w") * F.col("v")), F.lit(0.0)).alias("v"))
+        taps = taps.select("image_id", "r", "c", "pr", "pc", (weight(F.col("sx") - F.col("pc")) * weight(F.col("sy") - F.col("pr"))).alias("w")).where(F.col("w") != 0)
+    met = taps.join(pixels.select("image_id", F.col("r").alias("pr"), F.col("c").alias("pc"), "v"), ["image_id", "pr", "pc"], "left")
+    return met.groupBy("image_id", "r", "c").agg(F.coalesce(F.sum(F.col("w") * F.col("v")), F.lit(0.0)).alias("v"))
 
 
 def chunks(rows: DataFrame, n: int, size: int) -> DataFrame:

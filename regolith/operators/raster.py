@@ -146,19 +146,20 @@ def window(pixels: DataFrame, row: int, col: int, height: int, width: int) -> Da
 
 
 def intersect_masks(fine: DataFrame, coarse: DataFrame, k: int) -> DataFrame:
-    """Fine cells (r, c, valid) that are valid with their coarse cell, and coarse cells where most fine ones are."""
-    own = fine.select("r", "c", F.col("valid").alias("fine"), F.floor(F.col("r") / k).cast("int").alias("kr"), F.floor(F.col("c") / k).cast("int").alias("kc"))
-    both = own.join(coarse.select(F.col("r").alias("kr"), F.col("c").alias("kc"), F.col("valid").alias("coarse")), ["kr", "kc"])
-    return both.select("r", "c", "kr", "kc", (F.col("fine") & F.col("coarse")).alias("valid"))
+    """Fine cells (image_id, r, c, valid) that are valid with the coarse cell (kr, kc) of their image."""
+    own = fine.select("image_id", "r", "c", F.col("valid").alias("fine"), F.floor(F.col("r") / k).cast("int").alias("kr"), F.floor(F.col("c") / k).cast("int").alias("kc"))
+    both = own.join(coarse.select("image_id", F.col("r").alias("kr"), F.col("c").alias("kc"), F.col("valid").alias("coarse")), ["image_id", "kr", "kc"])
+    return both.select("image_id", "r", "c", "kr", "kc", (F.col("fine") & F.col("coarse")).alias("valid"))
 
 
 def majority_mask(fine: DataFrame, k: int) -> DataFrame:
-    return fine.groupBy(F.floor(F.col("r") / k).cast("int").alias("r"), F.floor(F.col("c") / k).cast("int").alias("c")).agg((F.avg(F.col("valid").cast("int")) > 0.5).alias("valid"))
+    """Coarse cells of each image, valid where most of their fine ones are."""
+    return fine.groupBy("image_id", F.floor(F.col("r") / k).cast("int").alias("r"), F.floor(F.col("c") / k).cast("int").alias("c")).agg((F.avg(F.col("valid").cast("int")) > 0.5).alias("valid"))
 
 
 def divide_shading(image: DataFrame, rendered: DataFrame, floor: float = 0.08, clamp: float | None = None) -> DataFrame:
-    """v over the rendered shading: 0 below the floor, or with the shading clamped from below."""
-    both = image.join(rendered.select("r", "c", F.col("v").alias("shade")), ["r", "c"])
+    """v over the image's rendered shading: 0 below the floor, or with the shading clamped from below."""
+    both = image.join(rendered.select("image_id", "r", "c", F.col("v").alias("shade")), ["image_id", "r", "c"])
     if clamp is not None:
         value = F.col("v") / F.greatest(F.col("shade"), F.lit(clamp))
     else:
@@ -167,12 +168,12 @@ def divide_shading(image: DataFrame, rendered: DataFrame, floor: float = 0.08, c
 
 
 def checkerboard(a: DataFrame, b: DataFrame, squares: int = 8) -> DataFrame:
-    """Squares of a and b by turns; where a has no value, b's is shown."""
+    """Squares of a and b by turns, for each image of both; where a has no value, b's is shown."""
     size = extent(b)
-    both = b.select("image_id", "r", "c", F.col("v").alias("vb")).join(a.select("r", "c", F.col("v").alias("va")), ["r", "c"], "left").join(size, "image_id")
+    both = b.select("image_id", "r", "c", F.col("v").alias("vb")).join(a.select("image_id", "r", "c", F.col("v").alias("va")), ["image_id", "r", "c"], "left").join(size, "image_id")
     sy, sx = F.greatest(F.lit(1), F.floor(F.col("height") / squares)), F.greatest(F.lit(1), F.floor(F.col("width") / squares))
     odd = (F.floor(F.col("r") / sy) + F.floor(F.col("c") / sx)) % 2 == 1
-    return both.select("r", "c", F.when(odd | F.coalesce(F.col("va") == 0, F.lit(True)), F.col("vb")).otherwise(F.col("va")).alias("v"))
+    return both.select("image_id", "r", "c", F.when(odd | F.coalesce(F.col("va") == 0, F.lit(True)), F.col("vb")).otherwise(F.col("va")).alias("v"))
 
 
 def fill_mean(pixels: DataFrame) -> DataFrame:

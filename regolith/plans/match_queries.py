@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from regolith.config import DEFAULT
@@ -156,7 +158,7 @@ def axis_significance(spark, sf_dir):
 def _ransac(kind: str, source: str = "m", tag: str = "") -> str:
     """CTEs that end in best{tag}(pair_id, a, b, tx, c, d, ty): hypotheses, scores, refit."""
     k, n = ft.POINTS[kind], DEFAULT.hypotheses
-    pick = ", ".join(f"max({c}) FILTER (s = {i}) AS {c}{i}" for i in range(k) for c in ("xa", "ya", "xb", "yb"))
+    pick = ", ".join(f"max({c}) FILTER (j = {i}) AS {c}{i}" for i in range(k) for c in ("xa", "ya", "xb", "yb"))
     if kind == "similarity":
         det = "(pow(xa1 - xa0, 2) + pow(ya1 - ya0, 2))"
         a, c = f"((xa1 - xa0) * (xb1 - xb0) + (ya1 - ya0) * (yb1 - yb0)) / {det}", f"((xa1 - xa0) * (yb1 - yb0) - (ya1 - ya0) * (xb1 - xb0)) / {det}"
@@ -168,11 +170,24 @@ def _ransac(kind: str, source: str = "m", tag: str = "") -> str:
     lsq = _lsq(kind, f"inside{tag}")
     for name in ("means", "dev", "sums", "lin", "lsq"):
         lsq = lsq.replace(f"{name} AS (", f"{name}{tag} AS (").replace(f"FROM {name}", f"FROM {name}{tag}").replace(f"JOIN {name} ", f"JOIN {name}{tag} ")
+
+    def tried(r: int, sets: str) -> str:
+        """Sets, models and scores of round r; sets has pair_id, size and h."""
+        t = f"{tag}{r}"
+        return f"""dr{t} AS (SELECT pair_id, h, j, ((s * s) % 2147483647) % size AS q FROM (SELECT *, ((h * 4 + j + 1) * 1103515245 + 12345) % 2147483647 AS s FROM ({sets}), range({k}) u(j))),
+st{t} AS (SELECT pair_id, h, {pick} FROM dr{t} JOIN rk{tag} USING (pair_id, q) GROUP BY pair_id, h),
+hl{t} AS (SELECT *, {lin} FROM st{t} WHERE abs({det}) > 1e-9),
+hy{t} AS (SELECT pair_id, h, a, b, xb0 - a * xa0 - b * ya0 AS tx, c, d, yb0 - c * xa0 - d * ya0 AS ty FROM hl{t}),
+sc{t} AS (SELECT pair_id, h, count(*) FILTER (r <= 1.5) AS inl, round(sqrt(avg(r * r) FILTER (r <= 1.5)), 9) AS rmse FROM (SELECT pair_id, h, sqrt(pow(a * xa + b * ya + tx - xb, 2) + pow(c * xa + d * ya + ty - yb, 2)) AS r FROM {source} JOIN hy{t} USING (pair_id)) GROUP BY pair_id, h)"""
+
+    missed = f"least(ln(greatest(1e-12::DOUBLE, 1 - pow(share, {k}))), -1e-12::DOUBLE)"
+    need = f"greatest({n}, least({DEFAULT.most_hypotheses}, ceil(round({round(math.log(1 - DEFAULT.certainty), 9)!r}::DOUBLE / {missed}, 6))))"
     return f"""rk{tag} AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY (match_id * 1103515245 + 12345) % 2147483648, match_id) - 1 AS q FROM {source}),
-st{tag} AS (SELECT pair_id, h, {pick} FROM (SELECT *, q // {k} AS h, q % {k} AS s FROM rk{tag} WHERE q < {k * n}) GROUP BY pair_id, h HAVING count(*) = {k}),
-hl{tag} AS (SELECT *, {lin} FROM st{tag} WHERE abs({det}) > 1e-9),
-hy{tag} AS (SELECT pair_id, h, a, b, xb0 - a * xa0 - b * ya0 AS tx, c, d, yb0 - c * xa0 - d * ya0 AS ty FROM hl{tag}),
-sc{tag} AS (SELECT pair_id, h, count(*) FILTER (r <= 1.5) AS inl, round(sqrt(avg(r * r) FILTER (r <= 1.5)), 9) AS rmse FROM (SELECT pair_id, h, sqrt(pow(a * xa + b * ya + tx - xb, 2) + pow(c * xa + d * ya + ty - yb, 2)) AS r FROM {source} JOIN hy{tag} USING (pair_id)) GROUP BY pair_id, h),
+ct{tag} AS (SELECT pair_id, count(*) AS n, least(count(*), {ft.POOL}) AS size FROM {source} GROUP BY pair_id),
+{tried(1, f"SELECT pair_id, size, h FROM ct{tag}, range({n}) t(h)")},
+nd{tag} AS (SELECT pair_id, size, {need} AS need FROM (SELECT pair_id, any_value(size) AS size, coalesce(max(inl), 0) / any_value(n) AS share FROM ct{tag} LEFT JOIN sc{tag}1 USING (pair_id) GROUP BY pair_id)),
+{tried(2, f"SELECT pair_id, size, h FROM nd{tag}, range({n}, {DEFAULT.most_hypotheses}) t(h) WHERE h < need")},
+hy{tag} AS (SELECT * FROM hy{tag}1 UNION ALL SELECT * FROM hy{tag}2), sc{tag} AS (SELECT * FROM sc{tag}1 UNION ALL SELECT * FROM sc{tag}2),
 tp{tag} AS (SELECT pair_id, h FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY inl DESC, coalesce(rmse, 1e9), h) AS k FROM sc{tag}) WHERE k = 1),
 ch{tag} AS (SELECT hy{tag}.* FROM hy{tag} JOIN tp{tag} USING (pair_id, h)),
 inside{tag} AS (SELECT s.* FROM {source} s JOIN ch{tag} USING (pair_id) WHERE sqrt(pow(a * xa + b * ya + tx - xb, 2) + pow(c * xa + d * ya + ty - yb, 2)) <= 1.5),

@@ -120,13 +120,13 @@ def window_read(spark, sf_dir):
 
 @query(f"WITH {PIXELS}, k AS (SELECT CAST(r // 2 AS INT) AS kr, CAST(c // 2 AS INT) AS kc, avg(CASE WHEN v > -0.1 THEN 1 ELSE 0 END) > 0.5 AS m FROM px GROUP BY ALL) SELECT r, c, v > -0.1 AND m AS valid FROM px JOIN k ON r // 2 = kr AND c // 2 = kc")
 def mask_intersect(spark, sf_dir):
-    fine = pixels(spark, sf_dir).select("r", "c", (F.col("v") > -0.1).alias("valid"))
+    fine = pixels(spark, sf_dir).select("image_id", "r", "c", (F.col("v") > -0.1).alias("valid"))
     return ra.intersect_masks(fine, ra.majority_mask(fine, 2), 2).select("r", "c", "valid")
 
 
 @query(f"WITH {PIXELS}, d AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM px), b AS (SELECT r, CAST((c + 3) % w AS INT) AS c, v AS vb FROM px, d) SELECT b.r, b.c, CASE WHEN (b.r // (h // 8) + b.c // (w // 8)) % 2 = 1 OR a.v = 0 THEN vb ELSE a.v END AS v FROM b JOIN px a ON a.r = b.r AND a.c = b.c, d")
 def checkerboard(spark, sf_dir):
-    return ra.checkerboard(pixels(spark, sf_dir), pixels(spark, sf_dir, "ref", 3)).select("r", "c", "v")
+    return ra.checkerboard(pixels(spark, sf_dir), pixels(spark, sf_dir, "src", 3)).select("r", "c", "v")
 
 
 DEM = PIXELS.replace("AS DOUBLE) AS v", "AS DOUBLE) * 1000 AS v")
@@ -230,7 +230,7 @@ def project_nearest(spark, sf_dir):
     """The strip projected by its degree-3 inverse on the grid of its own samples gives the strip."""
     g = geoloc(spark, sf_dir)
     model = ge.fit_inverse(g, 3)
-    return ge.project(pixels(spark, sf_dir), model, g.select("r", "c", "lon", "lat")).select("r", "c", "v", "valid")
+    return ge.project(pixels(spark, sf_dir), {"src": model}, g.select("r", "c", "lon", "lat")).select("r", "c", "v", "valid")
 
 
 @query(f"""WITH {PIXELS}, {GEOLOC}, q AS (SELECT CAST(r * 64 + c AS BIGINT) AS id, lon + 0.0009::DOUBLE AS x, lat + 0.0007::DOUBLE AS y FROM gl),
@@ -278,11 +278,20 @@ def warp_bilinear(spark, sf_dir):
 def _warped(spark, sf_dir, method):
     p = pixels(spark, sf_dir)
     height, width = p.agg(F.max("r") + 1, F.max("c") + 1).first()
-    models = spark.range(1).select(F.col("id").alias("pair_id"), F.array(*map(F.lit, WARP_M)).alias("m"))
+    models = p.select("image_id").distinct().select("image_id", F.array(*map(F.lit, WARP_M)).alias("m"))
     return rc(ge.warp(p, models, height, width, method), "v")
 
 
-@query()
+def _cubic(d: str) -> str:
+    x = f"abs({d})"
+    return f"CASE WHEN {x} <= 1 THEN 1.25::DOUBLE * {x} * {x} * {x} - 2.25::DOUBLE * {x} * {x} + 1 WHEN {x} < 2 THEN -0.75::DOUBLE * ({x} * {x} * {x} - 5 * {x} * {x} + 8 * {x} - 4) ELSE 0 END"
+
+
+@query(f"""WITH {PIXELS}, g AS (SELECT r, c FROM px),
+s AS (SELECT r, c, round((1.0::DOUBLE * (c + 3.0) - 0.05::DOUBLE * (r - 5.0)) / {_DET!r}::DOUBLE, 9) AS sx, round((0.04::DOUBLE * (c + 3.0) + 1.0 * (r - 5.0)) / {_DET!r}::DOUBLE, 9) AS sy FROM g),
+k AS (SELECT r, c, sx, sy, CAST(floor(sy) AS INT) + i AS pr, CAST(floor(sx) AS INT) + j AS pc FROM s, range(-1, 3) a(i), range(-1, 3) b(j)),
+t AS (SELECT r, c, pr, pc, ({_cubic("sx - pc")}) * ({_cubic("sy - pr")}) AS w FROM k)
+SELECT t.r, t.c, round(coalesce(sum(w * v), 0), 6) + 0.0 AS v FROM t LEFT JOIN px ON pr = px.r AND pc = px.c WHERE w <> 0 GROUP BY t.r, t.c""")
 def warp_cubic(spark, sf_dir):
     return _warped(spark, sf_dir, "cubic")
 

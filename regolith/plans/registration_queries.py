@@ -27,11 +27,15 @@ def query(f):
 
 
 def windows(spark, sf_dir, shift: int = 0) -> DataFrame:
-    """Windows of the raster as images; only whole windows."""
+    """Windows of the raster as images. Every row is in one; the last window reaches back over rows of the one before."""
     p = pixels(spark, sf_dir, "w", shift)
-    cut = p.select(F.concat(F.lit("w"), F.floor(F.col("r") / WINDOW).cast("string")).alias("image_id"), (F.col("r") % WINDOW).alias("r"), "c", "v")
-    whole = cut.groupBy("image_id").agg(F.max("r").alias("last")).where(F.col("last") == WINDOW - 1).select("image_id")
-    return cut.join(whole, "image_id", "left_semi")
+    rows = p.agg(F.max("r") + 1).first()[0] or 0
+    full, last = rows // WINDOW, max(rows - WINDOW, 0)
+    own = F.floor(F.col("r") / WINDOW).cast("int")
+    of = F.array(F.when(own < full, own), F.when((F.col("r") >= last) & F.lit(rows > full * WINDOW), F.lit(full)))
+    placed = p.withColumn("k", F.explode(F.filter(of, lambda k: k.isNotNull())))
+    first = F.when(F.col("k") < full, F.col("k") * WINDOW).otherwise(F.lit(last))
+    return placed.select(F.concat(F.lit("w"), F.col("k").cast("string")).alias("image_id"), (F.col("r") - first).cast("int").alias("r"), "c", "v")
 
 
 @query

@@ -88,6 +88,23 @@ def test_known_models(spark, kind):
     assert np.allclose(transform(m, pa[10:]), pb[10:], atol=1e-3)
 
 
+@pytest.mark.parametrize("kind", MODELS)
+def test_models_under_many_outliers(spark, kind):
+    """At three inliers in ten the planted model is found in every one of 60 pairs."""
+    rng, sets = np.random.default_rng(11), None
+    rows = []
+    for pair in range(60):
+        pa = rng.uniform(0, 500, (120, 2))
+        pb = transform(MODELS[kind], pa) + rng.normal(0, 0.2, pa.shape)
+        pb[rng.permutation(120)[36:]] = rng.uniform(0, 500, (84, 2))
+        rows += [(f"p{pair}", i, *map(float, a), *map(float, b), 1.0) for i, (a, b) in enumerate(zip(pa, pb, strict=True))]
+    sets = spark.createDataFrame(rows, "pair_id string, match_id long, xa double, ya double, xb double, yb double, conf double")
+    at = np.array([[100.0, 100.0], [400.0, 100.0], [250.0, 400.0]])
+    models = fitting.ransac(sets, kind).collect()
+    good = sum(np.abs(transform(np.array(r["m"]).reshape(3, 3), at) - transform(MODELS[kind], at)).max() < 2 for r in models)
+    assert good == 60
+
+
 def test_selection(spark):
     rng = np.random.default_rng(2)
     pa = rng.uniform(0, 500, (120, 2))
@@ -138,12 +155,31 @@ def test_resampling(spark):
 def test_roll_and_masks(spark):
     x = np.arange(12.0).reshape(3, 4)
     assert (grid_of(raster.roll(image(spark, x), 1, 3)) == np.roll(x, (1, 3), (0, 1))).all()
-    fine = image(spark, np.ones((4, 4))).select("r", "c", ((F.col("r") < 2) | (F.col("c") < 1)).alias("valid"))
+    fine = image(spark, np.ones((4, 4))).select("image_id", "r", "c", ((F.col("r") < 2) | (F.col("c") < 1)).alias("valid"))
     assert {(r["r"], r["c"]): r["valid"] for r in raster.majority_mask(fine, 2).collect()} == {(0, 0): True, (0, 1): True, (1, 0): False, (1, 1): False}
     n = raster.substitute(image(spark, np.random.default_rng(0).normal(5, 2, (60, 60))), "noise").agg(F.avg("v"), F.stddev_pop("v")).first()
     assert abs(n[0] - 5) < 0.3 and abs(n[1] - 2) < 0.3
 
 
+def test_two_images_stay_apart(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(5, 1, (12, 12)), rng.normal(50, 1, (12, 12))
+    both = image(spark, x, "x").unionAll(image(spark, y, "y"))
+    ident = spark.createDataFrame([(k, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for k in "xy"], "image_id string, m array<double>")
+    results = {
+        "warp": geometry.warp(both, ident, 12, 12, "bilinear"), "board": raster.checkerboard(both, both), "shade": raster.divide_shading(both, both.withColumn("v", F.lit(2.0))),
+    }
+    for name, df in results.items():
+        for k, want in (("x", x), ("y", y)):
+            own = df.where(F.col("image_id") == k)
+            assert own.count() == 144 and np.allclose(grid_of(own), want / 2 if name == "shade" else want), name
+    masks = both.select("image_id", "r", "c", (F.col("v") < 20).alias("valid"))
+    got = raster.intersect_masks(masks, raster.majority_mask(masks, 2), 2)
+    assert got.count() == 288 and got.where("valid").select("image_id").distinct().collect()[0][0] == "x" and got.where("valid").count() == 144
+    sweep = photometry.azimuth_sweep(photometry.cos_incidence(both, (10.0, 10.0), 135.0, 20.0).withColumn("v", F.col("mu0")), both, (10.0, 10.0), 20.0)
+    assert {(r["image_id"], r["azimuth"]) for r in sweep.collect()} == {("x", 135), ("y", 135)}
+
+
 def test_photometry(spark):
     ew, ns = photometry.pixel_spacing(10.0, 0.0)
     tilt = math.tan(math.radians(20)) * 10
@@ -184,15 +220,21 @@ def test_inverse_and_projection(spark):
     g = spark.createDataFrame(rows, "image_id string, r int, c int, lon double, lat double, pixel double, scan double, v double")
     worse, model = geometry.fit_inverse(g, 1), geometry.fit_inverse(g, 2)
     assert model["rms"] < 0.05 and model["rms"] < worse["rms"]
-    p = geometry.project(g.select("image_id", "r", "c", "v"), model, g.select("r", "c", "lon", "lat"))
+    p = geometry.project(g.select("image_id", "r", "c", "v"), {"s": model}, g.select("r", "c", "lon", "lat"))
     assert np.allclose(grid_of(p), np.arange(256).reshape(16, 16))
-    far = geometry.project(g.select("image_id", "r", "c", "v"), model, g.select("r", "c", (F.col("lon") + 5).alias("lon"), "lat"))
+    far = geometry.project(g.select("image_id", "r", "c", "v"), {"s": model}, g.select("r", "c", (F.col("lon") + 5).alias("lon"), "lat"))
     assert far.where("valid").count() == 0 and far.agg(F.sum("v")).first()[0] == 0
+    two = g.select("image_id", "r", "c", "v").unionAll(g.select(F.lit("t"), "r", "c", F.col("v") + 1000))
+    both = geometry.project(two, {"s": model, "t": model}, g.select("r", "c", "lon", "lat"))
+    assert both.count() == 512 and np.allclose(grid_of(both.where("image_id = 't'")), np.arange(256).reshape(16, 16) + 1000)
+    for bad in (g.where("r = 0"), g.limit(0), g.where("r = 3 AND c < 2")):
+        with pytest.raises(ValueError):
+            geometry.fit_inverse(bad, 1)
 
 
 def test_warp(spark):
     x = np.random.default_rng(6).normal(0, 1, (20, 20))
-    shift = spark.createDataFrame([("p", [1.0, 0.0, 3.0, 0.0, 1.0, -2.0, 0.0, 0.0, 1.0])], "pair_id string, m array<double>")
+    shift = spark.createDataFrame([("i", [1.0, 0.0, 3.0, 0.0, 1.0, -2.0, 0.0, 0.0, 1.0])], "image_id string, m array<double>")
     for method in ("nearest", "bilinear", "cubic"):
         w = grid_of(geometry.warp(image(spark, x), shift, 20, 20, method))
         assert np.allclose(w[:18, 3:], x[2:, :17]) and (w[:, :2] == 0).all()

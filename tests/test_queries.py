@@ -28,6 +28,25 @@ def test_gate_of_windows(spark):
     assert rows and all(r["passed"] for r in rows)
 
 
+def test_windows_hold_every_row(spark):
+    rows = registration_queries.windows(spark, SF).groupBy("image_id").count().collect()
+    cells = registration_queries.pixels(spark, SF)
+    n = cells.agg({"r": "max"}).first()[0] + 1
+    assert len(rows) == -(-n // registration_queries.WINDOW) and {r["count"] for r in rows} == {128 * 64}
+    back = registration_queries.windows(spark, SF).select("c", "v").distinct()
+    assert cells.select("c", "v").distinct().exceptAll(back).isEmpty()
+
+
+def test_shift_of_windows_is_known(spark):
+    """Every window is matched with itself rolled by three columns."""
+    shifts = registration_queries.phase_shift(spark, SF).collect()
+    assert len(shifts) == 4 and all(abs(r["dx"] - 3) < 0.2 and abs(r["dy"]) < 0.2 for r in shifts)
+    matched = registration_queries.match_windows(spark, SF).selectExpr("pair_id", "xb - xa AS dx", "yb - ya AS dy").groupBy("pair_id").agg({"dx": "median", "dy": "median"}).collect()
+    assert len(matched) == 4 and all(abs(r["median(dx)"] - 3) < 0.2 and abs(r["median(dy)"]) < 0.2 for r in matched)
+    metrics = registration_queries.register_pair(spark, SF).collect()
+    assert len(metrics) == 4 and all(r["kind"] == "similarity" and r["sub_pixel"] and r["inlier_ratio"] > 0.9 for r in metrics)
+
+
 def test_entry(spark):
     import __spark_entry__
 
