@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from regolith.config import DEFAULT
 from regolith.operators.match_metrics import apply_model
+from regolith.operators.raster import box_mean, cubic_weight
 
 
 def pixel_size_m(a: Column, identity: Column, crs: Column, geographic: Column, radius_m: float = DEFAULT.moon_radius_m) -> Column:
@@ -98,8 +99,6 @@ def project(pixels: DataFrame, models: dict[str, dict], grid: DataFrame, smooth:
 
     models has an inverse for each image_id. smooth > 1 averages an odd box before.
     """
-    from regolith.operators.raster import box_mean
-
     if smooth > 1:
         k = smooth if smooth % 2 else smooth + 1
         pixels = box_mean(pixels, k).select("image_id", "r", "c", F.col("mean_v").alias("v"))
@@ -213,11 +212,7 @@ def warp(pixels: DataFrame, models: DataFrame, height: int, width: int, method:
         offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span))
 
         def weight(d: Column) -> Column:
-            x = F.abs(d)
-            if method == "bilinear":
-                return F.greatest(F.lit(0.0), 1 - x)
-            near = 1.25 * x * x * x - 2.25 * x * x + 1
-            return F.when(x <= 1, near).when(x < 2, -0.75 * (x * x * x - 5 * x * x + 8 * x - 4)).otherwise(0.0)
+            return F.greatest(F.lit(0.0), 1 - F.abs(d)) if method == "bilinear" else cubic_weight(d)
 
         taps = cells.withColumn("o", F.explode(offsets)).withColumn("pr", (F.floor("sy") + F.col("o.i")).cast("int")).withColumn("pc", (F.floor("sx") + F.col("o.j")).cast("int"))
         taps = taps.select("image_id", "r", "c", "pr", "pc", (weight(F.col("sx") - F.col("pc")) * weight(F.col("sy") - F.col("pr"))).alias("w")).where(F.col("w") != 0)
@@ -230,3 +225,53 @@ def chunks(rows: DataFrame, n: int, size: int) -> DataFrame:
     k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk")
     row0 = F.floor(F.greatest(F.lit(0), F.col("height") - size) * F.col("chunk") / F.lit(max(n - 1, 1)))
     return rows.select("image_id", "height", k).select("image_id", "chunk", row0.cast("int").alias("row0"))
+
+
+def lines_in_tile(backplane: DataFrame, west: float, east: float, south: float, north: float, least: int = 128) -> DataFrame:
+    """Per image(image_id, r, c, lat, lon): first and last line whose middle sample lies in the tile, and how many do, where at least so many do."""
+    middle = backplane.groupBy("image_id").agg(F.floor((F.max("c") + 1) / 2).cast("int").alias("mid"))
+    inside = F.col("lat").between(south, north) & F.col("lon").between(west, east)
+    lines = backplane.join(middle, "image_id").where((F.col("c") == F.col("mid")) & inside)
+    return lines.groupBy("image_id").agg(F.min("r").alias("first"), F.max("r").alias("last"), F.count("*").alias("lines")).where(F.col("lines") >= least)
+
+
+def strip_window(pixels: DataFrame, row: int, size: int, probe: int = 8) -> DataFrame:
+    """Per image the corner (row0, col0) of a window centred on the imaged swath at a row, found from a few probe lines.
+
+    Images whose probe has fewer imaged columns than the window are left out.
+    """
+    full = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
+    row0 = F.greatest(F.lit(0), F.least(F.lit(row), F.col("height") - size))
+    lines = pixels.join(full.withColumn("row0", row0), "image_id").where((F.col("r") >= F.col("row0")) & (F.col("r") < F.col("row0") + probe))
+    seen = lines.where(F.col("v") > 0).groupBy("image_id", "row0", "width").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count_distinct("c").alias("columns"))
+    centre = F.floor((F.col("a") + F.col("b")) / 2) - size // 2
+    col0 = F.greatest(F.lit(0), F.least(F.col("width") - size, centre)).cast("int")
+    return seen.where(F.col("columns") >= size).select("image_id", "row0", col0.alias("col0"), "columns")
+
+
+def reference_window(tiles: DataFrame, pixels: DataFrame, west: float, south: float, east: float, north: float, least: float = 0.5) -> DataFrame:
+    """r, c, v of the box read from the first of tiles(image_id, west, north, step) whose data fill over the least share; 0 where it has none.
+
+    The box is a grid of the tile's steps; cells past the tile's edge are cells without data.
+    """
+    w, h = F.rint(F.lit(east - west) / F.col("step")).cast("int"), F.rint(F.lit(north - south) / F.col("step")).cast("int")
+    base = tiles.select("image_id", w.alias("w"), h.alias("h"), F.rint((F.col("north") - north) / F.col("step")).cast("int").alias("r0"), F.rint((west - F.col("west")) / F.col("step")).cast("int").alias("c0"))
+    read = pixels.join(base, "image_id").where((F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r0") + F.col("h")) & (F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c0") + F.col("w")))
+    share = read.groupBy("image_id", "w", "h", "r0", "c0").agg((F.count_if(F.col("v") > 0) / (F.col("w") * F.col("h"))).alias("share")).where(F.col("share") > least)
+    first = share.agg(F.min(F.struct("image_id", "w", "h", "r0", "c0")).alias("t")).select("t.*").where(F.col("image_id").isNotNull())
+    rows = first.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("r"))
+    grid = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    have = read.select("image_id", (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), "v")
+    return grid.select("image_id", "r", "c").join(have, ["image_id", "r", "c"], "left").select("image_id", "r", "c", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def degree_sweep(geoloc: DataFrame, grid: DataFrame, height: int, width: int, degrees: tuple[int, ...] = (1, 2, 3, 4), most_rms: float = 5.0, least_fill: float = 0.1) -> DataFrame:
+    """Per degree of the inverse: its RMS in pixels, the share of the grid that falls on the strip, and whether both are in their limits."""
+    out = None
+    for degree in degrees:
+        model = fit_inverse(geoloc, degree)
+        px, py = apply_inverse(model)
+        on = F.rint(px).between(0, width - 1) & F.rint(py).between(0, height - 1)
+        row = grid.agg(F.avg(on.cast("int")).alias("fill")).select(F.lit(degree).alias("degree"), F.lit(float(model["rms"])).alias("rms"), "fill")
+        out = row if out is None else out.unionAll(row)
+    return out.withColumn("passed", (F.col("rms") < most_rms) & (F.col("fill") > least_fill))

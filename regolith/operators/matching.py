@@ -22,25 +22,59 @@ class Matcher(Protocol):
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray: ...
 
 
-#: Rows of the train side in a block of the neighbour search.
+#: Descriptors in a block of the neighbour search, of either side.
 BLOCK = 2048
 
 
 def knn_ratio(query: DataFrame, train: DataFrame, ratio: float, hamming: bool = False) -> DataFrame:
     """qid, tid, d1, d2 of queries whose nearest train descriptor is nearer than ratio times the second.
 
-    query(qid, d) and train(tid, d) with arrays; hamming compares arrays of bit words (longs). The train
-    side is dealt into blocks of bounded size, which every query visits; a block gives its two best only.
+    query(qid, d) and train(tid, d) with arrays of one length; hamming compares arrays of bit words (longs).
+    Both sides are dealt into blocks of bounded size; a pair of blocks is one matrix product and gives the
+    two best of each query only. Null descriptors take no part; equal distances go to the smaller tid.
     """
-    n = max(1, -(-train.count() // BLOCK))
-    blocks = train.select("tid", F.col("d").alias("td"), F.pmod(F.xxhash64("tid"), F.lit(n)).cast("int").alias("b"))
-    asked = query.select("qid", F.col("d").alias("qd"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    query, train = query.where(F.col("d").isNotNull()), train.where(F.col("d").isNotNull())
+    n_query, n_train = (max(1, -(-df.count() // BLOCK)) for df in (query, train))
+
+    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int").alias(own)
+        return df.select(F.col(key).cast("long").alias(key), F.col("d").alias(f"{own}_d"), block, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({"qid": [], "tid": [], "d": []}).astype({"qid": "int64", "tid": "int64", "d": "float64"})
+        a, b = np.stack(q["i_d"].to_numpy()), np.stack(t["j_d"].to_numpy())
+        tids = t["tid"].to_numpy(np.int64)
+        rows, cols, d = _nearest_two(a, b, tids, hamming)
+        return pd.DataFrame({"qid": q["qid"].to_numpy(np.int64)[rows], "tid": tids[cols], "d": d})
+
+    asked, blocks = dealt(query, "qid", "i", n_query, "j", n_train), dealt(train, "tid", "j", n_train, "i", n_query)
+    pairs = asked.groupBy("i", "j").cogroup(blocks.groupBy("i", "j")).applyInPandas(search, "qid long, tid long, d double")
+    return _two_least(pairs.select("qid", F.struct("d", "tid").alias("x"))).where(F.col("d1") < ratio * F.col("d2"))
+
+
+def _nearest_two(a: np.ndarray, b: np.ndarray, tids: np.ndarray, hamming: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, train row and distance (9 decimals) of the two nearest of each row of a, ties by tid."""
+    last = min(1, len(b) - 1)
     if hamming:
-        d = F.aggregate(F.zip_with("qd", "td", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x).cast("double")
+        d = np.zeros((len(a), len(b)))
+        for k in range(a.shape[1]):
+            d += np.bitwise_count(a[:, k : k + 1].astype(np.int64).view(np.uint64) ^ b[:, k].astype(np.int64).view(np.uint64)[None])
+        rows, cols = np.nonzero(d <= np.partition(d, last, axis=1)[:, last : last + 1])
+        exact = d[rows, cols]
     else:
-        d = F.sqrt(F.aggregate(F.zip_with("qd", "td", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    pairs = asked.join(blocks, "b").select("qid", F.struct(F.round(d, 9).alias("d"), F.col("tid").alias("tid")).alias("x"))
-    return _two_least(pairs).where(F.col("d1") < ratio * F.col("d2"))
+        a, b = a.astype(float), b.astype(float)
+        a2, b2 = (a**2).sum(1), (b**2).sum(1)
+        near = a2[:, None] + b2[None] - 2 * a @ b.T
+        # the product rounds: whatever may be among the two nearest is measured by its differences
+        reach = np.partition(near, last, axis=1)[:, last] + 1e-9 * (1 + a2 + b2.max())
+        rows, cols = np.nonzero(near <= reach[:, None])
+        exact = np.round(np.sqrt(((a[rows] - b[cols]) ** 2).sum(1)), 9)
+    order = np.lexsort((tids[cols], exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    first = np.searchsorted(rows, np.arange(len(a)))
+    keep = np.arange(len(rows)) - first[rows] < 2
+    return rows[keep], cols[keep], exact[keep]
 
 
 def _two_least(pairs: DataFrame) -> DataFrame:
@@ -83,26 +117,34 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
 
 
 def correlation_matcher(a: np.ndarray, b: np.ndarray, stride: int = 8, half: int = 4, reach: int = 20, least: float = 0.5) -> np.ndarray:
-    """Default matcher: centres of stride x stride cells of a, placed in b by normalised cross-correlation within reach."""
-    out = []
-    k = 2 * half
-    b = b.astype(float)
+    """Default matcher: centres of stride x stride cells of a, placed in b by normalised cross-correlation within reach.
+
+    The patches of a row of centres are compared at once with the same band of b.
+    """
+    k, b, a = 2 * half, b.astype(float), a.astype(float)
+    xs = np.arange(half, a.shape[1] - half + 1, stride)
+    found = []
     for y in range(half, a.shape[0] - half + 1, stride):
-        for x in range(half, a.shape[1] - half + 1, stride):
-            patch = a[y - half : y + half, x - half : x + half].astype(float)
-            if patch.shape != (k, k) or patch.std() < 1e-3:
-                continue
-            y0, x0 = max(0, y - half - reach), max(0, x - half - reach)
-            area = b[y0 : y + half + reach, x0 : x + half + reach]
-            if area.shape[0] < k or area.shape[1] < k:
-                continue
-            views = np.lib.stride_tricks.sliding_window_view(area, (k, k))
-            mean, sd = views.mean((2, 3)), views.std((2, 3))
-            score = np.einsum("ijkl,kl->ij", views, patch - patch.mean()) / (k * k * np.maximum(sd, 1e-6) * patch.std())
-            i, j = np.unravel_index(int(score.argmax()), score.shape)
-            if score[i, j] >= least and sd[i, j] >= 1e-3 and np.isfinite(mean[i, j]):
-                out.append((x, y, x0 + j + half, y0 + i + half, score[i, j]))
-    return np.array(out).reshape(-1, 5)
+        y0 = max(0, y - half - reach)
+        band = b[y0 : y + half + reach]
+        if band.shape[0] < k or band.shape[1] < k or not len(xs):
+            continue
+        patches = np.stack([a[y - half : y + half, x - half : x + half] for x in xs]).reshape(len(xs), -1)
+        sd_a = patches.std(1)
+        views = np.lib.stride_tricks.sliding_window_view(band, (k, k))
+        rows, cols = views.shape[:2]
+        flat = views.reshape(rows * cols, k * k)
+        sd_b = flat.std(1)
+        score = (patches - patches.mean(1, keepdims=True)) @ flat.T / (k * k * np.maximum(sd_a, 1e-9)[:, None] * np.maximum(sd_b, 1e-6)[None])
+        score = score.reshape(len(xs), rows, cols)
+        away = np.abs(np.arange(cols)[None] + half - xs[:, None]) > reach
+        score[np.broadcast_to(away[:, None, :], score.shape)] = -np.inf
+        best = score.reshape(len(xs), -1).argmax(1)
+        value = score.reshape(len(xs), -1)[np.arange(len(xs)), best]
+        i, j = np.divmod(best, cols)
+        fine = (sd_a >= 1e-3) & (value >= least) & (sd_b[best] >= 1e-3)
+        found.append(np.stack([xs, np.full(len(xs), y), j + half, y0 + i + half, value], 1)[fine])
+    return np.concatenate(found) if found else np.zeros((0, 5))
 
 
 def match_tiles(source: DataFrame, reference: DataFrame, matcher: Matcher = correlation_matcher, cfg: Config = DEFAULT) -> DataFrame:

@@ -99,9 +99,11 @@ def decimate(pixels: DataFrame, k: int) -> DataFrame:
 
 
 def resample_area(pixels: DataFrame, factor: float) -> DataFrame:
-    """Area-weighted shrink by a factor over 1, to max(1, round(size / factor)) cells a side."""
+    """Resampled to max(1, round(size / factor)) cells a side: area-weighted where it shrinks (factor over 1), cubic where it grows."""
     if abs(factor - 1) < 1e-6:
         return pixels
+    if factor < 1:
+        return resample_cubic(pixels, factor)
     size = extent(pixels)
     out = lambda c: F.greatest(F.lit(1), F.rint(F.col(c) / factor).cast("int"))
     return resample_to(pixels, size.select("image_id", "height", "width", out("height").alias("h"), out("width").alias("w")))
@@ -124,6 +126,32 @@ def resample_to(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     return p.groupBy("image_id", F.col("or").alias("r"), F.col("oc").alias("c")).agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("v"))
 
 
+def cubic_weight(d: Column) -> Column:
+    """Weight of a sample at distance d of the cubic kernel with a = -0.75."""
+    x = F.abs(d)
+    near = 1.25 * x * x * x - 2.25 * x * x + 1
+    return F.when(x <= 1, near).when(x < 2, -0.75 * (x * x * x - 5 * x * x + 8 * x - 4)).otherwise(0.0)
+
+
+def resample_cubic(pixels: DataFrame, factor: float) -> DataFrame:
+    """Cubic interpolation between cell centres, the border cells repeated outwards; rows first, then columns."""
+    out = lambda c: F.greatest(F.lit(1), F.rint(F.col(c) / factor).cast("int"))
+    sizes = extent(pixels).select("image_id", "height", "width", out("height").alias("h"), out("width").alias("w"))
+
+    def along(df: DataFrame, axis: str, n: str, full: str) -> DataFrame:
+        """The axis interpolated: every output cell takes four input cells, which it finds by their key."""
+        other = "c" if axis == "r" else "r"
+        step = F.col(full) / F.col(n)
+        cells = sizes.select("image_id", n, full, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("o"))
+        at = (F.col("o") + 0.5) * step - 0.5
+        taps = cells.withColumn("at", at).withColumn("j", F.explode(F.array(*map(F.lit, (-1, 0, 1, 2))))).withColumn("k", (F.floor("at") + F.col("j")).cast("int"))
+        taps = taps.select("image_id", "o", F.greatest(F.lit(0), F.least(F.col(full) - 1, F.col("k"))).cast("int").alias(axis), cubic_weight(F.col("at") - F.col("k")).alias("weight"))
+        met = df.join(taps, ["image_id", axis])
+        return met.groupBy("image_id", F.col("o").alias(axis), other).agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
+
+    return along(along(pixels.select("image_id", "r", "c", "v"), "r", "h", "height"), "c", "w", "width").select("image_id", "r", "c", "v")
+
+
 def to_common_gsd(source: DataFrame, reference: DataFrame, source_gsd: float | None, reference_gsd: float | None):
     """Both rasters on the coarser grid, and the ratio; nothing is done for equal or unknown distances."""
     if not source_gsd or not reference_gsd or abs(source_gsd - reference_gsd) < 1e-9:

@@ -126,10 +126,12 @@ def report(gate: DataFrame) -> DataFrame:
 
 
 def locate_overlap(scores: DataFrame) -> DataFrame:
-    """Search profile of each pair from scores(pair_id, row0, matches): best row, best over median, found (at least 3)."""
-    g = scores.groupBy("pair_id").agg(F.max_by("row0", F.struct("matches", -F.col("row0"))).alias("row0"), F.max("matches").alias("best"), F.median("matches").alias("middle"))
+    """Search profile of each pair from scores(pair_id, row0, matches): best row, most, least and median, most over median, found (at least 3)."""
+    g = scores.groupBy("pair_id").agg(
+        F.max_by("row0", F.struct("matches", -F.col("row0"))).alias("row0"), F.max("matches").alias("best"), F.min("matches").alias("least"), F.median("matches").alias("middle")
+    )
     ratio = F.col("best") / F.greatest("middle", F.lit(1.0))
-    return g.select("pair_id", "row0", "best", ratio.alias("peak"), (ratio >= 3).alias("found"))
+    return g.select("pair_id", "row0", "best", "least", "middle", ratio.alias("peak"), (ratio >= 3).alias("found"))
 
 
 def evaluate(matches: DataFrame, gates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
