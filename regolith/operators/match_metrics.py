@@ -71,18 +71,18 @@ def residuals(matches: DataFrame, models: DataFrame) -> DataFrame:
     return joined.withColumn("residual", F.hypot(px - F.col("xb"), py - F.col("yb"))).drop("m")
 
 
-def summarise(fitted: DataFrame, size: float, dof: int = 4, gsd_m: float | None = None, source_gsd_m: float | None = None, grid: int = DEFAULT.uniformity_grid) -> DataFrame:
+def summarise(fitted: DataFrame, size: float, dof: int | str = 4, gsd_m: float | None = None, source_gsd_m: float | None = None, grid: int = DEFAULT.uniformity_grid) -> DataFrame:
     """The metric block of each pair, from matches with residual and inlier.
 
     rmse_px is over inliers as they are; rmse_px_guarded is NULL unless they over-determine the model, and
-    sub_pixel follows the guarded figure. Figures that need an unknown GSD are NULL, and so absent in JSON.
+    sub_pixel follows the guarded figure. dof is the model's degrees of freedom, or the column of fitted that has them. Figures that need an unknown GSD are NULL, and so absent in JSON.
     """
     inl = F.col("inlier")
     base = fitted.groupBy("pair_id").agg(
-        F.count("*").alias("match_count"), F.count_if(inl).alias("inlier_count"), F.sqrt(F.avg(F.when(inl, F.col("residual") * F.col("residual")))).alias("rmse_px")
+        (F.max(dof) if isinstance(dof, str) else F.lit(dof)).alias("dof"), F.count("*").alias("match_count"), F.count_if(inl).alias("inlier_count"), F.sqrt(F.avg(F.when(inl, F.col("residual") * F.col("residual")))).alias("rmse_px")
     )
-    ok = 2 * F.col("inlier_count") > dof
-    base = base.withColumn("inlier_ratio", F.col("inlier_count") / F.col("match_count")).withColumn("rmse_px_guarded", F.when(ok, F.col("rmse_px")))
+    ok = 2 * F.col("inlier_count") > F.col("dof")
+    base = base.withColumn("inlier_ratio", F.col("inlier_count") / F.col("match_count")).withColumn("rmse_px_guarded", F.when(ok, F.col("rmse_px"))).drop("dof")
     base = base.withColumn("sub_pixel", F.coalesce(F.col("rmse_px_guarded") < 1.0, F.lit(False)))
     gsd, own = F.lit(gsd_m).cast("double"), F.lit(source_gsd_m).cast("double")
     base = base.withColumn("rmse_m", F.col("rmse_px") * gsd).withColumn("rmse_source_px", F.col("rmse_px") * gsd / own)

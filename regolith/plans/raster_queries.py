@@ -35,9 +35,9 @@ def dem(spark, sf_dir):
     return pixels(spark, sf_dir).withColumn("v", F.col("v") * 1000)
 
 
-SPACING = ph.pixel_spacing(7.403, 12.0)
+SPACING = ph.Spacing.at(7.403, 12.0)
 EW, NS = (repr(x) for x in SPACING)
-SUN = (90.0, 20.0)
+SUN = ph.Sun(90.0, 20.0)
 STRETCH = "b AS (SELECT quantile_cont({v}, 0.01) AS lo, quantile_cont({v}, 0.99) AS hi FROM {t})"
 U = "CAST(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({v} - lo) / greatest(hi - lo, 1e-6))) * 255) AS INT)"
 DIM = "dim AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM px)"
@@ -142,13 +142,13 @@ def gradient_normals(spark, sf_dir):
 
 
 def _mu0(az, el, table="nm"):
-    e, n, u = (repr(x) for x in ph.sun_vector(az, el))
+    e, n, u = (repr(x) for x in ph.Sun(az, el).vector())
     return f"greatest(0.0::DOUBLE, nx * {e}::DOUBLE + ny * {n}::DOUBLE + nz * {u}::DOUBLE)"
 
 
 @query(f"WITH {DEM}, {NORM} SELECT r, c, round({_mu0(*SUN)}, 6) + 0.0 AS mu0 FROM nm")
 def cos_incidence(spark, sf_dir):
-    return rc(ph.cos_incidence(dem(spark, sf_dir), SPACING, *SUN), "mu0")
+    return rc(ph.cos_incidence(dem(spark, sf_dir), SPACING, SUN), "mu0")
 
 
 #: Steps of the march towards the sun, the operator's default.
@@ -164,7 +164,7 @@ sh AS (SELECT DISTINCT mr.r, mr.c FROM mr JOIN px b ON b.r = br AND b.c = bc WHE
 
 @query(f"WITH {DEM}, {_shadow(*SUN)} SELECT r, c FROM sh")
 def cast_shadows(spark, sf_dir):
-    return ph.cast_shadows(dem(spark, sf_dir), SPACING, *SUN).select("r", "c")
+    return ph.cast_shadows(dem(spark, sf_dir), SPACING, SUN).select("r", "c")
 
 
 LS = f"(({_mu0(*SUN)}) / (({_mu0(*SUN)}) + 1) / 0.5::DOUBLE)"
@@ -172,17 +172,17 @@ LS = f"(({_mu0(*SUN)}) / (({_mu0(*SUN)}) + 1) / 0.5::DOUBLE)"
 
 @query(f"WITH {DEM}, {NORM}, {_shadow(*SUN)} SELECT nm.r, nm.c, round(CASE WHEN sh.r IS NOT NULL THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {LS})) END, 6) + 0.0 AS v FROM nm LEFT JOIN sh ON nm.r = sh.r AND nm.c = sh.c")
 def render_lommel_seeliger(spark, sf_dir):
-    return rc(ph.render(dem(spark, sf_dir), 7.403, 12.0, *SUN), "v")
+    return rc(ph.render(dem(spark, sf_dir), SPACING, SUN), "v")
 
 
 @query(f"WITH {DEM}, {NORM}, s AS (SELECT r, c, greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_mu0(*SUN)})) AS s FROM nm) SELECT s.r, s.c, round(CASE WHEN s >= 0.08::DOUBLE THEN px.v / s ELSE 0 END, 6) + 0.0 AS v FROM s JOIN px ON s.r = px.r AND s.c = px.c")
 def shading_division(spark, sf_dir):
     d = dem(spark, sf_dir)
-    return rc(ra.divide_shading(d, ph.render(d, 7.403, 12.0, *SUN, model="lambert", shadows=False)), "v")
+    return rc(ra.divide_shading(d, ph.render(d, SPACING, SUN, law="lambert", shadows=False)), "v")
 
 
 def _sweep_sql() -> str:
-    suns = ", ".join(f"({a}, {', '.join(repr(x) + '::DOUBLE' for x in ph.sun_vector(a, 20.0))})" for a in range(0, 360, 15))
+    suns = ", ".join(f"({a}, {', '.join(repr(x) + '::DOUBLE' for x in ph.Sun(a, 20.0).vector())})" for a in range(0, 360, 15))
     return f"""WITH {DEM}, {NORM}, sun(az, e, n, u) AS (VALUES {suns}), img AS (SELECT r, CAST((c + 3) % 64 AS INT) AS c, v AS iv FROM px),
 l AS (SELECT az, iv, greatest(0.0::DOUBLE, nx * e + ny * n + nz * u) AS s FROM nm JOIN img USING (r, c), sun),
 k AS (SELECT az, round(CASE WHEN coalesce(stddev_pop(s), 0) < 1e-12 OR coalesce(stddev_pop(iv), 0) < 1e-12 THEN 0 ELSE corr(s, iv) END, 9) AS corr FROM l GROUP BY az)

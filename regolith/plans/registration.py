@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from regolith.config import DEFAULT, DOF, Config
 from regolith.functions.tables import written
-from regolith.operators import fitting, matching, match_metrics, raster
+from regolith.operators import fitting, geometry, match_metrics, matching, raster
+from regolith.sources import sinks
 
 #: Two rasters to matches: whatever normalisation a method needs is inside.
 MatchFunction = Callable[[DataFrame, DataFrame], DataFrame]
@@ -52,7 +53,7 @@ def match_aligned(source: DataFrame, reference: DataFrame, match: MatchFunction,
 
 def register(
     source: DataFrame, reference: DataFrame, size: float, source_gsd: float | None = None, reference_gsd: float | None = None, native_gsd: float | None = None,
-    match: MatchFunction | None = None, kinds: tuple[str, ...] = ("similarity", "affine"), coarse: bool = True, cfg: Config = DEFAULT,
+    match: MatchFunction | None = None, kinds: tuple[str, ...] = ("similarity", "affine", "homography"), coarse: bool = True, cfg: Config = DEFAULT,
 ) -> Registration:
     """Common ground sample distance, contrast, coarse and tiled matching, model choice, fit and metrics of each pair.
 
@@ -72,46 +73,58 @@ def register(
     models = written(models, "models")
     fitted = match_metrics.residuals(found, models).withColumn("inlier", F.col("residual") <= cfg.ransac_px)
     common = max(source_gsd, reference_gsd) if source_gsd and reference_gsd else None
-    metrics = match_metrics.summarise(fitted, size, DOF["affine"] if "affine" in kinds else DOF["similarity"], common, native_gsd or source_gsd)
+    freedom = F.create_map(*(F.lit(x) for k in kinds for x in (k, DOF[k])))[F.col("kind")]
+    fitted_of_kind = fitted.join(models.select("pair_id", "kind"), "pair_id").withColumn("dof", freedom).drop("kind")
+    metrics = match_metrics.summarise(fitted_of_kind, size, "dof", common, native_gsd or source_gsd)
     return Registration(fitted, models, metrics.join(chosen, "pair_id"), "/".join(kinds), ratio)
 
 
 def control_gate(source: DataFrame, reference: DataFrame, match: MatchFunction, cfg: Config = DEFAULT) -> DataFrame:
-    """pair_id, name, passed, detail of the four controls, for each pair.
+    """pair_id, name, passed, matches, real_matches, dx, dy of the four controls, for each pair.
 
     Real pair, raw source rolled, noise and constant become one relation tagged by control, matched by one plan:
-    the input is perturbed, never the normalised image. Where the real pair fails, only its row is reported.
+    the input is perturbed, never the normalised image. dx and dy are offsets, of the rolled source less the
+    real one's. Where the real pair fails, only its row is reported.
     """
-    tag = lambda df, k: df.withColumn("image_id", F.concat_ws("|", "image_id", F.lit(k)))
+    roll = f"roll +{cfg.control_roll_px} raw"
     source, reference = source.select("image_id", "r", "c", "v"), reference.select("image_id", "r", "c", "v")
     variants = {
-        "real": source, "roll": raster.roll(source, columns=cfg.control_roll_px), "noise": raster.substitute(source, "noise"), "constant": raster.substitute(source, "constant"),
+        "real pair": source, roll: raster.roll(source, columns=cfg.control_roll_px), "noise": raster.substitute(source, "noise"), "constant": raster.substitute(source, "constant"),
     }
+    tag = lambda df, k: df.withColumn("image_id", F.concat_ws("|", "image_id", F.lit(k)))
     src = ref = None
     for k, df in variants.items():
         src = tag(df, k) if src is None else src.unionByName(tag(df, k))
         ref = tag(reference, k) if ref is None else ref.unionByName(tag(reference, k))
     found = written(match(src, ref), "controls")
-    off = match_metrics.offset_mad(found, cfg).withColumn("pair", F.substring_index("pair_id", "|", 1)).withColumn("control", F.substring_index("pair_id", "|", -1))
-    pairs = source.select(F.col("image_id").alias("pair")).distinct()
-    of = lambda k, *cols: off.where(F.col("control") == k).select("pair", *(F.col(c).alias(f"{k}_{c}") for c in cols))
-    all_ = pairs.join(of("real", "n", "dx", "dy"), "pair", "left").join(of("roll", "dx"), "pair", "left").join(of("noise", "n"), "pair", "left").join(of("constant", "n"), "pair", "left")
-    all_ = all_.fillna(0, ["real_n", "noise_n", "constant_n"])
-    moved = F.col("roll_dx") - F.col("real_dx")
-    real_ok = F.col("real_dx").isNotNull()
-
-    def beaten(k):
-        n = F.col(f"{k}_n")
-        return (n < cfg.min_matches) | (F.col("real_n") / F.greatest(n, F.lit(1)) >= cfg.noise_reject_ratio), F.format_string("n=%d vs real %d", n, F.col("real_n"))
-
-    checks = [
-        ("real pair", real_ok, F.when(real_ok, F.format_string("n=%d  dx=%+.2f dy=%+.2f", "real_n", "real_dx", "real_dy")).otherwise(F.format_string("only %d matches", "real_n"))),
-        (f"roll +{cfg.control_roll_px} raw", F.coalesce(F.abs(moved + cfg.control_roll_px) < cfg.control_roll_tolerance_px, F.lit(False)), F.coalesce(F.format_string("dx moved %+.2f", moved), F.lit("collapsed, cannot verify"))),
-        ("noise", *beaten("noise")), ("constant", *beaten("constant")),
-    ]
-    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), ok.alias("passed"), d.alias("detail")) for n, ok, d in checks)))
-    out = all_.select(F.col("pair").alias("pair_id"), real_ok.alias("real"), rows.alias("x")).select("pair_id", "real", "x.*")
-    return out.where(F.col("real") | (F.col("name") == "real pair")).drop("real")
+    names = F.explode(F.array(*map(F.lit, variants))).alias("name")
+    wanted = source.select(F.col("image_id").alias("pair_id")).distinct().select("pair_id", names)
+    off = match_metrics.offset_mad(found, cfg).select(F.substring_index("pair_id", "|", 1).alias("pair_id"), F.substring_index("pair_id", "|", -1).alias("name"), F.col("n").alias("matches"), "dx", "dy")
+    rows = wanted.join(off, ["pair_id", "name"], "left").fillna(0, ["matches"])
+    # every control is told by its own figures and the real pair's
+    real = off.where(F.col("name") == "real pair").select("pair_id", F.col("matches").alias("real_matches"), F.col("dx").alias("real_dx"), F.col("dy").alias("real_dy"))
+    rows = rows.join(real, "pair_id", "left").fillna(0, ["real_matches"])
+    rolled = F.col("name") == roll
+    for c in ("dx", "dy"):
+        rows = rows.withColumn(c, F.when(rolled, F.col(c) - F.col(f"real_{c}")).otherwise(F.col(c)))
+    follows = F.coalesce(F.abs(F.col("dx") + cfg.control_roll_px) < cfg.control_roll_tolerance_px, F.lit(False))
+    beaten = (F.col("matches") < cfg.min_matches) | (F.col("real_matches") / F.greatest("matches", F.lit(1)) >= cfg.noise_reject_ratio)
+    sound = F.col("real_dx").isNotNull()
+    passed = F.when(F.col("name") == "real pair", sound).when(rolled, follows).otherwise(beaten)
+    return rows.where(sound | (F.col("name") == "real pair")).select("pair_id", "name", passed.alias("passed"), "matches", "real_matches", "dx", "dy")
+
+
+def deliver(result: Registration, source: DataFrame, height: int, width: int, path: str, extra: dict[str, str] | None = None) -> dict[str, str]:
+    """Writes the registered source raster, the match points and the metrics; returns where each is.
+
+    source is on the common grid; each image is warped by its pair's model onto height x width cells.
+    """
+    paths = {k: f"{path}/{k}" for k in ("raster", "points", "metrics")}
+    models = result.models.select(F.col("pair_id").alias("image_id"), "m")
+    sinks.write_raster(geometry.warp(source, models, height, width), paths["raster"])
+    sinks.write_match_points(result.matches, paths["points"])
+    sinks.write_metrics(result.metrics, paths["metrics"], extra)
+    return paths
 
 
 def verdict(gate: DataFrame) -> DataFrame:
@@ -121,8 +134,9 @@ def verdict(gate: DataFrame) -> DataFrame:
 
 def report(gate: DataFrame) -> DataFrame:
     """One line of text for each control."""
-    word = F.when(F.col("passed"), "PASS").otherwise("FAIL")
-    return gate.select("pair_id", F.format_string("  %-18s %-44s %s", "name", "detail", word).alias("line"))
+    shift = F.coalesce(F.format_string(", shifted by (%.1f, %.1f)", "dx", "dy"), F.lit(""))
+    word = F.when(F.col("passed"), "holds").otherwise("does not hold")
+    return gate.select("pair_id", F.concat(F.col("name"), F.lit(": "), word, F.lit(" with "), F.col("matches").cast("string"), F.lit(" matches"), shift).alias("line"))
 
 
 def locate_overlap(scores: DataFrame) -> DataFrame:
