@@ -95,12 +95,13 @@ def least_squares(matches: DataFrame, kind: str) -> DataFrame:
     return s.where(F.abs(det) > 1e-9).select("pair_id", _matrix(a, b, tx, c, d, ty).alias("m"))
 
 
-def _scores(matches: DataFrame, h: DataFrame, cfg: Config) -> DataFrame:
-    """pair_id, h, inliers and their rmse over all matches of the pair."""
+def _tried(matches: DataFrame, kind: str, wanted: DataFrame, cfg: Config) -> DataFrame:
+    """pair_id, h, m of the wanted sets, with their inliers and the inliers' rmse over all matches of the pair."""
     px, py = apply_model(F.col("xa"), F.col("ya"), F.col("m"))
-    joined = matches.join(h, "pair_id").withColumn("res", F.hypot(px - F.col("xb"), py - F.col("yb")))
+    joined = matches.join(hypotheses(matches, kind, wanted), "pair_id").withColumn("res", F.hypot(px - F.col("xb"), py - F.col("yb")))
     good = F.col("res") <= cfg.ransac_px
-    return joined.groupBy("pair_id", "h").agg(F.count_if(good).alias("inliers"), F.round(F.sqrt(F.avg(F.when(good, F.col("res") * F.col("res")))), 9).alias("rmse"))
+    rmse = F.round(F.sqrt(F.avg(F.when(good, F.col("res") * F.col("res")))), 9)
+    return joined.groupBy("pair_id", "h").agg(F.first("m").alias("m"), F.count_if(good).alias("inliers"), rmse.alias("rmse"))
 
 
 def sets_needed(share: Column, kind: str, cfg: Config = DEFAULT) -> Column:
@@ -116,24 +117,31 @@ def ransac(matches: DataFrame, kind: str, cfg: Config = DEFAULT) -> DataFrame:
     cfg.hypotheses sets are tried for every pair, then up to cfg.most_hypotheses for those whose share of
     inliers so far asks for more. Pairs without a sound set, or with fewer matches than its points, are left out.
     """
+    return _ransac(written(matches.select("pair_id", "match_id", "xa", "ya", "xb", "yb"), "points"), kind, cfg)
+
+
+def _ransac(matches: DataFrame, kind: str, cfg: Config) -> DataFrame:
+    """ransac() of matches that are cheap to read again."""
     size = matches.groupBy("pair_id").agg(F.count("*").alias("size"))
-    h = written(hypotheses(matches, kind, size.select("pair_id", F.lit(0).alias("first"), F.lit(cfg.hypotheses).alias("last"))), "hypotheses")
-    scored = written(_scores(matches, h, cfg), "scores")
-    share = scored.groupBy("pair_id").agg(F.max("inliers").alias("inliers")).join(size, "pair_id", "right")
+    first = written(_tried(matches, kind, size.select("pair_id", F.lit(0).alias("first"), F.lit(cfg.hypotheses).alias("last")), cfg), "tried")
+    share = first.groupBy("pair_id").agg(F.max("inliers").alias("inliers")).join(size, "pair_id", "right")
     share = share.select("pair_id", (F.coalesce("inliers", F.lit(0)) / F.col("size")).alias("share"))
-    more = share.select("pair_id", F.lit(cfg.hypotheses).alias("first"), sets_needed(F.col("share"), kind, cfg).alias("last")).where("last > first")
-    second = written(hypotheses(matches, kind, more), "hypotheses")
-    if not second.isEmpty():
-        scored = scored.unionByName(_scores(matches.join(more.select("pair_id"), "pair_id", "left_semi"), second, cfg))
-        h = h.unionByName(second)
-    best = scored.groupBy("pair_id").agg(F.max_by("h", F.struct("inliers", -F.coalesce("rmse", F.lit(1e9)), -F.col("h"))).alias("h"))
-    chosen = written(h.join(best, ["pair_id", "h"]).select("pair_id", F.col("m").alias("m0")), "chosen")
-    for _ in range(3 if kind == "homography" else 1):  # one through four noisy points is far off its inliers' own
-        px, py = apply_model(F.col("xa"), F.col("ya"), F.col("m0"))
-        inside = matches.join(chosen, "pair_id").where(F.hypot(px - F.col("xb"), py - F.col("yb")) <= cfg.ransac_px).drop("m0")
-        refit = least_squares(inside, kind).withColumnRenamed("m", "m1")
-        chosen = written(chosen.join(refit, "pair_id", "left").select("pair_id", F.coalesce("m1", "m0").alias("m0")), "chosen")
-    return chosen.withColumnRenamed("m0", "m")
+    more = share.select("pair_id", F.lit(cfg.hypotheses).alias("first"), sets_needed(F.col("share"), kind, cfg).alias("last"))
+    tried = first.unionByName(_tried(matches, kind, more, cfg))
+    best = F.max_by("m", F.struct("inliers", -F.coalesce("rmse", F.lit(1e9)), -F.col("h")))
+    chosen = written(tried.groupBy("pair_id").agg(best.alias("m")), "chosen")
+    if kind == "homography":  # one through four noisy points is far off its inliers' own
+        for _ in range(2):
+            chosen = written(_refitted(matches, chosen, kind, cfg), "chosen")
+    return _refitted(matches, chosen, kind, cfg)
+
+
+def _refitted(matches: DataFrame, chosen: DataFrame, kind: str, cfg: Config) -> DataFrame:
+    """chosen(pair_id, m) fitted again on all its inliers, where these determine a model."""
+    px, py = apply_model(F.col("xa"), F.col("ya"), F.col("m"))
+    inside = matches.join(chosen, "pair_id").where(F.hypot(px - F.col("xb"), py - F.col("yb")) <= cfg.ransac_px).drop("m")
+    refit = least_squares(inside, kind).withColumnRenamed("m", "fitted")
+    return chosen.join(refit, "pair_id", "left").select("pair_id", F.coalesce("fitted", "m").alias("m"))
 
 
 def fit(matches: DataFrame, kind: str = "similarity", cfg: Config = DEFAULT) -> DataFrame:
@@ -212,10 +220,10 @@ def select_model(matches: DataFrame, kinds: tuple[str, ...] = ("similarity", "af
     is taken only if its median is lower than the best one's by the margin. Pairs of fewer than 16 matches are left out.
     """
     enough = matches.groupBy("pair_id").count().where(F.col("count") >= cfg.min_matches_for_split).select("pair_id")
-    some = matches.join(enough, "pair_id", "left_semi").withColumn("train", F.floor(lcg() / 65536) % 2 == 0)
+    some = written(matches.join(enough, "pair_id", "left_semi").select("pair_id", "match_id", "xa", "ya", "xb", "yb"), "points").withColumn("train", F.floor(lcg() / 65536) % 2 == 0)
     out = None
     for kind in kinds:
-        models = ransac(some.where("train").drop("train"), kind, cfg)
+        models = _ransac(some.where("train").drop("train"), kind, cfg)
         held = residuals(some.where(~F.col("train")).drop("train"), models).groupBy("pair_id").agg(F.median("residual").alias(kind))
         out = held if out is None else out.join(held, "pair_id", "left")
     best, value = F.lit(kinds[0]), F.col(kinds[0])

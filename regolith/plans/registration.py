@@ -65,8 +65,9 @@ def register(
     found = written(match_aligned(source, reference, match, cfg) if coarse else match(source, reference), "matches")
     choice = written(fitting.select_model(found, kinds, cfg).select("pair_id", "best"), "choice")
     chosen = found.select("pair_id").distinct().join(choice, "pair_id", "left").select("pair_id", F.coalesce("best", F.lit("similarity")).alias("kind"))
+    taken = {r["kind"] for r in chosen.select("kind").distinct().collect()}  # a kind that no pair takes is not fitted
     models = None
-    for kind in kinds:
+    for kind in (k for k in kinds if k in taken or k == kinds[0]):
         own = found.join(chosen.where(F.col("kind") == kind), "pair_id", "left_semi")
         m = fitting.ransac(own, kind, cfg).withColumn("kind", F.lit(kind))
         models = m if models is None else models.unionByName(m)
