@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from regolith.config import DEFAULT
+from regolith.functions.tables import written
 
 
 def extent(pixels: DataFrame) -> DataFrame:
@@ -20,18 +21,56 @@ def _stretched(value: Column, lo: Column, hi: Column) -> Column:
     return F.when(x.isNull(), 0).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 255)).cast("int")
 
 
+#: Value ranges into which a group is cut in one round of the search for quantiles.
+RANGES = 4096
+
+
+def quantiles(values: DataFrame, by: tuple[str, ...], probabilities: tuple[float, ...]) -> DataFrame:
+    """by..., p: exact quantiles (interpolated between neighbours) of x in values(by..., x); NULL takes no part.
+
+    No task sees a group as a whole: two rounds count the values of a group in ranges, find those that hold
+    the wanted ranks from the running sum over the ranges, and go on with their values alone.
+    """
+    v = values.where(F.col("x").isNotNull()).select(*by, "x")
+    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("q")) for i, p in enumerate(probabilities)))).alias("place")
+    want = v.groupBy(*by).agg(F.count("*").alias("n")).select(*by, (F.col("n") - 1).alias("last"), places)
+    want = want.select(*by, F.col("place.i").alias("i"), (F.col("place.q") * F.col("last")).alias("position"))
+    want = want.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank", F.when(F.col("side") == 0, F.floor("position")).otherwise(F.ceil("position")))
+
+    def reached(want: DataFrame, counts: DataFrame, keys: list[str], order: str) -> DataFrame:
+        """want at the row of counts that its rank falls in, with the rank inside it."""
+        upto = F.sum("count").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        met = want.join(counts.withColumn("upto", upto), keys).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count")))
+        return met.withColumn("rank", F.col("rank") - (F.col("upto") - F.col("count"))).drop("upto", "count")
+
+    keys = list(by)
+    for part in ("range1", "range2"):
+        edges = v.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+        place = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES)
+        v = v.join(edges, keys).withColumn(part, F.when(F.col("hi") > F.col("lo"), F.least(F.lit(RANGES - 1), place)).otherwise(0).cast("int")).drop("lo", "hi")
+        want = written(reached(want, v.groupBy(*keys, part).count(), keys, part), "ranks")
+        keys.append(part)
+        v = written(v.join(want.select(*keys).distinct(), keys, "left_semi"), "ranged")
+    at = reached(want, v.groupBy(*keys, "x").count(), keys, "x")
+    low, high = (F.max(F.when(F.col("side") == k, F.col("x"))) for k in (0, 1))
+    between = (F.ceil("position") - F.col("position")) * F.col("low") + (F.col("position") - F.floor("position")) * F.col("high")
+    each = at.groupBy(*by, "i", "position").agg(low.alias("low"), high.alias("high")).withColumn("value", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("p")).select(*by, F.col("p.value").alias("p"))
+
+
 def stretch8(pixels: DataFrame, mask: Column | None = None, value: str = "v") -> DataFrame:
     """pixels with u in 0..255: stretched between the 1st and 99th percentile of the finite (and masked) values.
 
     No data, and images without any finite value, become 0.
     """
+    pixels = written(pixels, "pixels")
     x = F.when(F.isnan(value) | (F.abs(F.col(value)) == float("inf")), F.lit(None)).otherwise(F.col(value))
     used = x if mask is None else F.when(mask, x)
-    bounds = pixels.groupBy("image_id").agg(F.percentile(used, F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    bounds = quantiles(pixels.select("image_id", used.alias("x")), ("image_id",), (0.01, 0.99))
     lo, hi = F.element_at("p", 1), F.element_at("p", 2)
     if mask is not None:  # a flat masked image keeps a range of one
         hi = F.when(hi <= lo, lo + 1).otherwise(hi)
-    return pixels.join(bounds, "image_id").withColumn("u", _stretched(x, lo, hi)).drop("p")
+    return pixels.join(bounds, "image_id", "left").withColumn("u", _stretched(x, lo, hi)).drop("p")
 
 
 def _mirrored(pixels: DataFrame, axis: str, half: int) -> DataFrame:
@@ -46,10 +85,13 @@ def _mirrored(pixels: DataFrame, axis: str, half: int) -> DataFrame:
 def box_mean(pixels: DataFrame, k: int, columns: tuple[str, ...] = ("v",)) -> DataFrame:
     """pixels with mean_<column> over k x k cells: one window over each row, then one over each column.
 
-    k // 2 must be less than the image's height and width.
+    k // 2 must be less than the image's height and width: smaller images raise an error.
     """
     half = k // 2
-    out = pixels
+    side = extent(pixels)
+    small = F.least("height", "width") <= half
+    fits = side.select("image_id", F.when(small, F.raise_error(F.lit(f"an image is too small for a box of {k} cells"))).otherwise(F.lit(True)).alias("_fits"))
+    out = pixels.join(fits, "image_id").where("_fits").drop("_fits")
     for axis, other in (("c", "r"), ("r", "c")):
         w = Window.partitionBy("image_id", other).orderBy(axis).rowsBetween(-half, half)
         done = _mirrored(out, axis, half)

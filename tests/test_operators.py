@@ -138,6 +138,21 @@ def test_box_mean_mirrors(spark):
     assert np.allclose(grid_of(raster.box_mean(image(spark, x), 3), "mean_v"), want)
 
 
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(12)
+    groups = {"a": rng.normal(0, 1, 5000), "b": np.repeat([1.0, 2.0, 5.0], [3, 900, 1]), "c": np.array([7.0]), "d": np.full(50, -3.0), "e": np.exp(rng.normal(0, 9, 3000)), "f": rng.integers(0, 9, 400).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("z", None)], "image_id string, x double")
+    got = {r["image_id"]: r["p"] for r in raster.quantiles(df, ("image_id",), (0.01, 0.5, 0.99)).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert np.allclose(got[k], np.quantile(x, [0.01, 0.5, 0.99]), rtol=1e-12, atol=0), k
+
+
+def test_small_images_raise(spark):
+    with pytest.raises(Exception, match="too small for a box"):
+        raster.box_mean(image(spark, np.ones((9, 2))), 7).collect()
+
+
 def test_resampling(spark):
     x = np.random.default_rng(4).normal(100, 30, (64, 48))
     d = grid_of(raster.decimate(image(spark, x), 4))
