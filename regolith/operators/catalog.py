@@ -24,11 +24,10 @@ def bbox(records: DataFrame) -> DataFrame:
 
 
 def probe_box(footprints: DataFrame, at_lat: float, degrees: float = 1.0) -> DataFrame:
-    """A box of a degree where a strip crosses a latitude, within the strip; the middle latitude where it does not."""
-    lat = F.when(F.lit(at_lat).between(F.col("south"), F.col("north")), F.lit(at_lat)).otherwise((F.col("south") + F.col("north")) / 2)
+    """A box of a degree where a strip crosses a latitude, no wider than the strip; strips that do not cross it have none."""
     lon, h = (F.col("west") + F.col("east")) / 2, degrees / 2
-    return footprints.select(
-        "product_id", F.greatest("west", lon - h).alias("west"), F.least("east", lon + h).alias("east"), F.greatest("south", lat - h).alias("south"), F.least("north", lat + h).alias("north")
+    return footprints.where(F.lit(at_lat).between(F.col("south"), F.col("north"))).select(
+        "product_id", F.greatest("west", lon - h).alias("west"), F.least("east", lon + h).alias("east"), F.lit(at_lat - h).alias("south"), F.lit(at_lat + h).alias("north")
     )
 
 
@@ -70,16 +69,38 @@ def containing_tile(strips: DataFrame, tiles: DataFrame, check_north: bool = Tru
 
 
 def rank_products(footprints: DataFrame, tiles: DataFrame, at_lat: float | None = None) -> DataFrame:
-    """Products by how much reference they cover: hits, area, density; narrowest first at a latitude, else nearest the equator."""
+    """Products by how much reference they cover: hits, area, density; smallest strips first at a latitude, else nearest the equator."""
     base = footprints if at_lat is None else probe_box(footprints, at_lat).join(footprints.select("product_id", "instrument"), "product_id")
     hits = overlap(base, tiles).groupBy("product_id").agg(F.count("*").alias("hits"), F.sum("area").alias("covered"))
     out = footprints.join(hits, "product_id").withColumn("density", F.col("hits") / area_deg2())
-    order = (F.col("east") - F.col("west")) if at_lat is not None else F.abs((F.col("south") + F.col("north")) / 2)
+    order = area_deg2() if at_lat is not None else F.abs((F.col("south") + F.col("north")) / 2)
     return out.select("product_id", "hits", "covered", "density", order.alias("order_key"))
 
 
+def pick_products(footprints: DataFrame, references: DataFrame, at_lat: float | None = None, max_lat: float = 90.0, bins=INCIDENCE_BINS) -> DataFrame:
+    """Products worth fetching: the references(tile_id, box, incidence) that each meets, by number, density and incidence.
+
+    Without at_lat the whole box of a product within max_lat is scored, and those nearest the equator come first; with
+    it a probe box where a strip crosses that latitude, and the smallest strips come first. illuminations counts the
+    incidence bins that hold two references or more. Products that meet none are left out.
+    """
+    if at_lat is None:
+        near = footprints.where(F.abs((F.col("south") + F.col("north")) / 2) <= max_lat)
+        scored, order = near, F.abs((F.col("south") + F.col("north")) / 2)
+    else:
+        near = footprints.where(F.lit(at_lat).between(F.col("south"), F.col("north")) & F.lit(abs(at_lat) <= max_lat))
+        scored, order = probe_box(near, at_lat).join(near.select("product_id", "instrument"), "product_id"), area_deg2()
+    met = overlap(scored, references).join(references.select("tile_id", "incidence"), "tile_id")
+    last = len(bins) - 1
+    counts = [F.count_if((F.col("incidence") >= lo) & ((F.col("incidence") <= hi) if i == last else (F.col("incidence") < hi))) for i, (lo, hi) in enumerate(bins)]
+    hits = met.groupBy("product_id").agg(F.count("*").alias("hits"), sum((n >= 2).cast("int") for n in counts).alias("illuminations"))
+    area = scored.select("product_id", area_deg2().alias("_area"))
+    out = near.join(hits, "product_id").join(area, "product_id")
+    return out.select("product_id", "hits", (F.col("hits") / F.col("_area")).alias("density"), "illuminations", (F.col("illuminations") >= 2).alias("multi"), order.alias("order_key"))
+
+
 def latitude_band(lat: Column) -> Column:
-    return F.when(lat < -60, "south polar").when(lat < -20, "south mid").when(lat < 20, "equatorial").when(lat < 60, "north mid").otherwise("north polar")
+    return F.when(lat < -60, "south polar").when(lat < -20, "south mid").when(lat <= 20, "equatorial").when(lat <= 60, "north mid").otherwise("north polar")
 
 
 def band_histogram(footprints: DataFrame) -> DataFrame:

@@ -42,13 +42,13 @@ def footprint_bbox(spark, sf_dir):
     return rounded(ct.bbox(records).select("product_id", "west", "east", "south", "north"))
 
 
-@query(f"""WITH {FOOTPRINTS}, p AS (SELECT product_id, CASE WHEN 0 BETWEEN south AND north THEN 0 ELSE (south + north) / 2 END AS lat, (west + east) / 2 AS lon, west, east, south, north FROM fp)
-SELECT product_id, round(greatest(west, lon - 0.5), 6) AS west, round(least(east, lon + 0.5), 6) AS east, round(greatest(south, lat - 0.5), 6) + 0.0 AS south, round(least(north, lat + 0.5), 6) + 0.0 AS north FROM p""")
+@query(f"""WITH {FOOTPRINTS}, p AS (SELECT product_id, (west + east) / 2 AS lon, west, east FROM fp WHERE 0 BETWEEN south AND north)
+SELECT product_id, round(greatest(west, lon - 0.5), 6) AS west, round(least(east, lon + 0.5), 6) AS east, -0.5::DOUBLE AS south, 0.5::DOUBLE AS north FROM p""")
 def probe_boxes(spark, sf_dir):
     return rounded(ct.probe_box(footprints(spark, sf_dir), 0.0))
 
 
-BAND = "CASE WHEN (south + north) / 2 < -60 THEN 'south polar' WHEN (south + north) / 2 < -20 THEN 'south mid' WHEN (south + north) / 2 < 20 THEN 'equatorial' WHEN (south + north) / 2 < 60 THEN 'north mid' ELSE 'north polar' END"
+BAND = "CASE WHEN (south + north) / 2 < -60 THEN 'south polar' WHEN (south + north) / 2 < -20 THEN 'south mid' WHEN (south + north) / 2 <= 20 THEN 'equatorial' WHEN (south + north) / 2 <= 60 THEN 'north mid' ELSE 'north polar' END"
 
 
 @query(f"WITH {FOOTPRINTS} SELECT instrument, {BAND} AS band, count(*) AS products FROM fp GROUP BY ALL")
