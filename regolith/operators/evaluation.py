@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regolith.config import DEFAULT, Config
+from regolith.config import DEFAULT, DOF, Config
+from regolith.operators.fitting import fit
+from regolith.operators.match_metrics import summarise
 
 
 def pooled(sets: dict[str, DataFrame]) -> DataFrame:
@@ -62,6 +64,20 @@ def adoption(baseline: DataFrame, candidate: DataFrame, gates: DataFrame) -> Dat
     return both.select("case", "b_matches", "matches", rule.otherwise("adopt").alias("verdict"))
 
 
+def fit_scores(matches: DataFrame, size: float, kind: str = "affine", least_inliers: int = 0, cfg: Config = DEFAULT) -> DataFrame:
+    """The figures that every method is compared by: matches, and those of a robust fit of the pair, to four decimals.
+
+    Pairs with fewer than cfg.min_matches matches, without a model or with fewer inliers than asked for keep their
+    count; ratio and RMSE are NULL, coverage and entropy 0.
+    """
+    counts = matches.groupBy("pair_id").agg(F.count("*").alias("matches"))
+    enough = matches.join(counts.where(F.col("matches") >= cfg.min_matches).select("pair_id"), "pair_id", "left_semi")
+    figures = summarise(fit(enough, kind, cfg), size, DOF[kind]).where(F.col("inlier_count") >= least_inliers)
+    four = lambda c: F.round(c, 4).alias(c)
+    got = figures.select("pair_id", "inlier_count", *map(four, ("inlier_ratio", "rmse_px", "coverage", "entropy")))
+    return counts.join(got, "pair_id", "left").fillna(0.0, ["coverage", "entropy"])
+
+
 def scene_of(stem: Column) -> Column:
     """The scene in a name of the form scene_row_col_number."""
     return F.regexp_replace(stem, r"(_[^_]*){3}$", "")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.config import DEFAULT
+from regolith.operators.catalog import nearest_band
 from regolith.operators.match_metrics import apply_model
 from regolith.operators.raster import box_mean, cubic_weight
 
@@ -235,6 +236,39 @@ def lines_in_tile(backplane: DataFrame, west: float, east: float, south: float,
     return lines.groupBy("image_id").agg(F.min("r").alias("first"), F.max("r").alias("last"), F.count("*").alias("lines")).where(F.col("lines") >= least)
 
 
+def band_lines(cube: DataFrame, bands: DataFrame, backplane: DataFrame, nm: float, south: float, north: float, mirrored: bool = False, least: int = 64) -> DataFrame:
+    """image_id, r, c, v of the band of cube(image_id, band, r, c, v) nearest to a wavelength, from the lines between two latitudes.
+
+    Lines run from the first to the last whose middle sample lies there and count from 0; cells without data are 0.
+    mirrored turns columns round, for products that are stored so. Images with fewer than the least lines are left out.
+    """
+    lines = lines_in_tile(backplane, -360.0, 360.0, south, north, least).select("image_id", "first", "last")
+    width = backplane.groupBy("image_id").agg((F.max("c") + 1).alias("width"))
+    which = nearest_band(bands, nm).select("image_id", "band").join(lines, "image_id").join(width, "image_id")
+    read = cube.join(which, ["image_id", "band"]).where(F.col("r").between(F.col("first"), F.col("last")))
+    c = F.col("width") - 1 - F.col("c") if mirrored else F.col("c")
+    return read.select("image_id", (F.col("r") - F.col("first")).alias("r"), c.alias("c"), F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0)).alias("v"))
+
+
+def valid_chunks(pixels: DataFrame, n: int, size: int, least: float = 0.5) -> DataFrame:
+    """Of n row chunks spaced evenly down each image: row0 and the share of cells with data, where it reaches the least."""
+    full = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
+    places = chunks(full.select("image_id", "height"), n, size).join(full, "image_id")
+    rows = pixels.groupBy("image_id", "r").agg(F.count_if(F.col("v") > 0).alias("n"))
+    touched = F.explode(F.sequence(F.floor(F.col("row0") / size), F.floor((F.col("row0") + size - 1) / size)))
+    met = places.withColumn("b", touched).join(rows.withColumn("b", F.floor(F.col("r") / size)), ["image_id", "b"])
+    met = met.where(F.col("r").between(F.col("row0"), F.col("row0") + size - 1))
+    share = met.groupBy("image_id", "chunk", "row0", "width", "height").agg(F.sum("n").alias("n"))
+    share = share.withColumn("share", F.col("n") / (F.least(F.lit(size), F.col("height")) * F.col("width")))
+    return share.where(F.col("share") >= least).select("image_id", "chunk", "row0", "share")
+
+
+def checked_latlon(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Both as they are; a latitude beyond the poles is an error, since the transform's units cannot be metres then."""
+    wrong = F.raise_error(F.concat(F.lit("latitude out of range: "), lat.cast("string")))
+    return F.when(lat.isNull() | (F.abs(lat) <= 90), lat).otherwise(wrong.cast("double")), lon
+
+
 def strip_window(pixels: DataFrame, row: int, size: int, probe: int = 8) -> DataFrame:
     """Per image the corner (row0, col0) of a window centred on the imaged swath at a row, found from a few probe lines.
 

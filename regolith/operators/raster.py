@@ -237,6 +237,11 @@ def divide_shading(image: DataFrame, rendered: DataFrame, floor: float = 0.08, c
     return both.select("image_id", "r", "c", value.alias("v"))
 
 
+def high_pass_shading(image: DataFrame, rendered: DataFrame, clamp: float = 0.15, k: int = DEFAULT.contrast_kernel) -> DataFrame:
+    """divide_shading with clamped shading, then local contrast: the smooth residue of the shading, common to all images, goes."""
+    return local_contrast(divide_shading(image, rendered, clamp=clamp), k)
+
+
 def checkerboard(a: DataFrame, b: DataFrame, squares: int = 8) -> DataFrame:
     """Squares of a and b by turns, for each image of both; where a has no value, b's is shown."""
     size = extent(b)

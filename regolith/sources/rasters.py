@@ -16,6 +16,16 @@ def read_raster(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_first(spark: SparkSession, *paths: str) -> DataFrame:
+    """The first of some Parquet sources that is there, as the full data or else a sample of it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        place = hadoop(path)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(f"none of {paths} is there")
+
+
 def read_window(spark: SparkSession, path: str, image_id: str, row: int, col: int, height: int, width: int) -> DataFrame:
     """Cells of a window; the bounds reach the Parquet scan."""
     cells = spark.read.parquet(path).where((F.col("image_id") == image_id) & F.col("r").between(row, row + height - 1) & F.col("c").between(col, col + width - 1))

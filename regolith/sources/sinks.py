@@ -40,10 +40,16 @@ def training_manifest(pairs: DataFrame, least: int = 64) -> DataFrame:
     return pairs.groupBy("name", "tile", "tilt_deg").agg(F.count("*").alias("n_correspondences")).where(F.col("n_correspondences") >= least)
 
 
-def even_sample(matches: DataFrame, most: int = 120) -> DataFrame:
-    """At most `most` matches of each pair, evenly spaced by match_id; for drawing."""
+def write_training_pairs(pairs: DataFrame, path: str, least: int = 64) -> None:
+    """pairs/ with the correspondences of pairs that have enough, and manifest/ with a JSON line for each of them."""
+    manifest = training_manifest(pairs, least)
+    kept = pairs.join(manifest.select("name", "tile", "tilt_deg"), ["name", "tile", "tilt_deg"], "left_semi")
+    kept.write.mode("overwrite").parquet(f"{path}/pairs")
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def even_sample(matches: DataFrame, most: int = 120) -> DataFrame:
+    """At most `most` matches of each pair, evenly spaced by match_id; for drawing."""
     w = Window.partitionBy("pair_id").orderBy("match_id")
     n = F.count("*").over(Window.partitionBy("pair_id"))
     numbered = matches.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)

@@ -2,11 +2,11 @@
 
 import pytest
 
-from regolith.plans import catalog_queries, evaluation_queries, match_queries, raster_queries, registration_queries
+from regolith.plans import catalog_queries, evaluation_queries, match_queries, raster_queries, registration_queries, training_queries
 from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
-PARTS = (match_queries, raster_queries, catalog_queries, evaluation_queries, registration_queries)
+PARTS = (match_queries, raster_queries, catalog_queries, evaluation_queries, training_queries, registration_queries)
 WITH_SQL = [(p, n) for p in PARTS for n in p.SQL]
 WITHOUT = [(p, n) for p in PARTS for n in p.QUERIES if n not in p.SQL]
 #: May be empty on the smallest tables.
