@@ -34,14 +34,18 @@ def _matrix(a, b, tx, c, d, ty) -> Column:
     return F.array(a, b, tx, c, d, ty, F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
-def point_sets(matches: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+def drawing_pool(matches: DataFrame) -> DataFrame:
+    """The first POOL matches of each pair in the fixed order, with their rank: sets are drawn from them, scores use all."""
+    rank = F.row_number().over(Window.partitionBy("pair_id").orderBy(lcg(), "match_id"))
+    return matches.select("pair_id", "xa", "ya", "xb", "yb", rank.alias("rank")).where(F.col("rank") <= POOL)
+
+
+def point_sets(pool: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
     """pair_id, h and the coordinates xa0, ya0, xb0, yb0, ... of the sets that wanted(pair_id, first, last) names, last exclusive.
 
     Point j of set h is a fixed pseudo-random member of the pool; sets that repeat one are degenerate.
     """
     k = POINTS[kind]
-    rank = F.row_number().over(Window.partitionBy("pair_id").orderBy(lcg(), "match_id"))
-    pool = matches.select("pair_id", "xa", "ya", "xb", "yb", rank.alias("rank")).where(F.col("rank") <= POOL)
     size = pool.groupBy("pair_id").agg(F.count("*").alias("size"))
     sets = wanted.where(F.col("last") > F.col("first")).select("pair_id", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("h")).join(size, "pair_id")
     step = F.pmod((F.col("h").cast("long") * 4 + F.col("j") + 1) * 1103515245 + 12345, F.lit(2147483647))
@@ -51,11 +55,11 @@ def point_sets(matches: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
     return drawn.join(pool, ["pair_id", "rank"]).groupBy("pair_id", "h").agg(*cols)
 
 
-def hypotheses(matches: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+def hypotheses(pool: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
     """pair_id, h, m: models through the wanted sets; degenerate sets are left out."""
-    sets = point_sets(matches, kind, wanted)
+    sets = point_sets(pool, kind, wanted)
     if kind == "homography":
-        return sets.mapInPandas(_homographies, f"pair_id {matches.schema['pair_id'].dataType.simpleString()}, h int, m array<double>")
+        return sets.mapInPandas(_homographies, f"pair_id {pool.schema['pair_id'].dataType.simpleString()}, h int, m array<double>")
     if kind == "similarity":
         x, y, u, v = (F.col(f"{c}1") - F.col(f"{c}0") for c in ("xa", "ya", "xb", "yb"))
         det = x * x + y * y
@@ -95,13 +99,16 @@ def least_squares(matches: DataFrame, kind: str) -> DataFrame:
     return s.where(F.abs(det) > 1e-9).select("pair_id", _matrix(a, b, tx, c, d, ty).alias("m"))
 
 
-def _tried(matches: DataFrame, kind: str, wanted: DataFrame, cfg: Config) -> DataFrame:
+def _tried(matches: DataFrame, pool: DataFrame, kind: str, wanted: DataFrame, cfg: Config) -> DataFrame:
     """pair_id, h, m of the wanted sets, with their inliers and the inliers' rmse over all matches of the pair."""
+    sets = written(hypotheses(pool, kind, wanted), "sets")
     px, py = apply_model(F.col("xa"), F.col("ya"), F.col("m"))
-    joined = matches.join(hypotheses(matches, kind, wanted), "pair_id").withColumn("res", F.hypot(px - F.col("xb"), py - F.col("yb")))
+    joined = matches.join(sets, "pair_id").select("pair_id", "h", F.hypot(px - F.col("xb"), py - F.col("yb")).alias("res"))
     good = F.col("res") <= cfg.ransac_px
     rmse = F.round(F.sqrt(F.avg(F.when(good, F.col("res") * F.col("res")))), 9)
-    return joined.groupBy("pair_id", "h").agg(F.first("m").alias("m"), F.count_if(good).alias("inliers"), rmse.alias("rmse"))
+    # the models join again afterwards: an array among the sums would have every row sorted
+    figures = joined.groupBy("pair_id", "h").agg(F.count_if(good).alias("inliers"), rmse.alias("rmse"))
+    return figures.join(sets, ["pair_id", "h"]).select("pair_id", "h", "m", "inliers", "rmse")
 
 
 def sets_needed(share: Column, kind: str, cfg: Config = DEFAULT) -> Column:
@@ -117,17 +124,18 @@ def ransac(matches: DataFrame, kind: str, cfg: Config = DEFAULT) -> DataFrame:
     cfg.hypotheses sets are tried for every pair, then up to cfg.most_hypotheses for those whose share of
     inliers so far asks for more. Pairs without a sound set, or with fewer matches than its points, are left out.
     """
-    return _ransac(written(matches.select("pair_id", "match_id", "xa", "ya", "xb", "yb"), "points"), kind, cfg)
+    points = written(matches.select("pair_id", "match_id", "xa", "ya", "xb", "yb"), "points")
+    return _ransac(points, written(drawing_pool(points), "pool"), kind, cfg)
 
 
-def _ransac(matches: DataFrame, kind: str, cfg: Config) -> DataFrame:
-    """ransac() of matches that are cheap to read again."""
+def _ransac(matches: DataFrame, pool: DataFrame, kind: str, cfg: Config) -> DataFrame:
+    """ransac() of matches and their drawing pool, both cheap to read again."""
     size = matches.groupBy("pair_id").agg(F.count("*").alias("size"))
-    first = written(_tried(matches, kind, size.select("pair_id", F.lit(0).alias("first"), F.lit(cfg.hypotheses).alias("last")), cfg), "tried")
+    first = written(_tried(matches, pool, kind, size.select("pair_id", F.lit(0).alias("first"), F.lit(cfg.hypotheses).alias("last")), cfg), "tried")
     share = first.groupBy("pair_id").agg(F.max("inliers").alias("inliers")).join(size, "pair_id", "right")
     share = share.select("pair_id", (F.coalesce("inliers", F.lit(0)) / F.col("size")).alias("share"))
     more = share.select("pair_id", F.lit(cfg.hypotheses).alias("first"), sets_needed(F.col("share"), kind, cfg).alias("last"))
-    tried = first.unionByName(_tried(matches, kind, more, cfg))
+    tried = first.unionByName(_tried(matches, pool, kind, more, cfg))
     best = F.max_by("m", F.struct("inliers", -F.coalesce("rmse", F.lit(1e9)), -F.col("h")))
     chosen = written(tried.groupBy("pair_id").agg(best.alias("m")), "chosen")
     if kind == "homography":  # one through four noisy points is far off its inliers' own
@@ -219,11 +227,14 @@ def select_model(matches: DataFrame, kinds: tuple[str, ...] = ("similarity", "af
     Models are fitted on one half (by a bit of the fixed key) and judged on the other; a more complex kind
     is taken only if its median is lower than the best one's by the margin. Pairs of fewer than 16 matches are left out.
     """
-    enough = matches.groupBy("pair_id").count().where(F.col("count") >= cfg.min_matches_for_split).select("pair_id")
-    some = written(matches.join(enough, "pair_id", "left_semi").select("pair_id", "match_id", "xa", "ya", "xb", "yb"), "points").withColumn("train", F.floor(lcg() / 65536) % 2 == 0)
+    points = written(matches.select("pair_id", "match_id", "xa", "ya", "xb", "yb"), "points")
+    enough = points.groupBy("pair_id").count().where(F.col("count") >= cfg.min_matches_for_split).select("pair_id")
+    some = points.join(enough, "pair_id", "left_semi").withColumn("train", F.floor(lcg() / 65536) % 2 == 0)
+    fitted_on = some.where("train").drop("train")
+    pool = written(drawing_pool(fitted_on), "pool")
     out = None
     for kind in kinds:
-        models = _ransac(some.where("train").drop("train"), kind, cfg)
+        models = _ransac(fitted_on, pool, kind, cfg)
         held = residuals(some.where(~F.col("train")).drop("train"), models).groupBy("pair_id").agg(F.median("residual").alias(kind))
         out = held if out is None else out.join(held, "pair_id", "left")
     best, value = F.lit(kinds[0]), F.col(kinds[0])
