@@ -92,4 +92,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (rid)
 """
 
-SQL = {"op2_warc": WARC, "op4_top_k": TOP_K, "op6_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op8_substrings": SUBSTRINGS}
+SUFFIXES = """
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, k, p, substring(h, 2 * p + 1, 100) AS s FROM (SELECT rid, k, h, unnest(range(0, CAST(length(h) // 2 AS BIGINT) - 49)) AS p FROM d)),
+f AS (SELECT s, min(k) AS m FROM w GROUP BY s),
+r AS (SELECT rid, p, coalesce(p > 50 + lag(p) OVER (PARTITION BY rid ORDER BY p), true) AS fresh FROM w JOIN f USING (s) WHERE k > m),
+n AS (SELECT rid, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY rid ORDER BY p) AS run FROM r),
+g AS (SELECT rid, run, min(p) AS b, max(p) + 50 AS e FROM n GROUP BY rid, run),
+k AS (SELECT rid, b, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY b), 0) AS last_end FROM g),
+x AS (
+  SELECT d.rid, string_agg(substring(d.h, 2 * k.last_end + 1, 2 * (k.b - k.last_end)), '' ORDER BY k.b) || substring(any_value(d.h), 2 * max(k.e) + 1) AS kept,
+    CAST(sum(k.e - k.b) AS BIGINT) AS n_removed, count(*) AS n_spans
+  FROM k JOIN d USING (rid) GROUP BY d.rid)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(x.n_removed, 0) AS n_removed, coalesce(x.n_spans, 0) AS n_spans, sha256(unhex(coalesce(x.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN x USING (rid)
+"""
+
+SQL = {"op2_warc": WARC, "op4_top_k": TOP_K, "op6_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op8_substrings": SUBSTRINGS, "op13_suffix_dedup": SUFFIXES}
