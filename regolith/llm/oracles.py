@@ -108,4 +108,23 @@ SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(x.n_remov
 FROM d LEFT JOIN x USING (rid)
 """
 
-SQL = {"op2_warc": WARC, "op4_top_k": TOP_K, "op6_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op8_substrings": SUBSTRINGS, "op13_suffix_dedup": SUFFIXES}
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - CAST(m AS BIGINT) + 2)) AS i FROM w, range(1, 6) AS s(m)) GROUP BY ALL),
+c AS (SELECT * FROM g WHERE m > 1 AND f >= 100),
+k AS (SELECT c.*, string_split(phrase, ' ') AS x, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.m, k.f AS a, k.k, l.f AS l, r.f AS r, n.n, (CAST(1000 AS HUGEINT) * k.f * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM k JOIN n USING (lang) JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(k.x[1:k.k], ' ') JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(k.x[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.f >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM q WHERE rank <= 2000
+"""
+
+SQL = {"op2_warc": WARC, "op4_top_k": TOP_K, "op6_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op8_substrings": SUBSTRINGS, "op11_collocations": COLLOCATIONS, "op13_suffix_dedup": SUFFIXES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.llm import alignment, decontaminate, hamming, html_text, mixing, oracles, quality, secrets, substrings, suffixes, topk, toxicity, warc
+from regolith.llm import alignment, collocations, decontaminate, hamming, html_text, mixing, oracles, quality, secrets, substrings, suffixes, topk, toxicity, warc
 from regolith.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("weight", 9).alias("weight"), "epoch", "block", "slot", "place")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 #: Where the public tokenizers' vocabularies are.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -69,5 +73,5 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_html_text, op4_top_k, op5_simhash, op6_decontaminate, op7_secrets, op8_substrings, op9_quality, op10_mixing, op12_alignment, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_html_text, op4_top_k, op5_simhash, op6_decontaminate, op7_secrets, op8_substrings, op9_quality, op10_mixing, op11_collocations, op12_alignment, op13_suffix_dedup)}
 SQL = oracles.SQL
