@@ -31,7 +31,7 @@ FIRST = 2_000
 #: Side of a tile, and occurrences in it from which it is counted densely.
 TILE_BITS = 10
 DENSE = 1 << 16
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
 #: Runs of a bucket in one task; more are added up in parts first, and answered in parts.
 RUNS_PER_TASK = 2_000
@@ -55,7 +55,7 @@ def sequence(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, int]:
     offsets = np.concatenate(([0], np.cumsum(ends - starts)))
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(buf[inside])])
     coded = words.dictionary_encode()
-    piece = np.cumsum(_CUT[buf])[starts]
+    piece = np.cumsum(_CUT[buf], dtype=np.int32)[starts]
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     return np.insert(codes, np.flatnonzero(np.diff(piece)) + 1, -1), coded.dictionary, len(codes)
 
@@ -149,7 +149,7 @@ def _tokens(documents: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(t)
                 sizes[lang] += len(t) + 1
-                if sizes[lang] >= chunk_bytes or sizes.total() >= 4 * chunk_bytes:
+                if sizes[lang] >= chunk_bytes or sizes.total() >= 3 * chunk_bytes:
                     most = max(sizes, key=sizes.get)
                     del sizes[most]
                     yield from _batches(_word_rows(most, number(), held.pop(most), buckets))
@@ -214,9 +214,8 @@ def _added(rows: DataFrame, parts: int, key: list[str], least: int) -> DataFrame
                 keys.append(np.cumsum(k, dtype=np.int64))
                 counts.append(n.astype(np.int64))
                 held += len(k)
-                if held > 1 << 22:  # so no more is held than twice the distinct pairs
-                    held = settle()
-                    held = 0 if held < 1 << 21 else -held
+                if held > 1 << 20:  # so no more is held than twice the distinct pairs
+                    held = -settle()  # its distinct pairs come on top
         if at is not None:
             yield close()
 
