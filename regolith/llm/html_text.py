@@ -5,7 +5,8 @@ is characters per tag, weighed by a logarithm that shrinks with the share of lin
 tags; a node's density sum adds those of its children. The threshold is the smallest density on the
 path from the body to the node of the largest sum; every node at or above it marks the node of the largest
 sum in its subtree. The lowest node around all marked ones is the article, taken whole, so an article in
-several containers is not cut to one of them. Navigation, forms and the like never count.
+several containers is not cut to one of them. Navigation, forms and the like never count, and what is named after
+them (an advert, a sidebar, comments) counts only where it is all that the page has.
 """
 
 from __future__ import annotations
@@ -37,16 +38,24 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_NAMES = re.compile(r"[a-z0-9]+")
+#: Parts of compound names that say where or what for something stands, and nothing of what it is.
+PLAIN_PARTS = frozenset(
+    "list box wrap wrapper container holder inner outer area section block slot unit zone bar row col column panel group top bottom left right main site page global primary secondary links link buttons button icons items item form text title posts articles stories content js".split()
+)
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+
+_OPEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: One attribute as browsers read it: an unquoted value may hold quotes; a quote that never closes is part of a name.
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|((?![\"'])[^\s>]*)))?")
+_TAG_END = re.compile(r"[\s/]*(?:>|\Z)")
+_NAMES = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "pruned", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth")
+    __slots__ = ("name", "parent", "kids", "pruned", "inside", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth")
 
     def __init__(self, name: str, parent: Node | None, pruned: bool):
-        self.name, self.parent, self.pruned = name, parent, pruned
+        self.name, self.parent, self.pruned, self.named = name, parent, pruned, ""
         self.kids: list = []  # nodes and pieces of text in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -54,23 +63,38 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
-#: Blocks of running text: a name that merely begins like boilerplate says nothing of them.
+#: Blocks of running text, of which a name says little.
 PROSE = frozenset("p li dt dd td th blockquote pre h1 h2 h3 h4 h5 h6 figure figcaption".split())
 
 
-def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """By the element's kind, role or names; inside an article only a whole name counts, not how it begins."""
-    if name in PRUNED:
-        return True
-    whole_only = inside or name in PROSE or name in INLINE
-    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in PRUNED_ROLES):
-            return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            if any(part in PRUNED_NAMES for one in value.split() for part in [one, *_NAMES.findall(one)][: 1 if whole_only else 2]):
-                return True
-    return False
+def attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """Attributes of a tag (the first of a name counts), where it ends, and whether a slash closes it."""
+    found: dict[str, str] = {}
+    while not (end := _TAG_END.match(page, at)):
+        m = _ATTRIBUTE.match(page, at)
+        found.setdefault(m[1].lower(), m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "")
+        at = m.end()
+    return found, end.end(), "/" in end[0]
+
+
+def _hidden(name: str, given: dict[str, str]) -> bool:
+    return name in PRUNED or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").strip().lower() in PRUNED_ROLES
+
+
+def named(name: str, given: dict[str, str]) -> str:
+    """What an element's class or id calls it: "comments", "extra" (other boilerplate) or nothing.
+
+    A name counts as a whole: each part of it has to be a word for boilerplate or a plain one, so side-by-side,
+    share-price or notice-board say nothing.
+    """
+    if name in ("body", "html", "article", "main"):
+        return ""
+    for one in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
+        parts = _NAMES.findall(one)
+        said = [p for p in parts if p in PRUNED_NAMES]
+        if said and all(p in PRUNED_NAMES or p in PLAIN_PARTS for p in parts):
+            return "comments" if COMMENTS & set(said) else "extra"
+    return ""
 
 
 def parse(page: str) -> Node:
@@ -97,7 +121,7 @@ def parse(page: str) -> Node:
                 close(len(open_) - 1)
             at, raw = (m.end() if m else size), ""
             continue
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
             open_[-1].kids.append(page[at:])
             break
@@ -107,6 +131,7 @@ def parse(page: str) -> Node:
         if m[2] is None:
             continue
         name = m[2].lower()
+        given, at, closed = attributes(page, at)
         if m[1]:
             at_name = places.get(name)
             # a block is not closed by the end of what surrounds it inline
@@ -122,9 +147,10 @@ def parse(page: str) -> Node:
             if cut:
                 close(cut)
         parent = open_[-1]
-        node = Node(name, parent, parent.pruned or _boilerplate(name, m[3], parent.inside))
+        node = Node(name, parent, parent.pruned or _hidden(name, given))
+        node.named = named(name, given)
         parent.kids.append(node)
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not closed:
             places.setdefault(name, []).append(len(open_))
             if name not in INLINE:
                 walls.append(len(open_))
@@ -154,6 +180,57 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def prune_named(root: Node) -> None:
+    """Prunes what its name calls boilerplate, where the rest of the page agrees.
+
+    Outside of an article with text, names decide. Elsewhere a named element goes if half of its characters are linked,
+    if it holds comments and there is other text, or if it holds no more than the unlinked text around it that has no
+    such name: within the article, or in a page without one. The largest of them is taken for content, whatever its
+    name, if it holds more than that text. Running text goes for its links alone.
+    """
+    nodes = [n for n in _nodes(root) if not n.pruned]
+    for n in reversed(nodes):
+        n.chars += sum(sum(map(len, k.split())) for k in n.kids if isinstance(k, str))
+        if n.name == "a":
+            n.link_chars = n.chars
+        if n.parent is not None:
+            n.parent.chars += n.chars
+            n.parent.link_chars += n.link_chars
+    largest: dict[Node, Node] = {}
+    scope, around = {root: root}, {root: root.chars - root.link_chars}
+    for n in nodes:  # parents first: the outermost article or main around each node, and the unnamed text in it
+        if n.parent is not None:
+            up = scope[n.parent]
+            scope[n] = n if up is root and n.name in ("article", "main") else up
+            if scope[n] is n:
+                around[n] = n.chars - n.link_chars
+    for n in nodes:
+        up = n.parent
+        if n.named and scope[n] is not n and n.name not in PROSE and n.name not in INLINE:
+            while up is not None and not up.named:
+                up = up.parent
+            if up is None or scope[up] is not scope[n]:
+                for where in {scope[n], root}:
+                    around[where] -= n.chars - n.link_chars
+                if n.named == "extra" and 2 * n.link_chars < n.chars > getattr(largest.get(scope[n]), "chars", 0):
+                    largest[scope[n]] = n
+    has_article = any(n is not root and n.chars > n.link_chars for n in around)
+    for where, n in largest.items():  # more than all that has no such name: the content itself
+        if n.chars > around[where] and not (has_article and where is root):
+            n.named, around[where] = "", around[where] + n.chars - n.link_chars
+    for n in nodes:
+        if n.parent is not None and n.parent.pruned:
+            n.pruned = True
+        elif n.named and n.chars and not n.pruned:
+            left, links = around[scope[n]], 2 * n.link_chars >= n.chars
+            if n.name in PROSE or n.name in INLINE:
+                n.pruned = links and left > 0
+            else:
+                n.pruned = links or (has_article and scope[n] is root) or (left > 0 if n.named == "comments" else n.chars <= left)
+    for n in nodes:
+        n.chars = n.link_chars = 0
+
+
 def measure(root: Node) -> list[Node]:
     """Counts and densities of all nodes, children before parents."""
     nodes = [n for n in _nodes(root) if not n.pruned]
@@ -231,7 +308,9 @@ def blocks(node: Node) -> Iterator[str]:
 
 
 def main_text(page: str) -> str:
-    best = article(parse(page))
+    root = parse(page)
+    prune_named(root)
+    best = article(root)
     return "" if best is None else " ".join(blocks(best))
 
 

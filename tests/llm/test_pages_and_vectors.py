@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from regolith.llm import html_text, topk, warc
 
@@ -95,6 +96,32 @@ def test_names_that_only_begin_like_boilerplate():
     assert html_text.main_text(page(nav + art + "<div class='comment-list'><p>" + "I disagree with it. " * 40 + "</p></div>")) == want
 
 
+ORDINARY = "social-science share-price notice-board side-by-side header-image-story related-works comment-thread-analysis ad-free banner-story promo-article advertising-history sidebarred menu-of-the-day notice social share side".split()
+
+
+@pytest.mark.parametrize("name", ORDINARY)
+def test_content_of_any_name(name):
+    paragraphs = [f"Paragraph {i} tells some more of the story, at length." for i in range(6)]
+    inner = "".join(f"<p>{p}</p>" for p in paragraphs)
+    nav = "<nav><ul>" + "<li><a href='/'>menu</a></li>" * 9 + "</ul></nav>"
+    foot = "<footer>&copy; someone, with a fairly long line of legal text that is dense too.</footer>"
+    for body in (f"<div class='{name}'>{inner}</div>", f"<div id='{name}'><h1>T</h1>{inner}</div>", f"<article>{inner.replace('<p>', f'<p class={name}>')}</article>", f"<main><div class='{name}'>{inner}</div></main>"):
+        want = " ".join((["T"] if "<h1>" in body else []) + paragraphs)
+        assert html_text.main_text(page(nav + body + foot)) == want, body
+
+
+def test_attributes_as_browsers_read_them():
+    for tag in ("<p title=\"x>", "<p class=it's>", "<p class=it's title='a > b'>", "<p a=b\"c d='e'>", "<p =x>", "<p/x=1/>", "<p a = 'b>c'>", "<p\n\ta\n=\n\"</p>\">"):
+        assert html_text.main_text(f"<body>{tag}Hello there.</body>") == "Hello there.", tag
+    assert html_text.main_text("a<!-->b<!--->c<!-- x --!>d</>e</ x>f") == "abcdef"
+    assert html_text.main_text("one <p title='x") == "one"
+
+
+def test_named_boilerplate_in_an_article():
+    body = "<article><h1>T</h1><p>" + "Some words of the story. " * 9 + "</p><div class='ad-slot'>Buy a thing.</div><p class='share'><a href=x>Share</a> <a href=y>Post</a></p><div class=comments>" + "No. " * 200 + "</div></article>"
+    assert html_text.main_text(page(body)) == "T " + ("Some words of the story. " * 9).strip()
+
+
 def test_planted_articles_in_any_page():
     """Random pages: the article's text is known before its markup is made."""
     rng = random.Random(4)
@@ -111,7 +138,7 @@ def test_planted_articles_in_any_page():
             inner += rng.choice(["<p>{}</p>", "<p>{}", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</ul>", "<div>{}</div>"]).format(rng.choice([" ", "\n  "]).join(w))
         nav = "<nav><ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a>" for _ in range(rng.randint(1, 9))) + "</ul></nav>"
         aside = rng.choice(["<aside>{}</aside>", "<div id=sidebar>{}</div>", "<div class='ad'>{}</div>", "<section class=comments><p>{}</p></section>"]).format(line(rng.randint(5, 60)))
-        shell = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>"]).format(inner)
+        shell = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>", f"<div class='{rng.choice(ORDINARY)}'>{{}}</div>"]).format(inner)
         got = html_text.main_text(page(nav + (aside + shell if rng.random() < 0.5 else shell + aside) + f"<footer>{line(9)}</footer>"))
         assert got == " ".join(parts)
 
