@@ -1,24 +1,27 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-The tokens of a clause (text between . ! ? ; and line ends) become symbols by a lexicon: I insult, H threat,
-T target, N negation, R reported speech, Q quotation mark, O other. Five weighted transducers rewrite the
-symbols, each reading what the one before has written:
+The tokens of a clause (text between . ! ? ; and line ends) become symbols by a lexicon: I insult of the seed
+list, S insult that labelled texts have shown to be one, H threat, T target, N negation, R reported speech, Q quotation
+mark, O other. Five weighted transducers rewrite the symbols, each reading what the one before has written:
 
 * negation: N opens a scope of NEGATION_SPAN tokens in which insults and threats are scaled down
 * report:   R opens a scope to the clause's end, Q one to the closing mark, in which they are scaled down
 * target:   tells insults and threats by the T of their clause: near (within AIM_SPAN tokens), far or none;
             for a T that is still to come it guesses, and a guess that no T fulfils leads to no final state
-* insult:   makes hits of insults, of aimed ones with more weight
+* insult:   makes hits of insults, of aimed ones with more weight; a seed without a target needs company, another
+            insult or threat in its clause (it guesses, as target does, and drops what stays alone)
 * threat:   makes hits of threats that have a target; a threat without one is dropped
 
 compose() joins them to one machine; the weight of a clause is that of its best path: the sum of the lexicon
 weights of its hits, each times the product of the scales on its arc. A logistic model over the matched
-clauses of a text, fitted on labelled rows, turns their weights into the score. An insult without a target
-is a clause of its own, lighter kind and not dropped: labels mark texts as toxic that have no other.
+clauses of a text, fitted on labelled rows, turns their weights into the score. Clauses whose one insult has
+neither target nor company match nothing by themselves: they count only where a text has two of them or a matched
+one. So no seed decides alone; what labels prove does, for they mark texts that have nothing else.
 
 The insult lexicon is induced from labelled texts: whole tokens and token stems of 4 to 8 letters that
 (nearly) only toxic texts hold, more often than chance gives any of so many candidates, and in many
 different contexts (that of a token's first occurrence in each text); it is joined with a small seed list.
+A stem has to be that of STEM_TOKENS different tokens, seeds apart, so no seed's beginning becomes one.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from regolith.llm.wordstream import chunks
 
 #: Seed words of the grammar.
 SEED_INSULTS = "idiot moron stupid loser pathetic worthless scum trash clown disgusting imbecile dumbass bastard".split()
+SEEDS = frozenset(SEED_INSULTS)
 THREATS = "kill hurt destroy beat punch stab shoot murder töten tuer matar".split()
 TARGETS = "you your you're u he she they them him her these those du ihr tu toi vous tú usted ustedes".split()
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein pas jamais nunca".split()
@@ -51,6 +55,8 @@ NEGATION_SPAN, NEGATION_SCALE = 3, 0.35
 REPORT_SCALE = 0.5
 AIM_SPAN, AIM_SCALE = 4, 1.5
 SEED_WEIGHT = 1.0
+#: Different whole tokens that a stem needs behind it.
+STEM_TOKENS = 2
 
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n\"“”«»]")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
@@ -104,7 +110,7 @@ def negation_machine(span: int = NEGATION_SPAN, scale: float = NEGATION_SCALE) -
     arcs = {}
     for left in range(span + 1):
         on = max(left - 1, 0)
-        arcs |= {(left, x): [(x, scale if left and x in "IH" else 1.0, on)] for x in "IHTRQO"}
+        arcs |= {(left, x): [(x, scale if left and x in "IHS" else 1.0, on)] for x in "IHSTRQO"}
         arcs[left, "N"] = [("O", 1.0, span)]
     return Transducer(0, arcs, frozenset(range(span + 1)))
 
@@ -113,14 +119,14 @@ def report_machine(scale: float = REPORT_SCALE) -> Transducer:
     """States: plain, reported (to the clause's end), quoted (to the closing mark)."""
     arcs = {}
     for state in ("plain", "reported", "quoted"):
-        arcs |= {(state, x): [(x, scale if state != "plain" and x in "IH" else 1.0, state)] for x in "IHTO"}
+        arcs |= {(state, x): [(x, scale if state != "plain" and x in "IHS" else 1.0, state)] for x in "IHSTO"}
         arcs[state, "R"] = [("O", 1.0, "reported")]
         arcs[state, "Q"] = [("O", 1.0, {"plain": "quoted", "quoted": "plain"}.get(state, state))]
     return Transducer("plain", arcs, frozenset(("plain", "reported", "quoted")))
 
 
 def target_machine(span: int = AIM_SPAN) -> Transducer:
-    """Writes insults as A (near a target) or B, threats as C (near), D (far) or O.
+    """Writes insults as A (near a target), B or E, threats as C (near), D (far) or O.
 
     States: (tokens since the last target up to span, span + 1 if longer ago, 0 if none; what is owed: 0
     nothing, 1..span a target within so many tokens, span + 1 one before the clause ends).
@@ -139,7 +145,8 @@ def target_machine(span: int = AIM_SPAN) -> Transducer:
         here = (later, rest)
         nearer = (later, rest if 0 < rest <= span else span)
         arcs[(ago, owed), "O"] = [("O", 1.0, here)]
-        arcs[(ago, owed), "I"] = [("A", 1.0, here)] if near else [("B", 1.0, here), ("A", 1.0, nearer)]
+        for read, alone in (("I", "B"), ("S", "E")):
+            arcs[(ago, owed), read] = [("A", 1.0, here)] if near else [(alone, 1.0, here), ("A", 1.0, nearer)]
         if near:
             arcs[(ago, owed), "H"] = [("C", 1.0, here)]
         else:
@@ -154,14 +161,29 @@ def hit_machine(scales: dict[str, float], others: str) -> Transducer:
     return Transducer(0, arcs, frozenset((0,)))
 
 
-def grammar_machine() -> Transducer:
+def insult_machine(aimed: float = AIM_SCALE, lone: bool = False) -> Transducer:
+    """Hits of insults; states: nothing yet, an untargeted insult that owes the clause another hit, and company.
+
+    With lone, untargeted insults are hits by themselves.
+    """
+    arcs = {}
+    for state in ("none", "owed", "company"):
+        arcs[state, "A"] = [("!", aimed, "company")]
+        arcs[state, "B"] = [("!", 1.0, "owed" if state == "none" else "company")] + ([("O", 1.0, "none")] if state == "none" else [])
+        arcs[state, "E"] = [("!", 1.0, "company")]
+        arcs |= {(state, x): [(x, 1.0, "company")] for x in "CD"}
+        arcs[state, "O"] = [("O", 1.0, state)]
+    return Transducer("none", arcs, frozenset(("none", "company", *(("owed",) if lone else ()))))
+
+
+def grammar_machine(lone: bool = False) -> Transducer:
     machine = negation_machine()
-    for step in (report_machine(), target_machine(), hit_machine({"A": AIM_SCALE, "B": 1.0}, "CDO"), hit_machine({"C": AIM_SCALE, "D": 1.0}, "!O")):
+    for step in (report_machine(), target_machine(), insult_machine(lone=lone), hit_machine({"C": AIM_SCALE, "D": 1.0}, "!O")):
         machine = compose(machine, step)
     return machine
 
 
-MACHINE = grammar_machine()
+MACHINE, LONE_MACHINE = grammar_machine(), grammar_machine(lone=True)
 
 
 @dataclass(frozen=True)
@@ -181,30 +203,42 @@ class Grammar:
     def symbol(self, token: str) -> tuple[str, float]:
         """Symbol and weight of a token."""
         weight = max([self.insults.get(token, 0.0), *(self.stems.get(token[:n], 0.0) for n in self.lengths)])
-        return ("I", weight) if weight else (self.roles.get(token, "O"), 1.0)
+        return ("I" if token in SEEDS else "S", weight) if weight else (self.roles.get(token, "O"), 1.0)
 
     def touches(self, words) -> bool:
         """Whether any word can start a match, so that most texts need no clause work."""
         return not words.isdisjoint(self.starts) or any(w[:n] in self.stems for n in self.lengths for w in words)
 
 
-def clauses(grammar: Grammar, text: str) -> list[float]:
-    """Weights of the matched clauses of a whole text."""
-    found, symbols, hot = [], [], False
+def matches(grammar: Grammar, text: str) -> tuple[list[float], list[float]]:
+    """Weights of the matched clauses of a whole text, and of those whose insult has neither target nor company."""
+    found, lone, symbols, hot = [], [], [], False
+
+    def close():
+        if hot:
+            if (w := best_path(MACHINE, symbols)) > 0:
+                found.append(w)
+            elif (w := best_path(LONE_MACHINE, symbols)) > 0:
+                lone.append(w)
+
     for token in _TOKEN.findall(text.lower()):
         if token in _END:
-            if hot and (w := best_path(MACHINE, symbols)) > 0:
-                found.append(w)
+            close()
             symbols, hot = [], False
         elif token in _QUOTE:
             symbols.append(("Q", 0.0))
         else:
             s = grammar.symbol(token)
             symbols.append(s)
-            hot = hot or s[0] in "IH"
-    if hot and (w := best_path(MACHINE, symbols)) > 0:
-        found.append(w)
-    return found
+            hot = hot or s[0] in "IHS"
+    close()
+    return found, lone
+
+
+def clauses(grammar: Grammar, text: str) -> list[float]:
+    """Weights of the clauses of a text that count."""
+    found, lone = matches(grammar, text)
+    return found + lone if found or len(lone) > 1 else []
 
 
 def features(grammar: Grammar, text: str) -> tuple[float, float, float]:
@@ -262,14 +296,19 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
     Without labelled rows of both kinds the seed lexicon and default weights are returned.
     """
     sample = written(training_rows(documents, labels, "toxic", max_rows), "toxicsample")
-    units = (
+    evidence = (
         sample.select("label", F.col("text").cast("binary").alias("data"))
         .mapInArrow(_evidence, "unit string, stem int, context long, pos long, neg long")
         .groupBy("unit", "stem", "context").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .groupBy("unit", "stem")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") > 0).alias("contexts"))
     )
-    units = written(units.where(F.col("pos") + F.col("neg") >= 3), "units")
+    evidence = written(evidence, "evidence")
+    tokens = evidence.where((F.col("stem") == 0) & (F.col("pos") > 0) & ~F.col("unit").isin(SEED_INSULTS))
+    lengths = F.filter(F.array(*map(F.lit, STEMS)), lambda n: n < F.length("unit"))
+    behind = tokens.select("unit", F.explode(lengths).alias("stem")).select(F.expr("left(unit, stem)").alias("unit"), "stem").groupBy("unit", "stem").agg(F.count("*").alias("tokens"))
+    units = evidence.where(F.col("pos") + F.col("neg") >= 3).join(behind, ["unit", "stem"], "left").where((F.col("stem") == 0) | (F.col("tokens") >= STEM_TOKENS))
+    units = written(units, "units")
     n_units = units.count()
     pos, neg = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not pos or not neg or not n_units:

@@ -1,6 +1,7 @@
 """Document operators against brute force on small fixtures, edge cases included."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -379,24 +380,26 @@ def test_toxicity_held_out(spark):
 def brute_clause(symbols, span=4, negation=3):
     """What the grammar says of a clause, by rules over positions instead of machines."""
     at = {k: [i for i, (s, _) in enumerate(symbols) if s == k] for k in "TNRQ"}
-    total = 0.0
+    hits = []
     for i, (s, w) in enumerate(symbols):
-        if s not in "IH":
+        if s not in "IHS":
             continue
         reported = any(r < i for r in at["R"])
         quoted = sum(q < i for q in at["Q"]) % 2 == 1
         w *= 0.35 if any(0 < i - n <= negation for n in at["N"]) else 1
         w *= 0.5 if reported or quoted else 1
         near = any(abs(t - i) <= span for t in at["T"])
-        total += w * (1.5 if near else 1 if s == "I" or at["T"] else 0)
-    return total
+        if near or s in "IS" or at["T"]:
+            hits.append((w * (1.5 if near else 1), s == "I" and not near))
+    return sum(w for w, loose in hits if not loose or len(hits) > 1), sum(w for w, _ in hits)
 
 
 def test_composed_machine_is_the_grammar():
     rng = random.Random(8)
     for _ in range(3000):
-        symbols = [(rng.choice("IHTNRQOOOOO"), rng.choice([0.5, 1.0, 2.0])) for _ in range(rng.randint(0, 14))]
-        assert abs(toxicity.best_path(toxicity.MACHINE, symbols) - brute_clause(symbols)) < 1e-9, symbols
+        symbols = [(rng.choice("IHSTNRQOOOOO"), rng.choice([0.5, 1.0, 2.0])) for _ in range(rng.randint(0, 14))]
+        for machine, want in zip((toxicity.MACHINE, toxicity.LONE_MACHINE), brute_clause(symbols), strict=True):
+            assert abs(toxicity.best_path(machine, symbols) - want) < 1e-9, symbols
 
 
 def test_compose_multiplies_and_needs_both():
@@ -408,14 +411,36 @@ def test_compose_multiplies_and_needs_both():
 
 def test_toxicity_grammar_clauses():
     g = toxicity.Grammar({"idiot": 1.0}, {"zork": 1.0})
-    plain, aimed = toxicity.clauses(g, "an idiot here"), toxicity.clauses(g, "you idiot")
-    assert aimed[0] > plain[0] > toxicity.clauses(g, "not an idiot")[0]
-    assert aimed == toxicity.clauses(g, "idiot that you are") and plain == toxicity.clauses(g, "idiot one two three four you")
-    assert toxicity.clauses(g, "he said idiot long after that was")[0] < aimed[0]
-    assert toxicity.clauses(g, "the word idiot comes from greek")[0] < plain[0]
+    lone = lambda text: toxicity.matches(g, text)[1]
+    plain, aimed = lone("an idiot here"), toxicity.clauses(g, "you idiot")
+    assert aimed[0] > plain[0] > lone("not an idiot")[0] and toxicity.clauses(g, "an idiot here") == []
+    assert toxicity.clauses(g, "an idiot here. an idiot there") == plain * 2 and toxicity.clauses(g, "an idiot here, an idiot there") == [2 * plain[0]]
+    assert aimed == toxicity.clauses(g, "idiot that you are") and plain == lone("idiot one two three four you")
+    assert toxicity.clauses(g, "you idiot. one idiot") == [*aimed, *plain]
+    assert lone("he said idiot long after that was") == [] and toxicity.clauses(g, "he said idiot long after that was")[0] < aimed[0]
+    assert lone("the word idiot comes from greek")[0] < plain[0] and toxicity.clauses(g, "the word idiot comes from greek") == []
     assert toxicity.clauses(g, "kill the process") == [] and toxicity.clauses(g, "I kill you")
     assert toxicity.clauses(g, "kill it all in the end and then you") == [1.0]
     assert len(toxicity.clauses(g, "idiot. zorkmid! fine")) == 2
+    assert toxicity.clauses(g, "one zorkmid here") == [1.0] and toxicity.clauses(g, "not one zorkmid here") == [0.35]
+
+
+ORDINARY = """The museum is worth a visit.|The path is worth walking.|Pathology reports are due on Monday.|Moroccan food is great.|An idiom is a phrase.|The word idiot comes from Greek.|stupid
+That was a stupid mistake of mine.|The clown made the children laugh.|Please take out the trash on Tuesday.|The loser of the match gets silver.|Algae formed a scum on the pond.|The hurt was slow to heal.
+Kill the process and start it again.|Beat the eggs, then add the flour.|He shot the film in Rome.|She said the film was pathetic.|Nobody is worthless.|The smell of the drain was disgusting.
+Stupa and stupor share four letters.|Trashy novels sell well.|A pathway leads to the lake.|Moron is a town in Argentina.|We destroy the samples after a year.|The museum opens at nine.|Bread needs flour, water, salt and time.
+Her disgust with the plan was plain to see.|You are right, of course.|They said no.|Losers and winners shook hands.""".replace("\n", "|").split("|")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the learned grammar needs the large tables")
+def test_plain_english_under_the_learned_grammar(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    grammar = toxicity.learn(docs, labels)
+    assert [t for t in ORDINARY if toxicity.score(grammar, t) >= 0.5] == []
+    assert all(toxicity.score(grammar, t) > 0.5 for t in ("I will kill you.", "You are an idiot.", "you stupid moron"))
+    got = toxicity.score_toxicity(docs, grammar).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.01 * n[0, 0], n
 
 
 def test_toxicity_without_labels(spark):
