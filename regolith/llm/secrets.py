@@ -8,7 +8,7 @@ document, its owner the document's source; other columns can be named.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.llm.common import bound, free_names, row_key, written
@@ -26,6 +26,8 @@ LIVE_CHARACTERS = 8
 
 #: Matches that are laid out one after the other; longer lists are cut in blocks of as many.
 BLOCK = 128
+#: Code points of a block of text where parts are cut out.
+TEXT_BLOCK = 2048
 
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
@@ -93,16 +95,18 @@ def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_
 
 
 def classify(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_share: float = EXAMPLE_SHARE, live_characters: int = LIVE_CHARACTERS) -> DataFrame:
-    """Per distinct (doc_id, row_key) with spans: live and example spans, told apart by ownership over the corpus."""
+    """Per distinct span: doc_id, row_key, s, example and live, told apart by ownership over the corpus."""
     flat = scanned.where(F.size("found") > 0).select("doc_id", "row_key", F.explode("found").alias("s")).distinct()
     flat = flat.withColumn("digest", F.sha2("s.value", 256))
     varied = F.size(F.array_distinct(F.split("s.value", ""))) >= live_characters
     of_value = written(ownership(scanned, example_owners, example_share).select("digest", "example"), "ownership")
     told = flat.join(of_value, "digest").select("doc_id", "row_key", "s", "example", (~F.col("example") & varied).alias("live"))
-    return written(told, "told").groupBy("doc_id", "row_key").agg(
-        F.array_sort(F.collect_list(F.when(F.col("live"), F.struct("s.start", "s.end")))).alias("live"),
-        F.count_if("example").alias("n_example"),
-    )
+    return written(told, "told")
+
+
+def told_apart(scanned: DataFrame) -> DataFrame:
+    """Per distinct (doc_id, row_key) with spans: how many are live and how many examples."""
+    return classify(scanned).groupBy("doc_id", "row_key").agg(F.count_if("live").alias("n_live"), F.count_if("example").alias("n_example"))
 
 
 def secrets(documents: DataFrame, owner: str = "source") -> DataFrame:
@@ -112,8 +116,7 @@ def secrets(documents: DataFrame, owner: str = "source") -> DataFrame:
     null doc_id stays null, null owners count as one owner, and further columns are ignored.
     """
     scanned = written(scan(documents, owner), "scanned")
-    told = written(classify(scanned), "classified")
-    told = told.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), F.size("live").cast("long").alias("n_live"), "n_example")
+    told = told_apart(scanned).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "n_live", "n_example")
     base = F.filter("found", lambda s: s["rank"] < 3)
     counts = [F.size(F.filter(F.col("found")["rank"], lambda rank: rank == F.lit(r))).cast("long").alias(f"n_{KINDS[r]}") for r in range(3)]  # noqa: B023
     rows = scanned.select("doc_id", "row_key", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
@@ -125,32 +128,44 @@ def secrets(documents: DataFrame, owner: str = "source") -> DataFrame:
     )
 
 
+def _between(blocks: Column, first: Column, last: Column) -> Column:
+    """The code points first..last (exclusive) of a text that comes in blocks of TEXT_BLOCK; counts within two of them at most."""
+    i, j = (F.floor(x / TEXT_BLOCK).cast("int") for x in (first, last))
+    head, tail = F.get(blocks, i), F.coalesce(F.get(blocks, j), F.lit(""))
+    at = (first - i * TEXT_BLOCK + 1).cast("int")
+    middle = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    return F.when(i == j, tail.substr(at, (last - first).cast("int"))).otherwise(
+        F.concat(head.substr(at, F.lit(TEXT_BLOCK)), middle, tail.substr(F.lit(1), (last - j * TEXT_BLOCK).cast("int")))
+    )
+
+
 def redact(documents: DataFrame, owner: str = "source", mark: str = "[secret]") -> DataFrame:
     """The documents with the spans of live-looking, owner-specific credentials replaced by the mark.
 
-    Widely copied examples stay. Every row and column stays; n_chars, where present, follows the text.
+    Widely copied examples stay. Spans that overlap share one mark. Every row and column stays; n_chars, where present, follows the text. The work is in
+    proportion to the text and its secrets: a window carries the running end, and the text is cut in blocks once.
     """
-    doc, key, live, fresh = free_names(documents.columns, "doc", "key", "live", "fresh")
+    doc, key, gaps, last, fresh = free_names(documents.columns, "doc", "key", "gaps", "last", "fresh")
     scanned = written(scan(documents, owner), "scanned")
-    told = written(
-        classify(scanned).where(F.size("live") > 0).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("live").alias(live)), "live"
-    )
+    spans = classify(scanned).where("live").select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    earlier = Window.partitionBy(doc, key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    told = written(spans.groupBy(doc, key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("before"), F.struct("before", "start")))).alias(gaps), F.max("end").alias(last)
+    ), "live")
     match = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (row_key() == F.col(key))
     joined = documents.join(told, match, "left")
-    text, spans = F.col("text"), F.col(live)
 
-    def piece(span, i):
-        """The text before a span, after all earlier ones, and the mark; nothing where an earlier one overlaps."""
-        before = F.coalesce(F.array_max(F.slice(spans["end"], F.lit(1), i)), F.lit(0))
-        return F.when(span["start"] >= before, F.concat(text.substr(before + 1, span["start"] - before), F.lit(mark))).otherwise(F.lit(""))
+    def cleaned(blocks):
+        kept = F.transform(F.col(gaps), lambda g: F.concat(_between(blocks, g["before"], g["start"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), _between(blocks, F.col(last), F.lit(TEXT_BLOCK) * F.size(blocks)))
 
-    end = F.array_max(spans["end"])
-    clean = F.concat(F.array_join(F.transform(spans, piece), ""), text.substr(end + 1, F.length(text) - end))
-    fixed = F.when(spans.isNotNull(), clean).otherwise(text)
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    fixed = F.when(F.col(gaps).isNotNull(), bound(blocks, cleaned)).otherwise(F.col("text"))
     # a generator works the text out once, for itself and its length
     once = joined.select("*", F.inline(F.array(F.struct(fixed.alias(fresh)))))
     out = {"text": F.col(fresh)}
     if "n_chars" in documents.columns:
         n = F.length(fresh).cast(documents.schema["n_chars"].dataType)
-        out["n_chars"] = F.when(spans.isNotNull(), n).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.col(gaps).isNotNull(), n).otherwise(F.col("n_chars"))
     return once.select(*(out.get(c, F.col(c)).alias(c) for c in documents.columns))
