@@ -32,6 +32,8 @@ BLOCK = 2048
 #: Most bytes of the queries that one broadcast holds.
 BATCH_BYTES = 32 << 20
 STEP = 64
+#: Queries whose products with the sample are held at a time.
+FLOOR_ROWS = 512
 _LIMIT = 2**63
 
 
@@ -183,14 +185,23 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, pivots: int = PIVOTS)
 
     table = fine.mapInArrow(tabulate, "vec_id long, v array<long>, pivot array<double>, near int, far double").sortWithinPartitions("near", "far")
     table = written(table.select("vec_id", "v", "pivot"), "pivots")
-    batches = -(-n_queries * 8 * (width + len(p) + 1) // BATCH_BYTES)
+    batches = -(-n_queries * 8 * (width + len(p) + 2) // BATCH_BYTES)
     queries = table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "pivot")).alias("q"))
-    queries = written(queries.select("vec_id", "q.v", "q.pivot", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(batches)).alias("b")), "queries")
+    queries = queries.select("vec_id", "q.v", "q.pivot", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(batches)).alias("b"))
+
+    def begin(batches):  # the thresholds are worked out by the tasks, some queries at a time
+        for batch in batches:
+            for at in range(0, batch.num_rows, FLOOR_ROWS):
+                part = batch.slice(at, FLOOR_ROWS)
+                floor = _floors(part.column(0).to_numpy(), rows_of(part.column(1), width), sample_ids, sample, k)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floor, pa.float64())], names=[*part.schema.names, "floor"])
+
+    queries = written(queries.mapInArrow(begin, "vec_id long, v array<long>, pivot array<double>, b long, floor double"), "queries")
     found = None
     for b in range(batches):
         part = queries.where(F.col("b") == b).orderBy("vec_id").toArrow()  # bounded by BATCH_BYTES, but for chance
         ids, q = part["vec_id"].to_numpy(), rows_of(part["v"], width)
-        sent = spark.sparkContext.broadcast((ids, q, rows_of(part["pivot"], len(p)), _floors(ids, q, sample_ids, sample, k)))
+        sent = spark.sparkContext.broadcast((ids, q, rows_of(part["pivot"], len(p)), part["floor"].to_numpy()))
 
         def search(batches, sent=sent):
             own, q, of_query, floors = sent.value

@@ -212,3 +212,16 @@ def test_pivots_eliminate():
     big = np.floor(rng.normal(0, 2**40, (50, 4))).astype(np.int64)
     found, _ = searched(big[:1], np.arange(1), big, np.arange(50), topk.spread(big, 3))
     assert found[0] == sorted((-sum(int(a) * int(b) for a, b in zip(big[0], v)), j) for j, v in enumerate(big) if j)[:5]
+
+
+def test_unclustered_vectors():
+    """No clusters: pivots rule out little, yet results hold and the scan ends early where bounds allow."""
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(0, 40, (2000, 24))).astype(np.int64)
+    x[::3] //= 9  # short ones are ruled out by their norms
+    found, evaluated = searched(x[::100], np.arange(2000)[::100], x, np.arange(2000), topk.spread(x, 32))
+    for i in range(0, 2000, 100):
+        assert found[i] == sorted((-int(x[i] @ b), j) for j, b in enumerate(x) if j != i)[:5]
+    assert evaluated < 20 * 2000
+    floors = topk._floors(np.arange(0, 2000, 100), x[::100], np.arange(2000)[::7], x[::7], 5)
+    assert all(f <= -found[i][4][0] for f, i in zip(floors, range(0, 2000, 100), strict=True))
