@@ -9,11 +9,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from regolith.config import DEFAULT, Config
+from regolith.functions.tables import written
+from regolith.operators import blocks
 
 
 class Matcher(Protocol):
@@ -150,70 +153,95 @@ def correlation_matcher(a: np.ndarray, b: np.ndarray, stride: int = 8, half: int
 def match_tiles(source: DataFrame, reference: DataFrame, matcher: Matcher = correlation_matcher, cfg: Config = DEFAULT) -> DataFrame:
     """pair_id, match_id, tile_id, xa, ya, xb, yb, conf of tiles of source(image_id, r, c, u) in reference of the same ids and size.
 
-    A tile with its search window is a group of bounded size; image_id becomes pair_id.
+    A tile with its search window is a group of two boxes; image_id becomes pair_id. Cells without data count as 0.
     """
     from regolith.operators.raster import extent
 
-    plan = F.broadcast(tile_plan(extent(source), cfg))
-    a = source.join(plan, "image_id").where((F.col("r") >= F.col("y0")) & (F.col("r") < F.col("y0") + F.col("h")) & (F.col("c") >= F.col("x0")) & (F.col("c") < F.col("x0") + F.col("w")))
-    b = reference.join(plan, "image_id").where((F.col("r") >= F.col("ry0")) & (F.col("r") < F.col("ry0") + F.col("rh")) & (F.col("c") >= F.col("rx0")) & (F.col("c") < F.col("rx0") + F.col("rw")))
-    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).select("image_id", "tile_id", "side", "r", "c", "u", "y0", "x0", "h", "w", "ry0", "rx0", "rh", "rw")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.iloc[0]
-        grids = []
-        for side, (y, x, h, w) in enumerate(((t.y0, t.x0, t.h, t.w), (t.ry0, t.rx0, t.rh, t.rw))):
-            part, g = pdf[pdf["side"] == side], np.zeros((int(h), int(w)))
-            g[part["r"].to_numpy() - int(y), part["c"].to_numpy() - int(x)] = part["u"].to_numpy()
-            grids.append(g)
-        # the search window starts elsewhere: a is placed in a frame of b's origin for the reach
-        frame = np.zeros_like(grids[1])
-        dy, dx = int(t.y0 - t.ry0), int(t.x0 - t.rx0)
-        fh, fw = min(grids[0].shape[0], frame.shape[0] - dy), min(grids[0].shape[1], frame.shape[1] - dx)
-        frame[dy : dy + fh, dx : dx + fw] = grids[0][:fh, :fw]
-        m = matcher(frame, grids[1])
-        m = m[(m[:, 0] >= dx) & (m[:, 1] >= dy) & (m[:, 0] < dx + fw) & (m[:, 1] < dy + fh)]
-        return pd.DataFrame({
-            "pair_id": np.array([t.image_id] * len(m), dtype=object), "match_id": np.arange(len(m)) + int(t.tile_id) * 1_000_000, "tile_id": np.full(len(m), int(t.tile_id)),
-            "xa": m[:, 0] + int(t.rx0), "ya": m[:, 1] + int(t.ry0), "xb": m[:, 2] + int(t.rx0), "yb": m[:, 3] + int(t.ry0), "conf": m[:, 4],
-        })
-
-    return both.groupBy("image_id", "tile_id").applyInPandas(one, "pair_id string, match_id long, tile_id long, xa double, ya double, xb double, yb double, conf double").where(F.col("conf") >= cfg.confidence)
+    plan = written(tile_plan(extent(source), cfg), "tiles")
+    group = F.concat_ws("|", F.col("tile_id").cast("string"), "image_id").alias("group")
+    none = F.lit(None).cast("binary").alias("note")
+    part = lambda side, r, c, h, w: plan.select(
+        group, F.lit(side).alias("side"), F.concat(F.lit("ab"[side]), F.col("image_id").cast("string")).alias("image_id"), F.col(r).alias("r0"), F.col(c).alias("c0"), F.col(h).alias("h"), F.col(w).alias("w"), none
+    )
+    named = lambda df, side: df.select(F.concat(F.lit(side), F.col("image_id").cast("string")).alias("image_id"), "r", "c", "u")
+    tiled = blocks.to_blocks(named(source, "a").unionByName(named(reference, "b")), "u")
+    parts = blocks.pieces(tiled, part(0, "y0", "x0", "h", "w").unionByName(part(1, "ry0", "rx0", "rh", "rw")))
+
+    def run(groups):
+        for name, sides in groups:
+            if len(sides) < 2:
+                continue
+            tile, pair = name.split("|", 1)
+            (y0, x0, a, _), (ry0, rx0, b, _) = sides[0], sides[1]
+            a, b = np.nan_to_num(a), np.nan_to_num(b)
+            # the search window starts elsewhere: a is placed in a frame of b's origin for the reach
+            frame, dy, dx = np.zeros_like(b), y0 - ry0, x0 - rx0
+            fh, fw = min(a.shape[0], frame.shape[0] - dy), min(a.shape[1], frame.shape[1] - dx)
+            frame[dy : dy + fh, dx : dx + fw] = a[:fh, :fw]
+            m = matcher(frame, b)
+            m = m[(m[:, 0] >= dx) & (m[:, 1] >= dy) & (m[:, 0] < dx + fw) & (m[:, 1] < dy + fh)]
+            n, t = len(m), int(tile)
+            columns = (m[:, 0] + rx0, m[:, 1] + ry0, m[:, 2] + rx0, m[:, 3] + ry0, m[:, 4])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([pair] * n, pa.string()), pa.array(np.arange(n) + t * 1_000_000, pa.int64()), pa.array(np.full(n, t), pa.int64()), *(pa.array(c.astype(float)) for c in columns)],
+                names=["pair_id", "match_id", "tile_id", "xa", "ya", "xb", "yb", "conf"],
+            )
+
+    return blocks.over_boxes(parts, run, "pair_id string, match_id long, tile_id long, xa double, ya double, xb double, yb double, conf double").where(F.col("conf") >= cfg.confidence)
+
+
+def phase_shifts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """dx, dy of each pair of patches in two stacks, as phase_shift() gives them."""
+    f = np.fft.fft2(b) * np.conj(np.fft.fft2(a))
+    r = np.real(np.fft.ifft2(f / np.maximum(np.abs(f), 1e-12)))
+    n, h, w = r.shape
+    y, x = np.divmod(r.reshape(n, -1).argmax(1), w)
+    near = np.arange(-2, 3)
+    ys, xs = (near + y[:, None]) % h, (near + x[:, None]) % w
+    peak = np.maximum(r[np.arange(n)[:, None, None], ys[:, :, None], xs[:, None, :]], 0)
+    total = np.maximum(peak.sum((1, 2)), 1e-12)
+    dy, dx = y + (peak.sum(2) @ near) / total, x + (peak.sum(1) @ near) / total
+    return np.stack([np.where(dx > w / 2, dx - w, dx), np.where(dy > h / 2, dy - h, dy)], 1)
 
 
 def refine(matches: DataFrame, source: DataFrame, reference: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Sub-pixel matches: the phase shift of Hanning-weighted patches is added to the reference point.
 
-    Patches are gathered by a join of matches with the cells around them; matches near a border, on flat
-    patches, or with a shift over the limit are left out.
+    The patches of a match are two boxes of block rasters; many matches are worked out at once. Matches near a border,
+    on flat patches or cells without data, or with a shift over the limit are left out.
     """
     half = cfg.refine_patch
-    keys = matches.select("pair_id", "match_id", F.rint("xa").cast("int").alias("ja"), F.rint("ya").cast("int").alias("ia"), F.rint("xb").cast("int").alias("jb"), F.rint("yb").cast("int").alias("ib"))
-    rows = F.explode(F.sequence(F.lit(-half), F.lit(half - 1))).alias("dr")
-
-    def strips(image: DataFrame, i: str, j: str, side: int) -> DataFrame:
-        lines = image.groupBy("image_id", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "u"))), lambda x: x["u"]).alias("line"))
-        need = keys.select("pair_id", "match_id", F.col(i).alias("i"), F.col(j).alias("j"), rows).withColumn("r", F.col("i") + F.col("dr"))
-        met = need.join(lines, (F.col("pair_id") == F.col("image_id")) & (need["r"] == lines["r"]))
-        inside = (F.col("j") >= half) & (F.col("j") + half <= F.size("line"))
-        return met.where(inside).select("pair_id", "match_id", F.lit(side).alias("side"), "dr", F.slice("line", F.col("j") - half + 1, 2 * half).alias("cells"))
-
-    patches = strips(source, "ia", "ja", 0).unionByName(strips(reference, "ib", "jb", 1))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["pair_id", "match_id"]].head(0).assign(sx=0.0, sy=0.0)
-        pdf = pdf.sort_values(["side", "dr"])
-        if len(pdf) != 4 * half:
-            return out
-        p = np.array(pdf["cells"].tolist(), dtype=float).reshape(2, 2 * half, 2 * half)
-        if p[0].std() < 1e-3 or p[1].std() < 1e-3:
-            return out
-        hann = np.outer(np.hanning(2 * half), np.hanning(2 * half))
-        a, b = ((x - x.mean()) / x.std() * hann for x in p)
-        dx, dy, _ = phase_shift(a, b)
-        if np.hypot(dx, dy) > cfg.refine_max_shift:
-            return out
-        return pdf[["pair_id", "match_id"]].head(1).assign(sx=dx, sy=dy)
-
-    shifts = patches.groupBy("pair_id", "match_id").applyInPandas(one, "pair_id string, match_id long, sx double, sy double")
+    hann = np.outer(np.hanning(2 * half), np.hanning(2 * half))
+    named = lambda df, side: df.select(F.concat(F.lit(side), F.col("image_id").cast("string")).alias("image_id"), "r", "c", "u")
+    tiled = blocks.to_blocks(named(source, "a").unionByName(named(reference, "b")), "u")
+    group = F.concat_ws("|", F.col("match_id").cast("string"), F.col("pair_id").cast("string")).alias("group")
+
+    def box(side: int, x: str, y: str) -> DataFrame:
+        first = lambda c: (F.rint(c) - half).cast("int")
+        return matches.select(
+            group, F.lit(side).alias("side"), F.concat(F.lit("ab"[side]), F.col("pair_id").cast("string")).alias("image_id"),
+            first(y).alias("r0"), first(x).alias("c0"), F.lit(2 * half).alias("h"), F.lit(2 * half).alias("w"), F.lit(None).cast("binary").alias("note"),
+        )
+
+    def run(groups):
+        names, stacks = [], []
+        for name, sides in groups:
+            if len(sides) == 2:
+                pair = np.stack([sides[0][2], sides[1][2]])
+                sd = pair.std((1, 2))  # NaN past a border
+                if (sd >= 1e-3).all():
+                    names.append(name)
+                    stacks.append((pair - pair.mean((1, 2), keepdims=True)) / sd[:, None, None] * hann)
+        if not names:
+            return
+        stack = np.stack(stacks)
+        shift = phase_shifts(stack[:, 0], stack[:, 1])
+        keep = np.hypot(*shift.T) <= cfg.refine_max_shift
+        keys = [n.split("|", 1) for n, k in zip(names, keep.tolist(), strict=True) if k]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[1] for k in keys], pa.string()), pa.array([int(k[0]) for k in keys], pa.int64()), pa.array(shift[keep, 0]), pa.array(shift[keep, 1])], names=["pair_id", "match_id", "sx", "sy"]
+        )
+
+    parts = blocks.pieces(tiled, box(0, "xa", "ya").unionByName(box(1, "xb", "yb")))
+    shifts = blocks.over_boxes(parts, run, "pair_id string, match_id long, sx double, sy double").withColumn("pair_id", F.col("pair_id").cast(matches.schema["pair_id"].dataType))
     return matches.join(shifts, ["pair_id", "match_id"]).withColumn("xb", F.rint("xb") + F.col("xa") - F.rint("xa") + F.col("sx")).withColumn("yb", F.rint("yb") + F.col("ya") - F.rint("ya") + F.col("sy"))

@@ -21,37 +21,23 @@ def _stretched(value: Column, lo: Column, hi: Column) -> Column:
     return F.when(x.isNull(), 0).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 255)).cast("int")
 
 
-#: Value ranges into which a group is cut in one round of the search for quantiles.
-RANGES = 4096
-
-
 def quantiles(values: DataFrame, by: tuple[str, ...], probabilities: tuple[float, ...]) -> DataFrame:
     """by..., p: exact quantiles (interpolated between neighbours) of x in values(by..., x); NULL takes no part.
 
-    No task sees a group as a whole: two rounds count the values of a group in ranges, find those that hold
-    the wanted ranks from the running sum over the ranges, and go on with their values alone.
+    No task sees a group as a whole: the values are sorted by ranges and written with their places, the groups'
+    sizes in the ranges tell where each wanted rank lies, and those few places are read again.
     """
     v = values.where(F.col("x").isNotNull()).select(*by, "x")
+    spread = written(v.sort(*by, "x").withColumn("at", F.monotonically_increasing_id()), "sorted")
+    parts = spread.groupBy(*by, F.shiftrightunsigned("at", 33).alias("range")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    whole = Window.partitionBy(*by)
+    parts = parts.withColumn("upto", F.sum("n").over(whole.orderBy("range"))).withColumn("last", F.sum("n").over(whole) - 1)
     places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("q")) for i, p in enumerate(probabilities)))).alias("place")
-    want = v.groupBy(*by).agg(F.count("*").alias("n")).select(*by, (F.col("n") - 1).alias("last"), places)
-    want = want.select(*by, F.col("place.i").alias("i"), (F.col("place.q") * F.col("last")).alias("position"))
-    want = want.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank", F.when(F.col("side") == 0, F.floor("position")).otherwise(F.ceil("position")))
-
-    def reached(want: DataFrame, counts: DataFrame, keys: list[str], order: str) -> DataFrame:
-        """want at the row of counts that its rank falls in, with the rank inside it."""
-        upto = F.sum("count").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        met = want.join(counts.withColumn("upto", upto), keys).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count")))
-        return met.withColumn("rank", F.col("rank") - (F.col("upto") - F.col("count"))).drop("upto", "count")
-
-    keys = list(by)
-    for part in ("range1", "range2"):
-        edges = v.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-        place = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES)
-        v = v.join(edges, keys).withColumn(part, F.when(F.col("hi") > F.col("lo"), F.least(F.lit(RANGES - 1), place)).otherwise(0).cast("int")).drop("lo", "hi")
-        want = written(reached(want, v.groupBy(*keys, part).count(), keys, part), "ranks")
-        keys.append(part)
-        v = written(v.join(want.select(*keys).distinct(), keys, "left_semi"), "ranged")
-    at = reached(want, v.groupBy(*keys, "x").count(), keys, "x")
+    want = parts.select("*", places).select(*by, "first", "n", "upto", F.col("place.i").alias("i"), (F.col("place.q") * F.col("last")).alias("position"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor("position").alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil("position").alias("rank")))).alias("s")
+    want = want.select("*", sides).where((F.col("s.rank") < F.col("upto")) & (F.col("s.rank") >= F.col("upto") - F.col("n")))
+    want = want.select((F.col("first") + F.col("s.rank") - F.col("upto") + F.col("n")).alias("at"), "i", "position", F.col("s.side").alias("side"))
+    at = spread.join(want, "at")
     low, high = (F.max(F.when(F.col("side") == k, F.col("x"))) for k in (0, 1))
     between = (F.ceil("position") - F.col("position")) * F.col("low") + (F.col("position") - F.floor("position")) * F.col("high")
     each = at.groupBy(*by, "i", "position").agg(low.alias("low"), high.alias("high")).withColumn("value", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between))
