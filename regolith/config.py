@@ -27,7 +27,7 @@ class Config:
     control_roll_tolerance_px: float = 4.0
     min_matches: int = 8
     hypotheses: int = 16
-    most_hypotheses: int = 3000
+    most_hypotheses: int = 10_000
     certainty: float = 0.9999
 
 
