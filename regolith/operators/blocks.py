@@ -92,12 +92,17 @@ BOX = "group string, side int, image_id string, r0 int, c0 int, h int, w int, no
 _PIECE = "group string, side int, r0 int, c0 int, h int, w int, note binary, pr int, pc int, ph int, pw int, cells binary"
 
 
-def pieces(blocks: DataFrame, boxes: DataFrame, side: int = SIDE) -> DataFrame:
-    """The parts of boxes(BOX) that each block covers; a box outside of its image has none."""
+def met_blocks(boxes: DataFrame, side: int = SIDE) -> DataFrame:
+    """boxes with ty, tx: a row for each place of a block that a box covers."""
     upto = lambda first, size: F.floor((F.col(first) + F.col(size) - 1) / side).cast("int")
     start = lambda first: F.greatest(F.floor(F.col(first) / side).cast("int"), F.lit(0))
     real = boxes.where("h > 0 and w > 0 and r0 + h > 0 and c0 + w > 0")
-    met = real.withColumn("ty", F.explode(F.sequence(start("r0"), upto("r0", "h")))).withColumn("tx", F.explode(F.sequence(start("c0"), upto("c0", "w"))))
+    return real.withColumn("ty", F.explode(F.sequence(start("r0"), upto("r0", "h")))).withColumn("tx", F.explode(F.sequence(start("c0"), upto("c0", "w"))))
+
+
+def pieces(blocks: DataFrame, boxes: DataFrame, side: int = SIDE) -> DataFrame:
+    """The parts of boxes(BOX) that each block covers; a box that meets no block of its image has none."""
+    met = met_blocks(boxes, side)
     wanted = met.select("image_id", "ty", "tx", F.struct("group", "side", "r0", "c0", "h", "w", "note").alias("box"), F.pmod(F.xxhash64("group", "side"), F.lit(1 << 20)).alias("deal"))
     # a block that many boxes want goes to several rows, so that none grows with their number
     per = wanted.groupBy("image_id", "ty", "tx").agg(F.ceil(F.count("*") / BOXES_PER_ROW).cast("int").alias("lots"))
@@ -114,6 +119,8 @@ def pieces(blocks: DataFrame, boxes: DataFrame, side: int = SIDE) -> DataFrame:
                     if h > 0 and w > 0:
                         out.append((*b.values(), r, c, h, w, grid[r - br : r - br + h, c - bc : c - bc + w].tobytes()))
                         size += 8 * h * w
+                    else:  # a block that ends early: the box is there, though without cells of it
+                        out.append((*b.values(), b["r0"], b["c0"], 0, 0, b""))
                     if size > LOT_BYTES:
                         yield _piece_batch(out)
                         out, size = [], 0
@@ -151,7 +158,8 @@ def over_boxes(parts: DataFrame, kernel: Callable[[list[Group]], Iterator[pa.Rec
                 if side not in sides:
                     sides[side] = (r0, c0, np.full((h, w), np.nan), note)
                     size += 8 * h * w
-                sides[side][2][pr - r0 : pr - r0 + ph, pc - c0 : pc - c0 + pw] = np.frombuffer(cells).reshape(ph, pw)
+                if cells:
+                    sides[side][2][pr - r0 : pr - r0 + ph, pc - c0 : pc - c0 + pw] = np.frombuffer(cells).reshape(ph, pw)
         if held is not None:
             lot.append((held, sides))
             yield from kernel(lot)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.config import DEFAULT
+from regolith.functions.tables import written
+from regolith.operators import blocks
 from regolith.operators.catalog import nearest_band
 from regolith.operators.match_metrics import apply_model
-from regolith.operators.raster import box_mean, cubic_weight
+from regolith.operators.raster import box_mean
 
 
 def pixel_size_m(a: Column, identity: Column, crs: Column, geographic: Column, radius_m: float = DEFAULT.moon_radius_m) -> Column:
@@ -190,35 +194,127 @@ def perspective_homography(size: int, tilt_deg: float, azimuth_rad: float, rotat
     return homography_of(corners + half, seen + half)
 
 
-def warp(pixels: DataFrame, models: DataFrame, height: int, width: int, method: str = "cubic") -> DataFrame:
-    """Each image under its model(image_id, m): nearest, bilinear or cubic (a = -0.75) sampling, 0 outside.
+#: Fixed value: sharpness of the cubic kernel.
+CUBIC = -0.75
+#: Cells of a raster that one part of a warped image may be made from.
+SOURCE_CELLS = 1 << 18
 
-    Output rows are dealt over the tasks, and their cells meet the raster by one join on cell keys.
-    """
-    rows = models.select("image_id", "m", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("r")).repartition("image_id", "r")
-    cells = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    a = lambda i: F.element_at("m", i)
+
+def _places(m: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the source (row, column) the cells of a warped image come from, by model m; NaN where nowhere."""
+    a = m.reshape(3, 3)
     # adjugate: the inverse up to a factor, which the perspective division takes out
-    inv = F.array(
-        a(5) * a(9) - a(6) * a(8), a(3) * a(8) - a(2) * a(9), a(2) * a(6) - a(3) * a(5), a(6) * a(7) - a(4) * a(9), a(1) * a(9) - a(3) * a(7), a(3) * a(4) - a(1) * a(6),
-        a(4) * a(8) - a(5) * a(7), a(2) * a(7) - a(1) * a(8), a(1) * a(5) - a(2) * a(4),
-    )
-    cells = cells.select("image_id", "r", "c", inv.alias("i"))
-    sx, sy = apply_model(F.col("c").cast("double"), F.col("r").cast("double"), F.col("i"))
-    cells = cells.select("image_id", "r", "c", F.round(sx, 9).alias("sx"), F.round(sy, 9).alias("sy"))
+    i = np.array([np.cross(a[:, 1], a[:, 2]), np.cross(a[:, 2], a[:, 0]), np.cross(a[:, 0], a[:, 1])])
+    x, y = c.astype(float), r.astype(float)
+    with np.errstate(all="ignore"):
+        w = i[2, 0] * x + i[2, 1] * y + i[2, 2]
+        sy, sx = (i[1, 0] * x + i[1, 1] * y + i[1, 2]) / w, (i[0, 0] * x + i[0, 1] * y + i[0, 2]) / w
+    sy, sx = (np.where(np.isfinite(v), v, np.nan) for v in (sy, sx))
+    return np.round(sy, 9), np.round(sx, 9)
+
+
+def _warp_boxes(m: np.ndarray, place: tuple[int, int, int, int], rows: int, cols: int) -> Iterator[tuple[tuple, tuple]]:
+    """Parts (r0, c0, h, w) of a place of the warped image, and the source box that each needs, empty for none; cut until boxes are small."""
+    r0, c0, h, w = place
+    r, c = (v.ravel() for v in np.mgrid[r0 : r0 + h, c0 : c0 + w])
+    sy, sx = _places(m, r, c)
+    on = (sy > -3) & (sy < rows + 2) & (sx > -3) & (sx < cols + 2)
+    if not on.any():
+        yield place, (0, 0, 0, 0)
+        return
+    top, left = max(int(np.floor(sy[on].min())) - 1, 0), max(int(np.floor(sx[on].min())) - 1, 0)
+    bottom, right = min(int(np.floor(sy[on].max())) + 3, rows), min(int(np.floor(sx[on].max())) + 3, cols)
+    if bottom <= top or right <= left:
+        yield place, (0, 0, 0, 0)
+        return
+    if (bottom - top) * (right - left) <= SOURCE_CELLS or h * w == 1:
+        yield place, (top, left, bottom - top, right - left)
+        return
+    for p, q in ((0, (h + 1) // 2), ((h + 1) // 2, h)):
+        for u, v in ((0, (w + 1) // 2), ((w + 1) // 2, w)):
+            if q > p and v > u:
+                yield from _warp_boxes(m, (r0 + p, c0 + u, q - p, v - u), rows, cols)
+
+
+def _tap_weights(d: np.ndarray, method: str) -> np.ndarray:
+    """Weight of a cell at distance d."""
+    d = np.abs(d)
+    if method == "bilinear":
+        return np.maximum(0, 1 - d)
+    a = CUBIC
+    return np.where(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1, np.where(d < 2, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a, 0.0))
+
+
+def _sampled(box: tuple[int, int, np.ndarray], sy: np.ndarray, sx: np.ndarray, method: str) -> np.ndarray:
+    """Values at the places from the cells of a box; cells that are not there, or have no data, count as 0."""
+    top, left, grid = box
+    out = np.zeros(len(sy))
+    fine = np.flatnonzero(np.isfinite(sy) & np.isfinite(sx))
+    sy, sx = sy[fine], sx[fine]
+    known = np.nan_to_num(grid)
+
+    def add(r, c, weight):
+        i, j = r - top, c - left
+        ok = (i >= 0) & (i < grid.shape[0]) & (j >= 0) & (j < grid.shape[1])
+        out[fine[ok]] += (weight if np.isscalar(weight) else weight[ok]) * known[i[ok].astype(int), j[ok].astype(int)]
+
     if method == "nearest":
-        taps = cells.select("image_id", "r", "c", F.rint("sy").cast("int").alias("pr"), F.rint("sx").cast("int").alias("pc"), F.lit(1.0).alias("w"))
-    else:
-        span = (0, 1) if method == "bilinear" else (-1, 0, 1, 2)
-        offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span))
-
-        def weight(d: Column) -> Column:
-            return F.greatest(F.lit(0.0), 1 - F.abs(d)) if method == "bilinear" else cubic_weight(d)
-
-        taps = cells.withColumn("o", F.explode(offsets)).withColumn("pr", (F.floor("sy") + F.col("o.i")).cast("int")).withColumn("pc", (F.floor("sx") + F.col("o.j")).cast("int"))
-        taps = taps.select("image_id", "r", "c", "pr", "pc", (weight(F.col("sx") - F.col("pc")) * weight(F.col("sy") - F.col("pr"))).alias("w")).where(F.col("w") != 0)
-    met = taps.join(pixels.select("image_id", F.col("r").alias("pr"), F.col("c").alias("pc"), "v"), ["image_id", "pr", "pc"], "left")
-    return met.groupBy("image_id", "r", "c").agg(F.coalesce(F.sum(F.col("w") * F.col("v")), F.lit(0.0)).alias("v"))
+        add(np.rint(sy), np.rint(sx), 1.0)
+        return out
+    span = (0, 1) if method == "bilinear" else (-1, 0, 1, 2)
+    for i in span:
+        for j in span:
+            r, c = np.floor(sy) + i, np.floor(sx) + j
+            add(r, c, _tap_weights(sx - c, method) * _tap_weights(sy - r, method))
+    return out
+
+
+def warp(pixels: DataFrame, models: DataFrame, height: int, width: int, method: str = "cubic") -> DataFrame:
+    """Each image under its model(image_id, m): nearest, bilinear or cubic (a = -0.75) sampling, 0 outside and without data.
+
+    The warped image is dealt in blocks; each names the box of the source that it is made from and gets it from the
+    blocks of the source. A block that a strong perspective spreads over the source is cut into parts of small boxes.
+    """
+    tiled = written(blocks.to_blocks(pixels), "blocks")
+    size = tiled.groupBy("image_id").agg(F.max(F.col("r0") + F.col("h")).alias("rows"), F.max(F.col("c0") + F.col("w")).alias("cols"))
+    down, across = -(-height // blocks.SIDE), -(-width // blocks.SIDE)
+    wanted = models.select(F.col("image_id").cast("string").alias("image_id"), "m", F.explode(F.sequence(F.lit(0), F.lit(down * across - 1))).alias("k")).join(size, "image_id", "left").repartition("image_id", "k")
+
+    def place_of(k: int) -> tuple[int, int, int, int]:
+        r0, c0 = k // across * blocks.SIDE, k % across * blocks.SIDE
+        return r0, c0, min(blocks.SIDE, height - r0), min(blocks.SIDE, width - c0)
+
+    def name_boxes(batches):
+        for batch in batches:
+            for image, m, k, rows, cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m, place = np.array(m, float), place_of(k)
+                parts = [(place, (0, 0, 0, 0))] if rows is None else _warp_boxes(m, place, rows, cols)
+                out = [(f"{k}|{n}|{image}", 0, image, *box, np.concatenate((m, part)).tobytes()) for n, (part, box) in enumerate(parts)]
+                kinds = (pa.string(), pa.int32(), pa.string(), *(pa.int32(),) * 4, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in blocks.BOX.split(", ")])
+
+    boxes = written(wanted.select("image_id", "m", "k", "rows", "cols").mapInArrow(name_boxes, blocks.BOX), "boxes")
+
+    def cells_of(image: str, note: bytes, box: tuple | None) -> pa.RecordBatch:
+        told = np.frombuffer(note)
+        r0, c0, h, w = told[9:].astype(int)
+        r, c = (v.ravel() for v in np.mgrid[r0 : r0 + h, c0 : c0 + w])
+        return blocks.cell_batch([image] * len(r), r, c, np.zeros(len(r)) if box is None else _sampled(box, *_places(told[:9], r, c), method))
+
+    def fill(groups):
+        for name, sides in groups:
+            yield cells_of(name.split("|", 2)[2], sides[0][3], sides[0][:3])
+
+    def leave(batches):
+        for batch in batches:
+            for image, note in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield cells_of(image, note, None)
+
+    out = "image_id string, r int, c int, v double"
+    filled = blocks.over_boxes(blocks.pieces(tiled, boxes), fill, out)
+    some = blocks.met_blocks(boxes).join(tiled.select("image_id", "ty", "tx"), ["image_id", "ty", "tx"], "left_semi").select("group").distinct()
+    empty = boxes.join(some, "group", "left_anti").select("image_id", "note").mapInArrow(leave, out)
+    return filled.unionByName(empty)
 
 
 def chunks(rows: DataFrame, n: int, size: int) -> DataFrame:
