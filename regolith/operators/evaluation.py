@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith.config import DEFAULT, DOF, Config
+from regolith.operators.documents import json_objects
 from regolith.operators.fitting import fit
 from regolith.operators.match_metrics import summarise
 
@@ -109,25 +106,18 @@ def first_with_hits(ranked: DataFrame, limit: int) -> DataFrame:
 
 
 def product_types(catalogues: DataFrame) -> DataFrame:
-    """Records with PT and IID at any depth of the JSON documents catalogues(json): iid, pt, products, footprints, incidence."""
-
-    def walk(node) -> Iterator[dict]:
-        if isinstance(node, dict):
-            if "PT" in node and "IID" in node:
-                yield node
-            node = list(node.values())
-        for child in node if isinstance(node, list) else ():
-            yield from walk(child)
-
-    def number(v) -> int:
-        return int(v) if str(v or "").strip().lstrip("-").isdigit() else 0
+    """Records with PT and IID at any depth of the JSON documents catalogues(json): iid, pt, products, footprints, incidence.
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(r["IID"], r["PT"], number(r.get("NumberProducts")), r.get("ValidFootprints") == "T", r.get("ValidIncidenceAngles") == "T") for text in pdf["json"] if text for r in walk(json.loads(text))]
-            yield pd.DataFrame(rows, columns=["iid", "pt", "products", "footprints", "incidence"])
-
-    return catalogues.select("json").mapInPandas(run, "iid string, pt string, products long, footprints boolean, incidence boolean")
+    A document that is not JSON has no records; documents.json_objects() tells its error. A number of products
+    that is none counts as 0.
+    """
+    field = lambda name: F.get_json_object("body", f"$.{name}")
+    number = F.trim(field("NumberProducts"))
+    flag = lambda name: F.coalesce(field(name) == "T", F.lit(False)).alias({"ValidFootprints": "footprints", "ValidIncidenceAngles": "incidence"}[name])
+    found = json_objects(catalogues.select("json"), "json", "PT", "IID").where(F.col("body").isNotNull())
+    return found.select(
+        field("IID").alias("iid"), field("PT").alias("pt"), F.when(number.rlike("^-?[0-9]+$"), number.try_cast("long")).otherwise(0).alias("products"), flag("ValidFootprints"), flag("ValidIncidenceAngles")
+    ).fillna(0, ["products"])
 
 
 def type_tally(types: DataFrame) -> DataFrame:

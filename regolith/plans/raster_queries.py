@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from regolith.fixtures import PIXELS, pixels
+from regolith.functions.tables import shared_dir
 from regolith.operators import catalog as ct
 from regolith.operators import geometry as ge
 from regolith.operators import matching as ma
 from regolith.operators import photometry as ph
 from regolith.operators import raster as ra
 from regolith.plans.match_queries import rounded
+from regolith.sources import images as im
 
 QUERIES, SQL = {}, {}
 
@@ -356,3 +359,19 @@ def knn_hamming(spark, sf_dir):
 def nearest_band(spark, sf_dir):
     bands = pixels(spark, sf_dir).groupBy("image_id", F.col("c").alias("band")).agg(F.avg("v").alias("m")).withColumn("wavelength_nm", 400 + F.col("band") * 17.5)
     return ct.nearest_band(bands, 1504.4).select("band", "wavelength_nm")
+
+
+@query(f"WITH {PIXELS} SELECT r, c, v FROM px")
+def image_files(spark, sf_dir):
+    """The raster written as georeferenced TIFF tiles and read again by the image source."""
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    im.write_images(pixels(spark, sf_dir), path, 30100, (7.403, 0.0, 0.0, 0.0, -7.403, 0.0))
+    return im.read_images(spark, path).select("r", "c", "v")
+
+
+@query(f"WITH {PIXELS} SELECT 'src' AS image_id, CAST(max(r) + 1 AS INT) AS height, CAST(max(c) + 1 AS INT) AS width, 30100 AS crs, 7.403::DOUBLE AS pixel_x, 7.403::DOUBLE AS pixel_y FROM px")
+def image_headers(spark, sf_dir):
+    """Size, reference system and pixel size that the written tiles carry."""
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    im.write_images(pixels(spark, sf_dir), path, 30100, (7.403, 0.0, 0.0, 0.0, -7.403, 0.0))
+    return rounded(im.image_index(spark, path).select("image_id", "height", "width", "crs", "pixel_x", "pixel_y"))
