@@ -153,6 +153,7 @@ def _tokens(documents: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
                     most = max(sizes, key=sizes.get)
                     del sizes[most]
                     yield from _batches(_word_rows(most, number(), held.pop(most), buckets))
+                    pa.default_memory_pool().release_unused()
         for lang, texts in held.items():
             yield from _batches(_word_rows(lang, number(), texts, buckets))
 
@@ -188,8 +189,15 @@ def _frequent_words(rows: DataFrame, parts: int, least: int) -> DataFrame:
     return asked.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(run, "lang string, bucket int, word string, f long")
 
 
+_PAIRS = "lang string, bucket int, a long, b long, f long"
+
+
 def _added(rows: DataFrame, parts: int, key: list[str], least: int) -> DataFrame:
-    """Runs of pairs added up for each key: lang, bucket, body, of the pairs with at least that count."""
+    """Runs of pairs added up for each key, without part in it as lang, bucket, a, b, f of the pairs with at least that count.
+
+    With part in the key the sums go on as runs: lang, bucket, body.
+    """
+    extra = [c for c in key if c not in ("lang", "bucket")]
 
     def run(batches):
         at, keys, counts, held = None, [], [], 0
@@ -202,7 +210,13 @@ def _added(rows: DataFrame, parts: int, key: list[str], least: int) -> DataFrame
         def close():
             settle()
             often = counts[0] >= least
-            return _batch([(at[0], at[1], None, None, pack(deltas(keys[0][often]), narrow(counts[0][often])))])
+            k, n = keys[0][often], counts[0][often]
+            if extra:
+                return _batch([(at[0], at[1], None, None, pack(deltas(k), narrow(n)))])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]] * len(k), pa.string()), pa.array([at[1]] * len(k), pa.int32()), pa.array(k >> 32, pa.int64()), pa.array(k & 0xFFFFFFFF, pa.int64()), pa.array(n.astype(np.int64), pa.int64())],
+                names=["lang", "bucket", "a", "b", "f"],
+            )
 
         for batch in batches:
             for *place, lang, bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -219,9 +233,8 @@ def _added(rows: DataFrame, parts: int, key: list[str], least: int) -> DataFrame
         if at is not None:
             yield close()
 
-    extra = [c for c in key if c not in ("lang", "bucket")]
-    asked = rows.select(*extra, "lang", "bucket", "body")
-    return asked.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, _ROWS).select("lang", "bucket", "body")
+    asked = rows.select(*extra, "lang", "bucket", "body").repartition(parts, *key).sortWithinPartitions(*key)
+    return asked.mapInArrow(run, _ROWS if extra else _PAIRS)
 
 
 def _frequent_pairs(rows: DataFrame, parts: int, least: int, spread: int) -> DataFrame:
@@ -229,19 +242,7 @@ def _frequent_pairs(rows: DataFrame, parts: int, least: int, spread: int) -> Dat
     runs = rows.where("bucket >= 0")
     if spread > 1:
         runs = _added(runs.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(spread))), parts, ["lang", "bucket", "part"], 1)
-    total = _added(runs, parts, ["lang", "bucket"], least)
-
-    def run(batches):
-        for batch in batches:
-            for lang, bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, n = unpack(body)
-                k = np.cumsum(k, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(k), pa.string()), pa.array([bucket] * len(k), pa.int32()), pa.array(k >> 32, pa.int64()), pa.array(k & 0xFFFFFFFF, pa.int64()), pa.array(n.astype(np.int64), pa.int64())],
-                    names=["lang", "bucket", "a", "b", "f"],
-                )
-
-    return total.mapInArrow(run, "lang string, bucket int, a long, b long, f long")
+    return _added(runs, parts, ["lang", "bucket"], least)
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
@@ -308,6 +309,7 @@ def _next(rows: DataFrame, frequent: DataFrame, parts: int, buckets: int, spread
                     keys = seq.astype(np.int64) if words else pair_keys(seq)
                     where = np.minimum(np.searchsorted(found, keys), len(found) - 1)
                     new = np.where(found[where] == keys, ids[where], -1)
+                    del keys, where
                     yield from _batches(_pair_rows(lang, chunk, new.astype(np.int32 if ids.max() < 2**31 else np.int64), buckets))
                 bodies = []
 
