@@ -20,7 +20,7 @@ from regolith.llm.wordstream import Words, chunks
 
 PASSAGE_WORDS = 64
 MAX_TRAINING_ROWS = 6_000
-#: Most passages of all training texts together: texts are left out of the sample as a whole beyond it, the last by a hash first.
+#: Most passages of all training texts together, half of them of either class: texts that do not fit are left out as a whole.
 MAX_TRAINING_PASSAGES = 200_000
 #: Words of a long text that are encoded at a time, a multiple of the passage size.
 PIECE_WORDS = 1 << 18
@@ -152,8 +152,26 @@ def fit(x: np.ndarray, per: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, ste
     return Model(mean, scale, p["v"], p["u"], p["a"], p["w"], float(p["b"][0]))
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Fits the model on at most about max_rows labelled, not held-out rows, and at most MAX_TRAINING_PASSAGES of their passages.
+def taken_texts(sizes: list[tuple[int, int, int]], most: int) -> list[int]:
+    """Keys of the texts (key, label, passages) that are learned from: each class in the order of the keys, up to half of the passages.
+
+    A text that does not fit is passed over and the next one tried; the smallest of a class is taken in any case.
+    """
+    keys: set[int] = set()
+    for label in (0, 1):
+        own = [(k, n) for k, y, n in sizes if y == label]
+        left = most // 2
+        for k, n in own:
+            if n <= left:
+                keys.add(k)
+                left -= n
+        if own and left == most // 2:
+            keys.add(min(own, key=lambda x: (x[1], x[0]))[0])
+    return sorted(keys)
+
+
+def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, most_passages: int = MAX_TRAINING_PASSAGES) -> Model:
+    """Fits the model on at most about max_rows labelled, not held-out rows, and at most about most_passages of their passages.
 
     Passages of the sample are encoded by the tasks, all of a text; the driver gets numbers only. With one
     class alone, or no labels, every text scores alike: near that class, or 0.5.
@@ -174,14 +192,10 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
     sample = training_rows(documents, labels, "quality", max_rows)
     encoded = written(sample.select("doc_id", "label", F.col("text").cast("binary").alias("data")).mapInArrow(encode, "doc_id long, label int, n long, x array<double>"), "encoded")
     encoded = encoded.withColumn("key", F.xxhash64("doc_id", F.lit(29)))
-    sizes = encoded.select("key", "n").orderBy("key").collect()  # max_rows numbers
-    total, cut = 0, None
-    for r in sizes:
-        total += r["n"]
-        if total > MAX_TRAINING_PASSAGES:
-            break
-        cut = r["key"]
-    rows = encoded.where(F.col("key") <= F.lit(cut)).select("doc_id", "label", "x").collect() if cut is not None else []
+    sizes = encoded.select("key", "label", "n").orderBy("key", "n").collect()  # max_rows numbers
+    keys = taken_texts([(r["key"], r["label"], r["n"]) for r in sizes], most_passages)
+    chosen = encoded.sparkSession.createDataFrame([(k,) for k in keys], "key long")
+    rows = encoded.join(F.broadcast(chosen), "key", "left_semi").select("doc_id", "label", "x").collect() if keys else []
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["label"] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:

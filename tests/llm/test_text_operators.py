@@ -501,6 +501,33 @@ def test_quality_held_out(spark):
     assert all(r["score"] > 0.5 for r in quality.score_quality(docs, one).collect())
 
 
+def test_bounded_sample_keeps_both_classes(spark):
+    sizes = [(1, 1, 90), (2, 0, 5), (3, 1, 4), (4, 0, 40), (5, 1, 20), (6, 0, 3)]
+    assert quality.taken_texts(sizes, 50) == [2, 3, 5, 6] and quality.taken_texts(sizes, 2) == [3, 6] and quality.taken_texts([], 9) == []
+    rows, labels = labelled(spark, lambda words, rng: " | ".join(words), column="quality")
+    docs = docs_of(spark, [*rows, (7000, "a b " * 200_000, "s")])
+    got = quality.score_quality(docs, quality.learn(docs, labels, most_passages=60)).collect()
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in got if r["doc_id"] in truth]) > 0.9
+    none = quality.learn(docs.limit(0), labels.limit(0))
+    assert quality.score_quality(docs.limit(0), none).count() == 0 and quality.score_quality(docs.limit(3), none).count() == 3
+
+
+def test_attention_scores_by_hand():
+    """The forward pass over bags against plain loops."""
+    rng = np.random.default_rng(2)
+    d, hidden, per = 5, 3, np.array([1, 4, 2])
+    model = quality.Model(rng.normal(size=d), rng.uniform(0.5, 2, d), rng.normal(size=(d, hidden)), rng.normal(size=(d, hidden)), rng.normal(size=hidden), rng.normal(size=d), 0.3)
+    x, at, want = rng.normal(size=(7, d)), 0, []
+    for n in per:
+        bag = [(row - model.mean) / model.scale for row in x[at : at + n]]
+        at += n
+        raw = [sum(model.attend[k] * np.tanh(h @ model.v[:, k]) / (1 + np.exp(-(h @ model.u[:, k]))) for k in range(hidden)) for h in bag]
+        share = np.exp(raw) / np.exp(raw).sum()
+        want.append(1 / (1 + np.exp(-(sum(a * h for a, h in zip(share, bag, strict=True)) @ model.layer + 0.3))))
+    assert np.allclose(model.score(x, per), want)
+
+
 def test_passages_of_long_texts(monkeypatch):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["Abc", "de", "f9!", "gh", "|x|", "iou"]) + str(rng.randrange(50)) for _ in range(n)).encode() for n in (0, 3, 64, 700, 65)]
