@@ -185,14 +185,6 @@ def missing(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return required.join(present, key, "left_anti")
 
 
-def adoption(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Per case the first rule a candidate breaks: rmse over 1 px, less than half the matches, no result; or adopt."""
-    b = baseline.select("case", F.col("matches").alias("b_matches"))
-    both = b.join(candidate.select("case", "matches", "rmse_px"), "case", "left")
-    rule = F.when(F.col("matches").isNull(), "no result").when(F.col("rmse_px").isNull() | (F.col("rmse_px") > 1.0), "rmse over one pixel").when(F.col("matches") < 0.5 * F.col("b_matches"), "matches halved").otherwise("adopt")
-    return both.select("case", "b_matches", "matches", rule.alias("verdict"))
-
-
 def accepted_epochs(history: DataFrame, baseline: float, real: float, keep: float = 0.8) -> DataFrame:
     """Epochs at which validation precision passes all before (and the baseline), with enough real matches kept."""
     before = F.max(F.when(F.col("real_matches") >= keep * real, F.col("val_prec"))).over(Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))

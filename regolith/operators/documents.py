@@ -35,6 +35,11 @@ class ObjectsWith:
             waiting.extend((p, x) for p, x in reversed(inner) if isinstance(x, dict | list))
 
 
+def pattern_counts(texts: DataFrame, text: str, **patterns: str) -> DataFrame:
+    """texts with the number of matches of each pattern in its text column; (?m) makes ^ and $ those of lines. None in a null text."""
+    return texts.withColumns({name: F.coalesce(F.regexp_count(F.col(text), F.lit(p)), F.lit(0)) for name, p in patterns.items()})
+
+
 objects_with = udtf(ObjectsWith, returnType="path string, body string, error string")
 
 

@@ -48,15 +48,18 @@ def complexity_control(choices: DataFrame, kind: str = "homography") -> DataFram
     return g.withColumn("passed", F.col("chosen") <= F.floor(F.col("pairs") / 2))
 
 
-def adoption(baseline: DataFrame, candidate: DataFrame, gates: DataFrame) -> DataFrame:
+def adoption(baseline: DataFrame, candidate: DataFrame, gates: DataFrame | None = None) -> DataFrame:
     """Per case the first rule that a candidate breaks: no result, RMSE over 1 px, matches halved, gate lost; or adopt.
 
-    gates(case, before, after) tells whether the control gate passed; a gate that failed before cannot be lost.
+    gates(case, before, after) tells whether the control gate passed; a gate that failed before cannot be lost, nor can any
+    where gates are not given.
     """
     b = baseline.select("case", F.col("matches").alias("b_matches"))
-    both = b.join(candidate.select("case", "matches", "rmse_px"), "case", "left").join(gates, "case", "left")
-    over = F.col("rmse_px").isNull() | (F.col("rmse_px") > 1.0)
-    lost = F.coalesce("before", F.lit(False)) & ~F.coalesce("after", F.lit(False))
+    both = b.join(candidate.select("case", "matches", "rmse_px"), "case", "left")
+    over, lost = F.col("rmse_px").isNull() | (F.col("rmse_px") > 1.0), F.lit(False)
+    if gates is not None:
+        both = both.join(gates, "case", "left")
+        lost = F.coalesce("before", F.lit(False)) & ~F.coalesce("after", F.lit(False))
     rule = F.when(F.col("matches").isNull(), "no result").when(over, "rmse over one pixel").when(F.col("matches") < 0.5 * F.col("b_matches"), "matches halved").when(lost, "gate lost")
     return both.select("case", "b_matches", "matches", rule.otherwise("adopt").alias("verdict"))
 

@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from regolith.config import DEFAULT, DOF, Config
 from regolith.functions.tables import written
 from regolith.operators.match_metrics import apply_model, residuals
+from regolith.operators.raster import quantiles
 
 POINTS = {"similarity": 2, "affine": 3, "homography": 4}
 #: Matches of a pair from which sets are drawn.
@@ -287,12 +288,16 @@ def _least_squares_homography(matches: DataFrame) -> DataFrame:
 def select_model(matches: DataFrame, kinds: tuple[str, ...] = ("similarity", "affine", "homography"), cfg: Config = DEFAULT) -> DataFrame:
     """pair_id, best and the held-out median residual of each kind.
 
-    Models are fitted on one half (by a bit of the fixed key) and judged on the other; a more complex kind
-    is taken only if its median is lower than the best one's by the margin. Pairs of fewer than 16 matches are left out.
+    Models are fitted on the first n div 2 matches of a pair in the order of the fixed key (match_id is taken to be
+    one) and judged on the others; a more complex kind is taken only if its median is lower than the best one's by
+    the margin. Pairs of fewer than 16 matches are left out.
     """
     points = written(matches.select("pair_id", "match_id", "xa", "ya", "xb", "yb"), "points")
     enough = points.groupBy("pair_id").count().where(F.col("count") >= cfg.min_matches_for_split).select("pair_id")
-    some = points.join(enough, "pair_id", "left_semi").withColumn("train", F.floor(lcg() / 65536) % 2 == 0)
+    some = points.join(enough, "pair_id", "left_semi")
+    # below the median key are n div 2 keys, for even and odd n
+    middle = quantiles(some.select("pair_id", lcg().cast("double").alias("x")), ("pair_id",), (0.5,))
+    some = some.join(middle, "pair_id").withColumn("train", lcg() < F.element_at("p", 1)).drop("p")
     fitted_on = some.where("train").drop("train")
     fitted_on = written(fitted_on, "half")
     packs, pools = packed(fitted_on)

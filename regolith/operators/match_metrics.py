@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from regolith.config import DEFAULT, Config
+from regolith.functions.tables import written
+from regolith.operators.raster import quantiles
 
 
 def cell(size: float, grid: int, x: str = "xa", y: str = "ya") -> tuple[Column, Column]:
@@ -15,14 +17,18 @@ def cell(size: float, grid: int, x: str = "xa", y: str = "ya") -> tuple[Column,
     return of(y), of(x)
 
 
-def uniformity(matches: DataFrame, size: float, grid: int = DEFAULT.uniformity_grid) -> DataFrame:
-    """pair_id, coverage (share of cells hit) and entropy (normalised by the log of the cells). Pairs without matches are absent."""
+def uniformity(matches: DataFrame, size: float, grid: int = DEFAULT.uniformity_grid, pairs: DataFrame | None = None) -> DataFrame:
+    """pair_id, coverage (share of cells hit) and entropy (normalised by the log of the cells).
+
+    With pairs(pair_id) there is a row for each of them, (0, 0) for those without matches; else these are absent.
+    """
     gy, gx = cell(size, grid)
     counts = matches.groupBy("pair_id", (gy * grid + gx).alias("cell")).agg(F.count("*").alias("n"))
     # sum(-p ln p) = ln N - sum(n ln n) / N, from one pass over the cell counts
     sums = counts.groupBy("pair_id").agg(F.count("*").alias("cells"), F.sum("n").alias("total"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
     entropy = (F.ln("total") - F.col("nln") / F.col("total")) / F.ln(F.lit(float(grid * grid)))
-    return sums.select("pair_id", (F.col("cells") / float(grid * grid)).alias("coverage"), entropy.alias("entropy"))
+    found = sums.select("pair_id", (F.col("cells") / float(grid * grid)).alias("coverage"), entropy.alias("entropy"))
+    return found if pairs is None else pairs.select("pair_id").distinct().join(found, "pair_id", "left").fillna(0.0, ["coverage", "entropy"])
 
 
 def coverage_grid(matches: DataFrame, size: float, grid: int = DEFAULT.uniformity_grid) -> DataFrame:
@@ -35,20 +41,30 @@ def coverage_grid(matches: DataFrame, size: float, grid: int = DEFAULT.uniformit
     return every.join(counts, ["pair_id", "gy", "gx"], "left").select("pair_id", "gy", "gx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _medians(offsets: DataFrame, by: tuple[str, ...], **columns: Column) -> DataFrame:
+    """by... and the exact median of each column, by a sort over ranges: no task sees a pair as a whole."""
+    axes = F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), v.cast("double").alias("x")) for k, v in columns.items()))).alias("s")
+    found = quantiles(offsets.select(*by, axes).select(*by, "s.axis", "s.x"), (*by, "axis"), (0.5,))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("axis") == k, F.element_at("p", 1))).alias(k) for k in columns))
+
+
 def offset_mad(matches: DataFrame, cfg: Config = DEFAULT, by: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """Median translation and its median absolute deviations; NULL below min_matches, as is the count's row kept."""
-    dx, dy = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
-    med = matches.groupBy(*by).agg(F.count("*").alias("n"), F.median(dx).alias("dx"), F.median(dy).alias("dy"))
-    off = matches.join(med, list(by)).groupBy(*by).agg(F.median(F.abs(dx - F.col("dx"))).alias("mad_x"), F.median(F.abs(dy - F.col("dy"))).alias("mad_y"))
-    enough = F.col("n") >= cfg.min_matches
-    return med.join(off, list(by)).select(*by, "n", *(F.when(enough, F.col(c)).alias(c) for c in ("dx", "dy", "mad_x", "mad_y")))
+    off = matches.select(*by, (F.col("xb") - F.col("xa")).alias("ox"), (F.col("yb") - F.col("ya")).alias("oy"))
+    counts = off.groupBy(*by).agg(F.count("*").alias("n"))
+    off = off.join(counts.where(F.col("n") >= cfg.min_matches).select(*by), list(by), "left_semi")
+    med = written(_medians(off, by, dx=F.col("ox"), dy=F.col("oy")), "medians")
+    mad = _medians(off.join(med, list(by)), by, mad_x=F.abs(F.col("ox") - F.col("dx")), mad_y=F.abs(F.col("oy") - F.col("dy")))
+    return counts.join(med.join(mad, list(by), "left"), list(by), "left").select(*by, "n", "dx", "dy", "mad_x", "mad_y")
 
 
 def coarse_offset(matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Median translation rounded half to even; (0, 0, n) below min_matches."""
-    g = matches.groupBy("pair_id").agg(F.count("*").alias("n"), F.median(F.col("xb") - F.col("xa")).alias("x"), F.median(F.col("yb") - F.col("ya")).alias("y"))
-    of = lambda c: F.when(F.col("n") >= cfg.min_matches, F.rint(c)).otherwise(0).cast("int")
-    return g.select("pair_id", of("x").alias("dx"), of("y").alias("dy"), "n")
+    counts = matches.groupBy("pair_id").agg(F.count("*").alias("n"))
+    enough = matches.join(counts.where(F.col("n") >= cfg.min_matches).select("pair_id"), "pair_id", "left_semi")
+    med = _medians(enough, ("pair_id",), x=F.col("xb") - F.col("xa"), y=F.col("yb") - F.col("ya"))
+    of = lambda c: F.coalesce(F.rint(c), F.lit(0.0)).cast("int")
+    return counts.join(med, "pair_id", "left").select("pair_id", of("x").alias("dx"), of("y").alias("dy"), "n")
 
 
 def cross_window_spread(offsets: DataFrame) -> DataFrame:

@@ -201,6 +201,15 @@ def window(pixels: DataFrame, row: int, col: int, height: int, width: int) -> Da
     return pixels.where(inside).withColumn("r", F.col("r") - row).withColumn("c", F.col("c") - col)
 
 
+def checked_window(pixels: DataFrame, row: int, col: int, height: int, width: int) -> DataFrame:
+    """window(), but an error where it passes the edge of an image (one pass over the places of the cells)."""
+    size = extent(pixels)
+    short = size.where((F.lit(row) < 0) | (F.lit(col) < 0) | (F.col("height") < row + height) | (F.col("width") < col + width)).orderBy("image_id").first()
+    if short is not None:
+        raise ValueError(f"{height} x {width} cells at ({row}, {col}) pass the edge of {short['image_id']}, {short['height']} x {short['width']}")
+    return window(pixels, row, col, height, width)
+
+
 def intersect_masks(fine: DataFrame, coarse: DataFrame, k: int) -> DataFrame:
     """Fine cells (image_id, r, c, valid) that are valid with the coarse cell (kr, kc) of their image."""
     own = fine.select("image_id", "r", "c", F.col("valid").alias("fine"), F.floor(F.col("r") / k).cast("int").alias("kr"), F.floor(F.col("c") / k).cast("int").alias("kc"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regolith.fixtures import FOOTPRINTS, TILES, TRIPLES, footprints, read, tiles, triples
 from regolith.operators import catalog as ct
+from regolith.operators import evaluation as ev
 from regolith.operators.geometry import pixel_size_m
 from regolith.operators.photometry import compass
 from regolith.streaming.arrivals import arrivals
@@ -150,7 +151,7 @@ SELECT b."case", b.m AS b_matches, c.m AS matches, CASE WHEN c.m IS NULL THEN 'n
 def adoption_verdict(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     g = lambda k: o.where(F.col("o_orderkey") % 2 == k).groupBy(F.col("o_custkey").alias("case")).agg(F.count("*").alias("matches"), (F.avg("o_totalprice") / 200000).alias("rmse_px"))
-    return ct.adoption(g(0), g(1))
+    return ev.adoption(g(0), g(1))
 
 
 @query("""WITH h AS (SELECT user_id AS run, event_id AS epoch, value AS p, event_id % 100 AS real FROM events),

@@ -213,7 +213,7 @@ def fit_guarded(spark, sf_dir):
     return rounded(ft.guarded_rmse(ft.fit(matches(spark, sf_dir), "similarity"), "similarity"))
 
 
-@query(f"""WITH {MATCHES}, sp AS (SELECT *, (((match_id * 1103515245 + 12345) % 2147483648) // 65536) % 2 = 0 AS train FROM m), tr AS (SELECT pair_id, match_id, xa, ya, xb, yb FROM sp WHERE train), te AS (SELECT * FROM sp WHERE NOT train),
+@query(f"""WITH {MATCHES}, sp AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY (match_id * 1103515245 + 12345) % 2147483648) <= count(*) OVER (PARTITION BY pair_id) // 2 AS train FROM m), tr AS (SELECT pair_id, match_id, xa, ya, xb, yb FROM sp WHERE train), te AS (SELECT * FROM sp WHERE NOT train),
 {_ransac('similarity', 'tr', '_s')}, {_ransac('affine', 'tr', '_a')},
 hs AS (SELECT pair_id, median({RESIDUAL}) AS s FROM te JOIN best_s USING (pair_id) GROUP BY pair_id), ha AS (SELECT pair_id, median({RESIDUAL}) AS f FROM te JOIN best_a USING (pair_id) GROUP BY pair_id)
 SELECT pair_id, CASE WHEN coalesce((s - f) / greatest(s, 1e-9) >= 0.15, false) THEN 'affine' ELSE 'similarity' END AS best, round(s, 6) AS similarity, round(f, 6) AS affine FROM hs LEFT JOIN ha USING (pair_id)""")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from regolith.config import DEFAULT
 from regolith.fixtures import FOOTPRINTS, MATCHES, PIXELS, SIZE, TILES, TRIPLES, footprints, matches, pixels, read, tiles, triples
 from regolith.operators import catalog as ct
+from regolith.operators import documents as dc
 from regolith.operators import evaluation as ev
 from regolith.operators import geometry as ge
 from regolith.operators import photometry as ph
@@ -119,19 +122,33 @@ def tile_codes(spark, sf_dir):
     return triples(spark, sf_dir).select("path", "tile", "kind", tr.tile_code(name, ("MOR_", "EVE_")).alias("code"))
 
 
-@query(f"""WITH {MATCHES}, sp AS (SELECT * FROM m WHERE pair_id % 10 <> 3 OR match_id < 5), {mq._ransac('affine', 'sp', '_b')}, n AS (SELECT pair_id, count(*) AS matches FROM sp GROUP BY pair_id),
+BASELINE = f"""WITH {MATCHES}, sp AS (SELECT * FROM m WHERE pair_id % 10 <> 3 OR match_id < 5), {mq._ransac('affine', 'sp', '_b')}, n AS (SELECT pair_id, count(*) AS matches FROM sp GROUP BY pair_id),
 f AS (SELECT pair_id, xa, ya, {mq.RESIDUAL} AS r FROM sp JOIN best_b USING (pair_id)), {mq.CELLS.replace('FROM m)', 'FROM f WHERE r <= 1.5)')},
 k AS (SELECT pair_id, gy, gx, count(*) AS c FROM cells GROUP BY ALL), t AS (SELECT pair_id, sum(c) AS t FROM k GROUP BY pair_id),
 u AS (SELECT pair_id, count(*) / 64.0::DOUBLE AS coverage, -sum((c / t) * ln(c / t)) / ln(64) AS entropy FROM k JOIN t USING (pair_id) GROUP BY pair_id),
 s AS (SELECT pair_id, count(*) FILTER (r <= 1.5) AS inlier_count, count(*) FILTER (r <= 1.5) / count(*) AS ratio, sqrt(avg(r * r) FILTER (r <= 1.5)) AS rmse FROM f GROUP BY pair_id)
 SELECT pair_id, matches, CASE WHEN matches >= 8 THEN inlier_count END AS inlier_count, round(CASE WHEN matches >= 8 THEN ratio END, 4) AS inlier_ratio, round(CASE WHEN matches >= 8 THEN rmse END, 4) AS rmse_px,
-  round(CASE WHEN matches >= 8 THEN coalesce(coverage, 0) ELSE 0 END, 4) AS coverage, round(CASE WHEN matches >= 8 THEN coalesce(entropy, 0) ELSE 0 END, 4) + 0.0 AS entropy FROM n LEFT JOIN s USING (pair_id) LEFT JOIN u USING (pair_id)""")
+  round(CASE WHEN matches >= 8 THEN coalesce(coverage, 0) ELSE 0 END, 4) AS coverage, round(CASE WHEN matches >= 8 THEN coalesce(entropy, 0) ELSE 0 END, 4) + 0.0 AS entropy FROM n LEFT JOIN s USING (pair_id) LEFT JOIN u USING (pair_id)"""
+
+
+@query(BASELINE)
 def baseline_scores(spark, sf_dir):
     """Every tenth pair has five matches only."""
     ms = matches(spark, sf_dir).where((F.col("pair_id") % 10 != 3) | (F.col("match_id") < 5))
     return rounded(ev.fit_scores(ms, SIZE), 4)
 
 
+def wide(sql: str) -> str:
+    """The scores within three pixels, of at least three inliers."""
+    return sql.replace("<= 1.5", "<= 3.0").replace("FROM f GROUP BY pair_id)", "FROM f GROUP BY pair_id HAVING count(*) FILTER (r <= 3.0) >= 3)").replace("matches >= 8 THEN coalesce", "matches >= 8 AND ratio IS NOT NULL THEN coalesce")
+
+
+@query(wide(BASELINE))
+def baseline_scores_wide(spark, sf_dir):
+    ms = matches(spark, sf_dir).where((F.col("pair_id") % 10 != 3) | (F.col("match_id") < 5))
+    return rounded(ev.fit_scores(ms, SIZE, least_inliers=3, cfg=replace(DEFAULT, ransac_px=3.0)), 4)
+
+
 @query(f"WITH {MATCHES}, g AS (SELECT pair_id, CAST(pair_id % 3 AS VARCHAR) AS name, count(*) AS n FROM m GROUP BY pair_id) SELECT name, CAST(pair_id AS VARCHAR) AS tile, CAST(pair_id % 45 AS DOUBLE) AS tilt_deg, n AS n_correspondences FROM g WHERE n >= 64")
 def training_manifest(spark, sf_dir):
     pair = F.col("pair_id")
@@ -197,6 +214,20 @@ def first_members(spark, sf_dir):
     return rasters.first_member(read(spark, sf_dir, "part").select(F.col("p_brand").alias("archive"), F.col("p_partkey").alias("position"), name.alias("name")), ".tif")
 
 
+@query("""WITH m AS (SELECT p_brand AS archive, p_partkey AS position, p_name || CASE WHEN p_size % 3 = 0 THEN '.tif' ELSE '.xml' END AS name FROM part)
+SELECT archive, name FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY contains(name, 'ring') DESC, position) AS k FROM m WHERE name LIKE '%.tif') WHERE k = 1""")
+def preferred_members(spark, sf_dir):
+    """The first member that is named for a match, else the first of all."""
+    name = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ".tif").otherwise(".xml"))
+    members = read(spark, sf_dir, "part").select(F.col("p_brand").alias("archive"), F.col("p_partkey").alias("position"), name.alias("name"))
+    return rasters.first_member(members, ".tif", preferred="ring")
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[.!?]')) AS ends, len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS numbers FROM documents""")
+def pattern_counts(spark, sf_dir):
+    return dc.pattern_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", ends="[.!?]", numbers="[0-9]+").drop("text")
+
+
 @query("SELECT 'a_oth_' || p_partkey AS id FROM part WHERE p_size % 4 = 0 OR p_partkey % 5 = 0 OR p_partkey % 9 = 0")
 def unpaired_rasters(spark, sf_dir):
     """Orthos whose terrain model has another size, other bounds, or is not there."""

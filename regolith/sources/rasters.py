@@ -59,10 +59,10 @@ def archive_path(archive: str, inner: str) -> str:
     return f"/vsizip/{archive}/{inner}"
 
 
-def first_member(members: DataFrame, suffix: str, prefix: str = "") -> DataFrame:
-    """archive, name: the first member of each archive by position with the suffix and prefix."""
+def first_member(members: DataFrame, suffix: str, prefix: str = "", preferred: str = "") -> DataFrame:
+    """archive, name: the first member of each archive by position with the suffix and prefix; one that holds the preferred text goes before all others."""
     fit = members.where(F.col("name").endswith(suffix) & F.col("name").startswith(prefix))
-    return fit.groupBy("archive").agg(F.min_by("name", "position").alias("name"))
+    return fit.groupBy("archive").agg(F.min_by("name", F.struct(~F.col("name").contains(preferred), "position")).alias("name"))
 
 
 def pair_violations(ortho: DataFrame, dtm: DataFrame) -> DataFrame:

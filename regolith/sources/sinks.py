@@ -16,13 +16,13 @@ def write_raster(pixels: DataFrame, path: str, tile: int = 256) -> None:
     cells.write.mode("overwrite").partitionBy("image_id").parquet(path)
 
 
-def match_points(fitted: DataFrame) -> DataFrame:
-    """The match-point rows: four decimals, inlier as 0 or 1."""
-    return fitted.select("pair_id", *(F.format_string("%.4f", F.col(c)).alias(n) for c, n in POINT_COLUMNS.items()), F.col("inlier").cast("int").alias("inlier"))
+def match_points(fitted: DataFrame, decimals: int = 4) -> DataFrame:
+    """The match-point rows: four decimals (three in older files), inlier as 0 or 1."""
+    return fitted.select("pair_id", *(F.format_string(f"%.{decimals}f", F.col(c)).alias(n) for c, n in POINT_COLUMNS.items()), F.col("inlier").cast("int").alias("inlier"))
 
 
-def write_match_points(fitted: DataFrame, path: str) -> None:
-    match_points(fitted).write.mode("overwrite").partitionBy("pair_id").csv(path, header=True)
+def write_match_points(fitted: DataFrame, path: str, decimals: int = 4) -> None:
+    match_points(fitted, decimals).write.mode("overwrite").partitionBy("pair_id").csv(path, header=True)
 
 
 def metrics_json(metrics: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
