@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from regolith.fixtures import FOOTPRINTS, TILES, TRIPLES, footprints, read, tiles, triples
+from regolith.functions.tables import shared_dir
 from regolith.operators import catalog as ct
 from regolith.operators import evaluation as ev
 from regolith.operators.geometry import pixel_size_m
 from regolith.operators.photometry import compass
 from regolith.streaming.arrivals import arrivals
 from regolith.plans.match_queries import rounded
+from regolith.sources import catalogues as cs
 
 QUERIES, SQL = {}, {}
 
@@ -181,3 +185,23 @@ def pixel_sizes(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS scenes, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def scene_arrivals(spark, sf_dir):
     return rounded(arrivals(read(spark, sf_dir, "events")))
+
+
+@query(f"WITH {FOOTPRINTS} SELECT product_id, round(west, 6) AS west, round(east, 6) AS east, round(south, 6) + 0.0 AS south, round(north, 6) + 0.0 AS north FROM fp WHERE south <= 6.5 AND north >= -4.25 AND (west <= 7.5 OR east >= 48)")
+def catalogue_box(spark, sf_dir):
+    """A box across the meridian, asked of a snapshot of the footprints."""
+    kept = cs.snapshot(spark, f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}", lambda: footprints(spark, sf_dir))
+    return rounded(cs.within(kept, 48.0, -4.25, 7.5, 6.5).select("product_id", "west", "east", "south", "north"))
+
+
+@query(f"WITH {FOOTPRINTS} SELECT 'a' || (product_id % 7) AS page, CAST(product_id AS VARCHAR) AS product_id, instrument AS kind, CASE WHEN product_id % 5 = 0 THEN NULL ELSE round(west, 6) END AS west, round(east, 6) AS east FROM fp")
+def catalogue_answers(spark, sf_dir):
+    """JSON answers of many products each; every fifth product has no western edge that can be read."""
+    fp = footprints(spark, sf_dir).withColumn("page", F.concat(F.lit("a"), (F.col("product_id") % 7).cast("string")))
+    west = F.when(F.col("product_id") % 5 == 0, "n/a").otherwise(F.col("west").cast("string"))
+    values = {"product_id": F.col("product_id").cast("string"), "kind": F.col("instrument"), "west": west, **{c: F.col(c).cast("string") for c in ("east", "south", "north")}}
+    one = F.struct(*(v.alias(cs.FIELDS[k]) for k, v in values.items()))
+    # answers of at most a hundred products, as a catalogue gives them
+    whole = fp.groupBy("page", F.floor(F.col("product_id") / 700)).agg(F.collect_list(one).alias("Product"))
+    answers = whole.select("page", F.to_json(F.struct(F.struct(F.struct("Product").alias("Products"), F.lit("OK").alias("Status")).alias("ODEResults"))).alias("text"))
+    return rounded(cs.products(answers).select("page", "product_id", "kind", "west", "east"))

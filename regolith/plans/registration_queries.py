@@ -1,4 +1,4 @@
-"""Registration and gate queries over windows of bounded size; their kernels are numeric, so they have no SQL."""
+"""Registration and gate queries over windows of bounded size, and swaths on one grid. What rests on numeric kernels has no SQL."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.config import Config
-from regolith.fixtures import pixels
+from regolith.fixtures import PIXELS, pixels
 from regolith.functions.tables import written
 from regolith.operators import matching, raster
-from regolith.plans import registration
+from regolith.plans import bands, cases, registration
+from regolith.plans import raster_queries as rq
 from regolith.plans.match_queries import rounded
 
 QUERIES: dict = {}
@@ -72,3 +73,65 @@ def register_pair(spark, sf_dir):
 @query
 def control_gate(spark, sf_dir):
     return registration.control_gate(windows(spark, sf_dir), windows(spark, sf_dir, 3), registration.default_match(cfg=CONFIG), CONFIG)
+
+
+@query
+def case_scores(spark, sf_dir):
+    """Two methods over every window as a case, each gated."""
+    methods = {name: cases.METHODS[name](CONFIG) for name in ("contrast", "stretch")}
+    return rounded(cases.run(windows(spark, sf_dir), windows(spark, sf_dir, 3), 64.0, methods, cfg=CONFIG), 4)
+
+
+#: The second swath's samples lie this far from the first one's, in steps of its columns and rows.
+COLUMNS, ROWS = 5, 9
+
+
+def swaths(spark, sf_dir):
+    """The strip as two swaths: the second has the first's ground from another column and row on, another value where it has no data."""
+    geo = rq.geoloc(spark, sf_dir).select("image_id", "r", "c", "lon", "lat")
+    p = pixels(spark, sf_dir)
+    second = p.select(F.lit("b").alias("image_id"), F.lit(2).alias("band"), (F.col("r") - ROWS).alias("r"), (F.col("c") - COLUMNS).alias("c"), F.when((F.col("r") + F.col("c")) % 11 == 0, bands.IGNORE).otherwise(F.col("v")).alias("v"))
+    there = (F.col("r") >= 0) & (F.col("c") >= 0)
+    table = spark.createDataFrame([("src", 1, 1504.0), ("b", 1, 700.0), ("b", 2, 1510.0)], "image_id string, band int, wavelength_nm double")
+    moved = geo.select(F.lit("b").alias("image_id"), (F.col("r") - ROWS).alias("r"), (F.col("c") - COLUMNS).alias("c"), "lon", "lat")
+    a = bands.Swath(p.withColumn("band", F.lit(1)), table.where("image_id = 'src'"), geo)
+    return a, bands.Swath(second.where(there), table.where("image_id = 'b'"), moved.where(there), bands.IGNORE)
+
+
+GROUND = f"""WITH {PIXELS}, {rq.GEOLOC}, g AS (SELECT 'a' AS k, r, c, lon, lat FROM gl UNION ALL SELECT 'b', r, c, lon, lat FROM gl WHERE r >= {ROWS} AND c >= {COLUMNS}), e AS (SELECT k, r, min(c) AS c0, max(c) AS c1 FROM g GROUP BY ALL),
+d AS (SELECT e.k, avg({rq.ARC} / (c1 - c0)) AS gsd FROM e JOIN g a ON a.k = e.k AND a.r = e.r AND a.c = c0 JOIN g b ON b.k = e.k AND b.r = e.r AND b.c = c1 GROUP BY e.k),
+x AS (SELECT k, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM g GROUP BY k)
+SELECT round(max(w), 6) AS west, round(max(s), 6) AS south, round(min(e), 6) AS east, round(min(n), 6) AS north, round(max(gsd) FILTER (k = 'a'), 6) AS gsd_a, round(max(gsd) FILTER (k = 'b'), 6) AS gsd_b, true AS shares FROM x JOIN d USING (k)"""
+
+
+@query
+def shared_ground(spark, sf_dir):
+    a, b = swaths(spark, sf_dir)
+    return rounded(bands.shared_ground(a.geoloc, b.geoloc))
+
+
+SQL["shared_ground"] = GROUND
+
+
+@query
+def swath_overlap(spark, sf_dir):
+    """The second swath's band on the first one's samples: no data where its mark or its edge is."""
+    a, b = swaths(spark, sf_dir)
+    one = bands.tagged_bands(b, (1504.0,), (False,), True)
+    return bands.on_grid(one, b.geoloc, a.geoloc.select("r", "c", "lon", "lat"), b.ignore, 1)
+
+
+SQL["swath_overlap"] = f"""WITH {PIXELS}, x AS (SELECT r, c, v, r >= {ROWS} AND c >= {COLUMNS} AND (r + c) % 11 <> 0 AS valid FROM px)
+SELECT '1504:false' AS image_id, r, c, CASE WHEN valid THEN v ELSE 0 END AS v, valid FROM x"""
+
+
+@query
+def swath_neighbours(spark, sf_dir):
+    """For each sample of the first swath the second one's within 0.75 pixels on the ground."""
+    a, b = swaths(spark, sf_dir)
+    key = (F.col("r").cast("long") * 64 + F.col("c"))
+    points = a.geoloc.select(key.alias("id"), "lon", "lat")
+    return rounded(bands.nearest_on_ground(points, b.geoloc.select(key.alias("sid"), "lon", "lat"), 75.0, 12.0).select("id", "sid", "d"))
+
+
+SQL["swath_neighbours"] = f"WITH {PIXELS} SELECT CAST(r * 64 + c AS BIGINT) AS id, CAST((r - {ROWS}) * 64 + c - {COLUMNS} AS BIGINT) AS sid, 0::DOUBLE AS d FROM px WHERE r >= {ROWS} AND c >= {COLUMNS}"
