@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from regolith.config import DEFAULT, Config
 from regolith.functions.tables import written
-from regolith.operators import evaluation, fitting, matching, raster
+from regolith.operators import blocks, evaluation, features, fitting, matching, raster
 from regolith.plans import registration
 
 #: Makes a method from the constants. A method takes raw rasters: whatever normalisation it needs is inside, so the controls perturb its input.
@@ -44,6 +44,22 @@ def by_alignment(cfg: Config) -> registration.MatchFunction:
     return lambda source, reference: registration.match_aligned(source, reference, registration.default_match(cfg=cfg), cfg)
 
 
+def _by_features(of: Callable[[DataFrame], DataFrame]) -> registration.MatchFunction:
+    return lambda *pair: features.match(*(of(blocks.to_blocks(raster.stretch8(x), "u")) for x in pair))
+
+
+@method("features")
+def by_features(cfg: Config) -> registration.MatchFunction:
+    """Scale-space features of stretched values, nearest descriptors with a ratio test."""
+    return _by_features(features.of_blocks)
+
+
+@method("tilted features")
+def by_tilted_features(cfg: Config) -> registration.MatchFunction:
+    """The same over simulated tilts of both images."""
+    return _by_features(features.of_views)
+
+
 def match_and_select(source: DataFrame, reference: DataFrame, match: registration.MatchFunction, kinds: tuple[str, ...] = ("similarity", "affine", "homography"), cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """The matches of each pair, and the model class that its held-out half asks for; no terrain, no metrics."""
     found = written(match(source, reference), "matches")
