@@ -82,6 +82,26 @@ def mixture(totals: DataFrame, exponent: float, budget: float | None = None) ->
     return weighed.withColumn("epochs", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
 
+def _weight(df: DataFrame, more=None) -> int:
+    """Rows of a table in narrow rows of some 32 bytes: names and arrays count by their size."""
+    size = 1 + F.coalesce(F.octet_length("source"), F.lit(0)) / 32 + (more / 4 if more is not None else 0)
+    return math.ceil(df.agg(F.sum(size)).first()[0] or 0)
+
+
+def ranks(spread: DataFrame, order) -> DataFrame:
+    """spread(source, block, epoch, ...) with slot, the rank (from 1) of a block in its epoch by order, a hash, then source and block.
+
+    Blocks are ranked in 65,536 ranges of the hash, and each range starts after those before it: an epoch is never one task.
+    """
+    dealt = spread.withColumn("order", order).withColumn("range", F.shiftright("order", 48))
+    counts = dealt.groupBy("epoch", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("epoch", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("epoch", "range").orderBy("order", "source", "block")
+    placed = dealt.withColumn("own", F.row_number().over(within)).join(starts, ["epoch", "range"])
+    return placed.withColumn("slot", (F.col("start") + F.col("own")).cast("long")).drop("order", "range", "start", "own")
+
+
 def mix(documents: DataFrame, entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """Every realised occurrence of a document: its columns, weight, epoch (from 0), block, slot and place.
 
@@ -109,7 +129,7 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeats: float |
         plan = totals.join(shares, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     # about as many blocks as documents in a block, so that neither grows with the whole source
     plan = written(plan.withColumn("blocks", F.ceil(F.sqrt("docs")).cast("long")), "plan")
-    n_sources = plan.count()
+    n_sources = _weight(plan)
     facts = plan.select(F.col("source").alias("s"), "weight", "epochs", "rest", "blocks")
     placed = lean.join(sized(facts, n_sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod("h", "blocks"))
 
@@ -130,17 +150,17 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeats: float |
     turns = part.join(sized(cut, n_sources), F.col("source").eqNullSafe(F.col("cs")) & (F.col("block") == F.col("cb")), "left").drop("cs", "cb")
     more = (F.col("whole") | F.col("cut").isNotNull()).cast("long")
     turns = turns.withColumn("turns", F.coalesce(F.col("epochs") + more, F.lit(1)).cast("int")).where(F.col("turns") > 0)
-    spread = turns.select("source", "block", "whole", "cut", "turns", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("epoch"))
-    ranked = spread.withColumn("slot", F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64("source", "block", "epoch", F.lit(seed)), "source", "block")).cast("long"))
-    slots = ranked.groupBy("source", "block", "whole", "cut", "turns").agg(F.array_sort(F.collect_list(F.struct("epoch", "slot"))).alias("slots"))
+    spread = turns.select("source", "block", "cut", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("epoch"))
+    ranked = ranks(written(spread, "spread"), F.xxhash64("source", "block", "epoch", F.lit(seed)))
+    slots = ranked.groupBy("source", "block", "cut").agg(F.array_sort(F.collect_list(F.struct("epoch", "slot"))).alias("slots"))
     slots = written(slots.select("source", "block", "cut", F.col("slots.slot").alias("slots")), "slots")
-    n_blocks = slots.count()
+    n_slots = _weight(slots, F.size("slots"))
 
     s, b, w, h, c, at, o = free_names(docs.columns, "s", "b", "w", "h", "c", "at", "o")
     out = docs.withColumn(h, key()).join(sized(plan.select(F.col("source").alias(s), F.col("weight").alias(w), F.col("blocks").alias(b)), n_sources), F.col("source").eqNullSafe(F.col(s)))
     out = out.withColumn(b, F.pmod(F.col(h), F.col(b))).drop(s)
     mine = slots.select(F.col("source").alias(s), F.col("block").alias(o), F.col("cut").alias(c), F.col("slots").alias(at))
-    out = out.join(sized(mine, n_blocks), F.col("source").eqNullSafe(F.col(s)) & (F.col(b) == F.col(o))).drop(s, o)
+    out = out.join(sized(mine, n_slots), F.col("source").eqNullSafe(F.col(s)) & (F.col(b) == F.col(o))).drop(s, o)
     beyond = F.coalesce(F.col(h) > F.col(c), F.lit(False)).cast("int")  # not in the last, part epoch of its block
     out = out.withColumn(at, F.slice(at, F.lit(1), F.size(at) - beyond))
     out = out.select(*docs.columns, F.col(w).alias("weight"), F.col(b).alias("block"), F.col(h), F.posexplode(at).alias("epoch", "slot"))

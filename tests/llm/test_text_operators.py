@@ -337,6 +337,21 @@ def test_mixing(spark):
         assert sorted(r["epoch"] for r in mixed if r["doc_id"] == d) == list(range(copies[d]))
 
 
+def test_mixing_ranks_are_those_of_one_sort(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    # one source holds a third of all blocks; hashes repeat and crowd in one range
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("id") % 50).cast("string"))).alias("source"), F.col("id").alias("block"),
+        F.lit(None).cast("long").alias("cut"), F.explode(F.sequence(F.lit(0), (F.col("id") % 3).cast("int"))).alias("epoch"))
+    order = F.when(F.col("block") % 2 == 0, F.col("block") % 7).otherwise(F.xxhash64("block", "epoch"))
+    got = {(r["source"], r["block"], r["epoch"]): r["slot"] for r in mixing.ranks(rows, order).collect()}
+    whole = Window.partitionBy("epoch").orderBy(order, "source", "block")
+    want = {(r["source"], r["block"], r["epoch"]): r["n"] for r in rows.withColumn("n", F.row_number().over(whole)).collect()}
+    assert got == want and len(got) == 12000
+
+
 def test_mixing_entropy_and_empty(spark):
     totals = spark.createDataFrame([("a", 900, 9), ("b", 90, 9), ("c", 10, 9)], "source string, tokens long, docs long")
     x = mixing.bisect_exponent(totals, entropy=0.9, max_repeats=None)
