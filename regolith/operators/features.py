@@ -306,7 +306,7 @@ def describe(octaves: DataFrame, keys: DataFrame, side: int = blocks.SIDE) -> Da
 def of_blocks(tiled: DataFrame, span: float = 255.0, octaves: int = 4, most: int = 4000, contrast: float = CONTRAST, side: int = blocks.SIDE) -> DataFrame:
     """Features of the most strongest keypoints of each image of a block raster."""
     levels = pyramid(tiled, octaves, side)
-    return describe(levels, written(strongest(keypoints(levels, span, contrast, side=side), most), "keypoints"), side)
+    return written(describe(levels, written(strongest(keypoints(levels, span, contrast, side=side), most), "keypoints"), side), "features")
 
 
 #: Tilts of the simulated views; a tilt's turns lie 72 degrees over the tilt apart.

@@ -45,7 +45,15 @@ def by_alignment(cfg: Config) -> registration.MatchFunction:
 
 
 def _by_features(of: Callable[[DataFrame], DataFrame]) -> registration.MatchFunction:
-    return lambda *pair: features.match(*(of(blocks.to_blocks(raster.stretch8(x), "u")) for x in pair))
+    """Both rasters go through one plan, their images told apart by a letter."""
+    tagged = lambda x, side: x.select(F.concat(F.lit(side), F.col("image_id").cast("string")).alias("image_id"), "r", "c", "v")
+    own = lambda x, side: x.where(F.col("image_id").startswith(side)).withColumn("image_id", F.expr("substr(image_id, 2)"))
+
+    def run(source: DataFrame, reference: DataFrame) -> DataFrame:
+        found = of(blocks.to_blocks(raster.stretch8(tagged(source, "a").unionByName(tagged(reference, "b"))), "u"))
+        return features.match(own(found, "a"), own(found, "b"))
+
+    return run
 
 
 @method("features")

@@ -18,6 +18,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: About the width of the raster's values.
+SPAN = 0.25
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -27,7 +31,7 @@ def _octave_sql(octave: int, source: str) -> str:
     """Differences d{octave} and extrema e{octave} of a table source(r, c, v) that is a full rectangle."""
     kernels = ", ".join(f"({s}, {i - len(w) // 2}, {k!r}::DOUBLE)" for s, dev in enumerate(features.deviations(octave)) for w in [features.taps(dev).tolist()] for i, k in enumerate(w))
     o, n = octave, 2 * features.BORDER + 1
-    least = features.CONTRAST / features.SCALES / 2
+    least = features.CONTRAST * SPAN / features.SCALES / 2
     three = "BETWEEN 1 PRECEDING AND 1 FOLLOWING"
     wide = f"BETWEEN {features.BORDER} PRECEDING AND {features.BORDER} FOLLOWING"
 
@@ -49,7 +53,7 @@ e{o} AS (SELECT {o} AS octave, s AS level, r, c, x FROM ({near}) JOIN i{o} USING
 def scale_space_extrema(spark, sf_dir) -> DataFrame:
     """Extrema of the differences of blurs over two octaves of the whole raster."""
     levels = features.pyramid(blocks.to_blocks(pixels(spark, sf_dir)), 2)
-    found = features.keypoints(levels, 1.0, settled=False)
+    found = features.keypoints(levels, SPAN, settled=False)
     return found.select("octave", "level", F.col("ri").alias("r"), F.col("ci").alias("c"), F.round("response", 9).alias("v"))
 
 
@@ -60,7 +64,7 @@ SELECT CAST(octave AS INT) AS octave, CAST(level AS INT) AS level, CAST(r AS INT
 @query
 def scale_space_features(spark, sf_dir) -> DataFrame:
     """Places, sizes and angles of the whole raster's features, and the sums of their descriptors."""
-    found = features.of_blocks(blocks.to_blocks(pixels(spark, sf_dir)), 1.0, octaves=3)
+    found = features.of_blocks(blocks.to_blocks(pixels(spark, sf_dir)), SPAN, octaves=3)
     return rounded(found.select("feature_id", "y", "x", "size", "angle", "response", F.aggregate("d", F.lit(0.0), lambda a, x: a + x).alias("d_sum")), 4)
 
 
