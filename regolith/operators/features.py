@@ -454,7 +454,8 @@ def match(a: DataFrame, b: DataFrame, ratio: float = 0.75) -> DataFrame:
 
     def dealt(df: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
         block = F.pmod(F.xxhash64("feature_id"), F.col(own)).cast("int").alias(i)
-        return df.join(lots, "image_id").select("image_id", "feature_id", "d", "x", "y", block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
+        # names of its own, as both sides may come of one relation
+        return df.join(lots, "image_id").select(*(F.col(c).alias(c) for c in ("image_id", "feature_id", "d", "x", "y")), block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):

@@ -147,3 +147,13 @@ def test_the_registered_methods_match_rolled_images(spark):
     got = cases.METHODS["features"](DEFAULT)(image(spark, g), image(spark, np.roll(g, 6, 1))).toPandas()
     whole = got[got["xa"] < 100]
     assert len(whole) >= 15 and (np.hypot(whole["xb"] - whole["xa"] - 6, whole["yb"] - whole["ya"]) < 0.3).mean() > 0.9
+
+
+def test_an_image_matches_itself(spark):
+    """Both sides one relation; of features at one place with several orientations one match stays."""
+    g = terrain((100, 110), 8)(*np.mgrid[:100, :110].astype(float))
+    found = features.of_blocks(blocks.to_blocks(image(spark, g)), octaves=2)
+    got = features.match(found, found).toPandas()
+    cells = {(round(r["y"]), round(r["x"])) for r in found.collect()}
+    assert (got["conf"] == 1).all() and np.array_equal(got[["xa", "ya"]], got[["xb", "yb"]])
+    assert {(round(y), round(x)) for y, x in zip(got["ya"], got["xa"])} == cells and len(got) == len(cells)
