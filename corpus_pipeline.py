@@ -16,7 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of texts whose five-word shingles have Jaccard similarity 0.8 or more.
 
-    No radius of SimHash finds all such pairs (op5_simhash keeps its own contract), so they are joined exactly.
+    SimHash fingerprints of the shingles are linked within seven bits by BK-trees and the links verified as text. No
+    radius finds all such pairs, so what the links leave apart is joined exactly (op5_simhash keeps its own contract).
     """
     return near_copies.keep_one(docs)
 

@@ -39,6 +39,15 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of hashes made before: a bit is set if it is set in over half of them; of none, zero."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        h = np.ascontiguousarray(hashes[at : at + (1 << 15)], dtype="<u8")
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, row_key and the signed 64-bit fingerprint of every row; a null text is an empty one."""
 

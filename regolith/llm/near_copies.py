@@ -1,4 +1,9 @@
-"""Components of near copies by exact shingle Jaccard similarity: prefix-filtered candidates, verified on the texts.
+"""Components of near copies by shingle Jaccard similarity: SimHash links first, verified on the texts, then an exact way for the rest.
+
+Every set of shingles has a SimHash. Sets whose fingerprints are equal or linked within RADIUS bits by
+BK-trees are compared as text, and the links that reach the similarity make components. Near copies lie
+further apart than any radius that a tree can prune, so no radius is complete; prefix-filtered candidates
+are, and those that the SimHash links leave in different components are compared as well.
 
 All shingles have one global order, those that a sample finds frequent last. Two documents whose sets
 of n and m shingles have a Jaccard similarity of t or more share at least ceil(t n) of the first's, so
@@ -22,11 +27,14 @@ from pyspark.sql import functions as F
 
 from regolith.llm.common import first_rows, row_key, written
 from regolith.llm.components import connected_components
+from regolith.llm.hamming import hamming_links, simhash
 from regolith.llm.wordstream import Words, chunks, span_hashes
 
 WORDS = 5
 #: Least Jaccard similarity of near copies, as a fraction of integers.
 SIMILARITY = (4, 5)
+#: Bits between the fingerprints that SimHash links.
+RADIUS = 7
 #: Most texts that share a first shingle and are all compared at once, and the leaders of more.
 SHORT, LEADERS = 24, 3
 #: Cells of a sketch, as 64-bit words.
@@ -78,7 +86,7 @@ _SKETCH = [f"s{i}" for i in range(SKETCH)]
 
 
 def prefixes(documents: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """id, row_key, cls (a hash of the set of shingles), n, prefix (first shingle hashes in the global order) and sketch of every row."""
+    """id, row_key, cls (a hash of the set of shingles), n, fp (the set's signed SimHash), prefix (first shingle hashes in the global order) and sketch of every row."""
     often, counts = _frequent(documents, words)
     over, under = similarity
 
@@ -93,22 +101,43 @@ def prefixes(documents: DataFrame, words: int = WORDS, similarity: tuple[int, in
         for rows in chunks(batches):
             sets = list(_hash_sets([r[-1] for r in rows], words))
             cls = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)
+            fp = np.array([simhash(h) for h in sets], dtype=np.uint64).view(np.int64)
             sketches = np.array([_sketch(h) for h in sets], dtype=np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(cls), pa.array([len(h) for h in sets], pa.int32()),
+                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(cls), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp),
                     pa.array([first(h) for h in sets], pa.list_(pa.int64())), *(pa.array(sketches[:, i]) for i in range(SKETCH)),
                 ],
-                names=["id", "row_key", "cls", "n", "prefix", *_SKETCH],
+                names=["id", "row_key", "cls", "n", "fp", "prefix", *_SKETCH],
             )
 
     text = F.coalesce(F.col("text"), F.lit(""))
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     return documents.select(ident.alias("id"), row_key().alias("row_key"), text.cast("binary").alias("data")).mapInArrow(
-        run, f"id long, row_key long, cls long, n int, prefix array<long>, {', '.join(f'{c} long' for c in _SKETCH)}"
+        run, f"id long, row_key long, cls long, n int, fp long, prefix array<long>, {', '.join(f'{c} long' for c in _SKETCH)}"
     )
 
 
+def simhash_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Candidate pairs a < b of classes by their fingerprints: a class and the first of its fingerprint, the firsts of linked fingerprints.
+
+    Links are those of hamming_links, a spanning forest of each shard, so that a large group does not give all its pairs.
+    """
+    firsts = written(classes.groupBy("fp").agg(F.min("cls").alias("first")), "firsts")
+    found = written(hamming_links(firsts.select("fp"), radius), "simhash")
+    same = classes.join(firsts, "fp").select(F.col("first").alias("x"), F.col("cls").alias("y")).where("x <> y")
+    x, y = (firsts.select(F.col("fp").alias(side), F.col("first").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    linked = found.join(x, "a").join(y, "b").select("x", "y")
+    return same.unionAll(linked).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs that the links so far leave in different components."""
+    root = connected_components(near)
+    x, y = (root.select(F.col("node").alias(side), F.col("root").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def _possible(n, m, i, j, similarity: tuple[int, int]):
     """Whether sets of n and m shingles that share their i-th and j-th, and none before, can reach the similarity (arrays or columns)."""
     over, under = similarity
@@ -237,24 +266,25 @@ def verified(pairs: DataFrame, words: int = WORDS, similarity: tuple[int, int] =
 def links(documents: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (id, row_key, cls) and links (a, b) of different classes of at least the similarity, whose components are those of all such links."""
     rows = written(prefixes(documents, words, similarity), "prefixes")
-    least = rows.groupBy("cls").agg(F.min(F.struct("id", "row_key", "n", "prefix", *_SKETCH)).alias("r"))
-    classes = written(least.select("cls", *(F.col(f"r.{c}").alias(c) for c in ("id", "row_key", "n", "prefix", *_SKETCH))), "classes")
+    least = rows.groupBy("cls").agg(F.min(F.struct("id", "row_key", "n", "fp", "prefix", *_SKETCH)).alias("r"))
+    classes = written(least.select("cls", *(F.col(f"r.{c}").alias(c) for c in ("id", "row_key", "n", "fp", "prefix", *_SKETCH))), "classes")
     facts = classes.select("cls", "n", *_SKETCH)
-    pairs, long_lists = meetings(classes, similarity)
 
-    def compared(pairs, tag):
+    def compared(pairs, near=None):
         both = pairs.join(facts.alias("x"), F.col("a") == F.col("x.cls")).join(facts.alias("y"), F.col("b") == F.col("y.cls")).where(_close("x", "y", similarity)).select("a", "b")
-        both = written(both, "close")
+        both = written(both if near is None else apart(both, near), "close")
         wanted = both.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         names = written(classes.select("cls", "id", "row_key").join(wanted, "cls", "left_semi"), "wanted")
         keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), row_key().alias("row_key"), "text")
         texts = written(keyed.join(names, ["id", "row_key"]).dropDuplicates(["cls"]).select("cls", "text"), "texts")
         met = both.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        return written(verified(met, words, similarity), tag)
+        return written(verified(met, words, similarity), "links")
 
-    near = compared(pairs, "links")
+    near = compared(simhash_pairs(classes))
+    pairs, long_lists = meetings(classes, similarity)
+    near = near.unionAll(compared(pairs, near))
     if not long_lists.isEmpty():
-        near = near.unionAll(compared(still_apart(long_lists, facts, near, similarity), "links"))
+        near = near.unionAll(compared(still_apart(long_lists, facts, near, similarity)))
     return rows.select("id", "row_key", "cls"), near
 
 

@@ -122,6 +122,61 @@ def test_large_groups_without_all_pairs(spark, monkeypatch):
     assert pairs.count() < (near_copies.LEADERS + 4) * classes.count() and n[1] > 10 * n[0]
 
 
+def test_simhash_links_then_the_rest(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(30):
+        words = [f"d{i}w{j}" for j in range(200)]
+        for k, changes in enumerate((0, 1, 4, 5, 6)):
+            copy = list(words)
+            for at in rng.sample(range(200), changes):
+                copy[at] = f"x{rng.random()}"
+            rows.append((10 * i + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = near_copies.written(near_copies.prefixes(docs), "classes")
+    of = {r["id"]: r for r in classes.collect()}
+
+    def bits(text):
+        (h,) = near_copies._hash_sets([text.encode()], 5)
+        return sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
+
+    fps = {d: bits(t) for d, t in rows}
+    assert {d: of[d]["fp"] % 2**64 for d in of} == fps
+    found = {(r["a"], r["b"]) for r in near_copies.simhash_pairs(classes).collect()}
+
+    def components(linked):
+        parent = {d: d for d, _ in rows}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in combinations(sorted(parent), 2):
+            if linked(x, y):
+                parent[max(find(x), find(y))] = min(find(x), find(y))
+        return {x: find(x) for x in parent}
+
+    def similar(x, y):
+        p, q = (near_copies.shingle_set(dict(rows)[d]) for d in (x, y))
+        return 5 * len(p & q) >= 4 * len(p | q)
+
+    def pair(x, y):
+        return tuple(sorted((of[x]["cls"], of[y]["cls"]))) in found
+
+    near = lambda x, y: (fps[x] ^ fps[y]).bit_count() <= near_copies.RADIUS
+    both = [(x, y) for x, y in combinations(sorted(of), 2) if x // 10 == y // 10]
+    assert components(pair) == components(near)
+    assert any(pair(*p) and not similar(*p) for p in both) and any(similar(*p) and not near(*p) for p in both)
+
+    stage, meetings = dict(corpus_pipeline.STAGES)["simhash near-dedup"], near_copies.meetings
+    monkeypatch.setattr(near_copies, "meetings", lambda *args: tuple(df.limit(0) for df in meetings(*args)))
+    linked = sorted(r["doc_id"] for r in stage(spark, docs, SF).collect())  # the SimHash step by itself, verified
+    assert linked == sorted(set(components(lambda x, y: pair(x, y) and similar(x, y)).values())) and len(linked) < len(rows)
+    monkeypatch.setattr(near_copies, "meetings", meetings)
+    assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == brute_near_copies(rows) != linked
+
+
 def test_lists_over_several_chunks():
     postings = sorted([(7, i, 100 + i, i) for i in range(50)] + [(8, 0, 100, 1), (8, 1, 100, 2), (9, 0, 50, 3)] + [(12, i, 100, 60 + i) for i in range(9)])
 
