@@ -113,7 +113,8 @@ def substitute(pixels: DataFrame, kind: str) -> DataFrame:
         value = F.col("mu")
     else:
         cell = (F.col("r").cast("long") * F.col("width") + F.col("c")) * 2
-        u = [F.pmod(((cell + i) * 1103515245 + 12345) * 69069 + 1, F.lit(2147483648)) / 2147483648.0 for i in (1, 2)]
+        kept = lambda x: F.pmod(x, F.lit(2147483648))  # noqa: E731  # after each step, as the whole product passes 64 bits
+        u = [kept(kept(kept(cell + i) * 1103515245 + 12345) * 69069 + 1) / 2147483648.0 for i in (1, 2)]
         value = F.col("mu") + F.col("sd") * F.sqrt(-2 * F.ln(F.greatest(u[0], F.lit(1e-12)))) * F.cos(2 * 3.141592653589793 * u[1])
     return cells.select("image_id", "r", "c", value.alias("v"))
 
