@@ -51,16 +51,23 @@ def terms(degree: int) -> list[tuple[int, int]]:
 
 
 def fit_inverse(geoloc: DataFrame, degree: int = 1) -> dict:
-    """Least-squares polynomials (lon, lat) -> (pixel, scan) on centred, scaled coordinates.
+    """Least-squares polynomials (lon, lat) -> (pixel, scan) on centred, uncorrelated, scaled coordinates.
 
-    One pass sums the Gram matrix; only that small matrix is solved by the driver. Returns the model
+    Down a long, narrow strip lon and lat nearly lie on a line: of lat only what lon does not tell (my + slope (lon - mx))
+    is a coordinate, so that the Gram matrix stays well conditioned whatever the strip's length. One pass sums the Gram matrix; only that small matrix is solved by the driver. Returns the model
     with its RMS residual in pixels. An empty table, and one whose samples do not determine the polynomials
     (fewer than its terms, or all on a line), raise ValueError.
     """
-    s = geoloc.agg(F.avg("lon").alias("mx"), F.avg("lat").alias("my"), F.stddev_pop("lon").alias("sx"), F.stddev_pop("lat").alias("sy")).first()
+    s = geoloc.agg(
+        F.avg("lon").alias("mx"), F.avg("lat").alias("my"), F.var_pop("lon").alias("xx"), F.var_pop("lat").alias("yy"), F.covar_pop("lon", "lat").alias("xy")
+    ).first()
     if s["mx"] is None:
         raise ValueError("no sample with coordinates")
-    model = {"degree": degree, "mx": s["mx"], "my": s["my"], "sx": s["sx"] or 1.0, "sy": s["sy"] or 1.0}
+    slope = s["xy"] / s["xx"] if s["xx"] else 0.0
+    rest = s["yy"] - slope * s["xy"]
+    # what rounding leaves of samples on a line is no spread
+    sy = math.sqrt(rest) if rest > 1e-12 * s["yy"] else math.sqrt(s["yy"])
+    model = {"degree": degree, "mx": s["mx"], "my": s["my"], "slope": slope, "sx": math.sqrt(s["xx"]) or 1.0, "sy": sy or 1.0}
     t = terms(degree)
     base = geoloc.select(*(e.alias(f"t{i}") for i, e in enumerate(_design(model))), "pixel", "scan")
     pairs = [(i, j) for i in range(len(t)) for j in range(i, len(t))]
@@ -81,7 +88,8 @@ def fit_inverse(geoloc: DataFrame, degree: int = 1) -> dict:
 
 
 def _design(model: dict) -> list[Column]:
-    x, y = (F.col("lon") - model["mx"]) / model["sx"], (F.col("lat") - model["my"]) / model["sy"]
+    x, y = F.col("lon") - model["mx"], F.col("lat") - model["my"]
+    x, y = x / model["sx"], (y - model["slope"] * x) / model["sy"]
     return [F.pow(x, F.lit(i)) * F.pow(y, F.lit(j)) for i, j in terms(model["degree"])]
 
 
