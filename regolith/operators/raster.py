@@ -127,6 +127,12 @@ def decimate(pixels: DataFrame, k: int) -> DataFrame:
     return resample_to(pixels, size.select("image_id", "height", "width", F.floor(F.col("height") / k).cast("int").alias("h"), F.floor(F.col("width") / k).cast("int").alias("w")))
 
 
+def block_means(pixels: DataFrame, k: int) -> DataFrame:
+    """The mean of each block of k x k cells; where k does not divide a side, the last blocks are those cells that are left."""
+    at = lambda axis: F.floor(F.col(axis) / k).cast("int").alias(axis)
+    return pixels.groupBy("image_id", at("r"), at("c")).agg(F.avg("v").alias("v"))
+
+
 def resample_area(pixels: DataFrame, factor: float) -> DataFrame:
     """Resampled to max(1, round(size / factor)) cells a side: area-weighted where it shrinks (factor over 1), cubic where it grows."""
     if abs(factor - 1) < 1e-6:
