@@ -13,8 +13,9 @@ from regolith.llm.components import connected_components
 
 SHINGLE_WORDS = 4
 RADIUS = 4
-#: Most nodes of one shard tree.
+#: Most nodes of one shard tree, and most fingerprints of a shard that one task cuts by a second block.
 TREE_NODES = 2048
+SHARD_POINTS = 1 << 17
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -176,29 +177,68 @@ def shard_keys(radius: int, inner: bool = False):
     return F.array(*keys)
 
 
+def _rest_blocks(points: np.ndarray, at: int, width: int, count: int):
+    """The bits outside of at..at + width in count blocks, as shard_keys cuts them."""
+    rest = points & np.uint64((1 << at) - 1)
+    if at + width < 64:
+        rest = rest | (points >> np.uint64(at + width)) << np.uint64(at)
+    low = 0
+    for i in range(count):
+        w = (64 - width - low) // (count - i)
+        yield rest >> np.uint64(low) & np.uint64((1 << w) - 1)
+        low += w
+
+
+def cut_links(points: np.ndarray, block: int, radius: int):
+    """Member and root of a spanning forest of the links of a shard, whose points agree on the block: by trees of those that agree on a second one."""
+    ends = [0]
+    for i in range(radius + 1):
+        ends.append(ends[-1] + (64 - ends[-1]) // (radius + 1 - i))
+    at, width = ends[block], ends[block + 1] - ends[block]
+    points = np.sort(points)
+    label = np.arange(len(points))
+    for sub in _rest_blocks(points, at, width, radius + 1):
+        order = np.argsort(sub, kind="stable")
+        whole = np.ones(len(points), bool)
+        group = np.cumsum(np.concatenate(([True], sub[order][1:] != sub[order][:-1]))) - 1
+        a, b = shard_links(group, whole, whole, points[order], radius)
+        label = unite(label, np.searchsorted(points, a), np.searchsorted(points, b))
+    moved = np.flatnonzero(label != np.arange(len(points)))
+    return points[moved], points[label[moved]]
+
+
+def _shards(shard: np.ndarray, points: np.ndarray):
+    """Number of the block and points of each of consecutive shards."""
+    cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)])) if len(shard) else np.zeros(1, int)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield shard[i] >> 48, points[i:j]
+
+
 def hamming_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints within the radius: a spanning forest for each shard.
 
     A shard holds the fingerprints that agree on one of radius + 1 blocks of bits; its BK-tree decides which
-    of them are within the radius. A shard of more than tree_nodes is cut by a second block, and what is still
-    larger is dealt over several trees that its fingerprints visit one after the other, so a hot shard is
-    never one group. Trees reach their queries by the shuffle: together they hold the fingerprints of all
-    documents, for which there is no bounded broadcast.
+    of them are within the radius. A shard of more than tree_nodes is cut by a second block: by the task that has it,
+    which needs no copies on disk, up to SHARD_POINTS; a larger one by the shuffle, and what is still larger than
+    a tree is dealt over several trees that its fingerprints visit one after the other, so a hot shard is never one
+    group. Trees reach their queries by the shuffle: together they hold the fingerprints of all documents, for which
+    there is no bounded broadcast.
     """
-    def crowded(keys):
-        return written(keys.groupBy("shard", "sub").count().where(F.col("count") > tree_nodes), "crowded")
+    def crowded(keys, most):
+        return written(keys.groupBy("shard", "sub").count().where(F.col("count") > most), "crowded")
 
     def spread(keys):
         return keys.select("fp", F.explode("keys").alias("k")).select("fp", "k.shard", "k.sub")
 
-    keys = written(spread(distinct.select("fp", shard_keys(radius).alias("keys"))), "shards")
-    large = crowded(keys)
+    keys = spread(distinct.select("fp", shard_keys(radius).alias("keys")))  # worked out again where needed, not written
+    large = crowded(keys, max(tree_nodes, SHARD_POINTS))
     n_large = large.count()
     if n_large:
         names = sized(large.select("shard"), n_large)
         finer = spread(distinct.select("fp", shard_keys(radius, inner=True).alias("keys"))).join(names, "shard", "left_semi")
-        keys = written(keys.join(names, "shard", "left_anti").unionByName(finer), "shards")
-        large = crowded(keys)
+        finer = written(finer, "shards")
+        keys = keys.join(names, "shard", "left_anti").unionByName(finer)
+        large = crowded(finer, tree_nodes)
         n_large = large.count()
     parts = F.lit(None).cast("int")
     if n_large:
@@ -227,13 +267,16 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = T
         shard, sub, a, b, own, fp = cols
         start = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in (shard, sub, a, b)], axis=0)))
         group = np.cumsum(start) - 1
-        some = np.bincount(group)[group] > 1
-        group, a, b, own, points = (x[some] for x in (group, a, b, own, fp.view(np.uint64)))
-        if not len(group):
-            return
-        x, y = shard_links(group, own == a, own == b, points, radius)
-        for at in range(0, len(x), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000].view(np.int64)) for v in (x, y)], names=["a", "b"])
+        size = np.bincount(group)[group]
+        cut = (size > tree_nodes) & (sub == -1)
+        found = [cut_links(points, int(block), radius) for block, points in _shards(shard[cut], fp[cut].view(np.uint64))]
+        some = (size > 1) & ~cut
+        if some.any():
+            group, a, b, own, points = (x[some] for x in (group, a, b, own, fp.view(np.uint64)))
+            found.append(shard_links(group, own == a, own == b, points, radius))
+        for x, y in found:
+            for at in range(0, len(x), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000].view(np.int64)) for v in (x, y)], names=["a", "b"])
 
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     shards = dealt.repartition(n, "shard", "sub", "a", "b").sortWithinPartitions("shard", "sub", "a", "b", "fp")

@@ -9,8 +9,8 @@ All shingles have one global order, those that a sample finds frequent last. Two
 of n and m shingles have a Jaccard similarity of t or more share at least ceil(t n) of the first's, so
 they share one of its n - ceil(t n) + 1 first shingles in that order, and likewise of the second's: no
 pair is missed, whatever the sample. Pairs that meet there, can reach t by their sizes and the positions
-of the shingle, and whose sketches (the parities of the shingles in 512 cells) are not too far apart, are
-compared as text.
+of the shingle, and whose sketches (the parities of the shingles in 512 cells, then, of large sets, in about as
+many cells as they have shingles) are not too far apart, are compared as text.
 
 A large group of near copies does not give all its pairs. Where more than SHORT texts share a first
 shingle, they are compared with a few leaders alone; only texts that are still in different components
@@ -39,8 +39,8 @@ RADIUS = 7
 SHORT, LEADERS = 24, 3
 #: Cells of a sketch, as 64-bit words.
 SKETCH = 8
-#: Documents whose shingles are counted for the order, the count from which one is frequent, and the most kept.
-ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
+#: Documents whose shingles are counted for the order (or one in so many, if more), the count from which one is frequent, and the most kept.
+ORDER_SAMPLE, ORDER_SHARE, FREQUENT, MOST_FREQUENT = 20_000, 12, 4, 500_000
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> set[str]:
@@ -59,8 +59,12 @@ def _hash_sets(texts: list[bytes], words: int):
 
 
 def _frequent(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of the shingles that a bounded sample of the documents finds most often."""
+    """Hashes, ascending, and counts of the shingles that a sample of the documents finds most often.
+
+    A sample that did not grow with the documents would miss ever more shingles of long lists.
+    """
     total = documents.count()
+    sample = max(ORDER_SAMPLE, total // ORDER_SHARE)
 
     def run(batches):
         for rows in chunks(batches):
@@ -68,7 +72,7 @@ def _frequent(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["hash"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = documents.where(F.pmod(F.xxhash64(text, F.lit(23)), F.lit(1_000_000)) < int(1_000_000 * min(1, ORDER_SAMPLE / max(total, 1)))).select(text.cast("binary").alias("data"))
+    some = documents.where(F.pmod(F.xxhash64(text, F.lit(23)), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(total, 1)))).select(text.cast("binary").alias("data"))
     counts = some.mapInArrow(run, "hash long").groupBy("hash").count().where(F.col("count") >= FREQUENT)
     top = counts.orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT).toArrow()
     hashes, n = top["hash"].to_numpy().view(np.uint64), top["count"].to_numpy()
@@ -82,11 +86,30 @@ def _sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
 
 
+def _wide(h: np.ndarray) -> bytes:
+    """The parities of a set too large for _sketch, in a power of two of cells of six tenths of its members at least; of others none."""
+    if len(h) <= 64 * SKETCH:
+        return b""
+    cells = 1 << int(np.ceil(np.log2(0.6 * len(h) + 64 * SKETCH)))
+    odd = np.bincount((h >> np.uint64(32)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _wide_differ(a: bytes, b: bytes) -> int:
+    """Cells in which the sketches differ, the longer one folded to the shorter one's cells; 0 where either is none."""
+    if not a or not b:
+        return 0
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
 
 
 def prefixes(documents: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """id, row_key, cls (a hash of the set of shingles), n, fp (the set's signed SimHash), prefix (first shingle hashes in the global order) and sketch of every row."""
+    """id, row_key, cls (a hash of the set of shingles), n, fp (the set's signed SimHash), prefix (first shingle hashes in the global order) and sketches of every row."""
     often, counts = _frequent(documents, words)
     over, under = similarity
 
@@ -106,15 +129,15 @@ def prefixes(documents: DataFrame, words: int = WORDS, similarity: tuple[int, in
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(cls), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp),
-                    pa.array([first(h) for h in sets], pa.list_(pa.int64())), *(pa.array(sketches[:, i]) for i in range(SKETCH)),
+                    pa.array([first(h) for h in sets], pa.list_(pa.int64())), pa.array([_wide(h) for h in sets], pa.binary()), *(pa.array(sketches[:, i]) for i in range(SKETCH)),
                 ],
-                names=["id", "row_key", "cls", "n", "fp", "prefix", *_SKETCH],
+                names=["id", "row_key", "cls", "n", "fp", "prefix", "wide", *_SKETCH],
             )
 
     text = F.coalesce(F.col("text"), F.lit(""))
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     return documents.select(ident.alias("id"), row_key().alias("row_key"), text.cast("binary").alias("data")).mapInArrow(
-        run, f"id long, row_key long, cls long, n int, fp long, prefix array<long>, {', '.join(f'{c} long' for c in _SKETCH)}"
+        run, f"id long, row_key long, cls long, n int, fp long, prefix array<long>, wide binary, {', '.join(f'{c} long' for c in _SKETCH)}"
     )
 
 
@@ -231,6 +254,24 @@ def _close(x: str, y: str, similarity: tuple[int, int]):
     return (over + under) * differ <= (under - over) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs a, b whose wide sketches allow the similarity: far fewer bytes than the long texts that they keep from being moved."""
+    over, under = similarity
+
+    def run(batches):
+        for batch in batches:
+            a, b, n, x, y = batch.columns
+            near = [(over + under) * _wide_differ(p, q) <= (under - over) * k for k, p, q in zip(n.to_pylist(), x.to_pylist(), y.to_pylist(), strict=True)]
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+    wide = classes.where(F.length("wide") > 0)
+    x, y = (wide.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    n = F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))
+    return both.select("a", "b", n, "wide_a", "wide_b").mapInArrow(run, "a long, b long")
+
+
 def still_apart(long_lists: DataFrame, facts: DataFrame, near: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Candidate pairs of long lists that the links so far leave in different components; facts(cls, n, sketch)."""
     component = connected_components(near).select(F.col("node").alias("cls"), "root")
@@ -266,13 +307,13 @@ def verified(pairs: DataFrame, words: int = WORDS, similarity: tuple[int, int] =
 def links(documents: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (id, row_key, cls) and links (a, b) of different classes of at least the similarity, whose components are those of all such links."""
     rows = written(prefixes(documents, words, similarity), "prefixes")
-    least = rows.groupBy("cls").agg(F.min(F.struct("id", "row_key", "n", "fp", "prefix", *_SKETCH)).alias("r"))
-    classes = written(least.select("cls", *(F.col(f"r.{c}").alias(c) for c in ("id", "row_key", "n", "fp", "prefix", *_SKETCH))), "classes")
+    least = rows.groupBy("cls").agg(F.min(F.struct("id", "row_key", "n", "fp", "prefix", "wide", *_SKETCH)).alias("r"))
+    classes = written(least.select("cls", *(F.col(f"r.{c}").alias(c) for c in ("id", "row_key", "n", "fp", "prefix", "wide", *_SKETCH))), "classes")
     facts = classes.select("cls", "n", *_SKETCH)
 
     def compared(pairs, near=None):
         both = pairs.join(facts.alias("x"), F.col("a") == F.col("x.cls")).join(facts.alias("y"), F.col("b") == F.col("y.cls")).where(_close("x", "y", similarity)).select("a", "b")
-        both = written(both if near is None else apart(both, near), "close")
+        both = written(_alike(written(both if near is None else apart(both, near), "close"), classes, similarity), "alike")
         wanted = both.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         names = written(classes.select("cls", "id", "row_key").join(wanted, "cls", "left_semi"), "wanted")
         keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), row_key().alias("row_key"), "text")
