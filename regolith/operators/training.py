@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from regolith.functions.tables import written
+from regolith.operators import blocks, features
+
 #: The additive constants of a low-discrepancy sequence in the plane.
 STEPS = (0.7548776662466927, 0.5698402909980532)
 
@@ -122,40 +125,23 @@ def skew_view(pixels: DataFrame, tilt: float, phi_deg: float) -> DataFrame:
     """Each image as seen under a tilt: turned by phi about its origin into its bounding box, blurred along rows by
     0.8 sqrt(tilt^2 - 1) (mirrored borders), and squashed to a tilt-th of its width by nearest columns.
 
-    The turn samples bilinearly, 0 outside of the image.
+    The turn samples bilinearly, 0 outside of the image. The bounding box of a long strip is nearly empty, and grows with the square
+    of its length: blocks of the view that see the image are worked out from their boxes of it, the cells of all others are but
+    counted up.
     """
-    phi = math.radians(phi_deg)
-    s, c = math.sin(phi), math.cos(phi)
-    side = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    zero = F.lit(0)
-    x = [zero, (c * F.col("w")).cast("int"), (c * F.col("w") - s * F.col("h")).cast("int"), (-s * F.col("h")).cast("int")]
-    y = [zero, (s * F.col("w")).cast("int"), (s * F.col("w") + c * F.col("h")).cast("int"), (c * F.col("h")).cast("int")]
-    turned = side.select("image_id", F.least(*x).alias("x0"), F.least(*y).alias("y0"), F.greatest(*x).alias("x1"), F.greatest(*y).alias("y1"), "w", "h")
-    if phi == 0:
-        box = side.select("image_id", zero.alias("x0"), zero.alias("y0"), F.col("w").alias("w2"), F.col("h").alias("h2"))
-    else:
-        box = turned.select("image_id", "x0", "y0", (F.col("x1") - F.col("x0") + 1).alias("w2"), (F.col("y1") - F.col("y0") + 1).alias("h2"))
-    rows = box.select("*", F.explode(F.sequence(zero, F.col("h2") - 1)).alias("r")).repartition("image_id", "r")
-    cells = rows.withColumn("c", F.explode(F.sequence(zero, F.col("w2") - 1)))
-    px, py = F.col("c") + F.col("x0"), F.col("r") + F.col("y0")
-    cells = cells.select("image_id", "r", "c", F.round(c * px + s * py, 9).alias("sx"), F.round(c * py - s * px, 9).alias("sy"))
-    corners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
-    taps = cells.withColumn("o", F.explode(corners)).withColumn("pr", (F.floor("sy") + F.col("o.i")).cast("int")).withColumn("pc", (F.floor("sx") + F.col("o.j")).cast("int"))
-    taps = taps.select("image_id", "r", "c", "pr", "pc", ((1 - F.abs(F.col("sx") - F.col("pc"))) * (1 - F.abs(F.col("sy") - F.col("pr")))).alias("k")).where("k > 0")
-    source = pixels.select("image_id", F.col("r").alias("pr"), F.col("c").alias("pc"), "v")
-    seen = taps.join(source, ["image_id", "pr", "pc"], "left").groupBy("image_id", "r", "c").agg(F.coalesce(F.sum(F.col("k") * F.col("v")), F.lit(0.0)).alias("v"))
-    if tilt == 1.0:
-        return seen
-    weights = blur_weights(0.8 * math.sqrt(tilt * tilt - 1))
-    half = len(weights) // 2
-    out = box.select("image_id", "w2", "h2", F.explode(F.sequence(zero, F.greatest(F.lit(1), F.rint(F.col("w2") / tilt).cast("int")) - 1)).alias("o"))
-    at = F.least(F.floor(F.col("o") * tilt), F.col("w2") - 1)
-    kernel = F.explode(F.array(*(F.struct(F.lit(i - half).alias("d"), F.lit(k).alias("k")) for i, k in enumerate(weights)))).alias("t")
-    # mirrored about the outer cells, as often as it takes
-    period = F.greatest(F.lit(1), 2 * (F.col("w2") - 1))
-    folded = F.pmod(F.col("at") + F.col("t.d"), period)
-    out = out.withColumn("at", at).select("image_id", "w2", "o", "at", kernel).select("image_id", "o", F.col("t.k").alias("k"), F.least(folded, period - folded).cast("int").alias("c"))
-    return out.join(seen, ["image_id", "c"]).groupBy("image_id", "r", F.col("o").alias("c")).agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+    tiled = written(blocks.to_blocks(pixels), "blocks")
+    sizes = tiled.groupBy("image_id").agg(F.max(F.col("r0") + F.col("h")).alias("h"), F.max(F.col("c0") + F.col("w")).alias("w"))
+    placed = written(features.placed_views(sizes, [(0, tilt, phi_deg)]), "views")
+    seen = written(features.view_blocks(tiled, placed, 0.0), "view_blocks").withColumn("image_id", F.expr("substr(image_id, 3)"))  # without "0:"
+    side, zero = blocks.SIDE, F.lit(0)
+    steps = lambda n: F.explode(F.sequence(zero, F.floor((n - 1) / side).cast("int")))
+    every = placed.select("image_id", "h2", F.greatest(F.lit(1), F.rint(F.col("w2") / F.col("tilt")).cast("int")).alias("out")).withColumn("ty", steps(F.col("h2"))).withColumn("tx", steps(F.col("out")))
+    # dealt out by number, as the row of a block becomes thousands
+    parts = max(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    empty = every.join(seen.select("image_id", "ty", "tx"), ["image_id", "ty", "tx"], "left_anti").repartition(parts, "image_id", "ty", "tx")
+    cells = lambda at, n: F.explode(F.sequence(F.col(at) * side, F.least(F.col(n), (F.col(at) + 1) * side) - 1))
+    rest = empty.withColumn("r", cells("ty", "h2")).withColumn("c", cells("tx", "out")).select("image_id", "r", "c", F.lit(0.0).alias("v"))
+    return blocks.to_cells(seen).select("image_id", "r", "c", "v").unionByName(rest)
 
 
 def blur_weights(sigma: float) -> list[float]:
