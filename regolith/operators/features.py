@@ -135,6 +135,19 @@ def _inner(cells: np.ndarray) -> np.ndarray:
     return _along(_along(seen, np.ones(n), 0), np.ones(n), 1) > n * n - 0.5
 
 
+def _trimmed(cells: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Rows and columns before the first cell with data, and the part of the box that has data.
+
+    Cells without data take no part in blurs and no blob is beside one, so kernels need not go over them: a box around
+    a small image, or a late octave, is mostly such cells.
+    """
+    seen = ~np.isnan(cells)
+    r, c = np.flatnonzero(seen.any(1)), np.flatnonzero(seen.any(0))
+    if not len(r):
+        return 0, 0, cells[:0, :0]
+    return int(r[0]), int(c[0]), cells[r[0] : r[-1] + 1, c[0] : c[-1] + 1]
+
+
 def _settle(d: np.ndarray, s: np.ndarray, r: np.ndarray, c: np.ndarray, least: float):
     """The peaks of fitted paraboloids: rows kept of the given ones, their cells, offsets and values.
 
@@ -186,9 +199,15 @@ def keypoints(octaves: DataFrame, span: float = 1.0, contrast: float = CONTRAST,
         for group, sides in groups:
             octave, name = _octave_of(group.split("|", 2)[2])
             r0, c0, cells, _ = sides[0]
-            d, inner = _differences(cells, octave), _inner(cells)
+            top, left, cells = _trimmed(cells)
+            if min(cells.shape) <= 2 * BORDER:
+                continue
+            r0, c0, inner = r0 + top, c0 + left, _inner(cells)
+            if not inner.any():
+                continue
+            d = _differences(cells, octave)
             s, r, c = _peaks(d, least / 2)
-            own = (r >= halo) & (r < halo + side) & (c >= halo) & (c < halo + side)
+            own = (r + top >= halo) & (r + top < halo + side) & (c + left >= halo) & (c + left < halo + side)
             own &= inner[r, c]
             s, r, c = s[own], r[own], c[own]
             off, top = np.zeros((len(s), 3)), d[s, r, c]
